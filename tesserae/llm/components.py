@@ -1,0 +1,51 @@
+"""Connected components of a link table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import keep
+
+
+def _minimum(pairs: DataFrame, name: str) -> DataFrame:
+    """Smallest ``v`` of each ``u``; written, so that the join that follows can split a hub's rows."""
+    return keep(pairs.groupBy("u").agg(F.min("v").alias("m")), name)
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = _minimum(both, "large").select("u", F.least("u", "m").alias("m"))
+    out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return keep(out.where("u <> v").distinct(), "edges")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """``edges`` have u > v."""
+    least = _minimum(edges, "small")
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``(u, v)`` long links to ``(node, label)``: every linked node with the smallest node that it reaches.
+
+    Each round writes its links to the shared folder; only a row count and a checksum reach the driver.
+    Nulls and loops are left out; repeated links count once; no links give no rows.
+    """
+    edges = keep(
+        links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
+    )
+    state = _state(edges)
+    while state[0]:
+        edges = _small_star(_large_star(edges))
+        before, state = state, _state(edges)
+        if state == before:
+            break
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    return nodes.unionByName(roots)
