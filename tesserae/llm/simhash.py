@@ -1,16 +1,20 @@
-"""Near-duplicate detection: 64-bit SimHash fingerprints, compared bit plane by bit plane.
+"""Near-duplicate detection: SimHash fingerprints, compared bit plane by bit plane.
 
 Fingerprints within ``radius`` bits agree on all but ``radius`` of any m blocks of bits, so that grouping them by every
 choice of the other blocks brings each such pair together (m grows with the number of fingerprints, which keeps the
-groups small). Inside a group the fingerprints stand vertically, as 64 planes with one bit for each fingerprint: 64
-distances at a time grow in carry-save counters, and a block is given up once all its counters are past the radius.
-A group gives the links of its spanning stars only, never all its pairs.
+groups small). A wide radius leaves too few such bits; wide fingerprints are grouped by random sets of bits instead,
+as many as the wanted recall takes. Inside a group the fingerprints stand vertically, as planes with one bit for each
+fingerprint: 64 distances at a time grow in carry-save counters, and a block is given up once all its counters are past
+the radius. A group gives the links of its spanning stars only, never all its pairs.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,67 +31,68 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(data: bytes | None, shingle: int) -> int:
-    """SimHash of the word shingles of a text in UTF-8, repeats included; zero without words."""
+def fingerprint(data: bytes | None, shingle: int, lanes: int = 1) -> list[int]:
+    """SimHash of the word shingles of a text in UTF-8, repeats included, in lanes of 64 bits; zero without words."""
     if not data:
-        return 0
-    digest, counts, n, rest = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0, []
+        return [0] * lanes
+    digest, counts, n, rest = xxhash.xxh64_intdigest, np.zeros((lanes, BITS), np.int64), 0, []
     for words in word_lists(data.lower()):
         words = rest + words
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-        hashes = np.array([digest(x, SEED) for x in grams], np.uint64)
-        for i in range(0, len(hashes), 1 << 16):
-            part = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(hashes)
+        for i in range(0, max(0, len(words) - shingle + 1), 1 << 16):
+            some = words[i : i + (1 << 16) + shingle - 1]
+            grams = list(map(b" ".join, zip(*(some[k:] for k in range(shingle)), strict=False)))
+            for lane in range(lanes):
+                hashes = np.array([digest(x, SEED + lane) for x in grams], "<u8")
+                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                counts[lane] += bits.sum(axis=0, dtype=np.int64)
+            n += len(grams)
         rest = words[-(shingle - 1) :] if shingle > 1 else []
     if not n:
-        if not rest:
-            return 0
-        return digest(b" ".join(rest), SEED)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        return [digest(b" ".join(rest), SEED + lane) for lane in range(lanes)] if rest else [0] * lanes
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """``values`` (a multiple of 64 of them) as 64 planes of words, whose bit i is that of the word's i-th value."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Rows of lanes (a multiple of 64 rows) as planes of words, whose bit i is that of the word's i-th row."""
+    bits = np.unpackbits(values.astype("<u8").view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
 def close_pairs(values: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of one group within ``radius`` bits; group g holds ``values[starts[g]:starts[g + 1]]``."""
+    """Pairs (i < j) of one group within ``radius`` bits.
+
+    ``values``: fingerprints by lanes; group g holds ``values[starts[g]:starts[g + 1]]``.
+    """
     sizes = np.diff(starts)
-    words = -(-sizes // 64)
-    first = np.concatenate(([0], np.cumsum(words)))
+    first = np.concatenate(([0], np.cumsum(-(-sizes // 64))))
     group = np.repeat(np.arange(len(sizes)), sizes)
-    place = first[group] * 64 + np.arange(len(values)) - starts[group]  # lane of each value
-    lanes = np.zeros(first[-1] * 64, np.uint64)
-    lanes[place] = values
-    owner = np.full(len(lanes), -1, np.int64)
+    place = first[group] * 64 + np.arange(len(values)) - starts[group]
+    rows = np.zeros((first[-1] * 64, values.shape[1]), np.uint64)
+    rows[place] = values
+    owner = np.full(len(rows), -1, np.int64)
     owner[place] = np.arange(len(values))
     filled = np.packbits((owner >= 0).reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
-    planes = bit_planes(lanes)
-    # each value against its own word, above its own lane, and against the later words of its group
+    planes = bit_planes(rows)
+    # each fingerprint against what follows it in its own word, and against the later words of its group
     later = first[group + 1] - place // 64
     query = np.repeat(np.arange(len(values)), later)
     word = np.arange(len(query)) - np.repeat(np.cumsum(later) - later, later) + (place // 64)[query]
-    lane = (place % 64).astype(np.uint64)
-    above = ~((np.uint64(2) << lane) - np.uint64(1))
-    mask = filled[word] & np.where(word == (place // 64)[query], above[query], ~np.uint64(0))
+    follows = ~((np.uint64(2) << (place % 64).astype(np.uint64)) - np.uint64(1))
+    mask = filled[word] & np.where(word == (place // 64)[query], follows[query], ~np.uint64(0))
     live = mask != 0
     query, word, mask = query[live], word[live], mask[live]
     width = max(1, int(radius).bit_length())  # counters begin so that radius + 1 carries out
     begin = (1 << width) - radius - 1
     counters = [np.full(len(query), ~np.uint64(0) if begin >> k & 1 else np.uint64(0), np.uint64) for k in range(width)]
-    asked = values[query]
-    for k in range(BITS):
-        carry = planes[k][word] ^ (np.uint64(0) - (asked >> np.uint64(k) & np.uint64(1)))
+    for k in range(len(planes)):
+        asked = values[query, k // BITS] >> np.uint64(k % BITS) & np.uint64(1)
+        carry = planes[k][word] ^ (np.uint64(0) - asked)
         for c, counter in enumerate(counters):
             counters[c], carry = counter ^ carry, counter & carry
         mask = mask & ~carry
         if k % 8 == 7:
             live = mask != 0
-            query, word, mask, asked = query[live], word[live], mask[live], asked[live]
+            query, word, mask = query[live], word[live], mask[live]
             counters = [x[live] for x in counters]
     hit, bit = np.nonzero(np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     return query[hit], owner[word[hit] * 64 + bit]
@@ -110,48 +115,70 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class SimHash:
-    """``shingle`` words, links at ``radius`` bits; groups over ``hot`` fingerprints are compared in blocks of that size."""
+    """``shingle`` words; links at ``radius`` of 64 x ``lanes`` bits.
+
+    Every link is found, unless ``recall`` is given: then that share, at least, of the pairs within ``apart`` of the
+    bits. Groups of over ``hot`` fingerprints are compared in blocks of that size.
+    """
 
     shingle: int = 4
     radius: int = 4
+    lanes: int = 1
+    recall: float | None = None
+    apart: float = 0.15
     hot: int = 1024
     crowd: int = 256
 
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{k}" for k in range(self.lanes)]
+
     def fingerprints(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, fp`` of each row; a null or empty text, or one without words, has fp 0."""
-        shingle = self.shingle
+        """``doc_id, f0, f1, ...`` of each row; a null or empty text, or one without words, has zeros."""
+        shingle, lanes, names = self.shingle, self.lanes, ["doc_id", *self.columns]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                fps = np.array([fingerprint(x, shingle) for x in strings(batch.column(1))], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
-
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
-
-    def _masks(self, n: int) -> list[int]:
-        """Bits that must agree, for each table of groups: enough blocks that chance puts few of n in a group."""
-        m = self.radius + 1
-        while m < 12 and n / 2 ** (BITS * (m - self.radius) / m) > self.crowd:
-            m += 1
-        edges = [BITS * k // m for k in range(m + 1)]
-        blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(m)]
-        return [sum(x) for x in combinations(blocks, m - self.radius)]
-
-    def links(self, fps: DataFrame, n: int) -> DataFrame:
-        """``u, v`` links that span the same components as all pairs of the distinct ``fp`` within the radius do."""
-        signed = [x - (1 << BITS) if x >> 63 else x for x in self._masks(n)]
-        groups = F.explode(
-            F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for t, x in enumerate(signed)])
-        )
-        members = fps.select("fp", groups.alias("g")).select("fp", "g.t", "g.key")
-        large = members.groupBy("t", "key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("pivot")).where(F.col("n") > self.hot)
-        large = keep(large, "hot-groups")
+                found = np.array([fingerprint(x, shingle, lanes) for x in strings(batch.column(1))], np.uint64).reshape(-1, lanes)
+                columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+    def masks(self, n: int) -> list[int]:
+        """Bits that must agree, for each table of groups of n fingerprints: enough that chance puts few in a group."""
+        width, wanted = BITS * self.lanes, math.log2(max(1, n / self.crowd))
+        if self.recall is None:
+            m = self.radius + 1
+            while m < 12 and width * (m - self.radius) / m < wanted:
+                m += 1
+            edges = [width * k // m for k in range(m + 1)]
+            blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(m)]
+            return [sum(x) for x in combinations(blocks, m - self.radius)]
+        bits = max(12, math.ceil(wanted + 6))
+        tables = math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.apart) ** bits))
+        draw = random.Random(SEED)
+        return [sum(1 << k for k in draw.sample(range(width), bits)) for _ in range(tables)]
+
+    def _groups(self, n: int) -> F.Column:
+        """The group of a fingerprint in each table."""
+        lane = lambda mask, k: (x := mask >> BITS * k & (1 << BITS) - 1) - (x >> 63 << 64)
+        key = lambda mask: [F.col(c).bitwiseAND(F.lit(lane(mask, k))) for k, c in enumerate(self.columns)]
+        return F.array(*[F.xxhash64(F.lit(t), *key(mask)) for t, mask in enumerate(self.masks(n))])
+
+    def links(self, nodes: DataFrame, n: int) -> DataFrame:
+        """``u, v`` links of n ``node, f0, ...`` rows with distinct fingerprints; they span the same components as all
+        pairs within the radius do."""
+        members = nodes.select("node", *self.columns, F.explode(self._groups(n)).alias("g"))
+        one = F.struct("node", *self.columns)
+        large = members.groupBy("g").agg(F.count("*").alias("n"), F.min_by(one, F.xxhash64("node")).alias("pivot"))
+        large = keep(large.where(F.col("n") > self.hot), "hot-groups")
         if large.isEmpty():
-            blocks, star = members.select("fp", "t", "key", *[F.lit(0).alias(c) for c in "sab"]), None
+            blocks, star = members.select("g", *[F.lit(0).alias(c) for c in "sab"], "node", *self.columns), None
         else:
             blocks, star = self._crowds(members, large)
-        spans = blocks.withColumn("g", F.xxhash64("t", "key", "s", "a", "b")).repartition("g")
-        spans = spans.select("g", "t", "key", "s", "a", "b", "fp").sortWithinPartitions("g", "t", "key", "s", "a", "b", "fp")
+        blocks = blocks.withColumn("g", F.xxhash64("g", "s", "a", "b")).drop("s", "a", "b")
+        spans = blocks.repartition("g").sortWithinPartitions("g", "node")
         found = spans.mapInArrow(_spanning(self.radius), "u long, v long")
         return found if star is None else found.unionByName(star)
 
@@ -161,22 +188,24 @@ class SimHash:
         What is near a group's pivot is one component already; only what is apart from it must meet the whole group.
         Both kinds are dealt into parts of ``hot`` fingerprints, and each pair of parts that must meet is a block.
         """
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= self.radius
-        crowd = keep(members.join(large, ["t", "key"]).select("fp", "t", "key", "pivot", near.alias("near")), "crowd")
-        parts = crowd.groupBy("t", "key").agg(
+        distance = reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"pivot.{c}"))) for c in self.columns])
+        own = ["node", *self.columns]
+        crowd = members.join(large, "g").select(*own, "g", F.col("pivot.node").alias("pivot"), (distance <= self.radius).alias("near"))
+        crowd = keep(crowd, "crowd")
+        parts = crowd.groupBy("g").agg(
             *[F.ceil(F.count_if(c) / self.hot).cast("int").alias(n) for c, n in ((F.col("near"), "i"), (~F.col("near"), "j"))]
         )
-        crowd = crowd.join(keep(parts, "parts"), ["t", "key"])
-        part = F.pmod(F.xxhash64("fp"), F.when(F.col("near"), F.col("i")).otherwise(F.col("j"))).cast("int")
+        crowd = crowd.join(keep(parts, "parts"), "g")
+        part = F.pmod(F.xxhash64("node"), F.when(F.col("near"), F.col("i")).otherwise(F.col("j"))).cast("int")
         crowd = crowd.withColumn("p", part)
         numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-        apart = crowd.where(~F.col("near"))
-        among = apart.select("fp", "t", "key", "p", F.explode(numbers("j")).alias("o"))
-        among = among.select("fp", "t", "key", F.lit(1).alias("s"), F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b"))
-        across = apart.select("fp", "t", "key", F.lit(2).alias("s"), F.explode(numbers("i")).alias("a"), F.col("p").alias("b"))
-        met = crowd.where("near").select("fp", "t", "key", F.lit(2).alias("s"), F.col("p").alias("a"), F.explode(numbers("j")).alias("b"))
-        small = members.join(large, ["t", "key"], "left_anti").select("fp", "t", "key", *[F.lit(0).alias(c) for c in "sab"])
-        star = crowd.where(F.col("near") & (F.col("fp") != F.col("pivot"))).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+        block = lambda rows, s, a, b: rows.select(*own, "g", F.lit(s).alias("s"), a.alias("a"), b.alias("b"))
+        apart, p, o = crowd.where(~F.col("near")), F.col("p"), F.col("o")
+        among = block(apart.withColumn("o", F.explode(numbers("j"))), 1, F.least(p, o), F.greatest(p, o))
+        across = block(apart.withColumn("o", F.explode(numbers("i"))), 2, o, p)
+        met = block(crowd.where("near").withColumn("o", F.explode(numbers("j"))), 2, p, o)
+        small = block(members.join(large, "g", "left_anti"), 0, F.lit(0), F.lit(0))
+        star = crowd.where(F.col("near") & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
         return small.unionByName(among).unionByName(across).unionByName(met), star
 
     def components(self, docs: DataFrame) -> DataFrame:
@@ -187,44 +216,42 @@ class SimHash:
         none); repeated rows come out repeated; an empty table gives no rows.
         """
         fps = keep(self.fingerprints(docs), "fingerprints")
-        distinct = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-        label = keep(components(self.links(distinct.select("fp"), distinct.count())), "labels")
-        root = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left")
-        root = keep(root.select("fp", "low", F.coalesce("label", "fp").alias("root")), "roots")
-        linked = root.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")).where("n > 1")
-        linked = keep(linked.select("root", "component_id"), "linked")
-        of = root.join(linked, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-        out = fps.join(keep(of, "component-of"), "fp")
-        return out.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+        distinct = fps.groupBy(*self.columns).agg(F.min("doc_id").alias("low"))
+        distinct = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+        label = keep(components(self.links(distinct.drop("low"), distinct.count())), "labels")
+        root = keep(distinct.join(label, "node", "left").withColumn("root", F.coalesce("label", "node")), "roots")
+        linked = root.where("label is not null").groupBy("root").agg(F.min("low").alias("component_id"))
+        linked = keep(linked, "linked")
+        of = root.join(linked, "root", "left").select(*self.columns, F.coalesce("component_id", "low").alias("component_id"))
+        out = fps.join(keep(of, "component-of"), self.columns)
+        digits = F.concat(*[hex64(F.col(c)) for c in self.columns])
+        return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def _spanning(radius: int, limit: int = 1 << 15):
-    """Compares sorted rows group by group, many groups at once; gives the links of each group's stars."""
+    """Compares rows ``g, node, f0, ...``, sorted by group, many groups at once; gives the links of each group's stars."""
 
-    def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        starts = np.concatenate(([0], change, [len(fps)]))
-        i, j = close_pairs(fps.view(np.uint64), starts, radius)
-        label = stars(len(fps), i, j) if len(i) else np.arange(len(fps))
-        moved = label != np.arange(len(fps))
-        return pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[label[moved]])], ["u", "v"])
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]))
+        i, j = close_pairs(np.ascontiguousarray(rows[:, 2:]).view(np.uint64), starts, radius)
+        label, node = stars(len(rows), i, j), rows[:, 1]
+        moved = label != np.arange(len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, size = [], [], 0
+        parts, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6)], axis=1))
-            fps.append(batch.column(6).to_numpy(zero_copy_only=False).astype(np.int64))
+            parts.append(np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.columns], axis=1))
             size += batch.num_rows
             if size >= limit:
-                k, f = np.concatenate(keys), np.concatenate(fps)
-                same = (k == k[-1]).all(axis=1)
-                whole = len(f) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last group may go on
+                rows = np.concatenate(parts)
+                whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last group may go on
                 if whole:
-                    yield solve(k[:whole], f[:whole])
-                keys, fps, size = [k[whole:]], [f[whole:]], len(f) - whole
+                    yield solve(rows[:whole])
+                parts, size = [rows[whole:]], len(rows) - whole
         if size:
-            yield solve(np.concatenate(keys), np.concatenate(fps))
+            yield solve(np.concatenate(parts))
 
     return run
