@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .block_dedup import BlockNames
-from .common import shared_dir, table
+from .chat_format import ChatFormat
+from .common import keep, shared_dir, table
+from .decontaminate import Decontamination
+from .langid import LanguageId
 from .packing import Packing
+from .resampling import ImportanceResampling
 from .simhash import SimHash
 from .token_files import TokenFiles
 
@@ -29,11 +33,36 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(
+        "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    chat = ChatFormat()
+    rows = table(spark, sf_dir, "conversations").select(own.columns).unionByName(own)
+    return chat.digests(keep(chat.format(rows), "formatted"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = Packing(public_tokenizers.path(VOCABULARY), end_id=2).pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Decontamination().matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ImportanceResampling().sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = LanguageId(public_tokenizers.path(VOCABULARY)).fit(docs.where(~held_out))
+    found = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), model.predict(spark).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op10_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BlockNames().groups(table(spark, sf_dir, "documents"))
 
@@ -42,13 +71,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_token_files": op2_token_files,
+        "op3_chat_format": op3_chat_format,
         "op4_packing": op4_packing,
+        "op5_decontamination": op5_decontamination,
+        "op8_importance_resampling": op8_importance_resampling,
+        "op9_language_id": op9_language_id,
         "op10_block_names": op10_block_names,
     }
 
 
+def _escaped(column: str) -> str:
+    """DuckDB SQL of the chat format's escaping: control strings neither overlap nor hold backslashes."""
+    sql = f"replace({column}, '\\', '\\\\')"
+    for mark in ChatFormat().control:
+        sql = f"replace({sql}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_format": f"""
+            WITH turns AS (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL
+                SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+            )
+            SELECT conv_id,
+                   count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   (3 + sum(20 + length({_escaped("role")}) + length({_escaped("text")})))::BIGINT AS formatted_chars
+            FROM turns
+            GROUP BY conv_id
+        """,
         "op10_block_names": """
             SELECT doc_id,
                    max(doc_id) OVER same AS keep_id,
