@@ -13,13 +13,23 @@ from .block_dedup import BlockNames
 from .chat_format import ChatFormat
 from .common import keep, shared_dir, table
 from .decontaminate import Decontamination
+from .html_extract import HtmlExtraction
 from .langid import LanguageId
 from .packing import Packing
 from .resampling import ImportanceResampling
 from .simhash import SimHash
 from .token_files import TokenFiles
+from .url_filter import UrlFilter, UrlRule
 
 VOCABULARY = "word_bpe_49k.json"
+URL_RULES = (
+    UrlRule("net/", "block"),
+    UrlRule("example.net/en/", "allow"),
+    UrlRule("example.com/de/", "block"),
+    UrlRule("org/fr/", "allow"),
+)
+#: Parts of the hosts of known unwanted sites.
+URL_TERMS = ("casino", "bets", "pills", "spam", "adult", "ads-")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +61,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Decontamination().matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return UrlFilter(URL_RULES, URL_TERMS).judge(table(spark, sf_dir, "pages")).drop("score")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", HtmlExtraction().text().alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ImportanceResampling().sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": op3_chat_format,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
+        "op6_url_filter": op6_url_filter,
+        "op7_html_extraction": op7_html_extraction,
         "op8_importance_resampling": op8_importance_resampling,
         "op9_language_id": op9_language_id,
         "op10_block_names": op10_block_names,
