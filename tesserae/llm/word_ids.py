@@ -11,6 +11,8 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 from .common import text_slices
 
 _SPACE = re.compile("[\n\t\r]")
@@ -21,12 +23,15 @@ _EDGE = re.compile(r"[!-/:-@\[-^`{-~](?<=[^\W_].)")
 class WordIds:
     """Remembers ``limit`` words used last, and up to as many used before them."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -34,7 +39,7 @@ class WordIds:
         if not text:
             return []
         # letters there keep their kind in lower case and composed form; a special token may hold "<|"
-        if max(text) <= "\xff" and "<|" not in text:
+        if (text.isascii() or max(text) <= "\xff") and "<|" not in text:
             text = _EDGE.sub(r" \g<0>", text.lower())
         return _SPACE.sub(" ", text).split(" ")
 
@@ -47,8 +52,17 @@ class WordIds:
             else:
                 self.words[word] = ids
         new.sort()
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        alone = [x for x in new if x.isalpha() and max(x) <= "\xff"]
+        for i in range(0, len(alone), 4096):  # a word of letters ends where the first piece that ends words stands
+            part = alone[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops, data, begin = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), ids.tobytes(), 0
+            for word, stop in zip(part, stops, strict=True):
+                self.words[word] = data[begin:stop]
+                begin = stop
+        rest = [x for x in new if not (x.isalpha() and max(x) <= "\xff")]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
             for word, x in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 self.words[word] = array("I", x.ids).tobytes()
 
