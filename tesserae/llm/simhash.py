@@ -155,7 +155,7 @@ class SimHash:
             edges = [width * k // m for k in range(m + 1)]
             blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(m)]
             return [sum(x) for x in combinations(blocks, m - self.radius)]
-        bits = max(12, math.ceil(wanted + 6))
+        bits = max(12, math.ceil(wanted + 3))
         tables = math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.apart) ** bits))
         draw = random.Random(SEED)
         return [sum(1 << k for k in draw.sample(range(width), bits)) for _ in range(tables)]
