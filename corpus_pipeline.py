@@ -45,9 +45,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies.
 
     Five-word shingles; fingerprints of 256 bits, of which texts that share 0.8 of their shingles differ in 0.15 of the
-    bits on average, link at 48. Rows with a null doc_id stay.
+    bits on average, link at 44. Rows with a null doc_id stay.
     """
-    groups = SimHash(shingle=5, radius=48, lanes=4, recall=0.95, apart=0.15).components(docs)
+    groups = SimHash(shingle=5, radius=44, lanes=4, recall=0.97, apart=0.17).components(docs)
     drop = keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return docs.join(drop, docs["doc_id"].cast("long") == drop["doc_id"], "left_anti")
 
