@@ -1,0 +1 @@
+"""Quality-control analytics on Spark DataFrames."""

@@ -1,0 +1,15 @@
+"""Registered queries of the library, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from . import image, quality, structure
+
+_PARTS = (quality, structure, image)
+
+
+def queries() -> dict:
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
