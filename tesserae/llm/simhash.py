@@ -174,10 +174,10 @@ class SimHash:
         large = members.groupBy("g").agg(F.count("*").alias("n"), F.min_by(one, F.xxhash64("node")).alias("pivot"))
         large = keep(large.where(F.col("n") > self.hot), "hot-groups")
         if large.isEmpty():
-            blocks, star = members.select("g", *[F.lit(0).alias(c) for c in "sab"], "node", *self.columns), None
+            blocks, star = members.select("*", *[F.lit(0).alias(c) for c in "sab"]), None
         else:
             blocks, star = self._crowds(members, large)
-        blocks = blocks.withColumn("g", F.xxhash64("g", "s", "a", "b")).drop("s", "a", "b")
+        blocks = blocks.select(F.xxhash64("g", "s", "a", "b").alias("g"), "node", *self.columns)
         spans = blocks.repartition("g").sortWithinPartitions("g", "node")
         found = spans.mapInArrow(_spanning(self.radius), "u long, v long")
         return found if star is None else found.unionByName(star)
