@@ -54,7 +54,7 @@ def windows(text: str | None, known: _Words, size: int, literals: int) -> tuple[
     """Hashes (two rows: plain words, and with placeholders) of each window of ``size`` words of a text.
 
     Also which windows of each kind count (those with placeholders need ``literals`` words beside them), the words,
-    and which of them are placeholders. A shorter text is one window.
+    and which of them are placeholders. A shorter text has none.
     """
     words = text.split() if text else []
     packed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -63,7 +63,6 @@ def windows(text: str | None, known: _Words, size: int, literals: int) -> tuple[
     if len(some) < len(words):
         words, packed, kind = [words[i] for i in some.tolist()], packed[some], kind[some]
     n = len(words)
-    size = min(size, n)
     plain, ends = packed & ~np.uint64(15), packed & np.uint64(1) == 1
     start, after = np.ones(n, bool), np.zeros(n, bool)
     start[1:], after[1:] = ends[:-1], kind[:-1] == NUMBER
@@ -72,7 +71,7 @@ def windows(text: str | None, known: _Words, size: int, literals: int) -> tuple[
     for k, place in _PLACES.items():
         typed[kind == k] = place
     slot = kind != LITERAL
-    count = max(0, n - size + 1) if n else 0
+    count = max(0, n - size + 1)
     hashes = np.zeros((2, count), np.uint64)
     factor = 1
     for k in range(size):
@@ -91,8 +90,8 @@ def windows(text: str | None, known: _Words, size: int, literals: int) -> tuple[
 class Decontamination:
     """Windows of ``size`` words; with placeholders, ``literals`` of them must be plain words.
 
-    A text matches an item when ``share`` of the item's windows are found in it. Items of fewer than ``shortest``
-    words are too common to be searched. ``bitmap_bits``: log2 of the bits of the filter that tasks look windows up in
+    A text matches an item when ``share`` of the item's windows are found in it. Items of fewer than ``size`` words have
+    windows of ``shortest``; those of fewer still are too common to be searched. ``bitmap_bits``: log2 of the bits of the filter that tasks look windows up in
     before the join, whose size this bounds.
     """
 
@@ -103,26 +102,30 @@ class Decontamination:
     bitmap_bits: int = 24
     memo: int = 300_000
 
-    def _windows(self, texts: DataFrame, only: np.ndarray | None) -> DataFrame:
-        """``id, at, n, hash, typed, slots`` of the windows of ``id, text`` rows; ``only``: those in this bitmap."""
-        size, literals, memo, shortest = self.size, self.literals, self.memo, self.shortest
+    def _windows(self, texts: DataFrame, only: np.ndarray | None, sizes: tuple[int, ...]) -> DataFrame:
+        """``id, at, n, size, hash, typed, slots`` of the windows of ``id, text`` rows, n of them of a size.
+
+        ``only``: those in this bitmap; without it, those of the first of ``sizes`` that a text has windows of.
+        """
+        literals, memo = self.literals, self.memo
         shared = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
-        schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("typed", pa.bool_()), ("slots", pa.list_(pa.string()))])
+        schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("typed", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, bitmap, rows = _Words(), None if shared is None else shared.value, []
             for batch in batches:
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    hashes, counts, words, slot = windows(text.as_py(), known, size, literals)
-                    n = hashes.shape[1]
-                    if bitmap is None:
-                        counts &= len(words) >= shortest
-                    else:
-                        place = hashes & np.uint64(bitmap.size * 64 - 1)
-                        counts &= bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1
-                    for typed, at in np.argwhere(counts).tolist():
-                        some = [i for i in range(at, min(at + size, len(words))) if slot[i]] if typed else ()
-                        rows.append((key, at, n, int(hashes[typed, at].astype(np.int64)), bool(typed), [_CORE.sub("", words[i]).lower() for i in some]))
+                    for size in sizes:
+                        hashes, counts, words, slot = windows(text.as_py(), known, size, min(literals, size - 1))
+                        n = hashes.shape[1]
+                        if bitmap is not None:
+                            place = hashes & np.uint64(bitmap.size * 64 - 1)
+                            counts &= bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+                        for typed, at in np.argwhere(counts).tolist():
+                            some = [i for i in range(at, at + size) if slot[i]] if typed else ()
+                            rows.append((key, at, n, size, int(hashes[typed, at].astype(np.int64)), bool(typed), [_CORE.sub("", words[i]).lower() for i in some]))
+                        if n and bitmap is None:
+                            break
                     if len(rows) >= 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows = []
@@ -131,7 +134,7 @@ class Decontamination:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        return texts.mapInArrow(run, "id long, at int, n int, hash long, typed boolean, slots array<string>")
+        return texts.mapInArrow(run, "id long, at int, n int, size int, hash long, typed boolean, slots array<string>")
 
     def _bitmap(self, items: DataFrame) -> np.ndarray:
         place = F.col("hash").bitwiseAND(F.lit((1 << self.bitmap_bits) - 1))
@@ -151,11 +154,12 @@ class Decontamination:
         for each of the item's.
         """
         items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null")
-        items = keep(self._windows(items, None).distinct(), "benchmark-windows")
+        items = keep(self._windows(items, None, (self.size, self.shortest)).distinct(), "benchmark-windows")
+        sizes = (self.size,) if items.where(F.col("size") < self.size).isEmpty() else (self.size, self.shortest)
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
         # shuffled or broadcast by size, as Spark finds it
-        found = keep(self._windows(texts, self._bitmap(items)), "document-windows").withColumnsRenamed({"id": "doc_id", "at": "place", "slots": "values"})
-        found = found.drop("n").join(items.withColumnRenamed("id", "item_id"), ["hash", "typed"])
+        found = keep(self._windows(texts, self._bitmap(items), sizes), "document-windows").withColumnsRenamed({"id": "doc_id", "at": "place", "slots": "values"})
+        found = found.drop("n").join(items.withColumnRenamed("id", "item_id"), ["hash", "typed", "size"])
         least = F.greatest(F.lit(1), F.ceil(F.col("n") * self.share))
         same = found.where(~F.col("typed") | (F.col("slots") == F.col("values")))
         copies = same.groupBy("doc_id", "item_id", "n", "at").agg(F.lit(1)).groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("found"))

@@ -81,6 +81,8 @@ class ImportanceResampling:
         counts = np.full((2, size), self.smoothing)
         for k, name in enumerate(("every", "target")):
             counts[k, found.column("bucket").to_numpy()] += found.column(name).to_numpy()
+        if (counts[1] == self.smoothing).all():  # no targets
+            return np.zeros(size)
         chance = counts / counts.sum(axis=1, keepdims=True)
         return np.log(chance[1]) - np.log(chance[0])
 
