@@ -109,8 +109,52 @@ def _escaped(column: str) -> str:
     return sql
 
 
+def _url_filter_sql() -> str:
+    """The rules, the models level by level, the calibration, and the verdicts."""
+    model = UrlFilter(URL_RULES, URL_TERMS)
+    order, weight = model.order, f"{model.weight}::DOUBLE"
+    fits, upper = [], "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for rule in sorted(URL_RULES, key=lambda x: -len(x.rule)):
+        own, slash, rest = rule.rule.partition("/")
+        fits.append((f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{slash}{rest}')", rule))
+    case = lambda value: "CASE " + " ".join(f"WHEN {x} THEN '{getattr(rule, value)}'" for x, rule in fits) + " END"
+    levels = []
+    for k in range(order + 1):
+        less = {x: f"1.0::DOUBLE / {model.alphabet}" if k == 0 else f"b.{x}" for x in "ar"}
+        context = f"(PARTITION BY substr(gram, 1, {k}))"
+        chance = ", ".join(f"(l.{x} + {weight} * {less[x]}) / (l.{x}_all + {weight}) AS {x}" for x in "ar")
+        below = "" if k == 0 else f" JOIN p{k - 1} b ON b.gram = substr(l.gram, 2)"
+        levels.append(
+            f"l{k} AS (SELECT gram, a, r, sum(a) OVER {context} AS a_all, sum(r) OVER {context} AS r_all"
+            f" FROM (SELECT substr(gram, {order + 1 - k}) AS gram, sum(a) AS a, sum(r) AS r FROM grams GROUP BY ALL)),"
+            f" p{k} AS (SELECT l.gram, {chance} FROM l{k} l{below})"
+        )
+    return f"""
+        WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        judged AS (SELECT *, {case("rule")} AS rule, {case("verdict")} AS by_rule, regexp_matches(host, '{"|".join(URL_TERMS)}') AS bad FROM h),
+        texts AS (
+            SELECT host, path, '{"^" * order}' || host || path || '$' AS s, sum(bad::INT) AS r,
+                   sum((NOT bad AND coalesce(by_rule, 'allow') = 'allow' AND host <> '')::INT) AS a
+            FROM judged GROUP BY host, path),
+        places AS (SELECT host, path, a, r, substr(s, i, {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(s) - {order} + 1)) AS i FROM texts)),
+        grams AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM places GROUP BY gram),
+        {", ".join(levels)},
+        scores AS (
+            SELECT host, path, any_value(places.a) AS a, any_value(places.r) AS r, floor(round(avg(ln(p.r) - ln(p.a)), 9) / {model.step}::DOUBLE)::INT AS bin
+            FROM places JOIN p{order} p ON p.gram = places.gram GROUP BY host, path),
+        bins AS (SELECT bin, sum(a) AS a, sum(r) AS r FROM scores GROUP BY bin),
+        cuts AS (
+            SELECT bin, round(coalesce(sum(a) OVER before, 0) / sum(a) OVER ()::DOUBLE + (sum(r) OVER () - coalesce(sum(r) OVER before, 0)) / sum(r) OVER ()::DOUBLE, 12) AS fit
+            FROM bins WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        cut AS (SELECT bin FROM cuts ORDER BY fit DESC, bin DESC LIMIT 1)
+        SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host <> '' AND bin >= (SELECT bin FROM cut) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM judged JOIN scores USING (host, path)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_url_filter": _url_filter_sql(),
         "op3_chat_format": f"""
             WITH turns AS (
                 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
