@@ -35,6 +35,8 @@ NAMES = frozenset(
     " respond search share sharing sidebar sidebars signup skyscraper social sponsor sponsored sponsors subscribe subscription toolbar"
     " topbar widget widgets".split()
 )
+#: After these, a name says what a page has or lacks.
+WITHOUT = frozenset("no not has with without".split())
 #: These hold an article's own header.
 CONTENT = frozenset(("article", "main"))
 _CLOSED_BY = {
@@ -65,6 +67,12 @@ class Block:
     linked: int = 0
 
 
+def _named(term: str, inside: bool) -> bool:
+    """Whether one class or id names furniture: ``left-sidebar`` does, ``no-sidebar`` does not."""
+    words = [x.lower() for x in _NAME.findall(term)]
+    return any(x in NAMES and not (inside and x == "header") and before not in WITHOUT for before, x in zip(["", *words], words, strict=False))
+
+
 def is_furniture(tag: str, attributes: list[tuple[str, str | None]], inside: bool) -> bool:
     """``inside``: of an article or main element."""
     if tag in FURNITURE or tag == "header" and not inside:
@@ -77,7 +85,7 @@ def is_furniture(tag: str, attributes: list[tuple[str, str | None]], inside: boo
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(x.lower() for x in _NAME.findall(value)):
+        if name in ("class", "id") and any(_named(x, inside) for x in value.split()):
             return True
     return False
 

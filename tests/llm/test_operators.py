@@ -383,6 +383,11 @@ def test_main_text(tag):
     assert html_extract.HtmlExtraction().main_text(PAGE % (tag, tag)) == "Title & more\nFirst paragraph goes on with many words in it.\nBold é.\nOk.\nOne\nTwo"
 
 
+@pytest.mark.parametrize(("name", "expected"), [("left-sidebar", ""), ("page no-sidebar", "text"), ("has-ads", "text"), ("adContainer", ""), ("readable", "text"), ("cookieNotice", "")])
+def test_names_of_furniture(name, expected):
+    assert html_extract.HtmlExtraction().main_text(f'<body><div class="{name}"><p>text</p></div></body>') == expected
+
+
 def test_main_text_edges(spark, none):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "plain words"), (4, "<p>" * 3000 + "deep"), (5, "<nav>only</nav>"), (6, "<article><p>a&nbsp;b\t c</article>")], "page_id long, html string")
     got = {x.page_id: x.t for x in rows.select("page_id", html_extract.HtmlExtraction().text().alias("t")).collect()}
