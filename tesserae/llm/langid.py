@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ def words_of(text: str | None) -> list[str]:
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> tuple[dict[bytes, tuple[int, int]], int]:
-    """Id of each piece inside a word and at its end (-1: none) by its bytes, all beginnings of pieces included; size."""
+    """Id of each piece inside a word and at its end (-1: none) by its bytes, all endings of pieces included; size."""
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
     # byte-level vocabularies write printable bytes as themselves, the others from code point 256 on
@@ -49,75 +50,90 @@ def pieces(path: str) -> tuple[dict[bytes, tuple[int, int]], int]:
         table[data] = (mid, number) if last else (number, end)
     for data in list(table):
         for k in range(1, len(data)):
-            table.setdefault(data[:k], (-1, -1))
+            table.setdefault(data[k:], (-1, -1))
     return table, 1 + max(vocabulary.values())
 
 
 def forward(words: list[bytes], table: dict[bytes, tuple[int, int]], chance: np.ndarray) -> np.ndarray:
-    """Log probability of each word (not empty) in each language; ``chance``: of pieces by languages."""
-    longest = max(map(len, words))
-    edges: list[list[tuple[int, int, int]]] = [[] for _ in range(longest + 1)]
-    for w, word in enumerate(words):
-        n = len(word)
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                found = table.get(word[i:j])
+    """Log probability of each word (none is empty) in each language; ``chance``: of pieces by languages.
+
+    Sorted words share the sums of the beginnings that they share. A beginning, or a whole word, is a node; an edge
+    leads to it from the node before its last piece. All nodes of a length are summed at once, shorter ones first.
+    """
+    levels: list[list[int]] = [[] for _ in range(max(map(len, words)) + 1)]
+    path, last, nodes, before, get = [0], [], 1, b"", table.get
+    for word in words:
+        n, same = len(word), 0
+        for x, y in zip(word, before, strict=False):
+            if x != y:
+                break
+            same += 1
+        del path[min(same, n - 1) + 1 :]
+        for j in range(len(path), n + 1):
+            level, final = levels[j], j == n
+            for i in range(j - 1, -1, -1):
+                found = get(word[i:j])
                 if found is None:
                     break
-                piece = found[j == n]
-                if piece >= 0:
-                    edges[j].append((w, i, piece))
-    at = np.zeros((len(words), longest + 1, chance.shape[1]))
-    at[:, 0] = 1
-    for j in range(1, longest + 1):
-        if edges[j]:
-            w, i, piece = np.array(edges[j]).T
-            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-            at[w[first], j] = np.add.reduceat(at[w, i] * chance[piece], first, axis=0)
-    return np.log(at[np.arange(len(words)), [len(x) for x in words]])
+                if found[final] >= 0:
+                    level.append(nodes << 40 | path[i] << 16 | found[final])
+            (last if final else path).append(nodes)
+            nodes += 1
+        before = word
+    at = np.zeros((nodes, chance.shape[1]))
+    at[0] = 1
+    for level in levels:
+        if level:
+            edges = np.array(level, np.int64)
+            to = edges >> 40
+            first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            at[to[first]] = np.add.reduceat(at[edges >> 16 & 0xFFFFFF] * chance[edges & 0xFFFF], first, axis=0)
+    return np.log(at[last])
 
 
 class WordScores:
     """Log probabilities of the ``limit`` words seen last, and of as many before; longer words are scored in stretches."""
 
-    def __init__(self, path: str, chance: np.ndarray, limit: int = 150_000, stretch: int = 24):
+    def __init__(self, path: str, chance: np.ndarray, limit: int = 450_000, stretch: int = 24):
         self.table, self.chance, self.limit, self.stretch = pieces(path)[0], chance, limit, stretch
-        self.words: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.rows = np.zeros((4096, chance.shape[1]), np.float32)
+        self.older, self.older_rows = self.words, self.rows
 
     def _learn(self, words: set[str]) -> None:
-        new = []
-        for word in words:
-            row = self.older.get(word)
-            if row is None:
-                new.append(word)
-            else:
-                self.words[word] = row
-        new.sort(key=len)
-        for k in range(0, len(new), 2048):
-            part, parts, of = new[k : k + 2048], [], []
-            for i, word in enumerate(part):
-                data = word.encode()
-                for a in range(0, len(data), self.stretch):
-                    parts.append(data[a : a + self.stretch])
-                    of.append(i)
-            total = np.zeros((len(part), self.chance.shape[1]))
-            np.add.at(total, of, forward(parts, self.table, self.chance))
-            self.words.update(zip(part, total.astype(np.float32), strict=True))
+        begin, new = len(self.words), sorted(words)
+        while len(self.rows) < begin + len(new):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        known = [x for x in new if x in self.older]
+        if known:
+            self.rows[begin : begin + len(known)] = self.older_rows[[self.older[x] for x in known]]
+            new = known + [x for x in new if x not in self.older]
+        for k in range(len(known), len(new), 32768):
+            cut = [[x[a : a + self.stretch] for a in range(0, len(x), self.stretch)] for x in map(str.encode, new[k : k + 32768])]
+            parts = sorted(set(chain.from_iterable(cut)))
+            place = {x: i for i, x in enumerate(parts)}
+            found, at = forward(parts, self.table, self.chance), np.array([place[x] for y in cut for x in y])
+            first = np.concatenate(([0], np.cumsum([len(x) for x in cut])[:-1]))
+            self.rows[begin + k : begin + k + len(cut)] = np.add.reduceat(found[at], first, axis=0)
+        self.words.update(zip(new, range(begin, begin + len(new)), strict=True))
 
     def totals(self, texts: list[str | None]) -> np.ndarray:
         """Sum over the words of each text, by language."""
-        lists = [words_of(x) for x in texts]
-        missing = set().union(*lists) - self.words.keys()
-        if missing:
-            self._learn(missing)
-        get = self.words.__getitem__
-        out = np.zeros((len(texts), self.chance.shape[1]))
-        for i, words in enumerate(lists):
-            for a in range(0, len(words), 1 << 16):
-                out[i] += np.array(list(map(get, words[a : a + (1 << 16)]))).sum(axis=0, dtype=np.float64)
+        words, ends = [], []
+        for text in texts:
+            words += words_of(text)
+            ends.append(len(words))
+        found = list(map(self.words.get, words))
+        if None in found:
+            self._learn({w for w, x in zip(words, found, strict=True) if x is None})
+            found = list(map(self.words.__getitem__, words))
+        at, out, begin = np.array(found, np.int64), np.zeros((len(texts), self.chance.shape[1])), 0
+        for i, end in enumerate(ends):
+            out[i] = self.rows[at[begin:end]].sum(axis=0, dtype=np.float64)
+            begin = end
         if len(self.words) > self.limit:
-            self.words, self.older = {}, self.words
+            self.older, self.older_rows = self.words, self.rows
+            self.words, self.rows = {}, np.zeros_like(self.rows[:4096])
         return out
 
 
@@ -139,6 +155,7 @@ class LanguageModel:
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             path, languages, chance = shared.value
+            word_ids.cache_clear()  # what fitting remembered is not needed any more
             scores = WordScores(path, chance)
             for column in columns:
                 texts, out = column.to_pylist(), []
@@ -179,10 +196,11 @@ class LanguageId:
                     for text, lang in zip(texts[a:b], langs[a:b], strict=True):
                         found.setdefault(lang, Counter()).update(words_of(text))
                     for lang, words in found.items():
-                        ids = [np.frombuffer(x, "<u4") for x in encoder.ids(list(words))]
+                        ids = encoder.of_words(list(words))
                         if ids:
-                            times = np.repeat(list(words.values()), [len(x) for x in ids])
-                            counts.setdefault(lang, np.zeros(size)).__iadd__(np.bincount(np.concatenate(ids), times, size))
+                            times = np.repeat(list(words.values()), [len(x) // 4 for x in ids])
+                            n = np.bincount(np.frombuffer(b"".join(ids), "<u4"), times, size)
+                            counts[lang] = counts.get(lang, 0) + n
             for lang, n in counts.items():
                 piece = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(piece), pa.string()), pa.array(piece), pa.array(n[piece].astype(np.int64))], ["lang", "piece", "n"])

@@ -66,17 +66,22 @@ class WordIds:
             for word, x in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 self.words[word] = array("I", x.ids).tobytes()
 
-    def _slice(self, texts: list[str | None]) -> list[bytes]:
-        words, ends = [], []
-        for text in texts:
-            words += self._split(text)
-            ends.append(len(words))
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some words without white space in them."""
         found = list(map(self.words.get, words))
         if None in found:
             self._learn({w for w, x in zip(words, found, strict=True) if x is None})
             found = list(map(self.words.__getitem__, words))
             if len(self.words) > self.limit:
                 self.words, self.older = {}, self.words
+        return found
+
+    def _slice(self, texts: list[str | None]) -> list[bytes]:
+        words, ends = [], []
+        for text in texts:
+            words += self._split(text)
+            ends.append(len(words))
+        found = self.of_words(words)
         begin, out = 0, []
         for end in ends:
             out.append(b"".join(found[begin:end]))
