@@ -14,7 +14,7 @@ from tesserae.llm.common import keep, table
 from tesserae.llm.decontaminate import Decontamination
 from tesserae.llm.langid import LanguageId
 from tesserae.llm.packing import Packing
-from tesserae.llm.simhash import SimHash
+from tesserae.llm.shingle_join import ShingleJoin, text_sha
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Posterior of the best language below which a text is rejected.
@@ -44,12 +44,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies.
 
-    Five-word shingles; fingerprints of 256 bits, of which texts that share 0.8 of their shingles differ in 0.15 of the
-    bits on average, link at 44. Rows with a null doc_id stay.
+    Near copies share 0.8 or more of the distinct five-word shingles of both. Rows with a null doc_id stay.
     """
-    groups = SimHash(shingle=5, radius=44, lanes=4, recall=0.97, apart=0.17).components(docs)
-    drop = keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["doc_id"], "left_anti")
+    drop = keep(ShingleJoin(shingle=5, over=4, under=5).copies(docs), "near-copies")
+    same = (docs["doc_id"].cast("long") == drop["doc_id"]) & (text_sha() == drop["sha"])
+    return docs.join(drop, same, "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

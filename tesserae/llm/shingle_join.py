@@ -1,0 +1,180 @@
+"""Near copies by the share of word shingles that two texts have in common: all pairs at the threshold, and no others.
+
+Texts become sets of shingle hashes. Sets whose Jaccard similarity reaches the threshold share a hash among the first
+few of each, in any order that all sets follow (prefix filter), here with hashes that many texts hold last. Texts meet
+where they share such a hash; how many they share bounds what the whole sets can, which rules most pairs out, and the sets
+of the others are compared whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import keep, strings, word_lists
+from .components import components
+
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word, 11)
+        return value
+
+
+def shingle_set(data: bytes | None, shingle: int, known: _Words) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text in UTF-8, lower-cased; a shorter text is one shingle."""
+    words = [np.zeros(0, np.uint64)]
+    for some in word_lists((data or b"").decode("utf-8", "replace").lower().encode()):
+        words.append(np.fromiter(map(known.__getitem__, some), np.uint64, len(some)))
+    words = np.concatenate(words)
+    size = min(shingle, len(words))
+    hashes, factor = np.full(len(words) - size + 1, size, np.uint64), 1
+    for k in range(size):
+        hashes += words[k : k + len(hashes)] * np.uint64(factor)
+        factor = factor * _FACTOR % (1 << 64)
+    for multiplier in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        hashes ^= hashes >> np.uint64(30)
+        hashes *= np.uint64(multiplier)
+    hashes ^= hashes >> np.uint64(31)
+    return np.unique(hashes.view(np.int64))
+
+
+@dataclass(frozen=True)
+class ShingleJoin:
+    """Links texts that share ``over`` / ``under`` of the distinct shingles of both, of ``shingle`` words each.
+
+    Hashes that over ``common`` texts hold stand last in the order; ``bitmap_bits``: log2 of the bits of the filter that
+    tells them, whose size this bounds (a hash that it takes for one wrongly costs time only).
+    """
+
+    shingle: int = 5
+    over: int = 4
+    under: int = 5
+    common: int = 60
+    bitmap_bits: int = 24
+    memo: int = 300_000
+
+    def sets(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, sha, size, hashes`` of each row."""
+        shingle, memo = self.shingle, self.memo
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Words()
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 500):
+                    part, found = batch.slice(begin, 500), []
+                    for x in strings(part.column(2)):
+                        found.append(shingle_set(x, shingle, known))
+                        if len(known) > memo:
+                            known.clear()
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(ends)), hashes], ["doc_id", "sha", "size", "hashes"])
+
+        rows = docs.select(F.col("doc_id").cast("long"), text_sha().alias("sha"), "text")
+        return rows.mapInArrow(run, "doc_id long, sha string, size int, hashes array<long>")
+
+    def _common(self, sets: DataFrame) -> np.ndarray:
+        """Bitmap of hashes that many texts hold; the front third of each set is looked at, as prefixes come from there."""
+        front = sets.select(F.explode(F.slice("hashes", 1, F.ceil(F.col("size") / 3).cast("int"))).alias("h"))
+        many = front.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > self.common)
+        place = F.col("h").bitwiseAND(F.lit((1 << self.bitmap_bits) - 1))
+        words = many.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+        words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits")).toArrow()
+        out = np.zeros(1 << (self.bitmap_bits - 6), np.int64)
+        out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        return out
+
+    def prefixes(self, sets: DataFrame) -> DataFrame:
+        """``h, node, size``: each hash of the prefix of each set."""
+        over, under = self.over, self.under
+        shared = sets.sparkSession.sparkContext.broadcast(self._common(sets))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bitmap = shared.value
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 500):
+                    part = batch.slice(begin, 500)
+                    node, size = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64)
+                    hashes, of = part.column(2).flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+                    place = hashes & (bitmap.size * 64 - 1)
+                    last = bitmap[place >> 6] >> (place & 63) & 1
+                    hashes = hashes[np.argsort(of * 2 + last, kind="stable")]
+                    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                    some = at <= (size - (over * size + under - 1) // under)[of]
+                    of = of[some]
+                    columns = [hashes[some], node[of], size[of].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["h", "node", "size"])
+
+        return sets.select("node", "size", "hashes").mapInArrow(run, "h long, node long, size int")
+
+    def _reach(self, common: F.Column, sizes: F.Column) -> F.Column:
+        """Whether ``common`` hashes reach the threshold, of sets of ``sizes`` hashes together."""
+        return common * (self.over + self.under) >= sizes * self.over
+
+    def _candidates(self, met: DataFrame) -> DataFrame:
+        """``u, v`` of the rows of structs ``x``, ``y`` that met under a hash, as far as what they share can suffice.
+
+        Of two prefixes, all that both sets share up to the end of the one that ends first is in both; what is behind
+        it can all be common.
+        """
+        x, y = F.col("x.size"), F.col("y.size")
+        met = met.where(self._reach(F.least(x, y), x + y)).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), x.alias("m"), y.alias("n"))
+        largest = F.greatest("m", "n")
+        behind = F.floor((largest * self.over + self.under - 1) / self.under) - 1
+        pairs = met.groupBy("u", "v", "m", "n").agg(F.count("*").alias("shared"))
+        return pairs.where(self._reach(F.col("shared") + behind, F.col("m") + F.col("n"))).select("u", "v")
+
+    def _alike(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs ``u, v`` whose sets reach the threshold."""
+        pairs = keep(pairs, "pairs")
+        need = keep(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "paired")
+        some = keep(sets.join(need, "node", "left_semi").select("node", "hashes"), "paired-sets")
+        one, other = some.select(F.col("node").alias("u"), F.col("hashes").alias("a")), some.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+        both = pairs.join(one, "u").join(other, "v")
+        both = both.where(self._reach(F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")))
+        return keep(both.select("u", "v"), "alike")
+
+    def links(self, sets: DataFrame) -> DataFrame:
+        """``u, v`` links that span the same components as all pairs at the threshold do.
+
+        Each set meets its neighbour by size under each hash first, which makes groups of copies one component; then only
+        sets of different components meet, under all their hashes.
+        """
+        under = Window.partitionBy("h").orderBy("size", "node")
+        row = F.struct("node", "size")
+        met = self.prefixes(sets).withColumn("x", F.lag(row).over(under)).withColumn("after", F.lead("node").over(under))
+        met = keep(met.where("x is not null or after is not null").drop("after"), "met")
+        first = self._alike(self._candidates(met.where("x is not null").select("x", row.alias("y"))), sets)
+        label = keep(components(first), "near-labels")
+        rows = met.drop("x").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = keep(rows, "met-labels")
+        several = rows.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("h")
+        rows = keep(rows.join(several, "h", "left_semi").select("h", F.struct("node", "size", "label").alias("r")), "apart")
+        two = rows.withColumnRenamed("r", "x").join(rows.withColumnRenamed("r", "y"), "h").where("x.node < y.node and x.label <> y.label")
+        return first.unionByName(self._alike(self._candidates(two), sets))
+
+    def copies(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, sha`` of the rows of ``docs`` (``doc_id, text``) but the first of each component by these two columns.
+
+        Null, empty and wordless texts are alike. Rows with a null doc_id link others, and are never named here.
+        """
+        sets = keep(self.sets(docs).withColumn("node", F.monotonically_increasing_id()), "shingles")
+        label = keep(components(self.links(sets)), "near-labels")
+        rows = sets.select("node", F.struct("doc_id", "sha").alias("key")).join(label, "node").where("key.doc_id is not null")
+        rows = keep(rows, "near-rows")
+        first = rows.groupBy("label").agg(F.min("key").alias("first"))
+        return rows.join(first, "label").where("key <> first").select("key.*").distinct()
+
+
+def text_sha() -> F.Column:
+    """SHA-256 of the column ``text``; a null text is an empty one."""
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)

@@ -1,0 +1,59 @@
+"""Near copies of the pipeline against brute force."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tesserae.llm.shingle_join import ShingleJoin
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute(rows):
+    """Rows that stay: the smallest (doc_id) of each component of pairs at 0.8."""
+    sets, own = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            own[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return {i for i, (d, _) in enumerate(rows) if d is None or d == least[root(i)]}
+
+
+@pytest.mark.parametrize("common", [60, 2])
+def test_near_copies_reach_0_8_and_no_less(spark, monkeypatch, common):
+    monkeypatch.setattr(corpus_pipeline, "ShingleJoin", lambda **x: ShingleJoin(**x, common=common), raising=False)
+    rng, texts = np.random.default_rng(3), []
+    notice = " ".join(f"notice{k}" for k in range(30))
+    for family in range(25):
+        base = [f"f{family}w{k}" for k in range(int(rng.integers(20, 300)))]
+        for copy in range(8):
+            own = list(base)
+            for k in rng.integers(0, len(own), int(rng.integers(0, 2 + len(own) // 25))):
+                own[k] = f"x{family}.{copy}.{k}"
+            text = " ".join(own)
+            texts.append(f"{text}\n{notice}" if copy % 3 == 0 else text)
+    base = " ".join(f"r{k}" for k in range(100))
+    texts += [base + " again and again we say" * n for n in (1, 60)]  # repeated lines add no shingles
+    texts += [None, "  ", "one two", "One  TWO", "one two three four five"]
+    rows = [(int(d), t) for d, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    rows += [(None, texts[3]), (rows[0][0], "another text under a number that is taken already")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.text) for x in corpus_pipeline.near(spark, docs, "").collect()}
+    assert got == {rows[i] for i in brute(rows)}
+    assert corpus_pipeline.near(spark, docs.limit(0), "").count() == 0
