@@ -199,10 +199,9 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class HtmlExtraction:
-    """``sigma``: of the smoothing, in blocks. ``share`` of the content leads into an element."""
+    """``sigma``: of the smoothing, in blocks."""
 
     sigma: float = 1.5
-    share: float = 0.7
 
     def main_text(self, html: str | None) -> str:
         """Blocks of the main text, one a line; empty without any."""
@@ -230,28 +229,56 @@ class HtmlExtraction:
             children.setdefault(elements[k].parent, []).append(k)
         inside = np.zeros(len(elements), bool)
         named = [k for k, x in enumerate(elements) if x.tag in CONTENT and not x.hidden]
-        articles = [k for k in named if elements[k].tag == "article" and weight[k] > 0]
-        if articles or named:
-            inside[articles or named] = True
-            flat = True
+        filled = np.zeros(len(elements), bool)
+        filled[[block.element for block, _ in blocks]] = True
+        for k in range(len(elements) - 1, 0, -1):
+            filled[elements[k].parent] |= filled[k]
+        named = [k for k in named if filled[k]]
+        flat, lead = bool(named), range(0)
+        if named:
+            inside[named] = True
         else:
             at = 0
             while True:
                 best = max(children.get(at, ()), key=lambda k: weight[k], default=None)
-                if best is None or weight[best] < self.share * weight[at] or elements[best].tag in ("p", "pre", "blockquote", "span", "b", "a", "i", "em", "strong", "li"):
+                if best is None or weight[best] < weight[at] or elements[best].tag in ("p", "pre", "blockquote", "span", "b", "a", "i", "em", "strong", "li"):
                     break
                 at = best
+            at, lead = self._to_heading(elements, [block.element for block, _ in blocks], at)
             inside[at] = True
-            flat = False
         for k in range(1, len(elements)):
             inside[k] |= inside[elements[k].parent]
         out = [
             text
-            for block, text in blocks
-            if inside[block.element] and (flat or block.linked <= 0.5 * len(text) or weight[block.element] > 0)
+            for i, (block, text) in enumerate(blocks)
+            if (inside[block.element] or i in lead) and (flat or block.linked <= 0.5 * len(text) or weight[block.element] > 0)
         ]
         return "\n".join(out)
 
+    def _to_heading(self, elements: list[Element], owners: list[int], at: int) -> tuple[int, range]:
+        """The element that holds ``at`` and the heading before it, if that is less than the page; else ``at``, and the
+        blocks (``owners``: their elements) from the heading on."""
+
+        def above(k: int) -> list[int]:
+            out = []
+            while k >= 0:
+                out.append(k)
+                k = elements[k].parent
+            return out
+
+        paths = [above(k) for k in owners]
+        first = next((i for i, x in enumerate(paths) if at in x), 0)
+        for tag in ("h1", "h2"):
+            heads = [i for i, x in enumerate(paths) if any(elements[k].tag == tag for k in x)]
+            if any(at in paths[i] for i in heads):
+                break
+            before = [i for i in heads if i < first]
+            if before:
+                both = next(k for k in above(at) if k in paths[before[-1]])
+                whole = elements[both].tag in ("", "html", "body")
+                return (at, range(before[-1], first)) if whole else (both, range(0))
+        return at, range(0)
+
     def text(self, html: str | F.Column = "html") -> F.Column:
         """The main text of a column of pages; null and empty pages give the empty text."""
         extract = self.main_text
