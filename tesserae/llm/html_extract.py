@@ -35,6 +35,14 @@ NAMES = frozenset(
     " respond search share sharing sidebar sidebars signup skyscraper social sponsor sponsored sponsors subscribe subscription toolbar"
     " topbar widget widgets".split()
 )
+#: Of these, words that parts of an article carry too; inside an article or main element they are only a doubt.
+DOUBTFUL = frozenset(
+    "banner banners consent discussion header login masthead modal notice notices notification overlay pager popup promo promoted"
+    " promotion recommended related replies reply respond search share sharing signup social sponsor sponsored sponsors subscription"
+    " toolbar topbar widget widgets".split()
+)
+#: A name hides none of these inside an article or main element.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: After these, a name says what a page has or lacks.
 WITHOUT = frozenset("no not has with without".split())
 #: These hold an article's own header.
@@ -57,6 +65,7 @@ class Element:
     tag: str
     parent: int
     hidden: bool
+    doubt: int = 0  # outermost element with a doubtful name that holds it
 
 
 @dataclass
@@ -67,10 +76,10 @@ class Block:
     linked: int = 0
 
 
-def _named(term: str, inside: bool) -> bool:
+def _named(term: str, names: frozenset[str]) -> bool:
     """Whether one class or id names furniture: ``left-sidebar`` does, ``no-sidebar`` does not."""
     words = [x.lower() for x in _NAME.findall(term)]
-    return any(x in NAMES and not (inside and x == "header") and before not in WITHOUT for before, x in zip(["", *words], words, strict=False))
+    return any(x in names and before not in WITHOUT for before, x in zip(["", *words], words, strict=False))
 
 
 def is_furniture(tag: str, attributes: list[tuple[str, str | None]], inside: bool) -> bool:
@@ -85,11 +94,18 @@ def is_furniture(tag: str, attributes: list[tuple[str, str | None]], inside: boo
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and any(_named(x, inside) for x in value.split()):
+        if name in ("class", "id") and not (inside and tag in TEXTUAL) and any(_named(x, NAMES - DOUBTFUL if inside else NAMES) for x in value.split()):
             return True
     return False
 
 
+def is_doubtful(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether a name makes what an article holds doubtful; its text decides. An article's own header is not."""
+    if tag in TEXTUAL or tag in CONTENT:
+        return False
+    return any(name in ("class", "id") and any(_named(x, DOUBTFUL - {"header"}) for x in (value or "").split()) for name, value in attributes)
+
+
 class _Reader(HTMLParser):
     """Events to elements and blocks of text; what is hidden leaves no blocks."""
 
@@ -131,7 +147,8 @@ class _Reader(HTMLParser):
                 break
         inside = any(self.elements[x].tag in CONTENT for x in self.open)
         hidden = self._top().hidden or is_furniture(tag, attrs, inside)
-        self.elements.append(Element(tag, self.open[-1], hidden))
+        doubt = self._top().doubt or (len(self.elements) if inside and not hidden and is_doubtful(tag, attrs) else 0)
+        self.elements.append(Element(tag, self.open[-1], hidden, doubt))
         self.open.append(len(self.elements) - 1)
         self.links += tag == "a"
 
@@ -219,6 +236,18 @@ class HtmlExtraction:
             return ""
         ratio = np.array([(len(text) - min(len(text), block.linked)) / block.tags for block, text in blocks])
         content = upper_cluster(smooth(ratio, self.sigma))
+        # what has a doubtful name stays if half of its text, at least, is content and not links
+        total: dict[int, list[int]] = {}
+        for (block, text), chosen in zip(blocks, content, strict=True):
+            if doubt := elements[block.element].doubt:
+                size = total.setdefault(doubt, [0, 0])
+                size[0] += len(text)
+                size[1] += len(text) * bool(chosen and block.linked <= 0.5 * len(text))
+        gone = {k for k, (n, good) in total.items() if 2 * good < n}
+        stay = [elements[block.element].doubt not in gone for block, _ in blocks]
+        blocks, content = [x for x, y in zip(blocks, stay, strict=True) if y], content[np.array(stay)]
+        if not blocks:
+            return ""
         weight = np.zeros(len(elements))
         for (block, text), chosen in zip(blocks, content, strict=True):
             if chosen:

@@ -21,3 +21,10 @@ MENU = '<nav><a href="x">Home</a></nav>'
 )
 def test_parts_beside_the_longest_stay(html, expected):
     assert HtmlExtraction().main_text(f"<html><body>{MENU}{html}<footer>End</footer></body></html>").split("\n") == expected
+
+
+@pytest.mark.parametrize("part", ['<section id="discussion">%s</section>', '<div class="text-widget">%s</div>', '<div id="sharing-data">%s</div>'])
+def test_a_name_alone_hides_no_text_of_an_article(part):
+    body = f'<h2 id="related-work">Related</h2><p class="notice">{LONG}</p>' + part % f"<p>{LONG}</p><p>{LONG}</p>"
+    page = f'<html><body>{MENU}<article><p>{LONG}</p>{body}<div class="share"><a href="x">Share</a></div><div class="comments"><p>{LONG}</p></div></article></body></html>'
+    assert HtmlExtraction().main_text(page).split("\n") == [LONG, "Related", LONG, LONG, LONG]
