@@ -13,7 +13,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,107 +32,204 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """A vocabulary as an open table of hashes, which many byte strings are looked up in at once.
+
+    ``ids``: by slot, the piece's id inside a word and at its end (-1: none). Endings of pieces have slots too, so that a
+    search backwards from a byte stops as soon as no piece can follow.
+    """
+
+    size: int
+    longest: int
+    keys: np.ndarray
+    ids: np.ndarray
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash; -1 where it has none."""
+        mask, bits = len(self.keys) - 1, len(self.keys).bit_length() - 1
+        out, todo = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        at = (hashes * _SPREAD >> np.uint64(64 - bits)).astype(np.int64)
+        while len(todo):
+            key = self.keys[at]
+            hit = key == hashes[todo]
+            out[todo[hit]] = at[hit]
+            further = ~hit & (key != 0)
+            todo, at = todo[further], (at[further] + 1) & mask
+        return out
+
+
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[bytes, tuple[int, int]], int]:
-    """Id of each piece inside a word and at its end (-1: none) by its bytes, all endings of pieces included; size."""
+def pieces(path: str) -> Pieces:
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
     # byte-level vocabularies write printable bytes as themselves, the others from code point 256 on
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     hidden = [x for x in range(256) if x not in set(shown)]
     byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(hidden)}
-    table: dict[bytes, tuple[int, int]] = {}
+    named: dict[bytes, list[int]] = {}
     for piece, number in vocabulary.items():
         last = piece.endswith(_END) and piece != _END
         data = bytes(byte[x] for x in (piece.removesuffix(_END) if last else piece))
-        mid, end = table.get(data, (-1, -1))
-        table[data] = (mid, number) if last else (number, end)
-    for data in list(table):
-        for k in range(1, len(data)):
-            table.setdefault(data[k:], (-1, -1))
-    return table, 1 + max(vocabulary.values())
-
-
-def forward(words: list[bytes], table: dict[bytes, tuple[int, int]], chance: np.ndarray) -> np.ndarray:
+        named.setdefault(data, [-1, -1])[last] = number
+    table: dict[int, list[int]] = {}
+    for data, ids in named.items():
+        value, weight = 0, 1
+        for k in range(len(data) - 1, -1, -1):
+            value, weight = (value + (data[k] + 1) * weight) % (1 << 64), weight * _BASE % (1 << 64)
+            if k:
+                table.setdefault(value, [-1, -1])
+        if table.get(value, ids) not in (ids, [-1, -1]):
+            raise ValueError("two pieces share a hash")
+        table[value] = ids
+    bits = (2 * len(table)).bit_length()
+    keys, found = np.zeros(1 << bits, np.uint64), np.full((1 << bits, 2), -1, np.int32)
+    for value, ids in table.items():
+        at = (value * int(_SPREAD) % (1 << 64)) >> (64 - bits)
+        while keys[at]:
+            at = (at + 1) % (1 << bits)
+        keys[at], found[at] = value, ids
+    return Pieces(1 + max(vocabulary.values()), max(map(len, named)), keys, found)
+
+
+def forward(words: list[bytes], table: Pieces, chance: np.ndarray, most: int = 1 << 17) -> np.ndarray:
     """Log probability of each word (none is empty) in each language; ``chance``: of pieces by languages.
 
-    Sorted words share the sums of the beginnings that they share. A beginning, or a whole word, is a node; an edge
-    leads to it from the node before its last piece. All nodes of a length are summed at once, shorter ones first.
+    Words of any length: chunks hold about ``most`` bytes, or one word.
     """
-    levels: list[list[int]] = [[] for _ in range(max(map(len, words)) + 1)]
-    path, last, nodes, before, get = [0], [], 1, b"", table.get
-    for word in words:
-        n, same = len(word), 0
-        for x, y in zip(word, before, strict=False):
-            if x != y:
-                break
-            same += 1
-        del path[min(same, n - 1) + 1 :]
-        for j in range(len(path), n + 1):
-            level, final = levels[j], j == n
-            for i in range(j - 1, -1, -1):
-                found = get(word[i:j])
-                if found is None:
-                    break
-                if found[final] >= 0:
-                    level.append(nodes << 40 | path[i] << 16 | found[final])
-            (last if final else path).append(nodes)
-            nodes += 1
-        before = word
-    at = np.zeros((nodes, chance.shape[1]))
-    at[0] = 1
-    for level in levels:
-        if level:
-            edges = np.array(level, np.int64)
-            to = edges >> 40
-            first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            at[to[first]] = np.add.reduceat(at[edges >> 16 & 0xFFFFFF] * chance[edges & 0xFFFF], first, axis=0)
-    return np.log(at[last])
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(-sizes, kind="stable")
+    ends = np.cumsum(sizes[order])
+    out, begin = np.empty((len(words), chance.shape[1])), 0
+    while begin < len(words):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most)))
+        out[order[begin:end]] = _forward([words[i] for i in order[begin:end].tolist()], sizes[order[begin:end]], table, chance)
+        begin = end
+    return out
+
+
+def _forward(words: list[bytes], sizes: np.ndarray, table: Pieces, chance: np.ndarray, rescale: int = 24) -> np.ndarray:
+    """Words by length, the longest first. Places in words are numbered by their distance from the beginning, then by word,
+    so that those of a distance, a level, are neighbours: each level is summed at once from the levels before it."""
+    n, longest = len(words), int(sizes[0])
+    live = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")  # words that reach a level
+    base = np.concatenate(([0], np.cumsum(live)))
+    level = np.repeat(np.arange(longest), live)
+    word = np.arange(base[-1]) - base[level]
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    data = (np.frombuffer(b"".join(words), np.uint8)[begins[word] + level]).astype(np.uint64) + np.uint64(1)
+    last = (level + 1 == sizes[word]).astype(np.int8)
+    # backwards from each place, as long as a piece may still end there
+    alive, value, weight, found = np.arange(base[-1]), np.zeros(base[-1], np.uint64), 1, []
+    for length in range(1, min(table.longest, longest) + 1):
+        alive_here = level[alive] + 1 >= length
+        alive, value = alive[alive_here], value[alive_here]
+        value = value + data[base[level[alive] + 1 - length] + word[alive]] * np.uint64(weight)
+        weight = weight * _BASE % (1 << 64)
+        slot = table.slots(value)
+        hit = slot >= 0
+        alive, value, slot = alive[hit], value[hit], slot[hit]
+        piece = table.ids[slot, last[alive]]
+        whole = piece >= 0
+        found.append((length, alive[whole], piece[whole]))
+    # edges, dealt to their places
+    counts = np.zeros(base[-1] + 1, np.int64)
+    for _, place, _ in found:
+        counts[place + 1] += 1
+    first = np.cumsum(counts)
+    source, by, free = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64), first[:-1].copy()
+    for length, place, piece in found:
+        at = free[place]
+        free[place] += 1
+        before = level[place] - length
+        source[at], by[at] = np.where(before < 0, 0, n + base[before]) + word[place], piece
+    sums = np.zeros((n + base[-1], chance.shape[1]))
+    sums[:n] = 1
+    scale = np.zeros((n, chance.shape[1]))
+    for k in range(longest):
+        a, b = base[k], base[k + 1]
+        some = a + np.flatnonzero(first[a + 1 : b + 1] > first[a:b])
+        if len(some):
+            edges = slice(first[a], first[b])
+            sums[n + some] = np.add.reduceat(sums[source[edges]] * chance[by[edges]], first[some] - first[a], axis=0)
+        if k % rescale == rescale - 1 and k + 1 < longest:
+            count = live[k + 1]
+            recent = [sums[n + base[i] : n + base[i] + count] for i in range(max(0, k + 1 - table.longest), k + 1)]
+            top = np.maximum.reduce(recent)
+            top[top == 0] = 1
+            for part in recent:
+                part /= top
+            scale[:count] += np.log(top)
+    with np.errstate(divide="ignore"):
+        return np.log(sums[n + base[sizes - 1] + np.arange(n)]) + scale
+
+
+class _Numbers(dict):
+    """Numbers tokens as they come; ``new`` has those since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        self.new.append(token)
+        return number
 
 
 class WordScores:
-    """Log probabilities of the ``limit`` words seen last, and of as many before; longer words are scored in stretches."""
+    """Log probabilities of the ``limit`` tokens between white space seen last, and of as many before.
+
+    A token's is the sum over its runs of letters.
+    """
 
-    def __init__(self, path: str, chance: np.ndarray, limit: int = 450_000, stretch: int = 24):
-        self.table, self.chance, self.limit, self.stretch = pieces(path)[0], chance, limit, stretch
-        self.words: dict[str, int] = {}
-        self.rows = np.zeros((4096, chance.shape[1]), np.float32)
-        self.older, self.older_rows = self.words, self.rows
+    def __init__(self, path: str, chance: np.ndarray, limit: int = 450_000):
+        self.table, self.chance, self.limit = pieces(path), chance, limit
+        self.tokens = self.older = _Numbers()
+        self.rows = self.older_rows = np.zeros((4096, chance.shape[1]), np.float32)
 
-    def _learn(self, words: set[str]) -> None:
-        begin, new = len(self.words), sorted(words)
-        while len(self.rows) < begin + len(new):
+    def _score(self, new: list[str]) -> None:
+        """Rows of the tokens numbered last."""
+        begin = len(self.tokens) - len(new)
+        while len(self.rows) < len(self.tokens):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        known = [x for x in new if x in self.older]
-        if known:
-            self.rows[begin : begin + len(known)] = self.older_rows[[self.older[x] for x in known]]
-            new = known + [x for x in new if x not in self.older]
-        for k in range(len(known), len(new), 32768):
-            cut = [[x[a : a + self.stretch] for a in range(0, len(x), self.stretch)] for x in map(str.encode, new[k : k + 32768])]
-            parts = sorted(set(chain.from_iterable(cut)))
-            place = {x: i for i, x in enumerate(parts)}
-            found, at = forward(parts, self.table, self.chance), np.array([place[x] for y in cut for x in y])
-            first = np.concatenate(([0], np.cumsum([len(x) for x in cut])[:-1]))
-            self.rows[begin + k : begin + k + len(cut)] = np.add.reduceat(found[at], first, axis=0)
-        self.words.update(zip(new, range(begin, begin + len(new)), strict=True))
+        before = np.fromiter((self.older.get(x, -1) for x in new), np.int64, len(new)) if self.older is not self.tokens else np.full(len(new), -1)
+        known, fresh = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        self.rows[begin + known] = self.older_rows[before[known]]
+        words, owner = [], []
+        for i in fresh.tolist():
+            token = new[i]
+            if token.isalpha():
+                words.append(token.encode())
+                owner.append(i)
+            else:
+                found = _WORD.findall(token)
+                words += map(str.encode, found)
+                owner += [i] * len(found)
+        if words:
+            owner, scores = np.array(owner), forward(words, self.table, self.chance)
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            self.rows[begin + owner[first]] = np.add.reduceat(scores, first, axis=0)
 
     def totals(self, texts: list[str | None]) -> np.ndarray:
         """Sum over the words of each text, by language."""
-        words, ends = [], []
+        tokens, ends = [], []
         for text in texts:
-            words += words_of(text)
-            ends.append(len(words))
-        found = list(map(self.words.get, words))
-        if None in found:
-            self._learn({w for w, x in zip(words, found, strict=True) if x is None})
-            found = list(map(self.words.__getitem__, words))
-        at, out, begin = np.array(found, np.int64), np.zeros((len(texts), self.chance.shape[1])), 0
+            tokens += text.lower().split() if text else []
+            ends.append(len(tokens))
+        at, out, begin = np.array(list(map(self.tokens.__getitem__, tokens)), np.int64), np.zeros((len(texts), self.chance.shape[1])), 0
+        if self.tokens.new:
+            self._score(self.tokens.new)
+            self.tokens.new = []
         for i, end in enumerate(ends):
             out[i] = self.rows[at[begin:end]].sum(axis=0, dtype=np.float64)
             begin = end
-        if len(self.words) > self.limit:
-            self.older, self.older_rows = self.words, self.rows
-            self.words, self.rows = {}, np.zeros_like(self.rows[:4096])
+        if len(self.tokens) > self.limit:
+            self.older, self.older_rows = self.tokens, self.rows
+            self.tokens, self.rows = _Numbers(), np.zeros_like(self.rows[:4096])
         return out
 
 
@@ -200,7 +296,7 @@ class LanguageId:
         path = self.tokenizer
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            size, encoder = pieces(path)[1], word_ids(path)
+            size, encoder = pieces(path).size, word_ids(path)
             counts: dict[str, np.ndarray] = {}
             for batch in batches:
                 texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -222,7 +318,7 @@ class LanguageId:
         total = rows.mapInArrow(run, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         found = total.toArrow()
         languages = sorted(set(found.column("lang").to_pylist()))
-        counts = np.full((pieces(path)[1], len(languages)), self.smoothing)
+        counts = np.full((pieces(path).size, len(languages)), self.smoothing)
         place = {x: i for i, x in enumerate(languages)}
         columns = np.array([place[x] for x in found.column("lang").to_pylist()], int)
         counts[found.column("piece").to_numpy(), columns] += found.column("n").to_numpy()
