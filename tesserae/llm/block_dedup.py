@@ -28,9 +28,8 @@ class BlockNames:
     block: int = 4096
     digest_bits: int = 64
 
-    def _blocks(self, docs: DataFrame) -> DataFrame:
-        data = F.coalesce("text", F.lit("")).cast("binary")
-        rows = docs.select(F.col("doc_id").cast("long"), data.alias("data")).withColumn("rid", F.monotonically_increasing_id())
+    def _blocks(self, texts: DataFrame) -> DataFrame:
+        rows = texts.select("rid", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
         count = F.greatest(F.lit(1), F.ceil(F.length("data") / self.block).cast("int"))
         rows = rows.select("rid", "doc_id", "data", F.sha2("data", 256).alias("sha"), count.alias("left"))
         cut = F.transform(F.sequence(F.lit(0), F.col("left") - 1), lambda i: F.substring("data", i * self.block + 1, F.lit(self.block)))
@@ -38,10 +37,10 @@ class BlockNames:
         digest = F.xxhash64("content")
         return rows.withColumn("digest", digest if self.digest_bits >= 64 else F.pmod(digest, F.lit(1 << self.digest_bits)))
 
-    def _first_names(self, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    def _first_names(self, texts: DataFrame, rows: DataFrame) -> DataFrame:
         """``rows`` with the names of their blocks. Contents are sorted once, where they are; rows find their names by
         digest, and by content where two contents share a digest."""
-        blocks = self._blocks(docs)
+        blocks = self._blocks(texts)
         names = keep(_numbered(blocks.select("digest", "content").distinct(), "digest", "content").select("digest", "name"), "names")
         shared = keep(names.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "shared")
         if shared.isEmpty():
@@ -53,11 +52,12 @@ class BlockNames:
         named = contents.join(named, ["digest", "content"]).select("rid", "pos", "name")
         return alone.unionByName(rows.join(named, ["rid", "pos"]).drop("digest"))
 
-    def identities(self, docs: DataFrame) -> DataFrame:
-        """``rid, doc_id, sha, level, name``: rows with the same level and name have the same text."""
-        rows = keep(self._blocks(docs).select("rid", "doc_id", "sha", "left", "pos", "digest"), "blocks")
+    def identities(self, texts: DataFrame) -> DataFrame:
+        """``rid, doc_id, sha, level, name`` of written ``rid, doc_id, text`` rows (``rid`` is distinct): rows with the same
+        level and name have the same text. Names are a function of the rows and the number of partitions."""
+        rows = keep(self._blocks(texts).select("rid", "doc_id", "sha", "left", "pos", "digest"), "blocks")
         most = rows.agg(F.max("left")).first()[0] or 1
-        rows = keep(self._first_names(docs, rows), "level-0")
+        rows = keep(self._first_names(texts, rows), "level-0")
         done, level = [rows.where("left = 1").withColumn("level", F.lit(0))], 0
         while most > 1:
             most, level = -(-most // 2), level + 1
@@ -71,15 +71,22 @@ class BlockNames:
             done.append(rows.where("left = 1").withColumn("level", F.lit(level)))
         return reduce(DataFrame.unionByName, [x.select("rid", "doc_id", "sha", "level", "name") for x in done])
 
+    def _groups(self, texts: DataFrame) -> DataFrame:
+        named = keep(self.identities(texts), "identities")
+        top = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size"))
+        return named.join(keep(top, "groups"), ["level", "name"]).withColumn("kept", F.col("rid") == F.col("top.rid"))
+
     def groups(self, docs: DataFrame) -> DataFrame:
         """``doc_id, keep_id, group_size, kept, text_sha256``, a row for each row of ``docs`` (``doc_id, text``).
 
         Null counts as the empty text. Of equal texts the row with the largest doc_id stays (null ids are smallest; of
         rows that repeat that id, one stays). Texts of any length and an empty table are fine; other columns are ignored.
         """
-        named = keep(self.identities(docs), "identities")
-        top = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size"))
-        out = named.join(keep(top, "groups"), ["level", "name"])
-        return out.select(
-            "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), F.col("sha").alias("text_sha256")
-        )
+        texts = keep(docs.select(F.col("doc_id").cast("long"), "text").withColumn("rid", F.monotonically_increasing_id()), "texts")
+        return self._groups(texts).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+    def distinct(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` that stay, with all their columns."""
+        rows = keep(docs.select(F.struct(*docs.columns).alias("doc")).withColumn("rid", F.monotonically_increasing_id()), "rows")
+        found = self._groups(rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.text"))
+        return rows.join(keep(found.where("kept").select("rid"), "stay"), "rid", "left_semi").select("doc.*")
