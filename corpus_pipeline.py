@@ -13,8 +13,8 @@ from tesserae.llm.block_dedup import BlockNames
 from tesserae.llm.common import keep, table
 from tesserae.llm.decontaminate import Decontamination
 from tesserae.llm.langid import LanguageId
+from tesserae.llm.near_copies import NearCopies
 from tesserae.llm.packing import Packing
-from tesserae.llm.shingle_join import ShingleJoin, text_sha
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A text's fit to its best language, 1 being that language's labelled texts, below which it is rejected. Of the
@@ -36,27 +36,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of those with equal texts."""
-    stay = BlockNames().groups(docs).where("kept").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("key"))
-    key = F.struct(F.col("doc_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).alias("key")
-    rows = docs.select(key, F.struct(*docs.columns).alias("doc")).join(keep(stay, "stay"), "key", "left_semi")
-    return rows.dropDuplicates(["key"]).select("doc.*")
+    """Keeps the row with the largest doc_id of those with equal texts (null: empty); of rows that repeat it, one."""
+    return BlockNames().distinct(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies.
-
-    Near copies share 0.8 or more of the distinct five-word shingles of both. Rows with a null doc_id stay.
-    """
-    drop = keep(ShingleJoin(shingle=5, over=4, under=5).copies(docs), "near-copies")
-    same = (docs["doc_id"].cast("long") == drop["doc_id"]) & (text_sha() == drop["sha"])
-    return docs.join(drop, same, "left_anti")
+    """Keeps the smallest doc_id of each group of near copies, which share 0.8 or more of the five-word shingles of both."""
+    return NearCopies(shingle=5, over=4, under=5).drop(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that hold an item of the benchmark table."""
-    drop = keep(Decontamination().matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["doc_id"], "left_anti")
+    return Decontamination().clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,12 @@ def fingerprint(data: bytes | None, shingle: int, lanes: int = 1) -> list[int]:
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of some rows of lanes have each bit."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
 def bit_planes(values: np.ndarray) -> np.ndarray:
     """Rows of lanes (a multiple of 64 rows) as planes of words, whose bit i is that of the word's i-th row."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8), axis=1, bitorder="little")

@@ -16,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tesserae.llm import chat_template, components, html_extract, langid, packing, resampling, simhash, token_files, word_ids
 from tesserae.llm.block_dedup import BlockNames
@@ -298,7 +299,7 @@ def test_decontamination(spark, none):
     rows = spark.createDataFrame([*texts.items(), (1, texts[1]), (None, texts[1])], "doc_id long, text string").withColumn("item_id", F.lit("x"))
     bench = spark.createDataFrame(BENCH, "item_id long, text string").withColumn("doc_id", F.lit("x"))
     got = sorted((x.doc_id, x.item_id, x.kind) for x in Decontamination().matches(rows, bench).collect())
-    assert got == [(1, 1, "copy"), (2, 1, "re-parameterised"), (4, 4, "copy")]
+    assert got == [(1, 1, "copy"), (2, 1, "re-parameterised"), (4, 4, "copy")]  # "too short" is nowhere
     assert Decontamination().matches(none, bench).count() == 0
     assert Decontamination().matches(rows, bench.limit(0)).count() == 0
 
@@ -422,32 +423,60 @@ def test_resampling(spark, docs, none):
 # op9
 
 
+VOCABULARY = Tokenizer.from_file(PATH).get_vocab()
+CHANCE = np.random.default_rng(0).random((1 + max(VOCABULARY.values()), 2)) * 1e-4
+
+
+def shown(word: str) -> str:
+    """A word in the vocabulary's own letters, one for each byte."""
+    return "".join(x for x, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(word))
+
+
+def piece_chance(letters: str, last: bool) -> np.ndarray:
+    at = VOCABULARY.get(letters + "</w>" * last)
+    return np.zeros(2) if at is None else CHANCE[at]
+
+
 def test_forward_sums_all_segmentations():
-    table, size = langid.pieces(PATH)
-    rng = np.random.default_rng(0)
-    chance = rng.random((size, 2))
-    words = sorted(x.encode() for x in ("a", "the", "then", "thermo", "été", "straße", "zq"))
+    words = ["a", "the", "then", "thermo", "été", "straße", "zq"]
 
     def brute(word):
-        total = np.zeros(2)
-        for cut in product((0, 1), repeat=len(word) - 1):
-            ends = [0, *[i + 1 for i, x in enumerate(cut) if x], len(word)]
-            p = np.ones(2)
-            for a, b in zip(ends, ends[1:], strict=False):
-                piece = table.get(word[a:b], (-1, -1))[b == len(word)]
-                p = p * (chance[piece] if piece >= 0 else 0)
-            total += p
+        letters, total = shown(word), np.zeros(2)
+        for cut in product((0, 1), repeat=len(letters) - 1):
+            ends = [0, *[i + 1 for i, x in enumerate(cut) if x], len(letters)]
+            total += np.prod([piece_chance(letters[a:b], b == len(letters)) for a, b in zip(ends, ends[1:], strict=False)], axis=0)
         return np.log(total)
 
-    assert np.allclose(langid.forward(words, table, chance), [brute(x) for x in words])
+    assert np.allclose(langid.forward([x.encode() for x in words], langid.pieces(PATH), CHANCE), [brute(x) for x in words])
+
+
+def test_forward_sums_words_of_any_length():
+    seeds = ["donaudampfschifffahrtsgesellschaft", "достопримечательность", "機械学習入門講座", "ภาษาไทย", "x"]
+    words = [(x * 40)[:n] for x in seeds for n in (1, 7, 11, 30, 60, 70, 200, 1000)]
+
+    def plain(word):
+        letters, sums = shown(word), [np.zeros(2)]
+        for j in range(1, len(letters) + 1):
+            parts = [sums[i] + np.log(piece_chance(letters[i:j], j == len(letters))) for i in range(max(0, j - 40), j)]
+            sums.append(np.logaddexp.reduce(parts, axis=0))
+        return sums[-1]
+
+    with np.errstate(divide="ignore"):
+        expected = np.array([plain(x) for x in words])
+    data = [x.encode() for x in words]
+    assert np.isfinite(expected).all() and {len(x) for x in data} > {30, 60, 200, 1000}
+    for most in (1, 500, 1 << 17):  # words alone, and many together
+        assert np.allclose(langid.forward(data, langid.pieces(PATH), CHANCE, most), expected, rtol=1e-9)
 
 
-def test_word_scores_forget_without_harm():
+@pytest.mark.parametrize("limit", [1, 4, 1000])
+def test_word_scores_are_those_of_the_letter_runs_of_a_text(limit):
     rng = np.random.default_rng(1)
-    chance = rng.random((langid.pieces(PATH)[1], 3))
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "d" * 60, "x"], 5)) for _ in range(30)]
-    small, large = langid.WordScores(PATH, chance, limit=1), langid.WordScores(PATH, chance)
-    assert np.allclose([small.totals([x])[0] for x in texts], large.totals(texts), rtol=1e-5)
+    texts = [" ".join(rng.choice(["alpha", "Beta,", "l'été-gamma", "d" * 90, "x1y", "...", "слово" * 9], 5)) for _ in range(30)]
+    scores, words = langid.WordScores(PATH, CHANCE, limit), sorted({w for x in texts for w in langid.words_of(x)})
+    one = dict(zip(words, langid.forward([x.encode() for x in words], langid.pieces(PATH), CHANCE), strict=True))
+    for k in range(0, 30, 3):
+        assert np.allclose(scores.totals([*texts[k : k + 3], None, ""]), [sum(one[w] for w in langid.words_of(x)) + np.zeros(2) for x in [*texts[k : k + 3], None, ""]], rtol=1e-5)
 
 
 def test_language_id(spark, docs, none):
