@@ -30,6 +30,19 @@ def linear(values: list[Column], weights: list[float]) -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+#: Optical densities of hematoxylin and of eosin in red, green and blue.
+STAINS = ((0.650, 0.704, 0.286), (0.072, 0.990, 0.105))
+
+
+def stain_weights() -> tuple[list[float], list[float]]:
+    """Weights of the three densities that give each stain's concentration: the pseudo-inverse of ``STAINS``."""
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    h, e = STAINS
+    hh, he, ee = dot(h, h), dot(h, e), dot(e, e)
+    det = hh * ee - he * he
+    return [(ee * x - he * y) / det for x, y in zip(h, e, strict=True)], [(hh * y - he * x) / det for x, y in zip(h, e, strict=True)]
+
+
 def saturation(red: Column, green: Column, blue: Column) -> Column:
     top = F.greatest(red, green, blue)
     return (top - F.least(red, green, blue)) / F.greatest(top, F.lit(1e-6))

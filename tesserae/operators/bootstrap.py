@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ def resample(clusters: DataFrame, by: list[str], cluster: str, replicates: int,
 
     Clusters are rows of counts, so that a replicate costs their number and not that of their members.
     """
-    w = Window.partitionBy(*by)
-    numbered = clusters.withColumns({"place": F.row_number().over(w.orderBy(cluster)) - 1, "n": F.count("*").over(w)})
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    numbered = clusters.withColumns({"place": F.row_number().over(whole.orderBy(cluster)) - 1, "n": F.count("*").over(whole)})
     key = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(x).cast("string") for x in by], F.col("replicate").cast("string"), F.col("place").cast("string")), 256)
     slots = numbered.select(*by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = slots.select(*by, "replicate", F.pmod(draw(key), F.col("n")).cast("int").alias("place"))
@@ -22,13 +24,46 @@ def resample(clusters: DataFrame, by: list[str], cluster: str, replicates: int,
 
 
 def interval(replicates: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
-    """Linear percentiles of a statistic's replicates."""
+    """Linear percentiles of a statistic's replicates, which are as many as were asked for."""
     alpha = (1 - confidence) / 2
     q = lambda p: F.percentile(value, F.lit(p))
     out = {"mean": F.avg(value), "lower": q(alpha), "upper": q(1 - alpha)}
     return replicates.groupBy(*by).agg(F.count(value).alias("n"), *[F.round(x, 6).alias(k) for k, x in out.items()])
 
 
+def by_sample(rows: DataFrame, sample: str, value: Column, replicates: int, seed: int) -> DataFrame:
+    """Interval of the mean over samples with a value, each drawn as often as chance has it.
+
+    How often a sample is drawn in a replicate is a function of both: a Poisson draw, which needs no place in an order and so
+    no task that sees all samples.
+    """
+    some = rows.select(F.col(sample).alias("sample"), value.cast("double").alias("v")).where("v is not null")
+    some = some.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    unit = draw(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("sample").cast("string"), F.col("replicate").cast("string")), 256)) / float(1 << 48)
+    levels, total, part = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += part
+        levels.append(total)
+        part /= k + 1
+    times = sum((F.when(unit >= x, 1).otherwise(0) for x in levels), F.lit(0))
+    means = some.withColumn("times", times).groupBy("replicate").agg((F.sum(F.col("v") * F.col("times")) / F.when(F.sum("times") > 0, F.sum("times"))).alias("value"))
+    return interval(means.withColumn("statistic", F.lit("mean")), ["statistic"], "value")
+
+
+def paired(clusters: DataFrame, by: list[str], cluster: str, method: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """``a, b`` and the interval of the mean difference a - b of two methods' values, over clusters that both have.
+
+    One draw of clusters serves all methods. ``clusters``: a row for each cluster and method.
+    """
+    wide = clusters.groupBy(*by, cluster).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(method).alias("m"), F.col(value).alias("v"))))).alias("values"))
+    drawn = resample(wide, by, cluster, replicates, seed)
+    entries = F.map_entries("values")
+    a, b = F.explode(entries).alias("x"), F.explode("other").alias("y")
+    pairs = drawn.select("replicate", entries.alias("other"), a).select("replicate", "x", b).where("x.key < y.key")
+    means = pairs.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), "replicate").agg(F.avg(F.col("x.value") - F.col("y.value")).alias("value"))
+    return interval(means, ["a", "b"], "value")
+
+
 def bootstrap(clusters: DataFrame, by: list[str], cluster: str, statistic: Column, replicates: int, seed: int) -> DataFrame:
     """Interval of an aggregate over resampled clusters, for each stratum."""
     drawn = resample(clusters, by, cluster, replicates, seed)

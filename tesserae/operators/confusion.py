@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import pixel_metrics, ratio
+from .ranking import quantile_columns
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -28,9 +29,10 @@ def pooled(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def distribution(rows: DataFrame, by: list[str], value: Column, digits: int = 6) -> DataFrame:
     """n, mean, sample deviation, quartiles and their distance."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    found = {"mean": F.avg(value), "sd": F.stddev_samp(value), "q1": q(0.25), "median": q(0.5), "q3": q(0.75), "iqr": q(0.75) - q(0.25)}
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), *[F.round(x, digits).alias(k) for k, x in found.items()])
+    rows = rows.select(*by, value.alias("value"))
+    quarters = quantile_columns(rows, by, "value", q1=0.25, median=0.5, q3=0.75).withColumn("iqr", F.col("q3") - F.col("q1"))
+    found = rows.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).join(quarters, by, "left")
+    return found.select(*by, "n", *[F.round(x, digits).alias(x) for x in ("mean", "sd", "q1", "median", "q3", "iqr")])
 
 
 def clean_burden(fields: DataFrame, by: list[str]) -> DataFrame:

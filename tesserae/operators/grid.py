@@ -1,4 +1,5 @@
-"""Windows over images, and neighbourhood operators on planes of (y, x, v) rows."""
+"""Windows over images, grids of other sizes, and histograms. Images are rows ``image, y, x, v``; sized ones have their
+``height`` and ``width`` (``tiles.sized``)."""
 
 from __future__ import annotations
 
@@ -29,77 +30,59 @@ def halo_tiles(images: DataFrame, core: int, halo: int) -> DataFrame:
     return rows.withColumns(outer)
 
 
-def in_patches(pixels: DataFrame, size: int, stride: int, height: int, width: int) -> DataFrame:
-    """Each pixel with the y0, x0 of every window over it, by arithmetic instead of a range join."""
+def in_patches(pixels: DataFrame, size: int, stride: int) -> DataFrame:
+    """Each pixel of sized images (``height, width``) with the y0, x0 of every window over it, by arithmetic.
 
-    def starts(at: Column, length: int) -> Column:
-        every = window_starts(F.lit(length), size, stride)
-        return F.filter(every, lambda s: (s <= at) & (at < s + size))
-
-    rows = pixels.withColumn("y0", F.explode(starts(F.col("y"), height)))
-    return rows.withColumn("x0", F.explode(starts(F.col("x"), width)))
-
-
-def around(plane: DataFrame, reach: int, strip: int = 64) -> DataFrame:
-    """``y, x, dy, dx, v``: each cell with the cells at most ``reach`` away.
-
-    Cells are sent to the places that they are neighbours of, so that one equi-join with the cells that exist suffices.
+    A cell outside its image is an error.
     """
-    away = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    sent = plane.select("y", "x", "v").withColumn("dy", away).withColumn("dx", away)
-    sent = sent.select((F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "dy", "dx", "v")
-    return sent.join(plane.select("y", "x"), ["y", "x"])
-
-
-def stencil(plane: DataFrame, reach: int, **aggregates: Column) -> DataFrame:
-    """Aggregates of ``v`` over the square around each cell, clipped at the edges."""
-    return around(plane, reach).groupBy("y", "x").agg(*[x.alias(k) for k, x in aggregates.items()])
 
+    def starts(at: str, length: str) -> Column:
+        inside = (F.col(at) >= 0) & (F.col(at) < F.col(length))
+        found = F.filter(window_starts(F.col(length), size, stride), lambda s: (s <= F.col(at)) & (F.col(at) < s + size))
+        return F.when(inside, found).otherwise(F.raise_error(F.lit("a cell is outside its image")).cast("array<int>"))
 
-def gradient(plane: DataFrame) -> DataFrame:
-    """Sobel magnitude, over 8, of the cells with all eight neighbours."""
-    v, dy, dx = F.col("v"), F.col("dy"), F.col("dx")
-    gx = F.sum(v * dx * F.when(dy == 0, 2).otherwise(1)) / 8
-    gy = F.sum(v * dy * F.when(dx == 0, 2).otherwise(1)) / 8
-    found = around(plane, 1).groupBy("y", "x").agg(gx.alias("gx"), gy.alias("gy"), F.count("*").alias("n"))
-    return found.where("n = 9").select("y", "x", F.hypot("gx", "gy").alias("magnitude"))
+    return pixels.withColumn("y0", F.explode(starts("y", "height"))).withColumn("x0", F.explode(starts("x", "width")))
 
 
-def boundary(mask: DataFrame) -> DataFrame:
-    """Cells of a mask (rows y, x) that lack any of their eight neighbours."""
-    counts = stencil(mask.withColumn("v", F.lit(1)), 1, n=F.sum("v"))
-    return counts.where("n < 9").select("y", "x")
-
-
-def dilate(mask: DataFrame, reach: int) -> DataFrame:
-    """Cells within a square of a mask."""
-    away = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    grown = mask.select("y", "x").withColumn("dy", away).withColumn("dx", away)
-    return grown.select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
+def area_resample(plane: DataFrame, rows: Column | int, cols: Column | int) -> DataFrame:
+    """Exact area means of sized images on coarser grids of ``rows`` by ``cols``. A cell outside its image is an error."""
+    wrap = lambda v: v if isinstance(v, Column) else F.lit(v)
 
+    def parts(at: str, length: str, count: Column) -> Column:
+        scale = count.cast("double") / F.col(length)
+        low, high = F.col(at) * scale, (F.col(at) + 1) * scale
+        cells = F.sequence(F.floor(low).cast("int"), F.least(F.ceil(high).cast("int") - 1, count - 1))
+        cut = F.transform(cells, lambda k: F.struct(k.alias("cell"), (F.least(high, k + 1.0) - F.greatest(low, k + 0.0)).alias("share")))
+        inside = (F.col(at) >= 0) & (F.col(at) < F.col(length))
+        return F.explode(F.when(inside, cut).otherwise(F.raise_error(F.lit("a cell is outside its image")).cast("array<struct<cell:int,share:double>>")))
 
-def erode(mask: DataFrame, reach: int) -> DataFrame:
-    """Cells of a mask whose whole square belongs to it."""
-    side = 2 * reach + 1
-    return stencil(mask.withColumn("v", F.lit(1)), reach, n=F.sum("v")).where(F.col("n") == side * side).select("y", "x")
+    cut = plane.withColumn("rows", wrap(rows)).withColumn("cols", wrap(cols))
+    cut = cut.withColumn("a", parts("y", "height", F.col("rows"))).withColumn("b", parts("x", "width", F.col("cols")))
+    weight = F.col("a.share") * F.col("b.share")
+    return cut.groupBy("image", F.col("a.cell").alias("y"), F.col("b.cell").alias("x")).agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("v"))
 
 
-def area_resample(plane: DataFrame, height: int, width: int, rows: int, cols: int) -> DataFrame:
-    """Exact area means on a coarser grid of ``rows`` by ``cols``."""
+def bilinear(grid: DataFrame, cells: DataFrame) -> DataFrame:
+    """``image, y, x, v``: a coarse grid (``image, ty, tx, score``) at each of the ``cells`` of sized images, linear between
+    the grid's centres and level beyond the outer ones. A cell looks up the four places around it."""
+    shape = grid.groupBy("image").agg((F.max("ty") + 1).alias("rows"), (F.max("tx") + 1).alias("cols"))
 
-    def parts(at: str, length: int, count: int) -> Column:
-        scale = float(count) / length
-        low, high = F.col(at) * scale, (F.col(at) + 1) * scale
-        cells = F.sequence(F.floor(low).cast("int"), F.least(F.ceil(high).cast("int") - 1, F.lit(count - 1)))
-        return F.explode(F.transform(cells, lambda k: F.struct(k.alias("cell"), (F.least(high, k + 1.0) - F.greatest(low, k + 0.0)).alias("share"))))
+    def corners(at: str, length: str, count: str) -> Column:
+        place = F.least(F.greatest((F.col(at) + 0.5) * F.col(count) / F.col(length) - 0.5, F.lit(0.0)), F.col(count) - 1.0)
+        low = F.floor(place).cast("int")
+        high = F.least(low + 1, F.col(count) - 1).cast("int")
+        near = F.array(F.struct(low.alias("k"), (1 - (place - low)).alias("w")), F.struct(high.alias("k"), (place - low).alias("w")))
+        return F.explode(F.filter(near, lambda c: c["w"] > 0))
 
-    cut = plane.withColumn("a", parts("y", height, rows)).withColumn("b", parts("x", width, cols))
-    weight = F.col("a.share") * F.col("b.share")
-    return cut.groupBy(F.col("a.cell").alias("y"), F.col("b.cell").alias("x")).agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("v"))
+    rows = cells.select("image", "y", "x", "height", "width").join(shape, "image")
+    rows = rows.withColumn("a", corners("y", "height", "rows")).withColumn("b", corners("x", "width", "cols"))
+    rows = rows.select("image", "y", "x", F.col("a.k").alias("ty"), F.col("b.k").alias("tx"), (F.col("a.w") * F.col("b.w")).alias("w"))
+    return rows.join(grid, ["image", "ty", "tx"]).groupBy("image", "y", "x").agg(F.sum(F.col("w") * F.col("score")).alias("v"))
 
 
 def otsu(values: DataFrame, by: list[str], value: str, bins: int = 128) -> DataFrame:
-    """The upper edge of the histogram bin that parts values best: largest variance between, the last bin left out, the first of ties, for each group."""
+    """The centre of the histogram bin that parts values best, for each group: largest variance between, the last bin left out,
+    the first of ties; the largest value where all are alike."""
     ends = values.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     step = (F.col("high") - F.col("low")) / bins
     place = F.when(step > 0, F.least(F.floor((F.col(value) - F.col("low")) / F.when(step > 0, step)), F.lit(bins - 1))).otherwise(0)
@@ -112,8 +95,9 @@ def otsu(values: DataFrame, by: list[str], value: str, bins: int = 128) -> DataF
     ).where(F.col("bin") < bins - 1)
     rest = F.col("all_n") - F.col("w")
     between = F.when(rest > 0, F.col("w") * rest * F.pow(F.col("s") / F.col("w") - (F.col("all_s") - F.col("s")) / F.when(rest > 0, rest), F.lit(2)))
-    best = F.max_by(F.col("low") + (F.col("bin") + 1) * step, F.struct(F.round(between, 6), -F.col("bin")))
-    return sums.where(between.isNotNull()).groupBy(*by).agg(best.alias("threshold"))
+    best = F.max_by(middle, F.struct(F.round(between, 6), -F.col("bin")))
+    found = sums.where(between.isNotNull()).groupBy(*by).agg(best.alias("threshold"))
+    return ends.join(found, by, "left").select(*by, F.coalesce("threshold", "high").alias("threshold"))
 
 
 def entropy(values: DataFrame, by: list[str], value: Column, bins: int = 32) -> DataFrame:

@@ -1,28 +1,65 @@
-"""Groups of records that share values of any of several keys."""
+"""Connected components of links, by alternating large and small stars, and groups of records that share values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import keep
+
+
+def _minimum(pairs: DataFrame, name: str) -> DataFrame:
+    """Smallest ``v`` of each ``u``; written, so that the join that follows can split a hub's rows."""
+    return keep(pairs.groupBy("u").agg(F.min("v").alias("m")), name)
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = _minimum(both, "large").select("u", F.least("u", "m").alias("m"))
+    out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return keep(out.where("u <> v").distinct(), "edges")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """``edges`` have u > v."""
+    least = _minimum(edges, "small")
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``(u, v)`` long links to ``(node, label)``: every linked node with the smallest node that it reaches.
+
+    Each round writes its links to the shared folder; only a row count and a checksum reach the driver.
+    Nulls and loops are left out; repeated links count once; no links give no rows.
+    """
+    edges = keep(
+        links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
+    )
+    state = _state(edges)
+    while state[0]:
+        edges = _small_star(_large_star(edges))
+        before, state = state, _state(edges)
+        if state == before:
+            break
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    return nodes.unionByName(roots)
+
 
 def shared_components(rows: DataFrame, item: str, keys: list[str]) -> DataFrame:
-    """``item, component``: the smallest item that shared values lead to. Nulls link nothing.
+    """``item, component``: the smallest item (a long) that shared values lead to. Nulls link nothing.
 
-    Labels spread between items and values until none changes; each round is checkpointed, which takes a checkpoint
-    folder. A hub's rows meet in partial minima only.
+    The items of a value are linked to the smallest of them, which takes as many links as there are rows.
     """
     value = F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "="), F.col(k).cast("string"))) for k in keys]))
-    links = rows.select(F.col(item).alias("item"), value.alias("value")).where("value is not null").distinct().checkpoint()
-    labels = rows.select(F.col(item).alias("item")).distinct().withColumn("component", F.col("item")).checkpoint()
-    while True:
-        of_value = links.join(labels, "item").groupBy("value").agg(F.min("component").alias("component"))
-        least = links.join(of_value, "value").groupBy("item").agg(F.min("component").alias("least"))
-        new = labels.join(least, "item", "left").select("item", F.least("component", F.coalesce("least", "component")).alias("component"))
-        # what a label's own item has found meanwhile is nearer still
-        jump = new.select(F.col("item").alias("component"), F.col("component").alias("further"))
-        new = new.join(jump, "component").select("item", F.col("further").alias("component")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("component", "before"), "item").where("component <> before").isEmpty()
-        labels = new
-        if changed:
-            return labels.withColumnRenamed("item", item)
+    held = keep(rows.select(F.col(item).cast("long").alias("u"), value.alias("value")).where("value is not null and u is not null").distinct(), "held")
+    first = keep(held.groupBy("value").agg(F.min("u").alias("v")), "first-of-value")
+    label = components(held.join(first, "value").select("u", "v"))
+    items = rows.select(item).distinct()
+    out = items.join(label, items[item].cast("long") == label["node"], "left")
+    return out.select(item, F.coalesce("label", F.col(item).cast("long")).alias("component"))

@@ -9,44 +9,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a bank that are sent to all tasks, at most; larger banks are dealt into parts of this size.
-BANK_PART = 20_000
+from ..storage import keep
 
+#: Vectors of a block, of the bank and of the rows.
+BLOCK = 8192
 
-def knn_scores(rows: DataFrame, bank: DataFrame, k: int, part: int = BANK_PART) -> DataFrame:
+
+def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
+    """``block, ids, vectors``: rows ``id, embedding`` dealt evenly, by their number, to blocks of ``size`` or so; a block's
+    normalised vectors as one matrix."""
+    blocks = max(1, -(-count // size))
+    numbered = rows.select(F.col("id").cast("long"), "embedding", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"))
+
+    def run(table: pa.Table) -> pa.Table:
+        matrix = _unit(np.array(table.column("embedding").to_pylist(), np.float64))
+        return pa.table({"block": [table.column("block")[0].as_py()], "ids": [table.column("id").to_pylist()], "vectors": [matrix.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("vectors", pa.binary())]))
+
+    return numbered.groupBy("block").applyInArrow(run, "block int, ids array<long>, vectors binary")
+
+
+def knn_scores(rows: DataFrame, bank: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """``id, score``: mean distance of L2-normalised vectors to the k nearest of ``bank``; rows are ``id, embedding``.
 
-    A bank is fitted on a bounded set, ``part`` vectors or fewer at a time: each part is multiplied, as one matrix, with
-    the rows' batches, and the k smallest distances of all parts are merged. Exact. No bank, no rows.
+    Blocks of rows meet blocks of the bank by an equi-join and are multiplied in tasks; the k smallest distances to each
+    block of the bank are merged. Exact; repeated ids come out repeated; no bank, no rows; nothing passes the driver.
     """
     spark, count = rows.sparkSession, bank.count()
-    parts = max(1, -(-count // part))
-    dealt = bank.select("embedding", F.pmod(F.xxhash64("embedding"), F.lit(parts)).alias("part"))
-    found = None
-    for p in range(parts if count else 0):
-        matrix = _unit(np.array(dealt.where(F.col("part") == p).select("embedding").toArrow().column(0).to_pylist(), np.float64))
-        if not len(matrix):
-            continue
-        shared = spark.sparkContext.broadcast(matrix)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = _unit(np.array(batch.column(1).to_pylist(), np.float64))
-                near = []
-                for i in range(0, len(own), 1024):
-                    square = np.maximum(2 - 2 * own[i : i + 1024] @ shared.value.T, 0)
-                    few = min(k, square.shape[1])
-                    near += np.sqrt(np.partition(square, few - 1, axis=1)[:, :few]).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.list_(pa.float64()))], ["id", "near"])
-
-        one = rows.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "id long, near array<double>")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    if not count:
         return spark.createDataFrame([], "id long, score double")
-    if parts > 1:
-        found = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    parts = max(1, -(-count // block))
+    copies = max(1, 2 * spark.sparkContext.defaultParallelism // parts)  # of each block of the bank, so that tasks are enough
+    own = keep(_blocks(rows, 1024, rows.count()), "row-blocks")
+    banked = _blocks(bank.withColumn("id", F.lit(0)), block, count).select(F.col("block").alias("part"), F.col("vectors").alias("bank"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    asked = own.select("block", "ids", "vectors", F.pmod("block", F.lit(copies)).alias("copy"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, vectors, bank in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                mine = np.frombuffer(vectors).reshape(len(ids), -1)
+                square = np.maximum(2 - 2 * mine @ np.frombuffer(bank).reshape(-1, mine.shape[1]).T, 0)
+                few = min(k, square.shape[1])
+                near = np.sqrt(np.partition(square, few - 1, axis=1)[:, :few])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids)), pa.array(np.arange(len(ids))), pa.array(ids), pa.array(list(near), pa.list_(pa.float64()))], ["block", "row", "id", "near"])
+
+    met = asked.join(banked, ["part", "copy"]).select("block", "ids", "vectors", "bank")
+    found = met.mapInArrow(run, "block long, row long, id long, near array<double>").groupBy("block", "row", "id")
+    # as many lists of k as the bank has blocks
+    found = found.agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return found.select("id", (F.aggregate("near", F.lit(0.0), lambda a, x: a + x) / F.size("near")).alias("score"))
 
 
@@ -62,5 +71,4 @@ def diagonal_mahalanobis(rows: DataFrame, reference: DataFrame) -> DataFrame:
     long = lambda df, *keep: df.select(*keep, F.posexplode("embedding").alias("d", "x"))
     model = long(reference).groupBy("d").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_samp(F.col("x").cast("double")).alias("sd")).where("sd > 0")
     z = (F.col("x").cast("double") - F.col("mean")) / F.col("sd")
-    # one row for each dimension of a vector: small by construction
-    return long(rows, "id").join(F.broadcast(model), "d").groupBy("id").agg(F.sqrt(F.avg(z * z)).alias("score"))
+    return long(rows, "id").join(model, "d").groupBy("id").agg(F.sqrt(F.avg(z * z)).alias("score"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import image, quality, structure
+from . import fields, image, quality, structure
 
-_PARTS = (quality, structure, image)
+_PARTS = (quality, structure, image, fields)
 
 
 def queries() -> dict:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intensity
-from ..operators import grid, neighbors
-from .views import PLANE, VECTORS, plane, table, vectors
+from ..operators import anomaly, artifacts, contours, grid, neighbors, probe, ranking, tiles
+from .views import PLANE, SIZED, VECTORS, plane, table, vectors
 
 
 def window_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,84 +53,102 @@ def physical_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A half-open window of the plane."""
-    return plane(spark, sf_dir).where("y >= 10 AND y < 42 AND x >= 5 AND x < 37").select("y", "x", "v")
+    """A half-open window of each image."""
+    return plane(spark, sf_dir).where("y >= 2 AND y < 42 AND x >= 5 AND x < 37").select("image", "y", "x", "v")
+
+
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.in_patches(tiles.sized(plane(spark, sf_dir)), 32, 16)
+
+
+_PATCH = ["image", "y0", "x0"]
 
 
 def patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moments and quantiles of each window of the plane."""
-    rows = grid.in_patches(plane(spark, sf_dir), 32, 16, 100, 100).groupBy("y0", "x0")
+    """Moments and quantiles of each window."""
     q = lambda p: F.percentile("v", F.lit(p))
-    found = {"mean": F.avg("v"), "sd": F.stddev_pop("v"), "p10": q(0.1), "p90": q(0.9)}
-    return rows.agg(F.count("*").alias("n"), *[F.round(x, 6).alias(k) for k, x in found.items()])
+    found = {"mean": F.avg("v"), "sd": F.stddev_pop("v"), "p90": q(0.9), "p99": q(0.99)}
+    return _patches(spark, sf_dir).groupBy(*_PATCH).agg(F.count("*").alias("n"), *[F.round(x, 6).alias(k) for k, x in found.items()])
 
 
 def patch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of which a quarter, at least, is tissue."""
-    rows = grid.in_patches(plane(spark, sf_dir), 32, 16, 100, 100).groupBy("y0", "x0")
-    rows = rows.agg(F.count("*").alias("n"), F.count_if(F.col("event_type").isin("click", "view")).alias("tissue"))
+    rows = _patches(spark, sf_dir).groupBy(*_PATCH).agg(F.count("*").alias("n"), F.count_if(F.col("event_type").isin("click", "view")).alias("tissue"))
     return rows.where(F.col("tissue") * 4 >= F.col("n"))
 
 
 def tile_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and largest score of the windows over each cell."""
-    rows = grid.in_patches(plane(spark, sf_dir), 32, 16, 100, 100)
-    scores = rows.groupBy("y0", "x0").agg(F.round(F.avg("v"), 9).alias("score"))
-    return rows.select("y0", "x0", "y", "x").join(scores, ["y0", "x0"]).groupBy("y", "x").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("high"), F.count("*").alias("windows"))
+    scores = _patches(spark, sf_dir).groupBy(*_PATCH).agg(F.round(F.avg("v"), 9).alias("score"))
+    # windows are few; each is dealt to the cells that it covers
+    rows = tiles.sized(plane(spark, sf_dir)).select("image", "y", "x", "height", "width")
+    return grid.in_patches(rows, 32, 16).join(scores, _PATCH).groupBy("image", "y", "x").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("high"), F.count("*").alias("windows"))
 
 
 def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of 8 by 8 whose share of marked pixels is 0.2, at least."""
-    rows = plane(spark, sf_dir).groupBy(F.floor(F.col("y") / 8).cast("int").alias("ty"), F.floor(F.col("x") / 8).cast("int").alias("tx"))
+    rows = plane(spark, sf_dir).groupBy("image", F.floor(F.col("y") / 8).cast("int").alias("ty"), F.floor(F.col("x") / 8).cast("int").alias("tx"))
     share = F.avg((F.col("event_type") == "click").cast("double"))
     return rows.agg(F.round(share, 6).alias("share"), (share >= 0.2).alias("label"))
 
 
+def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean values of 8 by 8 cells, spread over the pixels again."""
+    rows = tiles.sized(plane(spark, sf_dir))
+    tokens = rows.groupBy("image", F.floor(F.col("y") / 8).cast("int").alias("ty"), F.floor(F.col("x") / 8).cast("int").alias("tx")).agg(F.avg("v").alias("score"))
+    return grid.bilinear(tokens, rows).withColumn("v", F.round(F.col("v") + 1e-7, 5))  # no ties
+
+
 def rolling_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.stencil(plane(spark, sf_dir), 2, mean=F.round(F.avg("v"), 5), sd=F.round(F.stddev_pop("v"), 5))
+    return tiles.local_moments(tiles.sized(plane(spark, sf_dir))).withColumns({x: F.round(x, 4) for x in ("mean", "sd")})
 
 
 def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.gradient(plane(spark, sf_dir)).withColumn("magnitude", F.round("magnitude", 5))
+    return tiles.gradient(tiles.sized(plane(spark, sf_dir))).withColumn("magnitude", F.round("magnitude", 5))
 
 
-def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plane(spark, sf_dir).where("event_type IN ('click', 'view')").select("y", "x")
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sized images with the masks ``a`` and ``b`` and a valid region."""
+    kind = F.col("event_type")
+    rows = tiles.sized(plane(spark, sf_dir))
+    return rows.select("image", "y", "x", "height", "width", kind.isin("click", "view").alias("a"), kind.isin("view", "click", "purchase").alias("b"), (F.col("v") < 250).alias("valid"))
 
 
-_MASK = f"{PLANE}, mask AS (SELECT y, x FROM plane WHERE event_type IN ('click', 'view'))"
+_MASKS = f"""{SIZED}, masks AS (
+    SELECT image, y, x, height, width, event_type IN ('click', 'view') AS a, event_type IN ('view', 'click', 'purchase') AS b, v < 250 AS valid FROM sized)"""
 
 
 def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.dilate(plane(spark, sf_dir).where("event_type = 'click'"), 1)
+    """Cells within a disk of two around clicks."""
+    rows = tiles.sized(plane(spark, sf_dir)).withColumn("mask", F.col("event_type") == "click")
+    return tiles.morphology(rows, "mask", tiles.disk(2)).where("mask").drop("mask")
 
 
 def erode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.erode(plane(spark, sf_dir).where("v > 3").select("y", "x"), 1)
+    """Cells whose whole disk of one exceeds a value; nothing does outside the image."""
+    rows = tiles.sized(plane(spark, sf_dir)).withColumn("mask", F.col("v") > 3)
+    return tiles.morphology(rows, "mask", tiles.disk(1), "e").where("mask").drop("mask")
 
 
-def boundary_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.boundary(_mask(spark, sf_dir))
+def closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _masks(spark, sf_dir)
+    return tiles.morphology(rows, "a", tiles.disk(1), "de").where("a").drop("a")
 
 
-def boundary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each of two boundaries within two cells of the other."""
-    a = grid.boundary(_mask(spark, sf_dir))
-    b = grid.boundary(plane(spark, sf_dir).where("event_type IN ('view', 'click', 'purchase')").select("y", "x"))
-    rows = [x.withColumn("side", F.lit(n)).join(grid.dilate(y, 2).withColumn("hit", F.lit(1)), ["y", "x"], "left") for n, x, y in (("target", a, b), ("prediction", b, a))]
-    return rows[0].unionByName(rows[1]).groupBy("side").agg(F.count("*").alias("n"), F.count("hit").alias("matched"))
+def boundary_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.boundary(_masks(spark, sf_dir), "a").where("edge").drop("edge")
 
 
-def instance_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of every pair of instances that meet: intersection over union by one count of label pairs."""
-    rows = plane(spark, sf_dir).select((F.floor(F.col("y") / 10) * 10 + F.floor(F.col("x") / 10)).cast("int").alias("a"), (F.floor((F.col("y") + 3) / 10) * 11 + F.floor((F.col("x") + 4) / 10)).cast("int").alias("b"))
-    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
-    pairs = pairs.withColumns({"na": F.sum("n").over(Window.partitionBy("a")), "nb": F.sum("n").over(Window.partitionBy("b"))})
-    return pairs.select("a", "b", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("iou"))
+def boundary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of two masks: shares within two cells, distances both ways."""
+    found = contours.boundary_metrics(_masks(spark, sf_dir), "a", "b", "valid", 2.0)
+    return found.withColumns({x: F.round(x, 6) for x in ("precision", "recall", "f1", "assd", "hd95")})
 
 
 def area_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.area_resample(plane(spark, sf_dir), 100, 100, 30, 40).withColumn("v", F.round("v", 6))
+    """Images at three tenths of their height and 40 columns."""
+    rows = tiles.sized(plane(spark, sf_dir))
+    return grid.area_resample(rows, F.floor(F.col("height") * 3 / 10).cast("int"), 40).withColumn("v", F.round("v", 6))
 
 
 def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +179,8 @@ def stain_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", *[F.expr(v).alias(k) for k, v in _RGB.items()])
     od = [intensity.optical_density(F.col(x)) for x in "rgb"]
     r, g, b = (F.col(x) for x in "rgb")
-    found = {"first": intensity.linear(od, [1.2, -0.4, 0.3]), "second": intensity.linear(od, [-0.8, 1.5, -0.2]), "gray": intensity.gray(r, g, b), "saturation": intensity.saturation(r, g, b)}
+    first, second = intensity.stain_weights()
+    found = {"first": intensity.linear(od, first), "second": intensity.linear(od, second), "gray": intensity.gray(r, g, b), "saturation": intensity.saturation(r, g, b)}
     return rows.groupBy("l_suppkey").agg(*[F.round(F.avg(x), 6).alias(k) for k, x in found.items()])
 
 
@@ -176,8 +195,7 @@ def tissue_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tail_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper tail scores and low signal of balances, within segments."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("v"))
-    q = rows.groupBy("c_mktsegment").agg(*[F.percentile("v", F.lit(p)).alias(f"q{int(p * 100)}") for p in (0.1, 0.25, 0.75, 0.9)])
-    rows = rows.join(F.broadcast(q), "c_mktsegment")
+    rows = rows.join(ranking.quantile_columns(rows, ["c_mktsegment"], "v", q10=0.1, q25=0.25, q75=0.75, q90=0.9), "c_mktsegment")
     upper, low = intensity.upper_tail(F.col("v"), F.col("q10"), F.col("q90")), intensity.lower_signal(F.col("v"), F.col("q25"), F.col("q75"))
     return rows.select("c_custkey", F.round(upper, 6).alias("upper"), F.round(low, 6).alias("low"))
 
@@ -199,12 +217,10 @@ def hybrid_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inject_perturb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold at several severities, and the cells that it changes."""
-    w = Window.partitionBy("y").orderBy("x")
-    rows = plane(spark, sf_dir).withColumn("shifted", F.lag("v", 3).over(w)).withColumn("s", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0))))
-    inside = F.col("x").between(30, 45) & F.col("shifted").isNotNull()
-    new = F.when(inside, F.col("v") + (0.35 + 0.85 * F.col("s")) * F.col("shifted")).otherwise(F.col("v"))
-    return rows.withColumn("new", new).groupBy("s").agg(F.count_if(F.col("new") != F.col("v")).alias("changed"), F.round(F.avg("new"), 6).alias("mean"))
+    """A fold and a crack along a curve at several severities, and the cells that each changes."""
+    found = artifacts.inject(tiles.sized(plane(spark, sf_dir)), "v", [0.25, 0.5, 1.0])
+    changed = F.abs(F.col("new") - F.col("v")) > 1e-9
+    return found.groupBy("image", "artifact", "severity").agg(F.count_if(changed).alias("changed"), F.round(F.avg("new"), 6).alias("mean"))
 
 
 def incremental_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,19 +229,33 @@ def incremental_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flip_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean absolute difference of the plane and its mirror, and overlap of their alerts."""
-    a = plane(spark, sf_dir).select("y", "x", "v")
-    b = a.select("y", (F.lit(99) - F.col("x")).alias("x"), F.col("v").alias("w"))
-    hit = lambda c: F.col(c) > 2
+    """Mean absolute difference of each image and its mirror, and overlap of their alerts."""
+    rows = tiles.sized(plane(spark, sf_dir))
+    a = rows.select("image", "y", "x", "v")
+    b = rows.select("image", "y", (F.col("width") - 1 - F.col("x")).alias("x"), F.col("v").alias("w"))
+    hit = lambda c: F.col(c) > 30
     both, each = F.count_if(hit("v") & hit("w")), F.count_if(hit("v")) + F.count_if(hit("w"))
-    return a.join(b, ["y", "x"]).groupBy("y").agg(F.round(F.avg(F.abs(F.col("v") - F.col("w"))), 6).alias("mae"), F.round(F.when(each == 0, 1.0).otherwise(2.0 * both / F.when(each > 0, each)), 6).alias("dice"))
+    return a.join(b, ["image", "y", "x"]).groupBy("image", "y").agg(F.round(F.avg(F.abs(F.col("v") - F.col("w"))), 6).alias("mae"), F.round(F.when(each == 0, 1.0).otherwise(2.0 * both / F.when(each > 0, each)), 6).alias("dice"))
 
 
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centre and spread of each dimension by median and quartiles."""
-    rows = vectors(spark, sf_dir).where("role = 'fit'").select(F.posexplode("embedding").alias("d", "x"))
-    q = lambda p: F.percentile(F.col("x").cast("double"), F.lit(p))
-    return rows.groupBy("d").agg(F.round(q(0.5), 6).alias("center"), F.round(q(0.75) - q(0.25), 6).alias("spread"))
+    """Centre and spread of each dimension: median, and the scaled median of the distances to it."""
+    found = anomaly.robust_scale(vectors(spark, sf_dir).where("role = 'fit'"))
+    return found.select("d", F.round("center", 6).alias("center"), F.round("scale", 6).alias("spread"))
+
+
+def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of test vectors from clean references, with the whole covariance."""
+    rows = vectors(spark, sf_dir)
+    model = anomaly.fit(rows.where("role = 'fit' AND label <= 6"))
+    return anomaly.scores(rows.where("role = 'test'"), model).withColumn("score", F.round("score", 4))
+
+
+def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a class-balanced logistic probe, fitted on vectors of two kinds."""
+    rows = vectors(spark, sf_dir).withColumn("positive", F.col("label") >= 5)
+    model = probe.fit(rows.where("role = 'fit'"), "positive")
+    return probe.scores(rows.where("role = 'test'"), model).withColumn("score", F.round("score", 4))
 
 
 def mahalanobis_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,9 +271,10 @@ def patch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine and largest difference of neighbours in id order, within a label."""
-    w = Window.partitionBy("label").orderBy("id")
-    rows = vectors(spark, sf_dir).withColumn("other", F.lag("embedding").over(w)).where("other IS NOT NULL")
+    """Cosine and largest difference of each vector and the vector of the next id, as two devices' outputs."""
+    rows = vectors(spark, sf_dir)
+    other = rows.select((F.col("id") + 1).alias("id"), F.col("embedding").alias("other"))
+    rows = rows.join(other, "id")
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(product("embedding", "embedding") * product("other", "other"))
     most = F.array_max(F.zip_with("embedding", "other", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
@@ -254,9 +285,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         window_starts, patch_grid, halo_windows, core_stitch, level_choice, level_box, physical_units, tile_region_scan, patch_features, patch_filter,
-        tile_stitch, token_labels, rolling_std, gradient, dilate, erode, boundary_pixels, boundary_match, instance_iou, area_resample, otsu, entropy,
+        tile_stitch, token_labels, heatmap, rolling_std, gradient, dilate, erode, closing, boundary_pixels, boundary_match, area_resample, otsu, entropy,
         normalize_unit, optical_density, stain_linear, tissue_predicate, tail_score, normalized_score, fuse_scores, hybrid_or, inject_perturb,
-        incremental_score, flip_consistency, robust_scale, mahalanobis_diag, patch_knn, vector_agreement,
+        incremental_score, flip_consistency, robust_scale, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, vector_agreement,
     )
 }
 
@@ -264,16 +295,33 @@ _STARTS = "CASE WHEN {0} <= 64 THEN [0] ELSE list_distinct(list_append(range(0,
 _IMAGES = "images AS (SELECT p_partkey, p_size * 5 AS height, p_size * 3 + 20 AS width FROM part)"
 _TILES = f"""{_IMAGES}, ys AS (SELECT *, unnest(range(0, height, 64)) AS y0 FROM images), xs AS (SELECT *, unnest(range(0, width, 64)) AS x0 FROM ys),
     tiles AS (SELECT p_partkey, height, width, y0, x0, least(y0 + 64, height) AS y1, least(x0 + 64, width) AS x1 FROM xs)"""
-_COVER = f"""{PLANE}, s AS (SELECT unnest([0, 16, 32, 48, 64, 68]) AS s),
-    covered AS (SELECT a.s AS y0, b.s AS x0, plane.* FROM plane JOIN s a ON y >= a.s AND y < a.s + 32 JOIN s b ON x >= b.s AND x < b.s + 32)"""
+_COVER = f"""{SIZED}, covered AS (
+    SELECT s.*, y0, x0 FROM sized s,
+        (SELECT DISTINCT image AS i, unnest(CASE WHEN height <= 32 THEN [0] ELSE list_distinct(list_append(range(0, height - 31, 16), height - 32)) END)::INT AS y0 FROM sized) a,
+        (SELECT DISTINCT image AS j, unnest(CASE WHEN width <= 32 THEN [0] ELSE list_distinct(list_append(range(0, width - 31, 16), width - 32)) END)::INT AS x0 FROM sized) b
+    WHERE i = image AND j = image AND y >= y0 AND y < y0 + 32 AND x >= x0 AND x < x0 + 32)"""
 _OD = "-ln(least(greatest({}, 0.5/65535), 1.0))"
 _RGB_SQL = "rgb AS (SELECT l_suppkey, l_quantity / 50.0::DOUBLE AS r, l_discount * 10 AS g, l_tax * 12.5::DOUBLE AS b FROM lineitem)"
 _GRAY, _SAT = "(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)", "((greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b, 1e-6))"
-_NEAR = "FROM {0} a JOIN {0} b ON b.y BETWEEN a.y - {1} AND a.y + {1} AND b.x BETWEEN a.x - {1} AND a.x + {1}"
+_MIRROR = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} >= {1} THEN 2 * {1} - 1 - ({0}) ELSE {0} END"
+
+
+def _around(reach: int) -> str:
+    """Each cell with the cells of the square around it, of a mirrored image."""
+    y, x = _MIRROR.format("a.y + dy", "a.height"), _MIRROR.format("a.x + dx", "a.width")
+    return f"FROM sized a, range(-{reach}, {reach + 1}) AS r(dy), range(-{reach}, {reach + 1}) AS q(dx), sized b WHERE b.image = a.image AND b.y = {y} AND b.x = {x}"
+
+
+def disk_sql(radius: int) -> str:
+    """Offsets of a disk."""
+    return f"(SELECT dy::INT AS dy, dx::INT AS dx FROM range(-{radius}, {radius + 1}) AS r(dy), range(-{radius}, {radius + 1}) AS q(dx) WHERE dy * dy + dx * dx <= {radius * radius})"
 
 
 def _edge(name: str, mask: str) -> str:
-    return f"{name} AS (SELECT a.y, a.x {_NEAR.format(mask, 1)} GROUP BY a.y, a.x HAVING count(*) < 9)"
+    """Boundary cells: of nine cells around, not all belong to the mask; but next to an invalid one."""
+    return f"""{name} AS (
+        SELECT a.image, a.y, a.x FROM masks a JOIN masks c ON c.image = a.image AND abs(c.y - a.y) <= 1 AND abs(c.x - a.x) <= 1
+        WHERE a.{mask} AND a.valid GROUP BY a.image, a.y, a.x HAVING count(*) FILTER (c.{mask} AND c.valid) < 9 AND bool_and(c.valid))"""
 
 
 SQL = {
@@ -287,42 +335,50 @@ SQL = {
         SELECT p_partkey, level::INT AS level FROM l QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY away, level) = 1""",
     "level_box": "SELECT p_partkey, round_even(p_size * 0.5::DOUBLE, 0)::INT AS y, round_even(p_size * 2.5::DOUBLE, 0)::INT AS x FROM part",
     "physical_units": """SELECT p_partkey, round_even(p_retailprice / 100.0::DOUBLE / 0.5::DOUBLE, 0)::INT AS pixels, ceil(p_retailprice / 100.0::DOUBLE / 0.5::DOUBLE)::INT AS reach, floor(p_retailprice / 100.0::DOUBLE / 0.25::DOUBLE)::INT AS area FROM part""",
-    "tile_region_scan": f"WITH {PLANE} SELECT y, x, v FROM plane WHERE y >= 10 AND y < 42 AND x >= 5 AND x < 37",
-    "patch_features": f"""WITH {_COVER} SELECT y0, x0, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90 FROM covered GROUP BY y0, x0""",
-    "patch_filter": f"WITH {_COVER}, c AS (SELECT y0, x0, count(*) AS n, count(*) FILTER (event_type IN ('click', 'view')) AS tissue FROM covered GROUP BY y0, x0) SELECT * FROM c WHERE tissue * 4 >= n",
-    "tile_stitch": f"""WITH {_COVER}, w AS (SELECT y0, x0, round(avg(v), 9) AS score FROM covered GROUP BY y0, x0)
-        SELECT y, x, round(avg(score), 6) AS mean, round(max(score), 6) AS high, count(*) AS windows FROM covered JOIN w USING (y0, x0) GROUP BY y, x""",
-    "token_labels": f"""WITH {PLANE}, t AS (SELECT y // 8 AS ty, x // 8 AS tx, avg((event_type = 'click')::INT::DOUBLE) AS share FROM plane GROUP BY ALL) SELECT ty, tx, round(share, 6) AS share, share >= 0.2 AS label FROM t""",
-    "rolling_std": f"WITH {PLANE} SELECT a.y, a.x, round(avg(b.v), 5) AS mean, round(stddev_pop(b.v), 5) AS sd {_NEAR.format('plane', 2)} GROUP BY a.y, a.x",
-    "gradient": f"""WITH {PLANE}, g AS (SELECT a.y, a.x, sum(b.v * (b.x - a.x) * CASE WHEN b.y = a.y THEN 2 ELSE 1 END) / 8 AS gx, sum(b.v * (b.y - a.y) * CASE WHEN b.x = a.x THEN 2 ELSE 1 END) / 8 AS gy, count(*) AS n {_NEAR.format("plane", 1)} GROUP BY a.y, a.x)
-        SELECT y, x, round(sqrt(gx * gx + gy * gy), 5) AS magnitude FROM g WHERE n = 9""",
-    "dilate": f"WITH {PLANE} SELECT DISTINCT y + dy::INT AS y, x + dx::INT AS x FROM plane, range(-1, 2) AS a(dy), range(-1, 2) AS b(dx) WHERE event_type = 'click'",
-    "erode": f"WITH {PLANE}, m AS (SELECT y, x FROM plane WHERE v > 3) SELECT a.y, a.x {_NEAR.format('m', 1)} GROUP BY a.y, a.x HAVING count(*) = 9",
-    "boundary_pixels": f"WITH {_MASK}, {_edge('e', 'mask')} SELECT * FROM e",
-    "boundary_match": f"""WITH {_MASK}, other AS (SELECT y, x FROM plane WHERE event_type IN ('view', 'click', 'purchase')), {_edge("a", "mask")}, {_edge("b", "other")},
-        u AS (SELECT 'target' AS side, a.y, a.x, EXISTS (SELECT 1 FROM b WHERE b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2) AS hit FROM a
-              UNION ALL SELECT 'prediction', b.y, b.x, EXISTS (SELECT 1 FROM a WHERE b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2) FROM b)
-        SELECT side, count(*) AS n, count(*) FILTER (hit) AS matched FROM u GROUP BY side""",
-    "instance_iou": f"""WITH {PLANE}, p AS (SELECT (y // 10) * 10 + x // 10 AS a, ((y + 3) // 10) * 11 + (x + 4) // 10 AS b, count(*) AS n FROM plane GROUP BY ALL),
-        s AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM p) SELECT a::INT AS a, b::INT AS b, round(n::DOUBLE / (na + nb - n), 6) AS iou FROM s""",
-    "area_resample": f"""WITH {PLANE}, c AS (
-            SELECT i::INT AS y, j::INT AS x, v, (least((y + 1) * 0.3::DOUBLE, i + 1) - greatest(y * 0.3::DOUBLE, i)) * (least((x + 1) * 0.4::DOUBLE, j + 1) - greatest(x * 0.4::DOUBLE, j)) AS w
-            FROM plane, range(30) AS r(i), range(40) AS q(j) WHERE y * 0.3::DOUBLE < i + 1 AND (y + 1) * 0.3::DOUBLE > i AND x * 0.4::DOUBLE < j + 1 AND (x + 1) * 0.4::DOUBLE > j)
-        SELECT y, x, round(sum(w * v) / sum(w), 6) AS v FROM c GROUP BY y, x""",
+    "tile_region_scan": f"WITH {PLANE} SELECT image, y, x, v FROM plane WHERE y >= 2 AND y < 42 AND x >= 5 AND x < 37",
+    "patch_features": f"WITH {_COVER} SELECT image, y0, x0, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.99), 6) AS p99 FROM covered GROUP BY image, y0, x0",
+    "patch_filter": f"WITH {_COVER}, c AS (SELECT image, y0, x0, count(*) AS n, count(*) FILTER (event_type IN ('click', 'view')) AS tissue FROM covered GROUP BY image, y0, x0) SELECT * FROM c WHERE tissue * 4 >= n",
+    "tile_stitch": f"""WITH {_COVER}, w AS (SELECT image, y0, x0, round(avg(v), 9) AS score FROM covered GROUP BY image, y0, x0)
+        SELECT image, y, x, round(avg(score), 6) AS mean, round(max(score), 6) AS high, count(*) AS windows FROM covered JOIN w USING (image, y0, x0) GROUP BY image, y, x""",
+    "token_labels": f"""WITH {PLANE}, t AS (SELECT image, y // 8 AS ty, x // 8 AS tx, avg((event_type = 'click')::INT::DOUBLE) AS share FROM plane GROUP BY ALL) SELECT image, ty, tx, round(share, 6) AS share, share >= 0.2 AS label FROM t""",
+    "heatmap": f"""WITH {SIZED}, t AS (SELECT image, y // 8 AS ty, x // 8 AS tx, avg(v) AS score FROM sized GROUP BY ALL), n AS (SELECT image, max(ty) + 1 AS rows, max(tx) + 1 AS cols FROM t GROUP BY image),
+        p AS (SELECT s.image, y, x, rows, cols, least(greatest((y + 0.5::DOUBLE) * rows / height - 0.5::DOUBLE, 0), rows - 1)::DOUBLE AS py, least(greatest((x + 0.5::DOUBLE) * cols / width - 0.5::DOUBLE, 0), cols - 1)::DOUBLE AS px FROM sized s JOIN n USING (image))
+        SELECT p.image, p.y, p.x, round(sum((1 - abs(py - ty)) * (1 - abs(px - tx)) * score) + 1e-7::DOUBLE, 5) AS v FROM p JOIN t ON t.image = p.image AND abs(py - ty) < 1 AND abs(px - tx) < 1 GROUP BY ALL""",
+    "rolling_std": f"WITH {SIZED} SELECT a.image, a.y, a.x, round(avg(b.v), 4) AS mean, round(stddev_pop(b.v), 4) AS sd {_around(2)} GROUP BY ALL",
+    "gradient": f"""WITH {SIZED}, g AS (SELECT a.image, a.y, a.x, sum(b.v * dx * CASE WHEN dy = 0 THEN 2 ELSE 1 END) / 8 AS gx, sum(b.v * dy * CASE WHEN dx = 0 THEN 2 ELSE 1 END) / 8 AS gy {_around(1)} GROUP BY ALL)
+        SELECT image, y, x, round(sqrt(gx * gx + gy * gy), 5) AS magnitude FROM g""",
+    "dilate": f"WITH {SIZED} SELECT DISTINCT b.image, b.y, b.x FROM sized a, {disk_sql(2)} d, sized b WHERE a.event_type = 'click' AND b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx",
+    "erode": f"WITH {SIZED} SELECT a.image, a.y, a.x FROM sized a, {disk_sql(1)} d, sized b WHERE b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx AND b.v > 3 GROUP BY ALL HAVING count(*) = 5",
+    "closing": f"""WITH {_MASKS}, grown AS (SELECT DISTINCT b.image, b.y, b.x FROM masks a, {disk_sql(1)} d, masks b WHERE a.a AND b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx)
+        SELECT a.image, a.y, a.x FROM grown a, {disk_sql(1)} d, grown b WHERE b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL HAVING count(*) = 5""",
+    "boundary_pixels": f"WITH {_MASKS}, {_edge('e', 'a')} SELECT * FROM e",
+    "boundary_match": f"""WITH {_MASKS}, {_edge("ea", "a")}, {_edge("eb", "b")},
+        d AS (SELECT s.image, 'a' AS side, s.y, s.x, min(sqrt(pow(s.y - o.y, 2) + pow(s.x - o.x, 2))) AS d FROM ea s JOIN eb o ON s.image = o.image GROUP BY ALL
+              UNION ALL SELECT s.image, 'b', s.y, s.x, min(sqrt(pow(s.y - o.y, 2) + pow(s.x - o.x, 2))) FROM eb s JOIN ea o ON s.image = o.image GROUP BY ALL),
+        m AS (SELECT image, count(*) FILTER (side = 'a') AS n_target, count(*) FILTER (side = 'b') AS n_predicted, count(*) FILTER (side = 'a' AND d <= 2)::DOUBLE / count(*) FILTER (side = 'a') AS r,
+                     count(*) FILTER (side = 'b' AND d <= 2)::DOUBLE / count(*) FILTER (side = 'b') AS p, avg(d) AS assd, quantile_cont(d, 0.95) AS hd95 FROM d GROUP BY image)
+        SELECT image, n_target, n_predicted, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, round(assd, 6) AS assd, round(hd95, 6) AS hd95 FROM m""",
+    "area_resample": f"""WITH {SIZED}, z AS (SELECT *, height * 3 // 10 AS rows, (height * 3 // 10) / height::DOUBLE AS sy, 40 / width::DOUBLE AS sx FROM sized), c AS (
+            SELECT image, i::INT AS y, j::INT AS x, v, (least((y + 1) * sy, i + 1) - greatest(y * sy, i)) * (least((x + 1) * sx, j + 1) - greatest(x * sx, j)) AS w
+            FROM z, range(30) AS r(i), range(40) AS q(j) WHERE i < rows AND y * sy < i + 1 AND (y + 1) * sy > i AND x * sx < j + 1 AND (x + 1) * sx > j)
+        SELECT image, y, x, round(sum(w * v) / sum(w), 6) AS v FROM c GROUP BY image, y, x""",
     "otsu": """WITH e AS (SELECT c_mktsegment AS k, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY k),
         h AS (SELECT k, low, (high - low) / 128 AS step, least(floor((c_acctbal - low) / ((high - low) / 128)), 127) AS bin, count(*) AS n FROM customer JOIN e ON k = c_mktsegment GROUP BY ALL),
         s AS (SELECT *, sum(n) OVER u AS w, sum(n * (low + (bin + 0.5::DOUBLE) * step)) OVER u AS s, sum(n) OVER a AS an, sum(n * (low + (bin + 0.5::DOUBLE) * step)) OVER a AS als FROM h
               WINDOW u AS (PARTITION BY k ORDER BY bin), a AS (PARTITION BY k)),
-        b AS (SELECT k, low + (bin + 1) * step AS t, bin, round(w * (an - w) * pow(s / w - (als - s) / (an - w), 2), 6) AS between_ FROM s WHERE bin < 127 AND an > w)
+        b AS (SELECT k, low + (bin + 0.5::DOUBLE) * step AS t, bin, round(w * (an - w) * pow(s / w - (als - s) / (an - w), 2), 6) AS between_ FROM s WHERE bin < 127 AND an > w)
         SELECT k AS c_mktsegment, round(t, 4) AS threshold FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY between_ DESC, bin) = 1""",
     "entropy": """WITH b AS (SELECT l_suppkey, least(floor(least(greatest(l_discount * 9.7::DOUBLE, 0.0), 1.0) * 32), 31) AS bin, count(*) AS n FROM lineitem GROUP BY ALL),
         p AS (SELECT l_suppkey, n / sum(n) OVER (PARTITION BY l_suppkey)::DOUBLE AS p FROM b) SELECT l_suppkey, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY l_suppkey""",
     "normalize_unit": """WITH m AS (SELECT l_suppkey, max(l_extendedprice) AS most, avg(l_extendedprice) AS mean FROM lineitem GROUP BY l_suppkey)
         SELECT l_suppkey, round(least(greatest(mean / CASE WHEN most <= 1 THEN 1.0 WHEN most <= 255 THEN 255.0 WHEN most <= 65535 THEN 65535.0 ELSE most END, 0.0), 1.0), 6) AS mean FROM m""",
     "optical_density": f"SELECT l_suppkey, round(avg({_OD.format('l_quantity / 50.0::DOUBLE')}), 6) AS od, round(max({_OD.format('l_quantity / 50.0::DOUBLE')}), 6) AS most FROM lineitem GROUP BY l_suppkey",
-    "stain_linear": f"""WITH {_RGB_SQL}, o AS (SELECT *, {_OD.format("r")} AS dr, {_OD.format("g")} AS dg, {_OD.format("b")} AS db FROM rgb)
-        SELECT l_suppkey, round(avg(greatest(1.2 * dr - 0.4 * dg + 0.3 * db, 0.0)), 6) AS first, round(avg(greatest(-0.8 * dr + 1.5 * dg - 0.2 * db, 0.0)), 6) AS second,
-               round(avg({_GRAY}), 6) AS gray, round(avg({_SAT}), 6) AS saturation FROM o GROUP BY l_suppkey""",
+    "stain_linear": f"""WITH {_RGB_SQL}, o AS (SELECT *, {_OD.format("r")} AS dr, {_OD.format("g")} AS dg, {_OD.format("b")} AS db FROM rgb),
+        -- the pseudo-inverse of two stains' densities, by the normal equations: c = (B B')^-1 B od
+        n AS (SELECT 0.650*0.650+0.704*0.704+0.286*0.286 AS hh, 0.650*0.072+0.704*0.990+0.286*0.105 AS he, 0.072*0.072+0.990*0.990+0.105*0.105 AS ee),
+        p AS (SELECT o.*, n.*, 0.650::DOUBLE * dr + 0.704::DOUBLE * dg + 0.286::DOUBLE * db AS h, 0.072::DOUBLE * dr + 0.990::DOUBLE * dg + 0.105::DOUBLE * db AS e FROM o, n)
+        SELECT l_suppkey, round(avg(greatest((ee * h - he * e) / (hh * ee - he * he), 0.0)), 6) AS first, round(avg(greatest((hh * e - he * h) / (hh * ee - he * he), 0.0)), 6) AS second,
+               round(avg({_GRAY}), 6) AS gray, round(avg({_SAT}), 6) AS saturation FROM p GROUP BY l_suppkey""",
     "tissue_predicate": f"WITH {_RGB_SQL} SELECT l_suppkey, count(*) FILTER (({_OD.format(_GRAY)} > 0.12 OR {_SAT} > 0.045) AND {_GRAY} < 0.985) AS tissue, count(*) AS n FROM rgb GROUP BY l_suppkey",
     "tail_score": """WITH q AS (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.1) AS q10, quantile_cont(c_acctbal, 0.25) AS q25, quantile_cont(c_acctbal, 0.75) AS q75, quantile_cont(c_acctbal, 0.9) AS q90 FROM customer GROUP BY c_mktsegment)
         SELECT c_custkey, round(least(greatest((c_acctbal - q10) / (q90 - q10), 0.0), 1.0), 6) AS upper, round(least(greatest((q25 - c_acctbal) / greatest(0.75 * q25, q75 - q25, 0.025), 0.0), 1.0), 6) AS low FROM customer JOIN q USING (c_mktsegment)""",
@@ -330,19 +386,23 @@ SQL = {
     "fuse_scores": """WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice / 2000.0 END AS a, CASE WHEN p_partkey % 7 <> 0 THEN p_size / 50.0::DOUBLE END AS b FROM part)
         SELECT p_partkey, round(coalesce((0.7 * a + 0.3 * b) / (0.7::DOUBLE + 0.3::DOUBLE), a, b), 6) AS score FROM s""",
     "hybrid_or": "SELECT p_brand, count(*) FILTER (p_retailprice >= 1500 OR (p_partkey % 9 <> 0 AND p_size >= 40)) AS alerts, count(*) AS n FROM part GROUP BY p_brand",
-    "inject_perturb": f"""WITH {PLANE}, l AS (SELECT *, lag(v, 3) OVER (PARTITION BY y ORDER BY x) AS shifted FROM plane), n AS (
-            SELECT s, v, CASE WHEN x BETWEEN 30 AND 45 AND shifted IS NOT NULL THEN v + (0.35::DOUBLE + 0.85::DOUBLE * s) * shifted ELSE v END AS w FROM l, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS t(s))
-        SELECT s, count(*) FILTER (w <> v) AS changed, round(avg(w), 6) AS mean FROM n GROUP BY s""",
+    "inject_perturb": f"""WITH {SIZED}, s AS (
+            SELECT *, abs(y - (height / 2.0::DOUBLE + height / 6.0::DOUBLE * sin(2 * pi() * x / width))) AS away, greatest(1.0, height / 12.0::DOUBLE) AS reach FROM sized),
+        sh AS (SELECT s.*, o.v AS shifted FROM s JOIN sized o ON o.image = s.image AND o.y = s.y AND o.x = (s.x - 3 + s.width) % s.width),
+        n AS (SELECT image, artifact, severity, v, CASE WHEN away > reach THEN v WHEN artifact = 'fold' THEN v + (0.35::DOUBLE + 0.85::DOUBLE * severity) * shifted ELSE v * 0.30::DOUBLE * (1 - severity) END AS new
+              FROM sh, (VALUES ('fold'), ('crack')) AS k(artifact), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS t(severity))
+        SELECT image, artifact, severity, count(*) FILTER (abs(new - v) > 1e-9) AS changed, round(avg(new), 6) AS mean FROM n GROUP BY ALL""",
     "incremental_score": "SELECT l_suppkey, round(sum(greatest(l_discount - l_tax, 0.0)), 4) AS gain FROM lineitem GROUP BY l_suppkey",
-    "flip_consistency": f"""WITH {PLANE}, j AS (SELECT a.y, a.v, b.v AS w FROM plane a JOIN plane b ON a.y = b.y AND b.x = 99 - a.x)
-        SELECT y, round(avg(abs(v - w)), 6) AS mae, round(CASE WHEN count(*) FILTER (v > 2) + count(*) FILTER (w > 2) = 0 THEN 1.0 ELSE 2.0 * count(*) FILTER (v > 2 AND w > 2) / (count(*) FILTER (v > 2) + count(*) FILTER (w > 2)) END, 6) AS dice FROM j GROUP BY y""",
-    "robust_scale": f"""WITH {VECTORS}, d AS (SELECT unnest(range(64))::INT AS d, unnest(embedding) AS x FROM vectors WHERE role = 'fit')
-        SELECT d, round(quantile_cont(x, 0.5), 6) AS center, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS spread FROM d GROUP BY d""",
+    "flip_consistency": f"""WITH {SIZED}, j AS (SELECT a.image, a.y, a.v, b.v AS w FROM sized a JOIN sized b ON a.image = b.image AND a.y = b.y AND b.x = a.width - 1 - a.x)
+        SELECT image, y, round(avg(abs(v - w)), 6) AS mae, round(CASE WHEN count(*) FILTER (v > 30) + count(*) FILTER (w > 30) = 0 THEN 1.0 ELSE 2.0 * count(*) FILTER (v > 30 AND w > 30) / (count(*) FILTER (v > 30) + count(*) FILTER (w > 30)) END, 6) AS dice FROM j GROUP BY image, y""",
+    "robust_scale": f"""WITH {VECTORS}, d AS (SELECT unnest(range(64))::INT AS d, unnest(embedding) AS x FROM vectors WHERE role = 'fit'), c AS (SELECT d, quantile_cont(x, 0.5) AS center FROM d GROUP BY d),
+        m AS (SELECT d, any_value(center) AS center, 1.4826::DOUBLE * quantile_cont(abs(x - center), 0.5) AS mad, stddev_pop(x) AS sd FROM d JOIN c USING (d) GROUP BY d)
+        SELECT d, round(center, 6) AS center, round(CASE WHEN mad > 1e-12 THEN mad WHEN sd > 1e-12 THEN sd ELSE 1.0 END, 6) AS spread FROM m""",
     "mahalanobis_diag": f"""WITH {VECTORS}, d AS (SELECT id, label, role, unnest(range(64)) AS d, unnest(embedding) AS x FROM vectors), m AS (SELECT d, avg(x) AS mean, stddev_samp(x) AS sd FROM d WHERE role = 'fit' AND label <= 6 GROUP BY d)
         SELECT id, round(sqrt(avg(pow((x - mean) / sd, 2))), 5) AS score FROM d JOIN m USING (d) WHERE role = 'test' AND sd > 0 GROUP BY id""",
     "patch_knn": f"""WITH {VECTORS}, u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM vectors),
         d AS (SELECT a.id, list_distance(a.e, b.e) AS dist FROM u a, u b WHERE a.role = 'test' AND b.role = 'fit' AND b.label <= 6),
         k AS (SELECT id, dist FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist) <= 5) SELECT id, round(avg(dist), 5) AS score FROM k GROUP BY id""",
-    "vector_agreement": f"""WITH {VECTORS}, l AS (SELECT id, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY id) AS b FROM vectors)
-        SELECT id, round(list_cosine_similarity(a, b), 5) AS cosine, round(list_max(list_transform(list_zip(a, b), lambda p: abs(p[1] - p[2]))), 5) AS most FROM l WHERE b IS NOT NULL""",
+    "vector_agreement": f"""WITH {VECTORS}, l AS (SELECT x.id, x.embedding AS a, y.embedding AS b FROM vectors x JOIN vectors y ON y.id = x.id - 1)
+        SELECT id, round(list_cosine_similarity(a, b), 5) AS cosine, round(list_max(list_transform(list_zip(a, b), lambda p: abs(p[1] - p[2]))), 5) AS most FROM l""",
 }

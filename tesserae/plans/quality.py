@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,17 +133,18 @@ def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"),
-        F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"), F.round(F.max(value), 6).alias("max"), F.round(F.sum(value), 3).alias("total"),
-    )
+    rows, value = table(spark, sf_dir, "events"), F.col("value")
+    middle = ranking.quantile_columns(rows, ["event_type"], "value", median=0.5, p95=0.95)
+    found = rows.groupBy("event_type").agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("max"), F.round(F.sum(value), 3).alias("total"))
+    return found.join(middle, "event_type").withColumns({x: F.round(x, 6) for x in ("median", "p95")})
 
 
 def finite_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median of finite quotients only."""
-    value = F.try_divide("s_acctbal", F.col("s_suppkey") % 3)
-    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"), F.count(value).alias("n"))
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", F.try_divide("s_acctbal", F.col("s_suppkey") % 3).alias("v"))
+    middle = ranking.quantile_columns(rows, ["s_nationkey"], "v", median=0.5)
+    found = rows.groupBy("s_nationkey").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"))
+    return found.join(middle, "s_nationkey", "left").withColumn("median", F.round("median", 6))
 
 
 def rollup_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +159,9 @@ def group_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aggregate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("image_score")
-    stats = {"mean": F.avg(s), "median": F.percentile(s, F.lit(0.5)), "low": F.min(s), "high": F.max(s)}
-    return fields(spark, sf_dir).groupBy("stratum", "label").agg(F.count(s).alias("n"), *[F.round(x, 6).alias(k) for k, x in stats.items()])
+    rows, s, by = fields(spark, sf_dir), F.col("image_score"), ["stratum", "label"]
+    found = rows.groupBy(*by).agg(F.count(s).alias("n"), *[F.round(x, 6).alias(k) for k, x in {"mean": F.avg(s), "low": F.min(s), "high": F.max(s)}.items()])
+    return found.join(ranking.quantile_columns(rows, by, "image_score", median=0.5), by, "left").withColumn("median", F.round("median", 6))
 
 
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +257,16 @@ _DRAWS = f"""WITH {FIELDS}, clusters AS (
 _INTERVAL = "count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper"
 
 
+def _poisson() -> list[float]:
+    """Chances of at most k draws of a mean of one, k = 0, 1, ..."""
+    levels, total, part = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += part
+        levels.append(total)
+        part /= k + 1
+    return levels
+
+
 def bootstrap_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled overlap of slides resampled within strata."""
     dice = rates.ratio(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"), 1.0)
@@ -267,17 +280,72 @@ def bootstrap_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return obs(spark, sf_dir).where("valid").groupBy("slide").agg(F.round(F.percentile("score", F.lit(0.995)), 6).alias("image_score"))
+    found = ranking.quantile_columns(obs(spark, sf_dir).where("valid"), ["slide"], "score", image_score=0.995)
+    return found.withColumn("image_score", F.round("image_score", 6))
 
 
 def calibration_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold at the 99th percentile of calibration rows, and the share of the others above it."""
     rows = obs(spark, sf_dir).withColumn("calibration", F.col("slide") % 4 == 0)
-    limit = rows.where("calibration").groupBy("stratum").agg(F.percentile("score", F.lit(0.99)).alias("threshold"))
-    found = rows.where("NOT calibration").join(F.broadcast(limit), "stratum")
+    limit = ranking.quantile_columns(rows.where("calibration"), ["stratum"], "score", threshold=0.99)
+    found = rows.where("NOT calibration").join(limit, "stratum")
     return found.groupBy("stratum").agg(F.round(F.first("threshold"), 6).alias("threshold"), F.round(F.avg((F.col("score") > F.col("threshold")).cast("double")), 6).alias("alert_rate"))
 
 
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean overlap of samples with a valid area, samples drawn anew."""
+    rows = fields(spark, sf_dir).where("n_valid > 0")
+    dice = rates.pixel_metrics(*[F.col(x) for x in confusion.COUNTS])["dice"]
+    return bootstrap.by_sample(rows, "sample", dice, 40, 7).drop("statistic")
+
+
+def bootstrap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap and mean score of all strata together, slides drawn anew."""
+    rows = fields(spark, sf_dir).where("n_valid > 0").groupBy("slide").agg(*[F.sum(x).alias(x) for x in confusion.COUNTS], F.avg("image_score").alias("v"))
+    drawn = bootstrap.resample(rows, [], "slide", 100, 7)
+    dice = rates.ratio(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"), 1.0)
+    values = drawn.groupBy("replicate").agg(dice.alias("pooled_dice"), F.avg("v").alias("mean_score"))
+    return bootstrap.interval(values.unpivot(["replicate"], ["pooled_dice", "mean_score"], "metric", "value"), ["metric"], "value")
+
+
+def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of three thresholds' overlap, as methods, on the same drawn slides."""
+    rows, named = obs(spark, sf_dir), {"low": 0.4, "middle": 0.6, "high": 0.8}
+    rows = rows.withColumn("m", F.explode(F.array(*[F.struct(F.lit(k).alias("method"), F.lit(x).alias("cut")) for k, x in named.items()]))).select("*", "m.*")
+    counts = confusion.confusion(rows, ["slide", "method"], F.col("target"), F.col("score") >= F.col("cut"), F.col("valid")).where("n_valid > 0")
+    values = counts.select("slide", "method", rates.pixel_metrics(*[F.col(x) for x in confusion.COUNTS])["dice"].alias("dice"))
+    return bootstrap.paired(values, [], "slide", "method", "dice", 100, 7)
+
+
+def _slide_role() -> F.Column:
+    """Calibration or test, by the slide's hash."""
+    return F.when(F.substring(F.sha2(F.col("slide").cast("string"), 256), 1, 1) < "8", "calibration").otherwise("test")
+
+
+def locked_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold chosen on the calibration slides of each stratum, locked, and applied to its test slides: pooled counts,
+    metrics, clean alert rate and the samples of each presence category."""
+    rows = obs(spark, sf_dir).withColumn("role", _slide_role())
+    locked = ranking.best_threshold(rows.where("role = 'calibration' AND valid"), ["stratum"]).select("stratum", "threshold")
+    test = rows.where("role = 'test'").join(locked, "stratum")
+    counts = confusion.confusion(test, ["stratum", "threshold"], F.col("target"), F.col("score") >= F.col("threshold"), F.col("valid"))
+    samples = test.groupBy("stratum", "sample").agg((F.count_if("target") > 2).alias("label"), (F.max("score") >= F.first("threshold")).alias("called"))
+    kinds = samples.groupBy("stratum").agg(*[F.count_if(rates.category(F.col("label"), F.col("called")) == k).alias(f"samples_{k.lower()}") for k in ("TP", "FP", "FN", "TN")])
+    found = confusion.metrics(counts, ["dice", "precision", "recall"]).join(kinds, "stratum")
+    return found.withColumn("threshold", F.round("threshold", 6))
+
+
+def logo_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of seven groups of slides held out in turn: the threshold of the others, and the held-out group's overlap."""
+    rows = obs(spark, sf_dir).where("valid").withColumn("fold", F.col("slide") % 7)
+    counts = ranking.score_counts(rows, ["fold"]).withColumnRenamed("fold", "own")
+    # a fold's calibration is all counts of the other folds
+    folds = counts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(6)))).where("fold <> own")
+    locked = ranking.best_of_counts(folds.groupBy("fold", "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), ["fold"]).select("fold", "threshold")
+    held = confusion.confusion(rows.join(locked, "fold"), ["fold", "threshold"], F.col("target"), F.col("score") >= F.col("threshold"), F.lit(True))
+    return confusion.metrics(held, ["dice", "recall"]).withColumn("threshold", F.round("threshold", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -285,6 +353,7 @@ QUERIES = {
         aggregate_results, burden_metrics, grouping_sets, comparison_rows, runtime_summary, finite_mean, rollup_support, group_macro, aggregate_rows,
         average_precision, ap_diagnostics, auroc_rank, spearman, threshold_sweep, image_threshold, ecdf_rank, presence_category, outcome_recompute,
         paired_difference, paired_contrast, sensitivity_delta, bootstrap_stratified, bootstrap_group, image_score, calibration_quantile,
+        bootstrap_ci, bootstrap_cluster, bootstrap_paired, locked_eval, logo_eval,
     )
 }
 
@@ -401,4 +470,34 @@ SQL = {
     "image_score": f"WITH {OBS} SELECT slide, round(quantile_cont(score, 0.995), 6) AS image_score FROM obs WHERE valid GROUP BY slide",
     "calibration_quantile": f"""WITH {OBS}, t AS (SELECT stratum, quantile_cont(score, 0.99) AS threshold FROM obs WHERE slide % 4 = 0 GROUP BY stratum)
         SELECT stratum, round(any_value(threshold), 6) AS threshold, round(avg((score > threshold)::INT::DOUBLE), 6) AS alert_rate FROM obs JOIN t USING (stratum) WHERE slide % 4 <> 0 GROUP BY stratum""",
+    "bootstrap_ci": f"""WITH {FIELDS}, d AS (SELECT sample, {_DICE} AS v FROM fields WHERE n_valid > 0),
+        u AS (SELECT v, replicate, ('0x' || substr(sha256('7|' || sample || '|' || replicate), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS unit FROM d, range(40) AS r(replicate)),
+        t AS (SELECT v, replicate, {" + ".join(f"(unit >= {x!r}::DOUBLE)::INT" for x in _poisson())} AS times FROM u),
+        m AS (SELECT replicate, sum(v * times) / nullif(sum(times), 0) AS value FROM t GROUP BY replicate) SELECT {_INTERVAL} FROM m""",
+    "bootstrap_cluster": f"""WITH {FIELDS}, clusters AS (SELECT slide, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(image_score) AS v FROM fields WHERE n_valid > 0 GROUP BY slide),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY slide) - 1 AS place, count(*) OVER () AS n FROM clusters),
+        drawn AS (SELECT replicate, (('0x' || substr(sha256('7|' || replicate || '|' || place), 1, 12))::BIGINT % n) AS place FROM numbered, range(100) AS r(replicate)),
+        v AS (SELECT replicate, 2.0::DOUBLE * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS pooled_dice, avg(v) AS mean_score FROM drawn JOIN numbered USING (place) GROUP BY replicate),
+        l AS (SELECT 'pooled_dice' AS metric, pooled_dice AS value FROM v UNION ALL SELECT 'mean_score', mean_score FROM v) SELECT metric, {_INTERVAL} FROM l GROUP BY metric""",
+    "bootstrap_paired": f"""WITH {OBS}, m AS (SELECT * FROM (VALUES ('low', 0.4::DOUBLE), ('middle', 0.6::DOUBLE), ('high', 0.8::DOUBLE)) AS t(method, cut)),
+        c AS (SELECT slide, method, count(*) FILTER (valid AND target AND score >= cut) AS tp, count(*) FILTER (valid AND NOT target AND score >= cut) AS fp, count(*) FILTER (valid AND target AND NOT score >= cut) AS fn,
+                     count(*) FILTER (valid) AS n_valid FROM obs, m GROUP BY ALL), d AS (SELECT slide, method, {_DICE} AS v FROM c WHERE n_valid > 0),
+        numbered AS (SELECT slide, row_number() OVER (ORDER BY slide) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT slide FROM d)),
+        drawn AS (SELECT replicate, (('0x' || substr(sha256('7|' || replicate || '|' || place), 1, 12))::BIGINT % n) AS place FROM numbered, range(100) AS r(replicate)),
+        v AS (SELECT x.method AS a, y.method AS b, replicate, avg(x.v - y.v) AS value FROM drawn JOIN numbered USING (place) JOIN d x USING (slide) JOIN d y USING (slide) WHERE x.method < y.method GROUP BY ALL)
+        SELECT a, b, {_INTERVAL} FROM v GROUP BY a, b""",
+    "locked_eval": f"""WITH {OBS}, r AS (SELECT *, CASE WHEN substr(sha256(slide::VARCHAR), 1, 1) < '8' THEN 'calibration' ELSE 'test' END AS role FROM obs),
+        v AS (SELECT * FROM r WHERE role = 'calibration' AND valid), {_STEPS.format(by="stratum", rows="v")}, {_SWEEP.format(by="stratum")},
+        m AS (SELECT stratum, threshold, round(2.0 * tp / (2 * tp + fp + fn), 12) AS dice, round(tp::DOUBLE / (tp + fp), 12) AS precision FROM cells),
+        l AS (SELECT stratum, threshold FROM m QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY m.dice DESC, m.precision DESC, m.threshold DESC) = 1),
+        t AS (SELECT r.*, threshold FROM r JOIN l USING (stratum) WHERE role = 'test'),
+        c AS (SELECT stratum, threshold, {COUNTS.replace("score >= 0.6", "score >= threshold")}, count(*) FILTER (valid) AS n_valid FROM t GROUP BY ALL),
+        s AS (SELECT stratum, sample, count(*) FILTER (target) > 2 AS label, max(score) >= any_value(threshold) AS called FROM t GROUP BY ALL),
+        k AS (SELECT stratum, count(*) FILTER (label AND called) AS samples_tp, count(*) FILTER (NOT label AND called) AS samples_fp, count(*) FILTER (label AND NOT called) AS samples_fn, count(*) FILTER (NOT label AND NOT called) AS samples_tn FROM s GROUP BY stratum)
+        SELECT x.* EXCLUDE (specificity, iou, threshold), round(threshold, 6) AS threshold, samples_tp, samples_fp, samples_fn, samples_tn FROM (SELECT *, {METRICS} FROM c) x JOIN k USING (stratum)""",
+    "logo_eval": f"""WITH {OBS}, r AS (SELECT *, slide % 7 AS own FROM obs WHERE valid), v AS (SELECT r.*, fold FROM r, range(7) AS f(fold) WHERE fold <> own), {_STEPS.format(by="fold", rows="v")}, {_SWEEP.format(by="fold")},
+        m AS (SELECT fold, threshold, round(2.0 * tp / (2 * tp + fp + fn), 12) AS dice, round(tp::DOUBLE / (tp + fp), 12) AS precision FROM cells),
+        l AS (SELECT fold, threshold FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY m.dice DESC, m.precision DESC, m.threshold DESC) = 1),
+        c AS (SELECT own AS fold, threshold, {COUNTS.replace("score >= 0.6", "score >= threshold")}, count(*) AS n_valid FROM r JOIN l ON own = fold GROUP BY ALL)
+        SELECT x.* EXCLUDE (specificity, iou, precision, threshold), round(threshold, 6) AS threshold FROM (SELECT *, {METRICS} FROM c) x""",
 }

@@ -188,8 +188,6 @@ def role_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that share a nation or a rounded balance."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("nation"), F.floor(F.col("s_acctbal") / 10).alias("balance"))
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "spark-warehouse/checkpoints"))
     return linking.shared_components(rows, "s_suppkey", ["nation", "balance"])
 
 

@@ -80,12 +80,20 @@ RECORDS = """records AS (
 
 
 def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as an image plane, 100 cells wide."""
-    rows = table(spark, sf_dir, "events")
-    return rows.select(F.floor(F.col("event_id") / 100).cast("int").alias("y"), (F.col("event_id") % 100).cast("int").alias("x"), F.round("value", 3).alias("v"), "event_type")
+    """Events as images of 100 by 100 cells, the last one as high as its events reach: a value, a kind, three channels."""
+    rows, at = table(spark, sf_dir, "events"), F.col("event_id") % 10_000
+    return rows.select(
+        F.floor(F.col("event_id") / 10_000).alias("image"), F.floor(at / 100).cast("int").alias("y"), (at % 100).cast("int").alias("x"),
+        F.round("value", 3).alias("v"), "event_type", (50.0 / (50.0 + F.round("value", 3))).alias("r"),
+        ((F.col("user_id") % 50 + 1) / 50.0).alias("g"), ((F.col("event_id") % 23) / 22.0).alias("b"),
+    )
 
 
-PLANE = "plane AS (SELECT (event_id // 100)::INT AS y, (event_id % 100)::INT AS x, round(value, 3) AS v, event_type FROM events)"
+PLANE = """plane AS (
+    SELECT event_id // 10000 AS image, (event_id % 10000 // 100)::INT AS y, (event_id % 100)::INT AS x, round(value, 3) AS v, event_type,
+           50.0::DOUBLE / (50.0::DOUBLE + round(value, 3)) AS r, (user_id % 50 + 1) / 50.0::DOUBLE AS g, (event_id % 23) / 22.0::DOUBLE AS b
+    FROM events)"""
+SIZED = f"{PLANE}, sized AS (SELECT *, max(y) OVER (PARTITION BY image) + 1 AS height, max(x) OVER (PARTITION BY image) + 1 AS width FROM plane)"
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae import schema
 from tesserae.functions import checks, rates
-from tesserae.operators import audits, bootstrap, confusion, grid, linking, neighbors, ranking, splits
+from tesserae.operators import anomaly, audits, bootstrap, confusion, grid, linking, neighbors, probe, ranking, splits
 
 
 def one(df):
@@ -90,13 +91,12 @@ def test_first_record_owns_a_leaked_key(spark):
 
 def test_components_follow_chains_and_nulls_link_nothing(spark):
     rows = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, None, "x"), (4, None, None), (5, "z", None)], "id int, p string, q string")
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     got = {x.id: x.component for x in linking.shared_components(rows, "id", ["p", "q"]).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
-@pytest.mark.parametrize("part", [7, 20_000])
-def test_knn_is_exact_over_parts(spark, part):
+@pytest.mark.parametrize("part", [7, 8192])
+def test_knn_is_exact_over_blocks(spark, part):
     rng = np.random.default_rng(0)
     rows, bank = rng.normal(size=(9, 4)), rng.normal(size=(30, 4))
     make = lambda a: spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(a)], "id long, embedding array<double>")
@@ -124,7 +124,7 @@ def test_issues_and_status(spark):
 
 def test_empty_tables(spark):
     rows = spark.createDataFrame([], "g int, score double, target boolean, y int, x int, v double")
-    for df in (ranking.average_precision(rows, ["g"]), ranking.best_threshold(rows, ["g"]), grid.otsu(rows, ["g"], "v"), grid.gradient(rows), grid.boundary(rows), splits.reservoir(rows, 3, F.col("g"))):
+    for df in (ranking.average_precision(rows, ["g"]), ranking.best_threshold(rows, ["g"]), grid.otsu(rows, ["g"], "v"), splits.reservoir(rows, 3, F.col("g"))):
         assert df.count() == 0
 
 
@@ -135,3 +135,77 @@ def test_scans_read_few_columns_and_push_filters(spark, sf_dir):
     plan = confusion_counts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "partial_count" in plan
     assert "props" not in tile_region_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1990, "a").otherwise("b").alias("g"), "id", (F.col("id") % 7).alias("n"))
+    got = ranking.running(rows, ["g"], F.col("id").desc(), ["n"]).collect()
+    up = 0
+    for x in sorted((x for x in got if x.g == "a"), key=lambda x: -x.id):
+        up += x.n
+        assert x.up_n == up and x.all_n == sum(i % 7 for i in range(1990))
+
+
+def test_quantiles_are_linear(spark):
+    values = [3.0, 1.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, None]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 2.0)], "g string, v double")
+    got = {(x.g, x.level): x.value for x in ranking.quantiles(rows, ["g"], "v", [0.0, 0.25, 0.3, 0.5, 0.99, 1.0]).collect()}
+    for q in (0.0, 0.25, 0.3, 0.5, 0.99, 1.0):
+        assert got["a", q] == pytest.approx(np.quantile([v for v in values if v is not None], q)) and got["b", q] == 2.0
+
+
+def test_split_sizes_of_tables(spark):
+    rows = spark.createDataFrame([(n, n) for n in range(3, 60)], "g int, n long")
+    shares = {"fit": 0.7, "calibration": 0.2, "test": 0.1}
+    got = {}
+    for x in splits.sizes_by_remainder(rows, ["g"], shares).collect():
+        got.setdefault(x.g, {})[x.role] = x["size"]
+    assert got == {n: dict(zip(shares, splits.split_sizes(n, tuple(shares.values())), strict=True)) for n in range(3, 60)}
+
+
+def test_balanced_groups_are_as_good_as_the_best(spark):
+    weights, sizes = [9, 7, 6, 5, 5, 3, 2, 1], {"a": 3, "b": 3, "c": 2}
+    groups = spark.createDataFrame([("s", k, w) for k, w in enumerate(weights)], "s string, k int, w int")
+    places = spark.createDataFrame([("s", r, n) for r, n in sizes.items()], "s string, role string, size int")
+    got = splits.balanced(groups, ["s"], "k", "w", places, 1).collect()
+    cost = lambda role: sum(abs(sum(weights[k] for k in range(8) if role[k] == r) - sum(weights) * n / 8) for r, n in sizes.items())
+    deals = {p for p in permutations("aaabbbcc")}
+    assert sorted(x.role for x in got) == list("aaabbbcc")
+    assert cost({int(x.group): x.role for x in got}) <= min(map(cost, deals)) + 1.0
+
+
+def test_anomaly_scores_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    clean, rows = rng.normal(size=(80, 6)) * [1, 5, 0.1, 2, 0, 3], rng.normal(size=(7, 6)) * 4
+    make = lambda a: spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(a)], "id long, embedding array<double>")
+    got = {x.id: x.score for x in anomaly.scores(make(rows), anomaly.fit(make(clean))).collect()}
+    center = np.median(clean, axis=0)
+    mad = 1.4826 * np.median(np.abs(clean - center), axis=0)
+    scale = np.where(mad > 1e-12, mad, np.where(clean.std(axis=0) > 1e-12, clean.std(axis=0), 1))
+    z = np.clip((clean - center) / scale, -20, 20)
+    _, size, directions = np.linalg.svd(z, full_matrices=False)
+    directions = directions[: int(np.searchsorted(np.cumsum(size**2) / (size**2).sum(), 0.98)) + 1].T
+    low = z @ directions
+    middle = np.median(low, axis=0)
+    spread = (low - middle).T @ (low - middle) / (len(low) - 1)
+    precision = np.linalg.pinv(0.85 * spread + 0.15 * np.diag(np.diag(spread)) + 1e-6 * np.eye(len(middle)))
+    far = np.clip((rows - center) / scale, -50, 50) @ directions - middle
+    assert [got[i] for i in range(7)] == pytest.approx(np.sqrt(np.einsum("ij,jk,ik->i", far, precision, far)).tolist(), rel=1e-6)
+
+
+def test_probe_separates_and_balances(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=(300, 3)), rng.normal(size=(20, 3)) + [2, 0, 0]))
+    rows = spark.createDataFrame([(i, [float(v) for v in r], i >= 300) for i, r in enumerate(x)], "id long, embedding array<double>, positive boolean")
+    got = {r.id: r.score for r in probe.scores(rows, probe.fit(rows, "positive")).collect()}
+    z, y = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1), np.arange(320) >= 300
+    weight, w, b = np.where(y, 0.5 / 20, 0.5 / 300), np.zeros(3), 0.0
+    for _ in range(50):  # Newton's steps
+        p = 1 / (1 + np.exp(-(z @ w + b)))
+        design = np.column_stack((z, np.ones(320)))
+        gradient = design.T @ (weight * (p - y)) + 1e-3 * np.array([*w, 0])
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.diag([1, 1, 1, 0])
+        w, b = (np.array([*w, b]) - np.linalg.solve(hessian, gradient))[:3], (np.array([*w, b]) - np.linalg.solve(hessian, gradient))[3]
+    assert [got[i] for i in range(320)] == pytest.approx((1 / (1 + np.exp(-(z @ w + b)))).tolist(), abs=1e-4)
+    with pytest.raises(ValueError):
+        probe.fit(rows.where("positive"), "positive")
