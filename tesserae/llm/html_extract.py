@@ -1,14 +1,17 @@
 """Main text of web pages, from the standard library's parser events.
 
-Blocks of text are measured by their ratio of text to tags. The ratios, smoothed by a Gaussian along the page, fall
-into two clusters, of which the upper marks the page's content. The element that holds the content is found by it, and
-every block inside that element stands, short ones too; menus, notices, forms and other page furniture never do.
+Blocks of text are measured by their ratio of text to tags. The ratios, smoothed by a Gaussian along the page and
+weighed up inside article and main elements, fall into two clusters, of which the upper marks the page's content. The
+elements that hold it are the regions of the text, whatever their names, and every block inside them stands, short ones
+too; menus, notices and other page furniture never do, forms only where they hold content. Time and memory grow with the
+page's length, however deep its elements are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -23,10 +26,10 @@ BLOCK = frozenset(
     " header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split()
 )
 FURNITURE = frozenset(
-    "aside button canvas datalist dialog embed footer form head iframe input label map math menu nav noembed noframes noscript object"
+    "aside button canvas datalist dialog embed footer head iframe input label map math menu nav noembed noframes noscript object"
     " optgroup option script search select style svg template textarea title video audio".split()
 )
-ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 #: Words of class and id names.
 NAMES = frozenset(
     "ad ads adbox adslot advert advertisement adverts advertising banner banners billboard breadcrumb breadcrumbs comment comments"
@@ -43,6 +46,7 @@ DOUBTFUL = frozenset(
 )
 #: A name hides none of these inside an article or main element.
 TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+INLINE = TEXTUAL | frozenset("a b blockquote dd dt em i li pre span strong td th tr".split())
 #: After these, a name says what a page has or lacks.
 WITHOUT = frozenset("no not has with without".split())
 #: These hold an article's own header.
@@ -66,6 +70,7 @@ class Element:
     parent: int
     hidden: bool
     doubt: int = 0  # outermost element with a doubtful name that holds it
+    inside: bool = False  # of an article or main element, or one itself
 
 
 @dataclass
@@ -100,7 +105,8 @@ def is_furniture(tag: str, attributes: list[tuple[str, str | None]], inside: boo
 
 
 def is_doubtful(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    """Whether a name makes what an article holds doubtful; its text decides. An article's own header is not."""
+    """Whether a form, or what an article holds under such a name, is doubtful; its text decides. An article's own header
+    is not."""
     if tag in TEXTUAL or tag in CONTENT:
         return False
     return any(name in ("class", "id") and any(_named(x, DOUBTFUL - {"header"}) for x in (value or "").split()) for name, value in attributes)
@@ -114,6 +120,7 @@ class _Reader(HTMLParser):
         self.elements = [Element("", -1, False)]
         self.open = [0]
         self.blocks: list[Block] = []
+        self.counts: Counter[str] = Counter()
         self.fresh = True
         self.links = 0
 
@@ -122,6 +129,7 @@ class _Reader(HTMLParser):
 
     def _pop(self) -> None:
         gone = self.elements[self.open.pop()]
+        self.counts[gone.tag] -= 1
         self.fresh |= gone.tag in BLOCK
         self.links -= gone.tag == "a"
 
@@ -145,11 +153,12 @@ class _Reader(HTMLParser):
                     self._pop()
             elif name in _SCOPE:
                 break
-        inside = any(self.elements[x].tag in CONTENT for x in self.open)
+        inside = self._top().inside
         hidden = self._top().hidden or is_furniture(tag, attrs, inside)
-        doubt = self._top().doubt or (len(self.elements) if inside and not hidden and is_doubtful(tag, attrs) else 0)
-        self.elements.append(Element(tag, self.open[-1], hidden, doubt))
+        doubt = self._top().doubt or (len(self.elements) if not hidden and (tag == "form" or inside and is_doubtful(tag, attrs)) else 0)
+        self.elements.append(Element(tag, self.open[-1], hidden, doubt, inside or tag in CONTENT))
         self.open.append(len(self.elements) - 1)
+        self.counts[tag] += 1
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -169,11 +178,10 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._tag()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.elements[self.open[k]].tag == tag:
-                while len(self.open) > k:
-                    self._pop()
-                break
+        if self.counts[tag]:
+            while self._top().tag != tag:
+                self._pop()
+            self._pop()
         if tag in BLOCK:
             self.fresh = True
 
@@ -201,24 +209,28 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="symmetric"), weights / weights.sum(), "valid")
 
 
-def upper_cluster(values: np.ndarray) -> np.ndarray:
-    """Which values belong to the upper of two clusters, by the threshold between their means."""
+def two_means(values: np.ndarray) -> float:
+    """The threshold between the means of two clusters of values; the least value if they are all alike."""
     low, high = float(values.min()), float(values.max())
     while True:
         upper = values >= (low + high) / 2
         if upper.all() or not upper.any():
-            return upper
+            return float(values.min())
         means = float(values[~upper].mean()), float(values[upper].mean())
         if means == (low, high):
-            return upper
+            return (low + high) / 2
         low, high = means
 
 
 @dataclass(frozen=True)
 class HtmlExtraction:
-    """``sigma``: of the smoothing, in blocks."""
+    """``sigma``: of the smoothing, in blocks; ``prior``: weight of the ratio inside article and main elements;
+    ``threshold``: in units of that between the two clusters; ``share``: of the content, for a region of its own."""
 
     sigma: float = 1.5
+    prior: float = 1.5
+    threshold: float = 1.0
+    share: float = 0.15
 
     def main_text(self, html: str | None) -> str:
         """Blocks of the main text, one a line; empty without any."""
@@ -227,16 +239,14 @@ class HtmlExtraction:
         reader = _Reader()
         reader.feed(html)
         reader.close()
-        elements, blocks = reader.elements, []
-        for block in reader.blocks:
-            text = " ".join("".join(block.text).split())
-            if text:
-                blocks.append((block, text))
+        elements = reader.elements
+        blocks = [(block, text) for block in reader.blocks if (text := " ".join("".join(block.text).split()))]
         if not blocks:
             return ""
         ratio = np.array([(len(text) - min(len(text), block.linked)) / block.tags for block, text in blocks])
-        content = upper_cluster(smooth(ratio, self.sigma))
-        # what has a doubtful name stays if half of its text, at least, is content and not links
+        score = smooth(ratio, self.sigma) * np.where([elements[block.element].inside for block, _ in blocks], self.prior, 1.0)
+        content = score >= self.threshold * two_means(score)
+        # what is doubtful stays if half of its text, at least, is content and not links
         total: dict[int, list[int]] = {}
         for (block, text), chosen in zip(blocks, content, strict=True):
             if doubt := elements[block.element].doubt:
@@ -248,65 +258,66 @@ class HtmlExtraction:
         blocks, content = [x for x, y in zip(blocks, stay, strict=True) if y], content[np.array(stay)]
         if not blocks:
             return ""
-        weight = np.zeros(len(elements))
+        content |= not content.any()
+        weight, filled = np.zeros(len(elements)), np.zeros(len(elements), bool)
         for (block, text), chosen in zip(blocks, content, strict=True):
+            filled[block.element] = True
             if chosen:
                 weight[block.element] += len(text)
-        children: dict[int, list[int]] = {}
+        children: list[list[int]] = [[] for _ in elements]
         for k in range(len(elements) - 1, 0, -1):  # parents come before their children
             weight[elements[k].parent] += weight[k]
-            children.setdefault(elements[k].parent, []).append(k)
-        inside = np.zeros(len(elements), bool)
-        named = [k for k, x in enumerate(elements) if x.tag in CONTENT and not x.hidden]
-        filled = np.zeros(len(elements), bool)
-        filled[[block.element for block, _ in blocks]] = True
-        for k in range(len(elements) - 1, 0, -1):
             filled[elements[k].parent] |= filled[k]
-        named = [k for k in named if filled[k]]
-        flat, lead = bool(named), range(0)
-        if named:
-            inside[named] = True
-        else:
-            at = 0
-            while True:
-                best = max(children.get(at, ()), key=lambda k: weight[k], default=None)
-                if best is None or weight[best] < weight[at] or elements[best].tag in ("p", "pre", "blockquote", "span", "b", "a", "i", "em", "strong", "li"):
-                    break
-                at = best
-            at, lead = self._to_heading(elements, [block.element for block, _ in blocks], at)
-            inside[at] = True
+            children[elements[k].parent].append(k)
+        regions = self._regions(elements, children, weight)
+        inside = np.zeros(len(elements), bool)
+        inside[regions] = True
+        whole = np.zeros(len(elements), bool)  # regions of which no block is left out
+        if any(elements[k].tag in CONTENT for k in regions):
+            whole[[k for k, x in enumerate(elements) if x.tag in CONTENT and not x.hidden and filled[k]]] = True
+            inside |= whole
         for k in range(1, len(elements)):
             inside[k] |= inside[elements[k].parent]
-        out = [
+            whole[k] |= whole[elements[k].parent]
+        lead = range(0) if whole.any() else self._lead(elements, [block.element for block, _ in blocks], inside)
+        return "\n".join(
             text
             for i, (block, text) in enumerate(blocks)
-            if (inside[block.element] or i in lead) and (flat or block.linked <= 0.5 * len(text) or weight[block.element] > 0)
-        ]
-        return "\n".join(out)
-
-    def _to_heading(self, elements: list[Element], owners: list[int], at: int) -> tuple[int, range]:
-        """The element that holds ``at`` and the heading before it, if that is less than the page; else ``at``, and the
-        blocks (``owners``: their elements) from the heading on."""
-
-        def above(k: int) -> list[int]:
-            out = []
-            while k >= 0:
-                out.append(k)
-                k = elements[k].parent
-            return out
-
-        paths = [above(k) for k in owners]
-        first = next((i for i, x in enumerate(paths) if at in x), 0)
-        for tag in ("h1", "h2"):
-            heads = [i for i, x in enumerate(paths) if any(elements[k].tag == tag for k in x)]
-            if any(at in paths[i] for i in heads):
+            if i in lead or inside[block.element] and (whole[block.element] or block.linked <= 0.5 * len(text) or weight[block.element] > 0)
+        )
+
+    def _regions(self, elements: list[Element], children: list[list[int]], weight: np.ndarray) -> list[int]:
+        """The lowest elements that hold the content, or the article or main elements around them.
+
+        Content in several parts of the page has a region in each part that holds a share of it.
+        """
+        out, todo = [], [0]
+        while todo:
+            at = todo.pop()
+            parts = [k for k in children[at] if weight[k] > 0]
+            if len(parts) == 1 and weight[parts[0]] >= weight[at] and elements[parts[0]].tag not in INLINE:
+                todo.append(parts[0])
+            elif elements[at].tag in ("", "html", "body") and weight[at] <= sum(weight[k] for k in parts) and all(elements[k].tag in BLOCK - TEXTUAL for k in parts):
+                todo += [k for k in parts if weight[k] >= self.share * weight[0]] or [max(parts, key=lambda k: weight[k])]
+            else:
+                while elements[at].inside and elements[at].tag not in CONTENT:
+                    at = elements[at].parent
+                out.append(at)
+        return out
+
+    def _lead(self, elements: list[Element], owners: list[int], inside: np.ndarray) -> range:
+        """Blocks (``owners``: their elements) from the last heading before the first region on, if the regions hold none."""
+        first = next((i for i, k in enumerate(owners) if inside[k]), 0)
+        head = np.zeros(len(elements), np.int8)
+        for k in range(1, len(elements)):
+            head[k] = {"h1": 1, "h2": 2}.get(elements[k].tag, head[elements[k].parent])
+        for tag in (1, 2):
+            heads = [i for i, k in enumerate(owners) if head[k] == tag]
+            if any(inside[owners[i]] for i in heads):
                 break
-            before = [i for i in heads if i < first]
-            if before:
-                both = next(k for k in above(at) if k in paths[before[-1]])
-                whole = elements[both].tag in ("", "html", "body")
-                return (at, range(before[-1], first)) if whole else (both, range(0))
-        return at, range(0)
+            if before := [i for i in heads if i < first]:
+                return range(before[-1], first)
+        return range(0)
 
     def text(self, html: str | F.Column = "html") -> F.Column:
         """The main text of a column of pages; null and empty pages give the empty text."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 
 from tesserae.llm.html_extract import HtmlExtraction
@@ -28,3 +31,39 @@ def test_a_name_alone_hides_no_text_of_an_article(part):
     body = f'<h2 id="related-work">Related</h2><p class="notice">{LONG}</p>' + part % f"<p>{LONG}</p><p>{LONG}</p>"
     page = f'<html><body>{MENU}<article><p>{LONG}</p>{body}<div class="share"><a href="x">Share</a></div><div class="comments"><p>{LONG}</p></div></article></body></html>'
     assert HtmlExtraction().main_text(page).split("\n") == [LONG, "Related", LONG, LONG, LONG]
+
+
+def test_the_threshold_decides_what_belongs_to_the_text():
+    middle = "".join(f"<div><p>Some <b>words</b> of part {k} stand here.</p></div>" for k in range(3))
+    page = f"<html><body>{MENU}<div><p>{LONG}</p><p>{LONG}</p></div>{MENU}<div>{middle}</div><div><p>{LONG}</p></div></body></html>"
+    low, high = HtmlExtraction(threshold=0.1, sigma=0.3).main_text(page), HtmlExtraction(sigma=0.3).main_text(page)
+    assert "part 1" in low and "part 1" not in high and high.split("\n") == [LONG] * 3
+
+
+def test_text_beside_an_article_element_is_found_by_its_ratio():
+    teaser = '<article><a href="x">Read on</a></article>'
+    assert HtmlExtraction().main_text(f"<html><body>{MENU}{teaser}<div><p>{LONG}</p><p>{LONG}</p></div></body></html>").split("\n") == [LONG, LONG]
+
+
+def test_forms_stay_only_around_content():
+    page = f'<html><body><form>{MENU}<div><p>{LONG}</p><p>{LONG}</p></div></form></body></html>'
+    assert HtmlExtraction().main_text(page).split("\n") == [LONG, LONG]
+    assert HtmlExtraction().main_text(f"<article><p>{LONG}</p><p>{LONG}</p><form><p>Name</p><p>Mail</p></form></article>").split("\n") == [LONG, LONG]
+
+
+def test_pages_do_not_need_article_elements(sf_dir):
+    """The text of the given pages is the same with plain containers in place of articles."""
+    import duckdb
+
+    pages = [x for (x,) in duckdb.sql(f"SELECT html FROM '{sf_dir}/pages.parquet' WHERE html IS NOT NULL").fetchall()]
+    for html in pages:
+        assert HtmlExtraction().main_text(re.sub("(</?)article>", r"\1div>", html)) == HtmlExtraction().main_text(html)
+
+
+def test_deep_pages_take_linear_time():
+    seconds = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        assert HtmlExtraction().main_text("<div>" * n + f"<p>{LONG}" + "</b></i>" * n + f"<h1>{LONG}") == f"{LONG}\n{LONG}"
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 24 * max(seconds[0], 0.05)
