@@ -33,16 +33,18 @@ class VectorPacker:
     """Packs pieces one by one; ``emit`` gets each sequence. ``pool`` examples wait at most."""
 
     def __init__(self, tokens: int, segments: int, loss: int, emit: Emit, pool: int = 128, cut: bool = True):
-        self.limits = np.array([tokens, segments, loss], np.float64)
-        self.tokens, self.emit, self.cut, self.most = tokens, emit, cut, pool
+        self.tokens, self.segments, self.loss = tokens, segments, loss
+        self.emit, self.cut, self.most = emit, cut, pool
         self.pool: list[Piece] = []
-        self.sizes = np.zeros((pool + 1, 3))
+        self.sizes, self.losses = np.zeros(pool + 1), np.zeros(pool + 1)
+        self._open()
+
+    def _open(self) -> None:
         self.open: list[Piece] = []
-        self.left = self.limits.copy()
+        self.left, self.segments_left, self.loss_left = self.tokens, self.segments, self.loss
 
     def _set(self, i: int, piece: Piece) -> None:
-        self.pool[i] = piece
-        self.sizes[i] = piece[3] - piece[2], 1, loss_tokens(piece)
+        self.pool[i], self.sizes[i], self.losses[i] = piece, piece[3] - piece[2], loss_tokens(piece)
 
     def _take(self, i: int) -> Piece:
         piece, last = self.pool[i], self.pool.pop()
@@ -52,7 +54,9 @@ class VectorPacker:
 
     def _place(self, piece: Piece) -> None:
         self.open.append(piece)
-        self.left -= piece[3] - piece[2], 1, loss_tokens(piece)
+        self.left -= piece[3] - piece[2]
+        self.loss_left -= loss_tokens(piece)
+        self.segments_left -= 1
 
     def close(self) -> None:
         """End the open sequence. One that is not full is cut at the powers of two that its length is the sum of."""
@@ -70,30 +74,39 @@ class VectorPacker:
             self.emit(whole)
         if self.open:
             self.emit(self.open)
-        self.open, self.left = [], self.limits.copy()
+        self._open()
 
     def _step(self) -> None:
         """Place one waiting piece, or close the open sequence."""
-        sizes = self.sizes[: len(self.pool)]
-        score = (sizes / self.limits) @ (self.left / self.limits)
-        fits = (sizes <= self.left).all(axis=1)
-        if fits.any():
-            self._place(self._take(int(np.argmax(np.where(fits, score, -1.0)))))
-        elif self.cut and (self.left >= 1).all():
-            i = int(np.argmax(score))
-            key, ids, a, b, loss = self.pool[i]
+        if self.left < 1 or self.segments_left < 1:
+            self.close()
+            return
+        sizes, losses = self.sizes[: len(self.pool)], self.losses[: len(self.pool)]
+        # both vectors in units of the limits; a segment is as much for each piece and decides nothing here
+        score = sizes * (self.left / self.tokens**2) + losses * (self.loss_left / self.loss**2)
+        fits = (sizes <= self.left) & (losses <= self.loss_left)
+        best = int(np.argmax(np.where(fits, score, -1.0)))
+        if fits[best]:
+            self._place(self._take(best))
+        elif self.cut:
             # tokens before the loss cost none of its limit
-            end = min(b, a + int(self.left[0]), max(a, loss) + int(self.left[2]))
-            self._set(i, (key, ids, end, b, loss))
+            room = np.minimum(self.left, sizes - losses + self.loss_left)
+            best = int(np.argmax(np.where(room >= 1, score, -1.0)))
+            if room[best] < 1:
+                self.close()
+                return
+            key, ids, a, b, loss = self.pool[best]
+            end = a + int(room[best])
+            self._set(best, (key, ids, end, b, loss))
             self._place((key, ids, a, end, loss))
         else:
             self.close()
             return
-        if self.left[0] < 1:
+        if self.left < 1:
             self.close()
 
     def add(self, piece: Piece) -> None:
-        if not self.cut and not ((piece[3] - piece[2], 1, loss_tokens(piece)) <= self.limits).all():
+        if not self.cut and (piece[3] - piece[2] > self.tokens or self.segments < 1 or loss_tokens(piece) > self.loss):
             raise ValueError("an example exceeds the limits of a sequence")
         if piece[3] == piece[2]:
             return
@@ -110,23 +123,28 @@ class VectorPacker:
 
 @dataclass(frozen=True)
 class Packing:
-    """Sequences of at most ``tokens`` ids, ``segments`` pieces and ``loss`` loss-bearing ids (default: all may be)."""
+    """Sequences of at most ``tokens`` ids, ``segments`` pieces and ``loss`` loss-bearing ids (default: all may be).
+
+    ``context``: share of an example's ids, at its beginning, that bear no loss, where no column says it.
+    """
 
     tokenizer: str
     end_id: int
     tokens: int = 4096
     segments: int = 512
     loss: int | None = None
+    context: float = 0.0
 
     def pack(self, docs: DataFrame, loss_from: str | None = None) -> DataFrame:
         """Pieces of ``doc_id, text`` rows (null: empty; each ends with the end id), with their ids.
 
-        ``loss_from``: a column with the first loss-bearing token of a row (null: all bear loss, as without it).
+        ``loss_from``: a column with the first loss-bearing token of a row (null: as ``context`` says).
         Returns doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, loss_tokens, sequence_id and
         offset. Every id is in one piece; an empty text is one piece, its end id; repeated rows are packed each; an
         empty table gives no rows; other columns are ignored.
         """
         name, end, limits = self.tokenizer, struct.pack("<I", self.end_id), (self.tokens, self.segments, self.loss or self.tokens)
+        share = self.context
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
         schema = pa.schema([(x, pa.binary() if x == "ids" else pa.int64()) for x in names])
 
@@ -155,8 +173,10 @@ class Packing:
                     few = batch.slice(i, 256)
                     for doc, ids, loss in zip(few.column(0).to_pylist(), encoder.ids(few.column(1).to_pylist()), few.column(2).to_pylist(), strict=True):
                         ids += end
+                        if loss is None:
+                            loss = int(share * (len(ids) // 4))
                         for a in range(0, len(ids) // 4, limits[0]):
-                            packer.add((doc, ids, a, min(a + limits[0], len(ids) // 4), loss or 0))
+                            packer.add((doc, ids, a, min(a + limits[0], len(ids) // 4), loss))
                     if size >= 1 << 20:
                         yield batch_of()
                         size = 0
@@ -165,5 +185,5 @@ class Packing:
             if rows:
                 yield batch_of()
 
-        first = F.col(loss_from).cast("int") if loss_from else F.lit(0)
+        first = F.col(loss_from).cast("int") if loss_from else F.lit(None).cast("int")
         return docs.select(F.col("doc_id").cast("long"), "text", first).mapInArrow(run, ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in names))
