@@ -28,6 +28,8 @@ URL_RULES = (
     UrlRule("example.com/de/", "block"),
     UrlRule("org/fr/", "allow"),
 )
+#: The first quarter of each text counts as its context, which bears no loss; of a sequence of 4096, so many may.
+CONTEXT, LOSS_TOKENS = 0.25, 3584
 #: Parts of the hosts of known unwanted sites.
 URL_TERMS = ("casino", "bets", "pills", "spam", "adult", "ads-")
 
@@ -53,7 +55,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = Packing(public_tokenizers.path(VOCABULARY), end_id=2).pack(table(spark, sf_dir, "documents"))
+    pieces = Packing(public_tokenizers.path(VOCABULARY), end_id=2, loss=LOSS_TOKENS, context=CONTEXT).pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
@@ -135,19 +137,21 @@ def _url_filter_sql() -> str:
         judged AS (SELECT *, {case("rule")} AS rule, {case("verdict")} AS by_rule, regexp_matches(host, '{"|".join(URL_TERMS)}') AS bad FROM h),
         texts AS (
             SELECT host, path, '{"^" * order}' || host || path || '$' AS s, sum(bad::INT) AS r,
-                   sum((NOT bad AND coalesce(by_rule, 'allow') = 'allow' AND host <> '')::INT) AS a
+                   sum((NOT bad AND coalesce(by_rule, 'allow') = 'allow' AND host <> '')::INT) AS a,
+                   substr(sha256(host), 1, 1) IN ({", ".join(repr(x) for x in model.taught)}) AS taught
             FROM judged GROUP BY host, path),
-        places AS (SELECT host, path, a, r, substr(s, i, {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(s) - {order} + 1)) AS i FROM texts)),
-        grams AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM places GROUP BY gram),
+        places AS (SELECT host, path, a, r, taught, substr(s, i, {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(s) - {order} + 1)) AS i FROM texts)),
+        grams AS (SELECT gram, sum(a * taught::INT) AS a, sum(r * taught::INT) AS r FROM places GROUP BY gram),
         {", ".join(levels)},
         scores AS (
-            SELECT host, path, any_value(places.a) AS a, any_value(places.r) AS r, floor(round(avg(ln(p.r) - ln(p.a)), 9) / {model.step}::DOUBLE)::INT AS bin
+            SELECT host, path, any_value(places.a) AS every_a, any_value(places.r) AS every_r, any_value(taught) AS taught, floor(round(avg(ln(p.r) - ln(p.a)), 9) / {model.step}::DOUBLE)::INT AS bin
             FROM places JOIN p{order} p ON p.gram = places.gram GROUP BY host, path),
-        bins AS (SELECT bin, sum(a) AS a, sum(r) AS r FROM scores GROUP BY bin),
-        cuts AS (
-            SELECT bin, round(coalesce(sum(a) OVER before, 0) / sum(a) OVER ()::DOUBLE + (sum(r) OVER () - coalesce(sum(r) OVER before, 0)) / sum(r) OVER ()::DOUBLE, 12) AS fit
-            FROM bins WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        cut AS (SELECT bin FROM cuts ORDER BY fit DESC, bin DESC LIMIT 1)
+        own AS (SELECT sum(every_a) FILTER (NOT taught) > 0 AND sum(every_r) FILTER (NOT taught) > 0 AS held_out FROM scores),
+        bins AS (
+            SELECT bin, sum(every_a * used) AS a, sum(every_r * used) AS r
+            FROM (SELECT *, CASE WHEN held_out AND taught THEN 0 ELSE 1 END AS used FROM scores, own) GROUP BY bin),
+        up AS (SELECT bin, sum(a) OVER (ORDER BY bin) * 2 >= sum(a) OVER () AS half_a, sum(r) OVER (ORDER BY bin) * 2 >= sum(r) OVER () AS half_r, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r FROM bins),
+        cut AS (SELECT CASE WHEN any_value(all_a) > 0 AND any_value(all_r) > 0 THEN ceil((min(bin) FILTER (half_a) + min(bin) FILTER (half_r)) / 2.0) END AS bin FROM up)
         SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host <> '' AND bin >= (SELECT bin FROM cut) THEN 'block' ELSE 'allow' END) AS verdict
         FROM judged JOIN scores USING (host, path)"""
 

@@ -2,11 +2,13 @@
 
 The models are of variable order: the chance of a character after a context is smoothed by its chance after the
 context that is one character shorter, down to single characters. A URL's score is the log ratio of its chances among
-rejected and accepted URLs, for each character; scores above a threshold that the examples calibrate are blocked.
+rejected and accepted URLs, for each character; scores above a threshold are blocked. Three hosts of four teach the
+models, the examples of the others calibrate the threshold.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -42,7 +44,9 @@ class UrlRule:
 @dataclass(frozen=True)
 class UrlFilter:
     """``rules``: the longest that fits decides. ``terms`` in a host make a URL an example of rejected ones; URLs without
-    them that no rule blocks are examples of accepted ones.
+    them that no rule blocks are examples of accepted ones. Examples are weak labels: the models decide, also on these.
+
+    ``taught``: hex digits of the host's digest, of 16, whose hosts teach the models.
 
     ``order``: characters of the longest context; ``weight``: of the shorter context's chance, in characters;
     ``alphabet``: characters that are equally likely without any context; ``step``: of the calibrated scores.
@@ -54,6 +58,7 @@ class UrlFilter:
     weight: float = 2.0
     alphabet: int = 256
     step: float = 0.05
+    taught: str = "0123456789ab"
 
     def _rule(self, value: str) -> Column:
         host, path = F.col("host"), F.col("path")
@@ -83,7 +88,8 @@ class UrlFilter:
         """``page_id, host, path, rule, verdict, score`` of each ``page_id, url`` row (other columns are ignored).
 
         The verdict is the rule's, else the models'. A null URL, or one without ``://``, has an empty host and path and
-        is allowed; so is every URL if there are no examples of either kind. Repeated rows come out repeated.
+        is allowed; so is every URL if there are no examples of either kind. Repeated rows come out repeated. URLs of any
+        length are scored by all their characters; equal scores have equal verdicts.
         """
         host, path = host_and_path(F.col("url"))
         rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -93,10 +99,11 @@ class UrlFilter:
         spelled = F.concat(F.lit(START * self.order), "host", "path", F.lit(END)).alias("spelled")
         texts = rows.select("host", "path", spelled, good.cast("int").alias("good"), bad.cast("int").alias("bad"))
         texts = texts.groupBy("host", "path", "spelled").agg(F.sum("good").alias("accepted"), F.sum("bad").alias("rejected"))
-        texts = keep(texts, "urls")
+        texts = keep(texts.withColumn("taught", F.substring(F.sha2("host", 256), 1, 1).isin(*self.taught)), "urls")
         places = F.sequence(F.lit(1), F.length("spelled") - self.order)
         spell = F.explode(F.transform(places, lambda i: F.substr("spelled", i, F.lit(self.order + 1)))).alias("gram")
-        grams = texts.select(spell, "accepted", "rejected").groupBy("gram")
+        taught = [F.when(F.col("taught"), F.col(x)).otherwise(0).alias(x) for x in ("accepted", "rejected")]
+        grams = texts.select(spell, *taught).groupBy("gram")
         grams = keep(grams.agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "grams")
         ratios = keep(self._chances(grams), "ratios")
         # equal rows of a text are many, those of a frequent gram more: both sides are plain, so that Spark splits them
@@ -108,18 +115,23 @@ class UrlFilter:
         return rows.join(scores, ["host", "path"]).select("page_id", "host", "path", "rule", verdict, "score")
 
     def _limit(self, examples: DataFrame) -> int | None:
-        """First blocked bin: where most examples, each kind weighing the same, fall on their side; the highest of such.
+        """First blocked bin: half way between the median bins of the held-out examples of each kind, which some wrong labels
+        do not move. All examples count where a kind has no held-out ones.
 
         A bin is ``step`` wide and the log ratio of a character is bounded by the counts' logarithm, so bins are few.
         """
-        bins = examples.groupBy("bin").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).orderBy("bin").collect()
-        accepted, rejected = sum(x["a"] for x in bins), sum(x["r"] for x in bins)
-        if not accepted or not rejected:
-            return None
-        best, limit, below_a, below_r = -1.0, None, 0, 0
-        for x in bins:
-            right = round(below_a / accepted + (rejected - below_r) / rejected, 12)
-            if right >= best:
-                best, limit = right, x["bin"]
-            below_a, below_r = below_a + x["a"], below_r + x["r"]
-        return limit
+        sums = [F.sum(F.when(~F.col("taught"), F.col(x)).otherwise(0)).alias(f"own_{x}") for x in ("accepted", "rejected")]
+        bins = examples.groupBy("bin").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), *sums).orderBy("bin").collect()
+        total = lambda kind: sum(x[kind] for x in bins)
+        side = "own_" if total("own_accepted") and total("own_rejected") else ""
+        middle = []
+        for kind in (f"{side}accepted", f"{side}rejected"):
+            below, half = 0, total(kind) / 2
+            if not half:
+                return None
+            for x in bins:
+                below += x[kind]
+                if below >= half:
+                    middle.append(x["bin"])
+                    break
+        return math.ceil(sum(middle) / 2)
