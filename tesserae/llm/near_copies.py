@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.linking import components
 from .common import keep, strings, word_lists
-from .components import components
 from .simhash import bit_counts, close_pairs, stars
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -77,7 +77,7 @@ class NearCopies:
     bands: int = 12
     lanes: int = 4
     radius: int = 64
-    hot: int = 1024
+    hot: int = 512
     memo: int = 300_000
 
     @property
@@ -283,7 +283,7 @@ class NearCopies:
         return every.join(rows.select("node").join(stay, "node", "left_anti"), "node", "left_anti").select("doc.*")
 
 
-def _whole_groups(solve, limit: int = 1 << 15):
+def _whole_groups(solve, limit: int = 1 << 13):
     """Calls ``solve`` with rows of longs, sorted by the first column, many whole groups at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

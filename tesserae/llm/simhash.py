@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.linking import components
 from .common import hex64, keep, strings, word_lists
-from .components import components
 
 BITS = 64
 #: XXH64's seed, which is also that of Spark's xxhash64.
@@ -69,22 +69,18 @@ def close_pairs(values: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np
 
     ``values``: fingerprints by lanes; group g holds ``values[starts[g]:starts[g + 1]]``.
     """
-    sizes = np.diff(starts)
-    first = np.concatenate(([0], np.cumsum(-(-sizes // 64))))
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    place = first[group] * 64 + np.arange(len(values)) - starts[group]
-    rows = np.zeros((first[-1] * 64, values.shape[1]), np.uint64)
-    rows[place] = values
-    owner = np.full(len(rows), -1, np.int64)
-    owner[place] = np.arange(len(values))
-    filled = np.packbits((owner >= 0).reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+    place, ends = np.arange(len(values)), np.repeat(starts[1:], np.diff(starts))
+    rows = np.zeros((-(-len(values) // 64) * 64, values.shape[1]), np.uint64)
+    rows[: len(values)] = values
     planes = bit_planes(rows)
-    # each fingerprint against what follows it in its own word, and against the later words of its group
-    later = first[group + 1] - place // 64
-    query = np.repeat(np.arange(len(values)), later)
-    word = np.arange(len(query)) - np.repeat(np.cumsum(later) - later, later) + (place // 64)[query]
-    follows = ~((np.uint64(2) << (place % 64).astype(np.uint64)) - np.uint64(1))
-    mask = filled[word] & np.where(word == (place // 64)[query], follows[query], ~np.uint64(0))
+    # each fingerprint against the words that hold what follows it in its group, and of them against those places
+    begin = (place + 1) // 64
+    later = np.where(place + 1 < ends, (ends - 1) // 64 - begin + 1, 0)
+    query = np.repeat(place, later)
+    word = np.arange(len(query)) - np.repeat(np.cumsum(later) - later, later) + begin[query]
+    low, high = np.maximum(query + 1 - 64 * word, 0), np.minimum(ends[query] - 64 * word, 64)
+    every = ~np.uint64(0)
+    mask = every << low.astype(np.uint64) & every >> (64 - high).astype(np.uint64)
     live = mask != 0
     query, word, mask = query[live], word[live], mask[live]
     width = max(1, int(radius).bit_length())  # counters begin so that radius + 1 carries out
@@ -100,8 +96,13 @@ def close_pairs(values: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np
             live = mask != 0
             query, word, mask = query[live], word[live], mask[live]
             counters = [x[live] for x in counters]
-    hit, bit = np.nonzero(np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    return query[hit], owner[word[hit] * 64 + bit]
+    left, right = [query[:0]], [query[:0]]
+    for k in range(0, len(mask), 1 << 13):  # so that dense groups need no more memory than their pairs
+        some = mask[k : k + (1 << 13)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        hit, bit = np.nonzero(np.unpackbits(some, axis=1, bitorder="little"))
+        left.append(query[k + hit])
+        right.append(word[k + hit] * 64 + bit)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations, product
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from tesserae.llm import chat_template, components, html_extract, langid, packing, resampling, simhash, token_files, word_ids
+from tesserae.llm import chat_template, html_extract, langid, packing, resampling, simhash, token_files, word_ids
 from tesserae.llm.block_dedup import BlockNames
 from tesserae.llm.chat_format import CONTROL, ChatFormat, Escaping
 from tesserae.llm.decontaminate import Decontamination
 from tesserae.llm.url_filter import UrlFilter, UrlRule
+from tesserae.operators.linking import components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"word{i % 977} und{i % 31}" for i in range(60_000))
@@ -56,9 +58,9 @@ def ids_of(text: str | None) -> list[int]:
 
 def test_components_of_a_chain_a_star_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (3, 2), (3, 2)]
-    got = {x.node: x.label for x in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {x.node: x.label for x in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
-    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 # op1
@@ -339,13 +341,16 @@ def test_url_rules(spark, url, host, path, rule, verdict):
 
 
 def test_url_models_match_a_plain_version(spark, none):
-    urls = [f"http://{h}.com/{i % 7}" for i in range(12) for h in ("casino-win", "free-casino", "garden", "library")]
+    hosts = ("casino-win", "free-casino", "casino-one", "my-casino", "top-casino", "garden", "library", "museum", "school", "river")
+    urls = [f"http://{h}.com/{i % 7}" for i in range(12) for h in hosts]
+    taught = {h: hashlib.sha256(f"{h}.com".encode()).hexdigest()[0] < "c" for h in hosts}
+    assert {("casino" in h, t) for h, t in taught.items()} == {(True, True), (True, False), (False, True), (False, False)}
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     model = UrlFilter(RULES, ("casino",), order=2)
     texts = Counter("^^" + u.split("://")[1] + "$" for u in urls)
     counts = {k: [Counter(), Counter()] for k in range(3)}
     for text in texts:
-        for i in range(2, len(text)):
+        for i in range(2, len(text)) if taught[text[2:].split(".")[0]] else ():
             for k in range(3):
                 counts[k]["casino" in text][text[i - k : i + 1]] += texts[text]
 
@@ -364,6 +369,19 @@ def test_url_models_match_a_plain_version(spark, none):
     assert model.judge(none).count() == 0
 
 
+def test_url_models_block_hosts_without_any_term_and_take_long_urls(spark):
+    kinds = ("win", "bonus", "jackpot", "slots", "royal", "spin", "vegas", "club")
+    draw = random.Random(3)
+    odd = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40)]
+    urls = [f"http://casino-{a}-{b}.com/play" for a in kinds for b in kinds] + [f"http://casino-{x}.com/p" for x in odd] + [f"http://{x[::-1]}.org/n" for x in odd] + [f"http://{a}-{b}.org/news" for a in ("garden", "river", "museum", "school", "library", "harbour", "forest", "bridge") for b in ("north", "south", "house", "trust", "press", "guide")]
+    new = next(h for n in range(99) if hashlib.sha256((h := f"kasino-jackpot-slots{n}.com").encode()).hexdigest()[0] >= "c")  # teaches nothing
+    asked = [f"http://{new}/play", "http://garden-museum.org/news", "http://a.org/" + "x" * 50_000, f"http://{new}/play"]
+    rows = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    got = {x.page_id: x.verdict for x in UrlFilter((), ("casino",)).judge(rows).collect()}
+    assert [got[len(urls) + k] for k in (0, 1, 3)] == ["block", "allow", "block"] and got[len(urls) + 2] in ("allow", "block")
+    assert sum(got[k] == "block" for k in range(104)) >= 95 and sum(got[k] == "block" for k in range(104, len(urls))) <= 5
+
+
 def test_url_filter_runs_no_python(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
     plan = UrlFilter(RULES, ("casino",)).judge(rows)._jdf.queryExecution().toString()
