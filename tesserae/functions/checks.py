@@ -45,3 +45,12 @@ def spacing(values: Column) -> Column:
 def truth(path: str, json: Column) -> Column:
     """A JSON member that is literally true; absence is not approval."""
     return F.coalesce(F.get_json_object(json, path) == "true", F.lit(False))
+
+
+def canonical_json(members: dict[str, Column]) -> Column:
+    """Compact JSON text with the members in the order of their names; nulls are written, strings escaped."""
+    return F.to_json(F.struct(*[members[k].alias(k) for k in sorted(members)]), {"ignoreNullFields": "false"})
+
+
+def canonical_sha(members: dict[str, Column]) -> Column:
+    return F.sha2(canonical_json(members), 256)

@@ -84,11 +84,55 @@ def json_flag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(checks.truth("$.approved", text)).alias("approved"), F.count_if(checks.truth("$.other", text)).alias("other"))
 
 
+_CHANNELS = ["DAPI", "Hoechst 33342", "AF-488", "Autofluorescence Cy5", "WGA", "CD298/B2M", "PanCK", "cytoplasm", "FITC", "Cy5", "CD45", "EpCAM", "Immune mix", "GFAP", "Background", "Ki-67"]
+
+
+def _channel(column: str) -> F.Column:
+    return F.element_at(F.array(*[F.lit(x) for x in _CHANNELS]), (F.col(column) % len(_CHANNELS) + 1).cast("int"))
+
+
+_CHANNEL_SQL = f"[{', '.join(repr(x) for x in _CHANNELS)}][({{}} % {len(_CHANNELS)} + 1)::INT]"
+
+
 def role_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of parts as channels, by the words of their names."""
-    name = F.lower("p_type")
-    role = F.when(name.rlike("steel|dapi"), "nuclear").when(name.rlike("brass"), "membrane").when(name.rlike("tin|copper"), "immune").otherwise("marker")
-    return table(spark, sf_dir, "part").select("p_partkey", role.alias("role"))
+    """Roles of channel names under the rules of two modalities."""
+    name = _channel("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", schema.role_of_channel(name, "comet").alias("comet"), schema.role_of_channel(name, "cosmx").alias("cosmx"))
+
+
+def structural_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural channels of each brand's panel, by role, then name; panels without a nuclear channel abstain."""
+    name = _channel("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("panel"), name.alias("name"), schema.role_of_channel(name, "cosmx").alias("role")).distinct()
+    some = rows.where(F.col("role").isin(*schema.STRUCTURAL)).withColumn("rank", F.array_position(F.array(*[F.lit(x) for x in schema.STRUCTURAL]), F.col("role")))
+    view = some.groupBy("panel").agg(F.array_sort(F.collect_set(F.struct("rank", F.lower("name").alias("name")))).alias("v"), F.bool_or(F.col("role") == "nuclear").alias("nuclear"))
+    view = view.select("panel", F.array_join(F.transform("v", lambda x: x["name"]), ",").alias("channels"), (~F.col("nuclear") | (F.size("v") < 2)).alias("abstain"))
+    return rows.select("panel").distinct().join(view, "panel", "left").select("panel", F.when(~F.col("abstain"), F.col("channels")).alias("channels"), F.coalesce("abstain", F.lit(True)).alias("abstain"))
+
+
+def channel_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel axes of images of many shapes: named, given, or guessed."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("int")
+    shape = F.when(k % 5 == 0, F.array(size, size + 9)).when(k % 5 == 1, F.array(size, F.lit(100), F.lit(90))).when(k % 5 == 2, F.array(F.lit(100), F.lit(90), size)).otherwise(F.array(F.lit(100), size, F.lit(70)))
+    axis, names = F.when(k % 5 == 3, (k % 6 - 3).cast("int")), F.when((k % 5 == 2) | (k % 5 == 4), size)
+    return table(spark, sf_dir, "part").select("p_partkey", schema.channel_axis(shape, axis, names).alias("axis"))
+
+
+def bright_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bright-field pixels of one, three or four channels, some in reverse order, as red, green, blue."""
+    every = F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.lit(1.0))
+    count = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    values = F.slice(every, F.lit(1), count)
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", schema.bright_channels(values).alias("rgb"), schema.bright_channels(values, "bgr").alias("bgr"))
+    last = lambda c: F.sum(F.element_at(c, -1))
+    return rows.groupBy("l_suppkey").agg(F.count_if(F.size("rgb") == 3).alias("colours"), F.round(last("rgb"), 4).alias("blue"), F.round(last("bgr"), 4).alias("red"))
+
+
+def adapter_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter of each spelled modality, and the role that it gives a channel; unknown modalities are listed as such."""
+    kind, name = schema.modality(_term("n_nationkey")), _channel("n_nationkey")
+    role = F.when(kind == "he", F.lit("brightfield")).when(kind == "comet", schema.role_of_channel(name, "comet")).when(kind == "cosmx", schema.role_of_channel(name, "cosmx")).otherwise("refused")
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.coalesce(kind, F.lit("unknown")).alias("adapter"), role.alias("role"))
 
 
 def role_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +192,7 @@ def synthetic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_exact_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records without their mapping, mappings without their records, and keys that repeat."""
-    left = table(spark, sf_dir, "orders").where("o_orderkey % 50 <> 0").groupBy(F.col("o_orderkey").alias("k")).agg(F.count("*").alias("a"))
+    left = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("k")).agg(F.count("*").alias("a"))
     right = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("b"))
     both = left.join(right, "k", "full")
     kind = F.when(F.col("a").isNull(), "no record").when(F.col("b").isNull(), "no mapping").when(F.col("b") > 1, "repeated").otherwise("paired")
@@ -156,10 +200,11 @@ def join_exact_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("k"))
-    unused = parts.join(lines, "k", "left_anti").withColumn("side", F.lit("unused"))
-    orphans = lines.join(parts.where("k % 10 <> 0"), "k", "left_anti").distinct().withColumn("side", F.lit("orphan"))
-    return unused.unionByName(orphans)
+    """Customers without orders, as unused assets, and the customers of orders and events that no table lists."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    used = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).unionByName(table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))).distinct()
+    unused = customers.join(used, "k", "left_anti").withColumn("side", F.lit("unused"))
+    return unused.unionByName(used.join(customers, "k", "left_anti").withColumn("side", F.lit("orphan")))
 
 
 def lock_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,14 +220,15 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.leaks(manifest(spark, sf_dir).where("price > 20000"), "patient", "split", "record")
+    return splits.leaks(manifest(spark, sf_dir), "patient", "split", "record")
 
 
 def role_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups without a role and roles without a group."""
-    groups = manifest(spark, sf_dir).select("patient").distinct()
-    roles = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("patient")).distinct()
-    return groups.exceptAll(roles).withColumn("kind", F.lit("no role")).unionByName(roles.exceptAll(groups).withColumn("kind", F.lit("no group")))
+    """Groups without a role and roles without a group: suppliers of lines, and users of events."""
+    groups = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("patient")).distinct()
+    roles = table(spark, sf_dir, "events").select(F.col("user_id").alias("patient")).distinct()
+    missing = groups.join(roles, "patient", "left_anti").withColumn("kind", F.lit("no role"))
+    return missing.unionByName(roles.join(groups, "patient", "left_anti").withColumn("kind", F.lit("no group")))
 
 
 def correlation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +256,29 @@ def logo_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.leave_one_out(table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey"), ["n_regionkey"], "n_nationkey", 3)
 
 
+_SHARES = {"fit": 0.6, "calibration": 0.25, "test": 0.15}
+
+
+def _slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as slides of the strata of their nation's region, with as many images as lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("images"))
+    return table(spark, sf_dir, "supplier").join(lines, "s_suppkey").select((F.col("s_nationkey") % 3).alias("stratum"), "s_suppkey", "images")
+
+
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of each role, by largest remainder, of the strata that have enough."""
+    groups = _slides(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("n")).where("n >= 3")
+    return splits.sizes_by_remainder(groups, ["stratum"], _SHARES)
+
+
+def balanced_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides dealt to roles of fixed sizes so that their images are near the roles' shares."""
+    slides = _slides(spark, sf_dir)
+    found = splits.balanced(slides, ["stratum"], "s_suppkey", "images", split_sizes(spark, sf_dir), 5)
+    images = slides.select("stratum", F.col("s_suppkey").cast("string").alias("group"), "images")
+    return found.join(images, ["stratum", "group"]).groupBy("stratum", "role").agg(F.count("*").alias("slides"), F.sum("images").alias("images"))
+
+
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).groupBy("split", "status").agg(F.count("*").alias("n"), F.count_distinct("patient").alias("patients"), F.min("digest").alias("first_digest"))
 
@@ -279,9 +348,9 @@ def dup_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of a canonical form: names in order, and the value."""
-    form = F.concat(F.lit('{"name":"'), "p_name", F.lit('","size":'), F.col("p_size").cast("string"), F.lit("}"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.sha2(form, 256).alias("sha"))
+    """Digest of the canonical JSON text of a record: members in the order of their names, strings escaped, nulls written."""
+    members = {"size": F.col("p_size").cast("int"), "name": F.concat(F.col("p_name"), F.lit(' "x"\\')), "brand": F.when(F.col("p_partkey") % 4 != 0, F.col("p_brand")), "price": F.col("p_retailprice")}
+    return table(spark, sf_dir, "part").select("p_partkey", checks.canonical_sha(members).alias("sha"))
 
 
 def anonymous_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,14 +410,19 @@ QUERIES = {
     f.__name__: f
     for f in (
         coerce_alias, normalize_term, spacing_check, mask_domain, hex_predicate, presence_pred, safe_path, bounded_check, json_safe, json_props_scan,
-        json_flag_scan, role_case, role_indices, role_order, channel_select, metric_format, registry_format, flatten_struct, embedding_scan,
+        json_flag_scan, role_case, structural_view, channel_axis, bright_adapter, adapter_dispatch, role_indices, role_order, channel_select, metric_format, registry_format, flatten_struct, embedding_scan,
         url_source_identity, synthetic_ids, join_exact_pairing, asset_anti_join, lock_verify, split_overlap, split_leakage, role_cover,
-        correlation_components, hash_order, hash_select, group_split, logo_roles, split_report, split_coverage, priority_reservoir, limit_per_group,
+        correlation_components, hash_order, hash_select, group_split, logo_roles, split_sizes, balanced_assignment, split_report, split_coverage, priority_reservoir, limit_per_group,
         linspace_cap, stride_sample, candidate_grid, set_ops, union_rows, required_cells, group_coverage, dup_identity, content_sha, anonymous_labels,
         manifest_issues, contract_status, eligibility_reasons, method_eligibility, abstention_rows, content_duplicates,
     )
 }
 
+def _roles_sql(modality: str) -> str:
+    rules, rest = (schema.COMET_ROLES, "marker") if modality == "comet" else (schema.COSMX_ROLES, "morphology")
+    return "CASE " + " ".join(f"WHEN regexp_matches(n, '{'|'.join(terms)}') THEN '{role}'" for role, terms in rules) + f" ELSE '{rest}' END"
+
+
 _T = _TERM_SQL.format("n_nationkey")
 _ISSUES = f"""{MANIFEST}, issues AS (
     SELECT record, 'price_missing' AS code, 'error' AS severity, 'price' AS field FROM manifest WHERE price IS NULL OR price <= 0
@@ -374,8 +448,23 @@ SQL = {
     "json_safe": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 THEN s_acctbal END AS value FROM supplier",
     "json_props_scan": """SELECT event_type, count(props->>'k') AS n, sum((props->>'k')::INT)::BIGINT AS total, count(*) FILTER (props->>'k' IS NULL) AS broken FROM events GROUP BY event_type""",
     "json_flag_scan": "SELECT event_type, count(*) FILTER (event_id % 3 = 0) AS approved, 0::BIGINT AS other FROM events GROUP BY event_type",
-    "role_case": """SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'steel|dapi') THEN 'nuclear' WHEN regexp_matches(lower(p_type), 'brass') THEN 'membrane'
-        WHEN regexp_matches(lower(p_type), 'tin|copper') THEN 'immune' ELSE 'marker' END AS role FROM part""",
+    "role_case": f"""WITH c AS (SELECT p_partkey, regexp_replace(lower({_CHANNEL_SQL.format("p_partkey")}), '[^a-z0-9]+', '', 'g') AS n FROM part)
+        SELECT p_partkey, {_roles_sql("comet")} AS comet, {_roles_sql("cosmx")} AS cosmx FROM c""",
+    "structural_view": f"""WITH c AS (SELECT DISTINCT p_brand || '/' || p_type AS panel, {_CHANNEL_SQL.format("p_partkey")} AS name FROM part), m AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS n FROM c),
+        r AS (SELECT *, {_roles_sql("cosmx")} AS role FROM m), k AS (SELECT *, list_position(['nuclear', 'autofluorescence', 'membrane', 'cytoplasm', 'immune', 'morphology'], role) AS rank FROM r),
+        v AS (SELECT panel, string_agg(lower(name), ',' ORDER BY rank, lower(name)) FILTER (rank > 0) AS channels, count(*) FILTER (role = 'nuclear') = 0 OR count(*) FILTER (rank > 0) < 2 AS abstain FROM k GROUP BY panel)
+        SELECT panel, CASE WHEN NOT abstain THEN channels END AS channels, abstain FROM v""",
+    "channel_axis": """WITH s AS (SELECT p_partkey AS k, p_size AS n FROM part)
+        SELECT k AS p_partkey, CASE k % 5 WHEN 0 THEN NULL
+            WHEN 1 THEN CASE WHEN n <= 64 AND n < 90 THEN 0 ELSE 2 END
+            WHEN 2 THEN 2
+            WHEN 3 THEN ((k % 6 - 3) + 3) % 3
+            ELSE CASE WHEN n = 70 THEN 2 WHEN n = 100 THEN 0 ELSE 1 END END::INT AS axis FROM s""",
+    "bright_adapter": """WITH c AS (SELECT l_suppkey, l_quantity AS q, l_discount AS d, l_tax AS t, l_linenumber % 3 AS k FROM lineitem)
+        SELECT l_suppkey, count(*) FILTER (k <> 0) AS colours, round(sum(CASE WHEN k = 0 THEN q ELSE t END), 4) AS blue, round(sum(q), 4) AS red FROM c GROUP BY l_suppkey""",
+    "adapter_dispatch": f"""WITH c AS (SELECT n_nationkey, {_T} AS term, regexp_replace(lower({_CHANNEL_SQL.format("n_nationkey")}), '[^a-z0-9]+', '', 'g') AS n FROM nation),
+        m AS (SELECT *, {_case("replace(lower(trim(term)), ' ', '')", schema.MODALITIES)} AS kind FROM c)
+        SELECT n_nationkey, coalesce(kind, 'unknown') AS adapter, CASE kind WHEN 'he' THEN 'brightfield' WHEN 'comet' THEN {_roles_sql("comet")} WHEN 'cosmx' THEN {_roles_sql("cosmx")} ELSE 'refused' END AS role FROM m""",
     "role_indices": """WITH p AS (SELECT n_regionkey, n_nationkey % 3 AS role, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS place FROM nation)
         SELECT n_regionkey, role, string_agg(place::VARCHAR, ',' ORDER BY place) AS places FROM p GROUP BY ALL""",
     "role_order": "SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 3, lower(n_name), n_nationkey) AS place FROM nation",
@@ -388,19 +477,28 @@ SQL = {
     "url_source_identity": """WITH p AS (SELECT page_id, lower(split_part(url, '/', 3)) AS host, split_part(url, '/', 4) AS kind FROM pages),
         c AS (SELECT *, CASE WHEN host LIKE '%.net' THEN 'net' WHEN host LIKE 'www.%' THEN 'www' ELSE 'other' END AS cohort FROM p) SELECT page_id, cohort, cohort || ':' || kind AS group_id FROM c""",
     "synthetic_ids": "SELECT n_nationkey, 7 + n_regionkey * 10007 + n_nationkey AS seed FROM nation",
-    "join_exact_pairing": """WITH a AS (SELECT o_orderkey AS k, count(*) AS a FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY k), b AS (SELECT l_orderkey AS k, count(*) AS b FROM lineitem GROUP BY k),
+    "join_exact_pairing": """WITH a AS (SELECT o_orderkey AS k, count(*) AS a FROM orders GROUP BY k), b AS (SELECT l_orderkey AS k, count(*) AS b FROM lineitem GROUP BY k),
         j AS (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a IS NULL THEN 'no record' WHEN b IS NULL THEN 'no mapping' WHEN b > 1 THEN 'repeated' ELSE 'paired' END AS kind FROM a FULL JOIN b ON a.k = b.k)
         SELECT kind, count(*) AS n, min(k) AS first FROM j GROUP BY kind""",
-    "asset_anti_join": """WITH l AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45)
-        SELECT p_partkey AS k, 'unused' AS side FROM part WHERE p_partkey NOT IN (SELECT k FROM l)
-        UNION ALL SELECT k, 'orphan' FROM l WHERE k NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0)""",
+    "asset_anti_join": """WITH u AS (SELECT o_custkey AS k FROM orders UNION SELECT user_id FROM events)
+        SELECT c_custkey AS k, 'unused' AS side FROM customer WHERE c_custkey NOT IN (SELECT k FROM u)
+        UNION ALL SELECT k, 'orphan' FROM u WHERE k NOT IN (SELECT c_custkey FROM customer)""",
     "lock_verify": "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 11 = 0 THEN 'sha' END, CASE WHEN p_partkey % 13 = 0 THEN 'size' END) AS wrong FROM part WHERE p_partkey % 11 = 0 OR p_partkey % 13 = 0",
     "split_overlap": f"""WITH {MANIFEST}, x AS (SELECT 'patient' AS family, patient::VARCHAR AS value, split FROM manifest UNION ALL SELECT 'block', block, split FROM manifest UNION ALL SELECT 'digest', digest, split FROM manifest),
         v AS (SELECT family, value, count(DISTINCT split) AS roles FROM x GROUP BY ALL) SELECT family, count(*) AS n_values, count(*) FILTER (roles > 1) AS n_shared FROM v GROUP BY family""",
-    "split_leakage": f"""WITH {MANIFEST}, m AS (SELECT *, first_value(split) OVER (PARTITION BY patient ORDER BY record, split) AS owner FROM manifest WHERE price > 20000)
+    "split_leakage": f"""WITH {MANIFEST}, m AS (SELECT *, first_value(split) OVER (PARTITION BY patient ORDER BY record, split) AS owner FROM manifest)
         SELECT record, patient, split, owner FROM m WHERE split <> owner""",
-    "role_cover": """WITH g AS (SELECT DISTINCT o_custkey AS patient FROM orders), r AS (SELECT DISTINCT c_custkey AS patient FROM customer WHERE c_custkey % 3 <> 0)
+    "role_cover": """WITH g AS (SELECT DISTINCT l_suppkey AS patient FROM lineitem), r AS (SELECT DISTINCT user_id AS patient FROM events)
         SELECT patient, 'no role' AS kind FROM (SELECT * FROM g EXCEPT SELECT * FROM r) UNION ALL SELECT patient, 'no group' FROM (SELECT * FROM r EXCEPT SELECT * FROM g)""",
+    "split_sizes": """WITH n AS (SELECT s_nationkey % 3 AS stratum, count(*) AS n FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem) GROUP BY ALL HAVING count(*) >= 3),
+        w AS (SELECT stratum, n, role, i, n * share AS wanted, greatest(1, floor(n * share + 1e-9))::INT AS size FROM n, (VALUES ('fit', 0, 0.6::DOUBLE), ('calibration', 1, 0.25::DOUBLE), ('test', 2, 0.15::DOUBLE)) AS t(role, i, share)),
+        a AS (SELECT *, sign(n - sum(size) OVER s) AS step FROM w WINDOW s AS (PARTITION BY stratum)),
+        b AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM a),
+        c AS (SELECT * REPLACE (CASE WHEN k = 1 THEN size + step ELSE size END AS size) FROM b), d AS (SELECT * EXCLUDE (step, k), sign(n - sum(size) OVER (PARTITION BY stratum)) AS step FROM c),
+        e AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM d),
+        f AS (SELECT * REPLACE (CASE WHEN k = 1 THEN size + step ELSE size END AS size) FROM e), g AS (SELECT * EXCLUDE (step, k), sign(n - sum(size) OVER (PARTITION BY stratum)) AS step FROM f),
+        h AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM g)
+        SELECT stratum, role, (CASE WHEN k = 1 THEN size + step ELSE size END)::INT AS size FROM h""",
     "correlation_components": """WITH RECURSIVE s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS n, floor(s_acctbal / 10) AS b FROM supplier),
         e AS (SELECT DISTINCT x.k AS a, y.k AS b FROM s x JOIN s y ON x.n = y.n OR x.b = y.b), reach AS (SELECT k AS a, k AS b FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
         SELECT a AS s_suppkey, min(b) AS component FROM reach GROUP BY a""",
@@ -432,7 +530,7 @@ SQL = {
         WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = t.event_type AND e.event_id % 7 = c.cell)""",
     "group_coverage": f"WITH {RECORDS} SELECT source, lang, count(DISTINCT decision) AS kinds, count(DISTINCT decision) = 3 AS complete FROM records GROUP BY source, lang",
     "dup_identity": """SELECT family, value, count(*) AS n FROM (SELECT 'source' AS family, lower(source) AS value FROM documents UNION ALL SELECT 'sha', sha256(text) FROM documents) WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
-    "content_sha": """SELECT p_partkey, sha256('{"name":"' || p_name || '","size":' || p_size || '}') AS sha FROM part""",
+    "content_sha": """SELECT p_partkey, sha256('{"brand":' || CASE WHEN p_partkey % 4 <> 0 THEN '"' || p_brand || '"' ELSE 'null' END || ',"name":"' || p_name || ' \\"x\\"\\\\","price":' || p_retailprice || ',"size":' || p_size || '}') AS sha FROM part""",
     "anonymous_labels": "WITH f AS (SELECT source, min(doc_id) AS first FROM documents GROUP BY source) SELECT source, 'group-' || lpad((row_number() OVER (ORDER BY first, source))::VARCHAR, 6, '0') AS label FROM f",
     "manifest_issues": f"WITH {_ISSUES} SELECT * FROM issues",
     "contract_status": f"""WITH {_ISSUES}, c AS (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'warning') AS warnings FROM issues)
