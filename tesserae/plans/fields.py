@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, contours, evaluation, masks, matching, tiles
+from ..operators import artifacts, candidates, contours, evaluation, features, masks, matching, ranking, tiles
+from ..functions.rates import ratio
 from ..storage import keep
-from .image import _OD, _around, disk_sql
+from .image import _MIRROR, _OD, _around, disk_sql
 from .views import SIZED, plane
 
 _KEYS = ["image", "y", "x"]
@@ -110,6 +111,43 @@ def candidate_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("image").agg(*[F.count_if(c).alias(c) for c in ("support", "fold", "crack", "review")], F.round(F.sum("score"), 3).alias("fold_score"), F.round(F.sum("crack_score"), 3).alias("crack_score"))
 
 
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("image", "y0", "x0", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in found.columns if c not in ("image", "y0", "x0")])
+
+
+def _tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.sized(plane(spark, sf_dir)).withColumn("tissue", F.col("event_type") != "signup")
+
+
+def he_patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seventeen features of each window."""
+    return _rounded(features.bright(_tissue(spark, sf_dir), 32, 24))
+
+
+def fluorescence_patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen features of each window."""
+    return _rounded(features.fluorescence(_tissue(spark, sf_dir), 32, 24))
+
+
+def response_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of folds put into each image at each severity: precision of the increments as scores, overlap at a threshold, the share
+    of the fold's parts that it hits, and the shares of increments and of called cells outside it."""
+    rows = artifacts.inject(tiles.sized(plane(spark, sf_dir)), "v", [0.5, 1.0]).where("artifact = 'fold'")
+    rows = rows.withColumn("case", (F.col("image") * 2 + (F.col("severity") > 0.7).cast("int"))).withColumn("score", F.round(F.greatest(F.col("new") - F.col("v"), F.lit(0.0)), 9))
+    rows = keep(rows.select("case", "image", "severity", "y", "x", (F.col("inside") & (F.col("v") > 20)).alias("target"), "score", (F.col("score") >= 30).alias("called")), "responses")
+    ap = ranking.average_precision(rows, ["case"]).select("case", "average_precision")
+    parts = masks.label(rows.where("target").select(F.col("case").alias("image"), "y", "x"), 8)
+    hit = parts.join(rows.select(F.col("case").alias("image"), "y", "x", "called"), ["image", "y", "x"]).groupBy("image", "part").agg(F.max("called").alias("hit"))
+    hit = hit.groupBy(F.col("image").alias("case")).agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+    n = lambda c: F.count_if(c)
+    t, p = F.col("target"), F.col("called")
+    found = rows.groupBy("case", "image", "severity").agg(
+        F.when(n(t) > 0, ratio(2 * n(t & p), n(t) + n(p), 1.0)).alias("dice"), ratio(F.sum(F.when(~t, F.col("score")).otherwise(0.0)), F.sum("score"), None).alias("outside_mass"), ratio(n(~t & p), n(p), None).alias("outside_cells")
+    )
+    found = found.join(ap, "case", "left").join(hit, "case", "left").drop("case")
+    return found.select("image", "severity", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("dice", "outside_mass", "outside_cells", "average_precision", "hit_rate")])
+
+
 def analysis_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells within four of a target or a prediction, in the square norm."""
     rows = _rows(spark, sf_dir).withColumn("mask", (F.col("t") | F.col("p")) & (F.col("v") > 60))
@@ -120,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_components, small_holes, elongation, elongated_cells, instance_iou, instance_metrics, froc_sweep, skeleton, centerline_metrics, evaluate_sample,
-        fold_score, fold_candidates, candidate_masks, analysis_region,
+        fold_score, fold_candidates, candidate_masks, analysis_region, he_patch_features, fluorescence_patch_features, response_metrics,
     )
 }
 
@@ -189,6 +227,24 @@ _FOLD = f"""{SIZED}, ch AS (SELECT image, y, x, height, width, {_OD.format("r")}
     fold AS (SELECT sup.image, y, x, support, CASE WHEN support THEN least(greatest(0.57::DOUBLE * least(greatest((od - o[1]) / (o[2] - o[1]), 0.0), 1.0) + 0.28::DOUBLE * least(greatest((sat - s[1]) / (s[2] - s[1]), 0.0), 1.0)
         + 0.15::DOUBLE * least(greatest((texture - t[1]) / (t[2] - t[1]), 0.0), 1.0), 0.0), 1.0) ELSE 0.0 END AS score FROM sup JOIN q USING (image))"""
 
+_PATCHES = f"""{SIZED}, cells AS (
+    SELECT s.image, y0, x0, s.y - y0 AS y, s.x - x0 AS x, least(32, height) AS height, least(32, width) AS width, event_type <> 'signup' AS tissue, r, g, b FROM sized s,
+        (SELECT DISTINCT image AS i, unnest(CASE WHEN height <= 32 THEN [0] ELSE list_distinct(list_append(range(0, height - 31, 24), height - 32)) END)::INT AS y0 FROM sized) p,
+        (SELECT DISTINCT image AS j, unnest(CASE WHEN width <= 32 THEN [0] ELSE list_distinct(list_append(range(0, width - 31, 24), width - 32)) END)::INT AS x0 FROM sized) q
+    WHERE i = s.image AND j = s.image AND s.y >= y0 AND s.y < y0 + 32 AND s.x >= x0 AND s.x < x0 + 32)"""
+
+
+def _texture(cells: str) -> str:
+    """CTE ``t``: cells with the deviation and the gradient of their value within their mirrored patch."""
+    near = lambda reach: f"FROM {cells} a, range(-{reach}, {reach + 1}) AS r(dy), range(-{reach}, {reach + 1}) AS q(dx), {cells} o WHERE o.image = a.image AND o.y0 = a.y0 AND o.x0 = a.x0 AND o.y = {_MIRROR.format('a.y + dy', 'a.height')} AND o.x = {_MIRROR.format('a.x + dx', 'a.width')} GROUP BY ALL"
+    return f"""tc AS (SELECT a.image, a.y0, a.x0, a.y, a.x, stddev_pop(o.value) AS contrast {near(2)}),
+        tg AS (SELECT a.image, a.y0, a.x0, a.y, a.x, sqrt(pow(sum(o.value * dx * CASE WHEN dy = 0 THEN 2 ELSE 1 END) / 8, 2) + pow(sum(o.value * dy * CASE WHEN dx = 0 THEN 2 ELSE 1 END) / 8, 2)) AS gradient {near(1)}),
+        t AS (SELECT * FROM {cells} JOIN tc USING (image, y0, x0, y, x) JOIN tg USING (image, y0, x0, y, x))"""
+
+
+_BRIGHT = "tissue_fraction od_mean od_std od_p90 h_mean h_p90 e_mean e_p90 saturation_mean saturation_p90 entropy contrast_mean contrast_p90 gradient_mean gradient_p90 edge_fraction dark_fraction".split()
+_FLUORESCENT = "tissue_fraction mean std p90 p99 over_tenth contrast_mean contrast_p90 gradient_mean gradient_p90 edge_fraction channel_mean channel_std channel_range channel_saturation correlation".split()
+
 SQL = {
     "grid_components": f"WITH RECURSIVE {_ROWS}, {_parts('c', 'SELECT image, y, x FROM rows WHERE t', 8)} SELECT DISTINCT image, fy::INT AS part_y, fx::INT AS part_x, area FROM c WHERE area >= 2",
     "small_holes": f"""WITH RECURSIVE {_ROWS}, {_parts("h", "SELECT image, y, x FROM rows WHERE NOT v > 12", 4)},
@@ -227,4 +283,36 @@ SQL = {
         SELECT c.image, c.y::INT AS y, c.x::INT AS x FROM c JOIN fold USING (image, y, x) WHERE area >= 3 AND support""",
     "analysis_region": f"""WITH {_ROWS}, d AS (SELECT DISTINCT b.image, b.y, b.x FROM rows a JOIN rows b ON b.image = a.image AND abs(b.y - a.y) <= 4 AND abs(b.x - a.x) <= 4 WHERE (a.t OR a.p) AND a.v > 60)
         SELECT image, count(*) AS n, min(y) AS top, max(x) AS "right" FROM d GROUP BY image""",
+    "he_patch_features": f"""WITH {_PATCHES}, v AS (SELECT *, {_OD.format("r")} AS dr, {_OD.format("g")} AS dg, {_OD.format("b")} AS db, (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b, 1e-6) AS sat, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS value FROM cells),
+        {_texture("v")}, n AS (SELECT 0.650*0.650+0.704*0.704+0.286*0.286 AS hh, 0.650*0.072+0.704*0.990+0.286*0.105 AS he, 0.072*0.072+0.990*0.990+0.105*0.105 AS ee),
+        c AS (SELECT t.*, dr + dg + db AS od, greatest((ee * (0.650::DOUBLE * dr + 0.704::DOUBLE * dg + 0.286::DOUBLE * db) - he * (0.072::DOUBLE * dr + 0.990::DOUBLE * dg + 0.105::DOUBLE * db)) / (hh * ee - he * he), 0.0) AS h,
+                     greatest((hh * (0.072::DOUBLE * dr + 0.990::DOUBLE * dg + 0.105::DOUBLE * db) - he * (0.650::DOUBLE * dr + 0.704::DOUBLE * dg + 0.286::DOUBLE * db)) / (hh * ee - he * he), 0.0) AS e FROM t, n WHERE tissue),
+        m AS (SELECT *, quantile_cont(od, 0.5) OVER p AS middle, greatest(quantile_cont(gradient, 0.75) OVER p, 0.025) AS edge, least(floor(least(greatest(value, 0.0), 1.0) * 32), 31) AS bin FROM c WINDOW p AS (PARTITION BY image, y0, x0)),
+        d AS (SELECT *, greatest(middle + 2.5::DOUBLE * quantile_cont(abs(od - middle), 0.5) OVER (PARTITION BY image, y0, x0), 1.25) AS dark FROM m),
+        b AS (SELECT image, y0, x0, bin, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY image, y0, x0) AS p FROM m GROUP BY image, y0, x0, bin), en AS (SELECT image, y0, x0, -sum(p * log2(p)) AS entropy FROM b GROUP BY ALL),
+        f AS (SELECT image, y0, x0, avg(od) AS od_mean, stddev_pop(od) AS od_std, quantile_cont(od, 0.9) AS od_p90, avg(h) AS h_mean, quantile_cont(h, 0.9) AS h_p90, avg(e) AS e_mean, quantile_cont(e, 0.9) AS e_p90,
+                     avg(sat) AS saturation_mean, quantile_cont(sat, 0.9) AS saturation_p90, avg(contrast) AS contrast_mean, quantile_cont(contrast, 0.9) AS contrast_p90, avg(gradient) AS gradient_mean, quantile_cont(gradient, 0.9) AS gradient_p90,
+                     avg((gradient > edge)::INT::DOUBLE) AS edge_fraction, avg((od > dark)::INT::DOUBLE) AS dark_fraction FROM d GROUP BY ALL),
+        a AS (SELECT image, y0, x0, avg(tissue::INT::DOUBLE) AS tissue_fraction FROM cells GROUP BY ALL)
+        SELECT image, y0, x0, {", ".join(f"round(coalesce({c}, 0) + 1e-9, 5) AS {c}" for c in _BRIGHT)} FROM a LEFT JOIN f USING (image, y0, x0) LEFT JOIN en USING (image, y0, x0)""",
+    "fluorescence_patch_features": f"""WITH {_PATCHES}, k AS (SELECT image, y0, x0, {", ".join(f"CASE WHEN count(*) FILTER (tissue AND {c} > 0) >= 16 THEN quantile_cont({c}, {q}) FILTER (tissue AND {c} > 0) ELSE {m}({c}) FILTER (tissue) END AS {c}_{k}" for c in "rgb" for k, q, m in (("low", 0.01, "min"), ("high", 0.995, "max")))} FROM cells GROUP BY ALL),
+        u AS (SELECT cells.*, {", ".join(f"CASE WHEN {c}_high - {c}_low > 2.3e-16 THEN least(greatest(({c} - {c}_low) / ({c}_high - {c}_low), 0.0), 1.0) ELSE 0.0 END AS s_{c}" for c in "rgb")} FROM cells JOIN k USING (image, y0, x0)),
+        v AS (SELECT *, greatest(s_r, s_g, s_b) AS value FROM u), {_texture("v")},
+        m AS (SELECT *, greatest(quantile_cont(gradient, 0.75) OVER (PARTITION BY image, y0, x0), 0.03) AS edge FROM t WHERE tissue),
+        g AS (SELECT image, y0, x0, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.99) AS p99, avg((value > 0.1)::INT::DOUBLE) AS over_tenth, avg(contrast) AS contrast_mean, quantile_cont(contrast, 0.9) AS contrast_p90,
+                     avg(gradient) AS gradient_mean, quantile_cont(gradient, 0.9) AS gradient_p90, avg((gradient > edge)::INT::DOUBLE) AS edge_fraction, [avg(s_r), avg(s_g), avg(s_b)] AS means,
+                     [{", ".join(f"quantile_cont(s_{c}, 0.99) - quantile_cont(s_{c}, 0.01)" for c in "rgb")}] AS ranges, [{", ".join(f"avg(({c} >= 0.995)::INT::DOUBLE)" for c in "rgb")}] AS full_, [corr(s_r, s_g), corr(s_r, s_b), corr(s_g, s_b)] AS alike FROM m GROUP BY ALL),
+        f AS (SELECT *, list_avg(means) AS channel_mean, list_stddev_pop(means) AS channel_std, list_avg(ranges) AS channel_range, list_avg(full_) AS channel_saturation, list_median(alike) AS correlation FROM g),
+        a AS (SELECT image, y0, x0, avg(tissue::INT::DOUBLE) AS tissue_fraction FROM cells GROUP BY ALL)
+        SELECT image, y0, x0, {", ".join(f"round(coalesce({c}, 0) + 1e-9, 5) AS {c}" for c in _FLUORESCENT)} FROM a LEFT JOIN f USING (image, y0, x0)""",
+    "response_metrics": f"""WITH RECURSIVE {SIZED}, s AS (SELECT *, abs(y - (height / 2.0::DOUBLE + height / 6.0::DOUBLE * sin(2 * pi() * x / width))) <= greatest(1.0, height / 12.0::DOUBLE) AS inside FROM sized),
+        sh AS (SELECT s.*, o.v AS shifted FROM s JOIN sized o ON o.image = s.image AND o.y = s.y AND o.x = (s.x - 3 + s.width) % s.width),
+        n AS (SELECT image, severity, y, x, inside AND v > 20 AS target, round(CASE WHEN inside THEN greatest((v + (0.35::DOUBLE + 0.85::DOUBLE * severity) * shifted) - v, 0.0) ELSE 0.0 END, 9) AS score FROM sh, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) AS t(severity)),
+        r AS (SELECT *, score >= 30 AS called FROM n), {_parts("t", "SELECT DISTINCT image, y, x FROM r WHERE target", 8)},
+        h AS (SELECT image, severity, fy, fx, max(called) AS hit FROM t JOIN r USING (image, y, x) GROUP BY ALL), hr AS (SELECT image, severity, avg(hit::INT::DOUBLE) AS hit_rate FROM h GROUP BY ALL),
+        c AS (SELECT image, severity, score, count(*) AS n, count(*) FILTER (target) AS p FROM r GROUP BY ALL), st AS (SELECT *, sum(n) OVER d AS cn, sum(p) OVER d AS cp FROM c WINDOW d AS (PARTITION BY image, severity ORDER BY score DESC)),
+        ap AS (SELECT image, severity, sum(p * cp::DOUBLE / cn) / nullif(sum(p), 0) AS average_precision FROM st GROUP BY ALL),
+        m AS (SELECT image, severity, CASE WHEN count(*) FILTER (target) > 0 THEN 2.0::DOUBLE * count(*) FILTER (target AND called) / (count(*) FILTER (target) + count(*) FILTER (called)) END AS dice,
+                     coalesce(sum(score) FILTER (NOT target), 0) / nullif(sum(score), 0) AS outside_mass, count(*) FILTER (called AND NOT target)::DOUBLE / nullif(count(*) FILTER (called), 0) AS outside_cells FROM r GROUP BY ALL)
+        SELECT image, severity, {", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in ("dice", "outside_mass", "outside_cells", "average_precision", "hit_rate"))} FROM m LEFT JOIN ap USING (image, severity) LEFT JOIN hr USING (image, severity)""",
 }
