@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fields, image, quality, structure
+from . import contract, fields, image, quality, structure
 
-_PARTS = (quality, structure, image, fields)
+_PARTS = (quality, structure, image, fields, contract)
 
 
 def queries() -> dict:
