@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, candidates, contours, evaluation, features, masks, matching, ranking, tiles
+from ..operators import artifacts, candidates, confusion, contours, evaluation, features, masks, matching, ranking, tiles
 from ..functions.rates import ratio
 from ..storage import keep
 from .image import _MIRROR, _OD, _around, disk_sql
@@ -148,6 +148,14 @@ def response_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image", "severity", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("dice", "outside_mass", "outside_cells", "average_precision", "hit_rate")])
 
 
+def feasibility_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios of artifact and severity, by modality: pooled counts of changed cells found by a threshold, and their metrics."""
+    rows = artifacts.inject(tiles.sized(plane(spark, sf_dir)), "v", [0.25, 0.5, 1.0])
+    rows = rows.withColumn("modality", F.element_at(F.array(F.lit("he"), F.lit("comet"), F.lit("cosmx")), (F.col("image") % 3 + 1).cast("int")))
+    counts = confusion.confusion(rows, ["modality", "artifact", "severity"], F.col("inside"), F.abs(F.col("new") - F.col("v")) >= 15, F.col("v") < 350)
+    return confusion.metrics(counts, ["dice", "recall", "precision"])
+
+
 def analysis_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells within four of a target or a prediction, in the square norm."""
     rows = _rows(spark, sf_dir).withColumn("mask", (F.col("t") | F.col("p")) & (F.col("v") > 60))
@@ -158,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_components, small_holes, elongation, elongated_cells, instance_iou, instance_metrics, froc_sweep, skeleton, centerline_metrics, evaluate_sample,
-        fold_score, fold_candidates, candidate_masks, analysis_region, he_patch_features, fluorescence_patch_features, response_metrics,
+        fold_score, fold_candidates, candidate_masks, analysis_region, he_patch_features, fluorescence_patch_features, response_metrics, feasibility_grid,
     )
 }
 
@@ -315,4 +323,13 @@ SQL = {
         m AS (SELECT image, severity, CASE WHEN count(*) FILTER (target) > 0 THEN 2.0::DOUBLE * count(*) FILTER (target AND called) / (count(*) FILTER (target) + count(*) FILTER (called)) END AS dice,
                      coalesce(sum(score) FILTER (NOT target), 0) / nullif(sum(score), 0) AS outside_mass, count(*) FILTER (called AND NOT target)::DOUBLE / nullif(count(*) FILTER (called), 0) AS outside_cells FROM r GROUP BY ALL)
         SELECT image, severity, {", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in ("dice", "outside_mass", "outside_cells", "average_precision", "hit_rate"))} FROM m LEFT JOIN ap USING (image, severity) LEFT JOIN hr USING (image, severity)""",
+    "feasibility_grid": f"""WITH {SIZED}, s AS (SELECT *, abs(y - (height / 2.0::DOUBLE + height / 6.0::DOUBLE * sin(2 * pi() * x / width))) <= greatest(1.0, height / 12.0::DOUBLE) AS inside FROM sized),
+        sh AS (SELECT s.*, o.v AS shifted FROM s JOIN sized o ON o.image = s.image AND o.y = s.y AND o.x = (s.x - 3 + s.width) % s.width),
+        n AS (SELECT ['he', 'comet', 'cosmx'][(image % 3 + 1)::INT] AS modality, artifact, severity, v < 350 AS valid, inside AS target,
+                     abs(CASE WHEN NOT inside THEN v WHEN artifact = 'fold' THEN v + (0.35::DOUBLE + 0.85::DOUBLE * severity) * shifted ELSE v * 0.30::DOUBLE * (1 - severity) END - v) >= 15 AS called
+              FROM sh, (VALUES ('fold'), ('crack')) AS k(artifact), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS t(severity)),
+        c AS (SELECT modality, artifact, severity, count(*) FILTER (valid AND target AND called) AS tp, count(*) FILTER (valid AND called AND NOT target) AS fp, count(*) FILTER (valid AND target AND NOT called) AS fn,
+                     count(*) FILTER (valid AND NOT target AND NOT called) AS tn, count(*) FILTER (valid) AS n_valid FROM n GROUP BY ALL)
+        SELECT *, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 6) AS dice, round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fn) END, 6) AS recall,
+               round(CASE WHEN tp + fp = 0 THEN CASE WHEN tp + fn = 0 THEN 1.0 ELSE 0.0 END ELSE tp::DOUBLE / (tp + fp) END, 6) AS precision FROM c""",
 }

@@ -264,6 +264,21 @@ def mahalanobis_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 5))
 
 
+def frozen_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean references fitted, a threshold at the 95th percentile of calibration scores, locked, and the outcome of all other
+    vectors by kind; vectors that cannot be scored stay, as abstentions."""
+    rows = vectors(spark, sf_dir)
+    usable = F.exists("embedding", lambda x: F.abs(x) > 3.5)  # a broken reading
+    found = rows.withColumn("broken", usable)
+    score = lambda some: neighbors.diagonal_mahalanobis(some.where("NOT broken"), found.where("role = 'fit' AND label <= 6 AND NOT broken"))
+    calibration = score(found.where("role = 'calibration' AND label <= 6")).withColumn("one", F.lit(1))
+    locked = ranking.quantile_columns(calibration, ["one"], "score", threshold=0.95)
+    test = found.where("role = 'test'")
+    judged = test.select("id", "label", F.lit(1).alias("one")).join(score(test), "id", "left").join(locked, "one", "left")
+    outcome = F.when(F.col("score").isNull(), "abstained").when(F.col("score") > F.col("threshold"), "alert").otherwise("clean")
+    return judged.groupBy((F.col("label") <= 6).alias("reference"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def patch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     found = neighbors.knn_scores(rows.where("role = 'test'"), rows.where("role = 'fit' AND label <= 6"), 5)
@@ -287,7 +302,7 @@ QUERIES = {
         window_starts, patch_grid, halo_windows, core_stitch, level_choice, level_box, physical_units, tile_region_scan, patch_features, patch_filter,
         tile_stitch, token_labels, heatmap, rolling_std, gradient, dilate, erode, closing, boundary_pixels, boundary_match, area_resample, otsu, entropy,
         normalize_unit, optical_density, stain_linear, tissue_predicate, tail_score, normalized_score, fuse_scores, hybrid_or, inject_perturb,
-        incremental_score, flip_consistency, robust_scale, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, vector_agreement,
+        incremental_score, flip_consistency, robust_scale, frozen_eval, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, vector_agreement,
     )
 }
 
@@ -400,6 +415,10 @@ SQL = {
         SELECT d, round(center, 6) AS center, round(CASE WHEN mad > 1e-12 THEN mad WHEN sd > 1e-12 THEN sd ELSE 1.0 END, 6) AS spread FROM m""",
     "mahalanobis_diag": f"""WITH {VECTORS}, d AS (SELECT id, label, role, unnest(range(64)) AS d, unnest(embedding) AS x FROM vectors), m AS (SELECT d, avg(x) AS mean, stddev_samp(x) AS sd FROM d WHERE role = 'fit' AND label <= 6 GROUP BY d)
         SELECT id, round(sqrt(avg(pow((x - mean) / sd, 2))), 5) AS score FROM d JOIN m USING (d) WHERE role = 'test' AND sd > 0 GROUP BY id""",
+    "frozen_eval": f"""WITH {VECTORS}, u AS (SELECT *, list_max(list_transform(embedding, lambda x: abs(x))) > 3.5 AS broken FROM vectors), d AS (SELECT id, label, role, broken, unnest(range(64)) AS d, unnest(embedding) AS x FROM u),
+        m AS (SELECT d, avg(x) AS mean, stddev_samp(x) AS sd FROM d WHERE role = 'fit' AND label <= 6 AND NOT broken GROUP BY d),
+        s AS (SELECT id, label, role, sqrt(avg(pow((x - mean) / sd, 2))) AS score FROM d JOIN m USING (d) WHERE NOT broken AND sd > 0 GROUP BY ALL), t AS (SELECT quantile_cont(score, 0.95) AS threshold FROM s WHERE role = 'calibration' AND label <= 6)
+        SELECT u.label <= 6 AS reference, CASE WHEN score IS NULL THEN 'abstained' WHEN score > threshold THEN 'alert' ELSE 'clean' END AS outcome, count(*) AS n FROM u LEFT JOIN s USING (id), t WHERE u.role = 'test' GROUP BY ALL""",
     "patch_knn": f"""WITH {VECTORS}, u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM vectors),
         d AS (SELECT a.id, list_distance(a.e, b.e) AS dist FROM u a, u b WHERE a.role = 'test' AND b.role = 'fit' AND b.label <= 6),
         k AS (SELECT id, dist FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist) <= 5) SELECT id, round(avg(dist), 5) AS score FROM k GROUP BY id""",
