@@ -438,6 +438,41 @@ def test_resampling(spark, docs, none):
     assert resampling.ImportanceResampling().sample(none.drop("quality"), labels).count() == 0
 
 
+def test_resampling_weights_and_sample_match_a_plain_version(spark):
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(draw.choices(words[:20] if k % 3 == 0 else words, k=draw.randint(0, 60)))) for k in range(150)]
+    docs += [(3, docs[3][1]), (7, None)]
+    labels = [(k, int(k % 3 == 0)) for k in range(0, 90, 2)]
+    size, window = 512, 128
+    model = resampling.ImportanceResampling(size=size)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = model.sample(table, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+
+    def grams(text):
+        ids = [zlib.crc32(w.encode()) + 1 for w in (text or "").split()]
+        mixed = ids + [(a * 0x9E3779B97F4A7C15 + b - 1) % 2**64 for a, b in zip(ids, ids[1:], strict=False)]
+        out = []
+        for x in mixed:
+            x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+            out.append((x >> 33) % size)
+        return out
+
+    targets = {k for k, q in labels if q}
+    every, target = Counter(), Counter()
+    for k, t in docs:
+        every.update(grams(t))
+        target.update(grams(t) if k in targets else ())
+    share = lambda c, b: (c[b] + 1) / (sum(c.values()) + size)
+    ratio = [math.log(share(target, b)) - math.log(share(every, b)) for b in range(size)]
+    weight = lambda t: window * sum(ratio[b] for b in grams(t)) / max(1, len(grams(t)))
+    assert sorted((x.doc_id, round(x.log_weight, 6)) for x in got) == sorted((k, round(weight(t), 6)) for k, t in docs)
+    kept = round(len(docs) * len(targets) / len(labels))
+    keys = sorted((x.sample_key for x in got), reverse=True)
+    assert {x.kept for x in got if x.sample_key >= keys[kept - 1]} == {True} and not any(x.kept for x in got if x.sample_key < keys[kept - 1])
+    assert {x.sample_key - x.log_weight for x in got if x.doc_id == 3}.__len__() == 1  # noise is of the id alone
+
+
 # op9
 
 
