@@ -89,4 +89,5 @@ class BlockNames:
         """The rows of ``docs`` that stay, with all their columns."""
         rows = keep(docs.select(F.struct(*docs.columns).alias("doc")).withColumn("rid", F.monotonically_increasing_id()), "rows")
         found = self._groups(rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.text"))
-        return rows.join(keep(found.where("kept").select("rid"), "stay"), "rid", "left_semi").select("doc.*")
+        stay = keep(found.where("kept").select("rid"), "stay").hint("merge")  # as many as there are texts: nothing to broadcast
+        return rows.join(stay, "rid", "left_semi").select("doc.*")
