@@ -2,8 +2,7 @@
 
 Fingerprints within ``radius`` bits agree on all but ``radius`` of any m blocks of bits, so that grouping them by every
 choice of the other blocks brings each such pair together (m grows with the number of fingerprints, which keeps the
-groups small). A wide radius leaves too few such bits; wide fingerprints are grouped by random sets of bits instead,
-as many as the wanted recall takes. Inside a group the fingerprints stand vertically, as planes with one bit for each
+groups small). Inside a group the fingerprints stand vertically, as planes with one bit for each
 fingerprint: 64 distances at a time grow in carry-save counters, and a block is given up once all its counters are past
 the radius. A group gives the links of its spanning stars only, never all its pairs.
 """
@@ -11,7 +10,6 @@ the radius. A group gives the links of its spanning stars only, never all its pa
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -124,15 +122,13 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 class SimHash:
     """``shingle`` words; links at ``radius`` of 64 x ``lanes`` bits.
 
-    Every link is found, unless ``recall`` is given: then that share, at least, of the pairs within ``apart`` of the
-    bits. Groups of over ``hot`` fingerprints are compared in blocks of that size.
+    Every link is found. Groups of over ``hot`` fingerprints are compared in blocks of that size; ``crowd``: how many chance may
+    put into a group.
     """
 
     shingle: int = 4
     radius: int = 4
     lanes: int = 1
-    recall: float | None = None
-    apart: float = 0.15
     hot: int = 1024
     crowd: int = 256
 
@@ -155,17 +151,12 @@ class SimHash:
     def masks(self, n: int) -> list[int]:
         """Bits that must agree, for each table of groups of n fingerprints: enough that chance puts few in a group."""
         width, wanted = BITS * self.lanes, math.log2(max(1, n / self.crowd))
-        if self.recall is None:
-            m = self.radius + 1
-            while m < 12 and width * (m - self.radius) / m < wanted:
-                m += 1
-            edges = [width * k // m for k in range(m + 1)]
-            blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(m)]
-            return [sum(x) for x in combinations(blocks, m - self.radius)]
-        bits = max(12, math.ceil(wanted + 3))
-        tables = math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.apart) ** bits))
-        draw = random.Random(SEED)
-        return [sum(1 << k for k in draw.sample(range(width), bits)) for _ in range(tables)]
+        m = self.radius + 1
+        while m < 12 and width * (m - self.radius) / m < wanted:
+            m += 1
+        edges = [width * k // m for k in range(m + 1)]
+        blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(m)]
+        return [sum(x) for x in combinations(blocks, m - self.radius)]
 
     def _groups(self, n: int) -> F.Column:
         """The group of a fingerprint in each table."""
