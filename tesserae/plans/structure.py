@@ -362,20 +362,39 @@ def anonymous_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rules() -> list[audits.Rule]:
     c = F.col
     return [
+        audits.Rule("record_not_positive", "error", "record", c("record") <= 0),
+        audits.Rule("patient_missing", "error", "patient", ~checks.is_present(c("patient"))),
+        audits.Rule("block_malformed", "error", "block", ~c("block").rlike("^[0-9]-[A-Z ]+-[0-9]+$")),
         audits.Rule("price_missing", "error", "price", c("price").isNull() | (c("price") <= 0)),
         audits.Rule("price_high", "warning", "price", c("price") > 400000),
+        audits.Rule("status_unknown", "error", "status", ~c("status").isin("F", "O", "P")),
         audits.Rule("status_open", "warning", "status", c("status") == "O"),
+        audits.Rule("adjudication_pending", "blocker", "status", c("status") == "P"),
+        audits.Rule("split_unknown", "error", "split", ~c("split").isin("train", "validation", "test")),
         audits.Rule("digest_short", "error", "digest", ~checks.is_digest(c("digest"))),
         audits.Rule("priority_unset", "blocker", "priority", c("priority").rlike("NOT")),
+        audits.Rule("digest_repeated", "error", "digest", c("copies") > 1),
+        audits.Rule("patient_crosses_splits", "error", "patient", c("splits") > 1),
+        audits.Rule("block_crosses_splits", "warning", "block", c("block_splits") > 1),
     ]
 
 
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest records with what they share with others; records that are not valid by themselves count for none."""
+    rows = manifest(spark, sf_dir)
+    sound = rows.where("price > 0 AND patient IS NOT NULL")
+    shared = [("digest", F.count("*").alias("copies")), ("patient", F.count_distinct("split").alias("splits")), ("block", F.count_distinct("split").alias("block_splits"))]
+    for key, count in shared:
+        rows = rows.join(sound.groupBy(key).agg(count), key, "left")
+    return rows
+
+
 def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.issues(manifest(spark, sf_dir), "record", _rules())
+    return audits.issues(_audited(spark, sf_dir), "record", _rules())
 
 
 def contract_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.status(audits.issues(manifest(spark, sf_dir), "record", _rules()))
+    return audits.status(audits.issues(_audited(spark, sf_dir), "record", _rules()))
 
 
 def eligibility_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,11 +443,21 @@ def _roles_sql(modality: str) -> str:
 
 
 _T = _TERM_SQL.format("n_nationkey")
-_ISSUES = f"""{MANIFEST}, issues AS (
-    SELECT record, 'price_missing' AS code, 'error' AS severity, 'price' AS field FROM manifest WHERE price IS NULL OR price <= 0
-    UNION ALL SELECT record, 'price_high', 'warning', 'price' FROM manifest WHERE price > 400000
-    UNION ALL SELECT record, 'status_open', 'warning', 'status' FROM manifest WHERE status = 'O'
-    UNION ALL SELECT record, 'priority_unset', 'blocker', 'priority' FROM manifest WHERE regexp_matches(priority, 'NOT'))"""
+_ISSUES = f"""{MANIFEST}, sound AS (SELECT * FROM manifest WHERE price > 0 AND patient IS NOT NULL),
+    dc AS (SELECT digest, count(*) AS copies FROM sound GROUP BY digest), pc AS (SELECT patient, count(DISTINCT split) AS splits FROM sound GROUP BY patient), bc AS (SELECT block, count(DISTINCT split) AS block_splits FROM sound GROUP BY block),
+    m AS (SELECT * FROM manifest LEFT JOIN dc USING (digest) LEFT JOIN pc USING (patient) LEFT JOIN bc USING (block)), issues AS (
+    SELECT record, 'price_missing' AS code, 'error' AS severity, 'price' AS field FROM m WHERE price IS NULL OR price <= 0
+    UNION ALL SELECT record, 'record_not_positive', 'error', 'record' FROM m WHERE record <= 0
+    UNION ALL SELECT record, 'patient_missing', 'error', 'patient' FROM m WHERE patient IS NULL
+    UNION ALL SELECT record, 'block_malformed', 'error', 'block' FROM m WHERE NOT regexp_full_match(block, '[0-9]-[A-Z ]+-[0-9]+')
+    UNION ALL SELECT record, 'price_high', 'warning', 'price' FROM m WHERE price > 400000
+    UNION ALL SELECT record, 'status_unknown', 'error', 'status' FROM m WHERE status NOT IN ('F', 'O', 'P')
+    UNION ALL SELECT record, 'status_open', 'warning', 'status' FROM m WHERE status = 'O'
+    UNION ALL SELECT record, 'adjudication_pending', 'blocker', 'status' FROM m WHERE status = 'P'
+    UNION ALL SELECT record, 'priority_unset', 'blocker', 'priority' FROM m WHERE regexp_matches(priority, 'NOT')
+    UNION ALL SELECT record, 'digest_repeated', 'error', 'digest' FROM m WHERE copies > 1
+    UNION ALL SELECT record, 'patient_crosses_splits', 'error', 'patient' FROM m WHERE splits > 1
+    UNION ALL SELECT record, 'block_crosses_splits', 'warning', 'block' FROM m WHERE block_splits > 1)"""
 SQL = {
     "coerce_alias": f"""WITH t AS (SELECT n_nationkey, {_T} AS term FROM nation)
         SELECT n_nationkey, {_case("replace(lower(trim(term)), ' ', '')", schema.MODALITIES)} AS modality,
