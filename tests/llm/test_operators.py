@@ -49,8 +49,11 @@ def none(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, quality int, item_id long, url string, page_id long, html string")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def ids_of(text: str | None) -> list[int]:
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
 # components
@@ -476,7 +479,7 @@ def test_resampling_weights_and_sample_match_a_plain_version(spark):
 # op9
 
 
-VOCABULARY = Tokenizer.from_file(PATH).get_vocab()
+VOCABULARY = TOKENIZER.get_vocab()
 CHANCE = np.random.default_rng(0).random((1 + max(VOCABULARY.values()), 2)) * 1e-4
 
 
