@@ -13,11 +13,14 @@ from .block_dedup import BlockNames
 from .chat_format import ChatFormat
 from .common import keep, shared_dir, table
 from .decontaminate import Decontamination
+from .fill_middle import FillInMiddle
 from .html_extract import HtmlExtraction
 from .langid import LanguageId
+from .line_dedup import LineDedup
 from .packing import Packing
 from .resampling import ImportanceResampling
 from .simhash import SimHash
+from .target_resampling import TargetResampling
 from .token_files import TokenFiles
 from .url_filter import UrlFilter, UrlRule
 
@@ -88,6 +91,21 @@ def op10_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BlockNames().groups(table(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TargetResampling().sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = LineDedup().drop(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fim = FillInMiddle()
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256")
+    return fim.apply(table(spark, sf_dir, "documents")).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -100,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_importance_resampling": op8_importance_resampling,
         "op9_language_id": op9_language_id,
         "op10_block_names": op10_block_names,
+        "op11_target_resampling": op11_target_resampling,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -156,9 +177,79 @@ def _url_filter_sql() -> str:
         FROM judged JOIN scores USING (host, path)"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The reflected polynomial of CRC-32.
+_CRC = 3988292384
+
+_TARGET_SQL = rf"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS id, 1 AS own, text FROM documents
+        UNION ALL SELECT NULL, NULL, 0, text FROM benchmark),
+    words AS (
+        SELECT row_number() OVER () AS r, doc_id, id, own,
+               regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM texts),
+    grams AS (
+        SELECT r, own, unnest(list_concat(w,
+            list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+            list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram
+        FROM words),
+    rule AS (
+        SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {_CRC}) ELSE c >> 1 END)) AS crc),
+    own_gram AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM grams)),
+    bucketed AS (
+        SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+            lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+        FROM own_gram, rule),
+    found AS (SELECT r, own, bucket, count(*) AS n FROM grams JOIN bucketed USING (gram) GROUP BY ALL),
+    counts AS (SELECT bucket, coalesce(sum(n) FILTER (own = 1), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (own = 0), 0)::DOUBLE AS t FROM found GROUP BY bucket),
+    gains AS (
+        SELECT bucket, floor(1000 * ln((t + 1) * (every_s + 10000) / ((s + 1) * (every_t + 10000))))::BIGINT AS gain
+        FROM (SELECT *, sum(s) OVER () AS every_s, sum(t) OVER () AS every_t FROM counts)),
+    sums AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM found JOIN gains USING (bucket) WHERE own = 1 GROUP BY r),
+    scored AS (
+        SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+        FROM words LEFT JOIN sums USING (r) WHERE own = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST) AS place, sum(able::INT) OVER () AS n FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM ranked"""
+
+_LINES_SQL = f"""
+    WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    lines AS (
+        SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
+    keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM lines),
+    often AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+    FROM (SELECT keyed.*, coalesce(doc_id < last, false) AS gone FROM keyed LEFT JOIN often USING (key))
+    GROUP BY doc_id"""
+
+_MIDDLE_SQL = """
+    WITH draws AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+               regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens
+        FROM documents),
+    h AS (SELECT *, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS d, len(tokens) AS n FROM draws),
+    forms AS (
+        SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+               CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM h),
+    cut AS (SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle, array_to_string(tokens[b + 1:], '') AS suffix FROM forms)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM cut"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_url_filter": _url_filter_sql(),
+        "op11_target_resampling": _TARGET_SQL,
+        "op12_line_dedup": _LINES_SQL,
+        "op13_fill_middle": _MIDDLE_SQL,
         "op3_chat_format": f"""
             WITH turns AS (
                 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -25,7 +25,7 @@ def test_held_out_accuracy_of_the_languages(spark, sf_dir):
 
 def test_every_operator_is_registered():
     names = queries.queries()
-    assert {int(x[2:].split("_")[0]) for x in names} == set(range(1, 11))
+    assert {int(x[2:].split("_")[0]) for x in names} == set(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):
