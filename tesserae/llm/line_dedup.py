@@ -55,10 +55,11 @@ class LineDedup:
         total = often.agg(F.sum("places")).first()[0] or 0
         heavy = F.col("places") * self.heavy >= total
         known = F.broadcast(often.where(heavy).select("a", "b", F.col("last").alias("last_heavy")))
-        marked = lines.join(known, ["a", "b"], "left")
-        out = marked.where("id < last_heavy").unionByName(
-            marked.where("last_heavy is null").join(often.where(~heavy).select("a", "b", "last"), ["a", "b"]).where("id < last"), allowMissingColumns=True
-        )
+        lines = lines.join(known, ["a", "b"], "left").where("last_heavy is null or id < last_heavy")
+        # lines of heavy keys meet nothing in the join: places of their own deal them out
+        apart = lambda x, y: F.when(F.col("last_heavy").isNull(), F.col(x)).otherwise(F.col(y).cast("long")).alias(x)
+        lines = lines.select("id", "text_a", "text_b", "place", "last_heavy", apart("a", "text_a"), apart("b", "place"))
+        out = lines.join(often.where(~heavy).select("a", "b", "last"), ["a", "b"], "left").where("last_heavy is not null or id < last")
         return out.groupBy("id", "text_a", "text_b").agg(F.array_sort(F.collect_set("place")).alias("dropped"))
 
     def drop(self, docs: DataFrame) -> DataFrame:
@@ -79,5 +80,6 @@ class LineDedup:
         run = lambda i: F.slice("lines", F.get(places, i) + 2, F.get(places, i + 1) - F.get(places, i) - 1)
         runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("dropped")), run))
         kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(runs, "\n"))
+        found = F.struct(kept.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
         own = [F.col("doc")[x].alias(x) for x in docs.columns if x != "text"]
-        return rows.select(*own, kept.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+        return rows.select("doc", found.alias("found")).select(*own, "found.*")
