@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import ratio
 from ..storage import keep
 from . import masks
+from .assignment import assigned, match_changes
+from .component_tree import trees
+from .ranking import running
 
 
 def instances(cells: DataFrame, least: int = 1, connectivity: int = 8) -> DataFrame:
@@ -26,62 +26,13 @@ def overlaps(target: DataFrame, prediction: DataFrame) -> DataFrame:
     return both.select("image", "t", "p", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("iou"))
 
 
-def best_pairs(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Most pairs (t, p, weight) without a repeated side, and among those the largest total weight, by shortest augmenting paths."""
-    right: dict[int, tuple[int, float]] = {}
-    out = defaultdict(list)
-    for t, p, w in edges:
-        out[t].append((p, w))
-    chosen: dict[int, int] = {}
-    while True:
-        # cost of reaching each side from the free ones: an edge costs its weight, a chosen one gives it back
-        far: dict[tuple[str, int], float] = {("t", t): 0.0 for t in out if t not in chosen}
-        back: dict[tuple[str, int], int] = {}
-        changed = True
-        while changed:
-            changed = False
-            for t, some in out.items():
-                at = far.get(("t", t))
-                if at is None:
-                    continue
-                for p, w in some:
-                    if chosen.get(t) != p and at - w < far.get(("p", p), 1e18) - 1e-12:
-                        far["p", p], back["p", p], changed = at - w, t, True
-            for p, (t, w) in right.items():
-                at = far.get(("p", p))
-                if at is not None and at + w < far.get(("t", t), 1e18) - 1e-12:
-                    far["t", t], back["t", t], changed = at + w, p, True
-        ends = [(cost, p) for (side, p), cost in far.items() if side == "p" and p not in right]
-        if not ends:
-            break
-        p = min(ends)[1]
-        while True:
-            t = back["p", p]
-            before = chosen.get(t)
-            chosen[t] = p
-            right[p] = (t, dict(out[t])[p])
-            if before is None:
-                break
-            p = before
-    return sorted((t, p, w) for p, (t, w) in right.items())
-
-
 def matches(target: DataFrame, prediction: DataFrame, threshold: float) -> DataFrame:
     """``image, t, p, iou`` of a one-to-one match of the pairs at ``threshold`` or above: most pairs, then largest overlap.
 
-    Over one half no instance has two such partners, and the pairs are the match; below it, each image's pairs, which are as
-    few as the instances that meet, are assigned in a task.
+    Over one half no instance has two such partners, and the pairs are the match; below it they are assigned.
     """
     pairs = overlaps(target, prediction).where(F.col("iou") >= threshold)
-    if threshold > 0.5:
-        return pairs
-
-    def solve(table: pa.Table) -> pa.Table:
-        found = best_pairs(list(zip(*(table.column(c).to_pylist() for c in ("t", "p", "iou")), strict=True)))
-        image = table.column("image")[0].as_py()
-        return pa.table([pa.array([image] * len(found), pa.int64()), *[pa.array(x) for x in zip(*found, strict=True)]], names=["image", "t", "p", "iou"])
-
-    return pairs.groupBy("image").applyInArrow(solve, "image long, t long, p long, iou double")
+    return pairs if threshold > 0.5 else assigned(pairs)
 
 
 def _side(parts: DataFrame, name: str, by: list[str]) -> DataFrame:
@@ -104,14 +55,40 @@ def _measures(tp: Column, true: Column, predicted: Column, overlap: Column) -> l
     return [x.alias(k) for k, x in named.items()]
 
 
+def froc_curve(images: DataFrame, target: DataFrame, scored: DataFrame, overlap: float = 0.1, least: int = 1, connectivity: int = 8) -> DataFrame:
+    """tp, fp, fn and sensitivity over all images, and false positives an image, at every distinct score of ``scored`` cells
+    (``image, y, x, score``), from one tree of each image: what is called at a threshold are the parts of ``score >= threshold``.
+
+    ``images``: rows whose ``image`` is looked at; images without cells count as images. ``target``: cells ``image, y, x``.
+    Parts of fewer than ``least`` cells count on neither side. No scores give no rows.
+    """
+    total = keep(images.select("image").distinct(), "froc-images")
+    parts = keep(instances(target, least, connectivity), "froc-targets")
+    changes, pairs = trees(scored, parts, overlap, least, connectivity)
+    step = lambda rows, name: rows.select("level", *[(F.col("n") if x == name else F.lit(0)).cast("long").alias(x) for x in ("called", "tp")])
+    levels = scored.where("score is not null").select((F.col("score").cast("double") + F.lit(0.0)).alias("level"), F.lit(0).alias("n"))
+    rows = step(changes, "called").unionByName(step(match_changes(pairs, overlap), "tp")).unionByName(step(levels, ""))
+    steps = running(rows.groupBy("level").agg(*[F.sum(x).alias(x) for x in ("called", "tp")]), [], F.col("level").desc(), ["called", "tp"])
+    return _at(steps.select(F.col("level").alias("threshold"), F.col("up_called").alias("called"), F.col("up_tp").alias("tp")), total, parts)
+
+
+def _at(counts: DataFrame, images: DataFrame, parts: DataFrame) -> DataFrame:
+    """``counts``: threshold, called, tp."""
+    known = images.agg(F.count("*").alias("n")).crossJoin(parts.agg(F.count_distinct("part").alias("n_true")))  # one row
+    tp, fn = F.col("tp"), (F.col("n_true") - F.col("tp")).alias("fn")
+    fp = F.col("called") - tp
+    return counts.crossJoin(F.broadcast(known)).select("threshold", "tp", fp.alias("fp"), fn, ratio(tp, F.col("n_true"), 1.0).alias("sensitivity"), (fp / F.col("n")).alias("fp_per_image"))
+
+
 def froc(images: DataFrame, target: DataFrame, scored: DataFrame, thresholds: list[float], overlap: float = 0.1, least: int = 1, connectivity: int = 8) -> DataFrame:
-    """tp, fp, fn and sensitivity over all images, and false positives an image, at each threshold of ``scored`` cells
-    (``image, y, x, score``)."""
-    total, out = keep(images.select("image").distinct(), "froc-images"), None
+    """The rows of :func:`froc_curve` at given thresholds, which need be no scores, from one tree of each image."""
+    total = keep(images.select("image").distinct(), "froc-images")
     parts = keep(instances(target, least, connectivity), "froc-targets")
-    for value in thresholds:
-        called = keep(instances(scored.where(F.col("score") >= value).select("image", "y", "x"), least, connectivity), "froc-called")
-        one = instance_counts(total, parts, called, overlap).agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")], F.count("*").alias("n"))
-        one = one.select(F.lit(float(value)).alias("threshold"), "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fn"), 1.0).alias("sensitivity"), (F.col("fp") / F.col("n")).alias("fp_per_image"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    changes, pairs = trees(scored, parts, overlap, least, connectivity)
+    asked = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
+    every = changes.select("level", F.col("n").alias("called"), F.lit(0).cast("long").alias("tp"))
+    every = every.unionByName(match_changes(pairs, overlap).select("level", F.lit(0).cast("long").alias("called"), F.col("n").alias("tp")))
+    every = every.groupBy("level").agg(F.sum("called").alias("called"), F.sum("tp").alias("tp")).select("*", asked)
+    above = lambda x: F.coalesce(F.sum(F.when(F.col("level") >= F.col("threshold"), F.col(x))), F.lit(0)).alias(x)
+    rows = total.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double").distinct()
+    return _at(rows.join(every.groupBy("threshold").agg(above("called"), above("tp")), "threshold", "left").na.fill(0, ["called", "tp"]), total, parts)

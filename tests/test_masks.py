@@ -121,19 +121,6 @@ def test_windows_cover_images_of_any_height(spark):
         assert grid.in_patches(rows, 32, 16).select("y", "x").distinct().count() == height * 6
 
 
-def test_pairs_are_most_and_then_best():
-    rng = np.random.default_rng(5)
-    for _ in range(200):
-        n, m = rng.integers(1, 6, 2)
-        edges = [(t, p, float(rng.random())) for t in range(n) for p in range(m) if rng.random() < 0.5]
-        weight = {(t, p): w for t, p, w in edges}
-        got = matching.best_pairs(edges)
-        assert len({t for t, _, _ in got}) == len({p for _, p, _ in got}) == len(got)
-        side = list(range(max(n, m)))
-        best = max((sum((t, p) in weight for t, p in enumerate(deal)), sum(weight.get((t, p), 0) for t, p in enumerate(deal))) for deal in permutations(side))
-        assert (len(got), sum(w for *_, w in got)) == (best[0], pytest.approx(best[1]))
-
-
 def test_instances_of_two_squares(spark):
     target, called = np.zeros((10, 10), bool), np.zeros((10, 10), bool)
     target[1:3, 1:3] = target[6:8, 6:8] = called[1:3, 1:3] = called[1:3, 7:9] = True
