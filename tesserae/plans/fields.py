@@ -68,6 +68,20 @@ def instance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image", "tp", "fp", "fn", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1", "mean_iou")])
 
 
+def instance_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At an overlap of a tenth, where instances compete for partners."""
+    found = matching.instance_counts(*_sides(spark, sf_dir))
+    return found.select("image", "tp", "fp", "fn", *[F.round(F.col(x) + 1e-9, 6).alias(x) for x in ("precision", "recall", "f1", "mean_iou")])
+
+
+def froc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks found by steps of the value, at each of its thresholds and an overlap of a tenth."""
+    rows = _rows(spark, sf_dir)
+    scored = rows.where("valid").select(*_KEYS, F.floor(F.col("v") / 25).cast("double").alias("score"))
+    found = matching.froc_curve(rows, rows.where("t").select(*_KEYS), scored)
+    return found.withColumns({x: F.round(F.col(x) + 1e-9, 6) for x in ("sensitivity", "fp_per_image")})
+
+
 def froc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks found by their values at three thresholds."""
     rows = _rows(spark, sf_dir)
@@ -165,7 +179,7 @@ def analysis_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_components, small_holes, elongation, elongated_cells, instance_iou, instance_metrics, froc_sweep, skeleton, centerline_metrics, evaluate_sample,
+        grid_components, small_holes, elongation, elongated_cells, instance_iou, instance_metrics, instance_assignment, froc_sweep, froc_curve, skeleton, centerline_metrics, evaluate_sample,
         fold_score, fold_candidates, candidate_masks, analysis_region, he_patch_features, fluorescence_patch_features, response_metrics, feasibility_grid,
     )
 }
@@ -218,6 +232,22 @@ _INSTANCE = """inst_n AS (SELECT i.image, (SELECT count(DISTINCT (fy, fx)) FROM
     inst AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM inst_r)"""
 
 
+def _assigned(name: str, pairs: str, key: str) -> str:
+    """CTE ``name`` (key, tp, total): of all deals of the pairs (key, t, p, iou) of each connected part, the one with most pairs
+    and then the largest total."""
+    return f"""{name}_l AS (SELECT DISTINCT a.{key}, a.t AS a, b.t AS b FROM {pairs} a JOIN {pairs} b USING ({key}, p)),
+    {name}_r AS (SELECT {key}, a, a AS b FROM {name}_l WHERE a = b UNION SELECT r.{key}, r.a, l.b FROM {name}_r r JOIN {name}_l l ON l.{key} = r.{key} AND l.a = r.b),
+    {name}_t AS (SELECT {key}, a AS t, min(b) AS part FROM {name}_r GROUP BY ALL),
+    {name}_e AS (SELECT {key}, part, t, p, iou, row_number() OVER (PARTITION BY {key}, part ORDER BY t, p) AS k FROM {pairs} JOIN {name}_t USING ({key}, t)),
+    {name}_m AS (
+        SELECT DISTINCT {key}, part, 0::BIGINT AS k, []::BIGINT[] AS ts, []::BIGINT[] AS ps, 0 AS n, 0.0::DOUBLE AS w FROM {name}_e
+        UNION ALL
+        SELECT m.{key}, m.part, e.k, list_append(ts, e.t), list_append(ps, e.p), n + 1, w + iou FROM {name}_m m JOIN {name}_e e ON e.{key} = m.{key} AND e.part = m.part
+        WHERE e.k > m.k AND NOT list_contains(ts, e.t) AND NOT list_contains(ps, e.p)),
+    {name}_b AS (SELECT {key}, part, max(struct_pack(n := n, w := w)) AS b FROM {name}_m GROUP BY ALL),
+    {name} AS (SELECT {key}, sum(b.n)::BIGINT AS tp, sum(b.w) AS total FROM {name}_b GROUP BY ALL)"""
+
+
 def _boundary(name: str, mask: str) -> str:
     return f"""{name} AS (SELECT a.image, a.y, a.x FROM rows a JOIN rows c ON c.image = a.image AND abs(c.y - a.y) <= 1 AND abs(c.x - a.x) <= 1
         WHERE a.{mask} AND a.valid GROUP BY a.image, a.y, a.x HAVING count(*) FILTER (c.{mask} AND c.valid) < 9 AND bool_and(c.valid))"""
@@ -270,6 +300,19 @@ SQL = {
     "instance_iou": f"{_SIDES} SELECT image, ty::INT AS t_y, tx::INT AS t_x, py::INT AS p_y, px::INT AS p_x, round(iou, 6) AS iou FROM o",
     "instance_metrics": f"""{_SIDES}, {_INSTANCE}
         SELECT image, tp, np - tp AS fp, nt - tp AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, round(CASE WHEN nt = 0 AND np = 0 THEN 1.0 ELSE overlap END, 6) AS mean_iou FROM inst""",
+    "instance_assignment": f"""{_SIDES}, pairs AS (SELECT image, ty * 1000000 + tx AS t, py * 1000000 + px AS p, iou FROM o WHERE iou >= 0.1), {_assigned("a", "pairs", "image")},
+        n AS (SELECT i.image, (SELECT count(DISTINCT (fy, fx)) FROM t WHERE t.image = i.image) AS nt, (SELECT count(DISTINCT (fy, fx)) FROM p WHERE p.image = i.image) AS np FROM (SELECT DISTINCT image FROM rows) i),
+        m AS (SELECT image, nt, np, coalesce(tp, 0) AS tp, total / tp AS overlap FROM n LEFT JOIN a USING (image)),
+        r AS (SELECT *, CASE WHEN np = 0 THEN 1.0 ELSE tp::DOUBLE / np END AS pr, CASE WHEN nt = 0 THEN 1.0 ELSE tp::DOUBLE / nt END AS re FROM m)
+        SELECT image, tp, np - tp AS fp, nt - tp AS fn, round(pr + 1e-9, 6) AS precision, round(re + 1e-9, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END + 1e-9, 6) AS f1,
+               round(CASE WHEN nt = 0 AND np = 0 THEN 1.0 ELSE overlap END + 1e-9, 6) AS mean_iou FROM r""",
+    "froc_curve": f"""WITH RECURSIVE {_ROWS}, s AS (SELECT image, y, x, floor(v / 25)::DOUBLE AS score FROM rows WHERE valid), l AS (SELECT DISTINCT score AS threshold FROM s), {_parts("t", "SELECT image, y, x FROM rows WHERE t", 8)},
+        {_parts("p", "SELECT image || '/' || threshold AS key, y, x FROM s, l WHERE score >= threshold", 8, "key")},
+        o AS (SELECT p.key, t.fy * 1000000 + t.fx AS t, p.fy * 1000000 + p.fx AS p, count(*)::DOUBLE / (any_value(t.area) + any_value(p.area) - count(*)) AS iou FROM p JOIN t ON split_part(p.key, '/', 1)::BIGINT = t.image AND p.y = t.y AND p.x = t.x GROUP BY ALL),
+        pairs AS (SELECT * FROM o WHERE iou >= 0.1), {_assigned("a", "pairs", "key")},
+        nt AS (SELECT count(*) AS n FROM (SELECT DISTINCT image, fy, fx FROM t)), ni AS (SELECT count(DISTINCT image) AS n FROM rows),
+        c AS (SELECT threshold, (SELECT coalesce(sum(tp), 0) FROM a WHERE split_part(key, '/', 2)::DOUBLE = threshold)::BIGINT AS tp, (SELECT count(*) FROM (SELECT DISTINCT key, fy, fx FROM p) WHERE split_part(key, '/', 2)::DOUBLE = threshold) AS np FROM l)
+        SELECT threshold, tp, np - tp AS fp, nt.n - tp AS fn, round(tp::DOUBLE / nt.n + 1e-9, 6) AS sensitivity, round((np - tp)::DOUBLE / ni.n + 1e-9, 6) AS fp_per_image FROM c, nt, ni""",
     "froc_sweep": f"""WITH RECURSIVE {_ROWS}, l AS (SELECT unnest([0.0, 10.0, 40.0])::DOUBLE AS threshold), {_parts("t", "SELECT image, y, x FROM rows WHERE t", 8)},
         {_parts("p", "SELECT image || '/' || threshold AS key, y, x FROM rows, l WHERE (t OR v > 60) AND v >= threshold", 8, "key")},
         o AS (SELECT p.key, p.fy, p.fx, t.fy AS ty, t.fx AS tx, count(*)::DOUBLE / (any_value(t.area) + any_value(p.area) - count(*)) AS iou FROM p JOIN t ON split_part(p.key, '/', 1)::BIGINT = t.image AND p.y = t.y AND p.x = t.x GROUP BY ALL),
