@@ -1,45 +1,25 @@
 """Lines of masks: distances between two sets of cells, thinning, and metrics of boundaries and centre lines.
 
-Distances and thinning look across a whole image, so that an image is the unit of work here: as many tasks as images, each
-with one image's cells.
+No task holds an image: distances go by columns and strips of rows, thinning by tiles.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import ratio
+from ..storage import keep
 from . import tiles
+from .distance import nearest
 
 
-def distance_to(points: np.ndarray, spacing: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
-    """Euclidean distance of each cell of an array to the nearest true one (infinite without any).
-
-    Nearest within a column first; then the least over the columns, one offset for all cells at a time, until the offset
-    alone is farther than what has been found.
-    """
-    height, width = points.shape
-    rows = np.arange(height, dtype=float)[:, None]
-    above = np.maximum.accumulate(np.where(points, rows, -np.inf), axis=0)
-    below = np.minimum.accumulate(np.where(points, rows, np.inf)[::-1], axis=0)[::-1]
-    column = (np.minimum(rows - above, below - rows) * spacing[0]) ** 2
-    best = column.copy()
-    for k in range(1, width):
-        away = (k * spacing[1]) ** 2
-        if away >= best.max():
-            break
-        best[:, k:] = np.minimum(best[:, k:], column[:, :-k] + away)
-        best[:, :-k] = np.minimum(best[:, :-k], column[:, k:] + away)
-    return np.sqrt(best)
-
-
-def thinned(mask: np.ndarray) -> np.ndarray:
-    """Skeleton by alternating thinning passes: border cells go whose removal parts nothing, until none does."""
+def thinned(mask: np.ndarray, passes: int | None = None) -> np.ndarray:
+    """Skeleton by alternating thinning passes, so many at most: border cells go whose removal parts nothing, until none does."""
     now = np.pad(mask.astype(bool), 1)
-    while True:
+    while passes is None or passes > 0:
+        passes = None if passes is None else passes - 1
         before = now.copy()
         for odd in (False, True):
             n, e, s, w = now[:-2, 1:-1], now[1:-1, 2:], now[2:, 1:-1], now[1:-1, :-2]
@@ -49,49 +29,42 @@ def thinned(mask: np.ndarray) -> np.ndarray:
             free = ~(n & e & w) & ~(n & s & w) if odd else ~(n & e & s) & ~(e & s & w)
             now[1:-1, 1:-1] &= ~((count >= 2) & (count <= 6) & (turns == 1) & free)
         if (now == before).all():
-            return now[1:-1, 1:-1]
-
+            break
+    return now[1:-1, 1:-1]
 
-def _dense(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-    out = np.zeros((table.column("height")[0].as_py(), table.column("width")[0].as_py()), bool)
-    out[y, x] = table.column(name).to_numpy(zero_copy_only=False)
-    return out, y, x
 
+def skeleton(plane: DataFrame, mask: str, passes: int = 8, core: int = 128) -> DataFrame:
+    """``image, y, x, line`` for each cell of sized images with a boolean column ``mask``.
 
-def skeleton(plane: DataFrame, mask: str) -> DataFrame:
-    """``image, y, x, line`` for each cell of sized images with a boolean column ``mask``."""
+    A double pass looks two cells far. Each round, tiles take a halo of two cells for each of ``passes`` double passes and do
+    these, until a round changes nothing; only the cells that are left go on.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        dense, y, x = _dense(table, mask)
-        return pa.table([table.column("image"), table.column("y"), table.column("x"), pa.array(thinned(dense)[y, x])], names=["image", "y", "x", "line"])
+    def kernel(arrays: dict[str, np.ndarray], halo: int) -> dict[str, np.ndarray]:
+        return {"line": thinned(arrays["line"] > 0, passes)[halo:-halo, halo:-halo]}
 
-    return plane.select("image", "y", "x", "height", "width", mask).groupBy("image").applyInArrow(run, "image long, y int, x int, line boolean")
+    keys = ["image", "y", "x"]
+    sizes = keep(plane.select(F.col("image").cast("long"), "height", "width").distinct(), "sizes")
+    left = keep(plane.where(mask).select(F.col("image").cast("long"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")), "thin")
+    while True:
+        rows = left.join(sizes, "image").withColumn("line", F.lit(True))
+        found = keep(tiles.on_tiles(rows, kernel, 2 * passes, {"line": 0}, {"line": "boolean"}, core), "thin")
+        left = found.where("line").select(*keys)
+        if found.where("NOT line").isEmpty():
+            break
+    return plane.select(*keys).join(left.withColumn("line", F.lit(True)), keys, "left").withColumn("line", F.coalesce("line", F.lit(False)))
 
 
 def distances(plane: DataFrame, target: str, prediction: str, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """``image, side, distance``: of each marked cell of a side to the nearest of the other (infinite without any)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        a, y, x = _dense(table, target)
-        b, _, _ = _dense(table, prediction)
-        near = {"target": distance_to(b, spacing)[a], "prediction": distance_to(a, spacing)[b]}
-        n = sum(map(len, near.values()))
-        side = [k for k, v in near.items() for _ in range(len(v))]
-        return pa.table([pa.array([table.column("image")[0].as_py()] * n, pa.int64()), pa.array(side, pa.string()), pa.array(np.concatenate(list(near.values())))], names=["image", "side", "distance"])
-
-    columns = ["image", "y", "x", "height", "width", target, prediction]
-    return plane.select(*columns).groupBy("image").applyInArrow(run, "image long, side string, distance double")
+    marked = keep(plane.select("image", "y", "x", F.col(target).alias("a"), F.col(prediction).alias("b")).where("a OR b"), "marked")
+    one = lambda own, other, side: nearest(marked.where(own).withColumn("side", F.lit(side)), marked.where(other), spacing, ("side",))
+    return one("a", "b", "target").unionByName(one("b", "a", "prediction")).select("image", "side", "distance")
 
 
 def edge_distance(plane: DataFrame, mask: str, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """``image, y, x, distance`` of each cell of sized images to the nearest one outside ``mask``."""
-
-    def run(table: pa.Table) -> pa.Table:
-        dense, y, x = _dense(table, mask)
-        return pa.table([table.column("image"), table.column("y"), table.column("x"), pa.array(distance_to(~dense, spacing)[y, x])], names=["image", "y", "x", "distance"])
-
-    return plane.select("image", "y", "x", "height", "width", mask).groupBy("image").applyInArrow(run, "image long, y int, x int, distance double")
+    """``image, y, x, distance`` of each cell of an image to the nearest of its cells outside ``mask``."""
+    return nearest(plane, plane.where(~F.col(mask)), spacing)
 
 
 def harmonic(a: Column, b: Column) -> Column:

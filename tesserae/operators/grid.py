@@ -31,15 +31,18 @@ def halo_tiles(images: DataFrame, core: int, halo: int) -> DataFrame:
 
 
 def in_patches(pixels: DataFrame, size: int, stride: int) -> DataFrame:
-    """Each pixel of sized images (``height, width``) with the y0, x0 of every window over it, by arithmetic.
-
-    A cell outside its image is an error.
+    """Each pixel of sized images (``height, width``) with the y0, x0 of every window over it, by division: a cell costs
+    as many rows as windows hold it, whatever the image's size. A cell outside its image is an error.
     """
 
     def starts(at: str, length: str) -> Column:
-        inside = (F.col(at) >= 0) & (F.col(at) < F.col(length))
-        found = F.filter(window_starts(F.col(length), size, stride), lambda s: (s <= F.col(at)) & (F.col(at) < s + size))
-        return F.when(inside, found).otherwise(F.raise_error(F.lit("a cell is outside its image")).cast("array<int>"))
+        at, length = F.col(at), F.col(length)
+        tail = length - size
+        first = F.greatest(F.lit(0), F.ceil((at - (size - 1)) / stride).cast("int"))
+        last = F.least(F.floor(at / stride), F.floor(tail / stride)).cast("int")
+        even = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda k: k * stride)).otherwise(F.array().cast("array<int>"))
+        found = F.when(tail <= 0, F.array(F.lit(0))).when((tail % stride != 0) & (at >= tail), F.array_append(even, tail.cast("int"))).otherwise(even)
+        return F.when((at >= 0) & (at < length), found).otherwise(F.raise_error(F.lit("a cell is outside its image")).cast("array<int>"))
 
     return pixels.withColumn("y0", F.explode(starts("y", "height"))).withColumn("x0", F.explode(starts("x", "width")))
 

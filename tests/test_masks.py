@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import candidates, contours, evaluation, grid, masks, matching, tiles
+from tesserae.operators import candidates, contours, distance, evaluation, grid, masks, matching, tiles
 
 
 def frame(spark, *arrays, names=("v",), image=3):
@@ -143,16 +142,52 @@ def test_false_positives_leave_as_the_threshold_grows(spark):
 
 
 @pytest.mark.parametrize("spacing", [(1.0, 1.0), (0.5, 2.0)])
-def test_distances_are_euclidean(spacing):
+def test_distances_are_euclidean(spark, spacing):
     rng = np.random.default_rng(8)
-    for density in (0.002, 0.05, 0.5):
-        points = rng.random((31, 47)) < density
-        points[30, 0] = True
-        at = np.argwhere(points) * spacing
-        every = np.argwhere(np.ones_like(points)) * spacing
-        plain = np.sqrt(((every[:, None] - at[None]) ** 2).sum(axis=2)).min(axis=1).reshape(points.shape)
-        assert np.allclose(contours.distance_to(points, spacing), plain)
-    assert np.isinf(contours.distance_to(np.zeros((3, 3), bool))).all()
+    shape, planes = (31, 47), {}
+    for image, density in enumerate((0.0, 0.002, 0.05, 0.5, 1.0)):
+        planes[image] = rng.random(shape) < density
+    planes[1][30, 0] = True
+    cells = spark.createDataFrame([(k, y, x, bool(v[y, x])) for k, v in planes.items() for y in range(shape[0]) for x in range(shape[1])], "image long, y int, x int, m boolean")
+    every = np.argwhere(np.ones(shape)) * spacing
+    for strip in (1, 100, 1 << 19):  # strips of one row, of two, and whole images
+        found = {(r.image, r.y, r.x): r.distance for r in distance.nearest(cells, cells.where("m"), spacing, strip=strip).collect()}
+        for image, points in planes.items():
+            got = np.array([[found[image, y, x] for x in range(shape[1])] for y in range(shape[0])])
+            if points.any():
+                at = np.argwhere(points) * spacing
+                assert np.allclose(got, np.sqrt(((every[:, None] - at[None]) ** 2).sum(axis=2)).min(axis=1).reshape(shape))
+            else:
+                assert np.isinf(got).all()
+    some = cells.where("image = 3 AND y % 7 = 3 AND x > 20").unionByName(cells.where("image = 3 AND y = 3 AND x = 30"))  # a row that comes twice
+    few = distance.nearest(some, cells.where("m"), spacing, strip=100).collect()
+    assert len(few) == some.count() and all(found[r.image, r.y, r.x] == r.distance for r in few)
+    assert distance.nearest(cells.limit(0), cells.where("m"), spacing).count() == 0
+
+
+def test_the_lower_envelope_of_long_rows():
+    rng = np.random.default_rng(5)
+    heights = rng.integers(0, 3000, (3, 200)).astype(float) ** 2
+    sites = np.sort(rng.choice(5000, 200, replace=False))
+    row, x = np.repeat([0, 2], [700, 1]), np.concatenate((np.sort(rng.integers(0, 5000, 700)), [4999]))
+    plain = (heights[row] + (x[:, None] - sites[None]) ** 2.0).min(axis=1)
+    assert np.allclose(distance.least_parabola(heights, sites, row, x), plain)
+
+
+@pytest.mark.parametrize(("core", "passes"), [(8, 1), (16, 2), (128, 8)])
+def test_thinning_by_tiles_is_that_of_the_image(spark, core, passes):
+    rng = np.random.default_rng(3)
+    planes = [np.zeros((45, 40), bool), rng.random((33, 50)) < 0.8, np.zeros((40, 40), bool), np.ones((20, 37), bool)]
+    planes[0][10:30, 5:36] = True
+    planes[2][7:9, :] = planes[2][:, 15:17] = True  # lines along the borders of tiles
+    cells = [(k, y, x, bool(v[y, x])) for k, v in enumerate(planes) for y in range(v.shape[0]) for x in range(v.shape[1])]
+    rows = tiles.sized(spark.createDataFrame(cells, "image long, y int, x int, m boolean"))
+    got = contours.skeleton(rows, "m", passes, core).collect()
+    assert len(got) == len(cells)
+    for k, mask in enumerate(planes):
+        line = contours.thinned(mask)
+        assert {(r.y, r.x) for r in got if r.image == k and r.line} == {tuple(c) for c in np.argwhere(line).tolist()}
+    assert not contours.skeleton(rows.withColumn("m", F.lit(False)), "m").where("line").count()
 
 
 def test_thinning_leaves_lines():
@@ -196,3 +231,11 @@ def test_a_dark_fold_and_a_gap_are_found(spark):
     assert fold[:, 20:24].mean() > 0.8 and fold[:, 30:].mean() < 0.05
     assert crack[40:43, 34:54].mean() > 0.5 and crack[:30].mean() < 0.02 and not (fold & crack).any()
     assert (dense(found, "review", (64, 64)) >= fold).all()
+
+
+def test_windows_of_a_cell_by_division(spark):
+    for height, size, stride in ((30, 32, 16), (100, 32, 24), (101, 32, 24), (128, 32, 32), (40, 8, 13), (33, 32, 5)):
+        rows = spark.range(height).select(F.lit(0).alias("image"), F.col("id").cast("int").alias("y"), F.lit(0).alias("x"), F.lit(height).alias("height"), F.lit(1).alias("width"))
+        starts = [0] if height <= size else sorted({*range(0, height - size + 1, stride), height - size})
+        got = {(r.y, r.y0) for r in grid.in_patches(rows, size, stride).collect()}
+        assert got == {(y, s) for y in range(height) for s in starts if s <= y < s + size}
