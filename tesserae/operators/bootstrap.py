@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .splits import draw
+from ..storage import keep
+from .splits import draw, ranked
 
 
 def resample(clusters: DataFrame, by: list[str], cluster: str, replicates: int, seed: int) -> DataFrame:
     """``replicate`` and the columns of a drawn cluster, as many draws for a replicate as a stratum has clusters.
 
-    Clusters are rows of counts, so that a replicate costs their number and not that of their members.
+    Clusters are rows of counts, so that a replicate costs their number and not that of their members. They are numbered by
+    spans, and each draw finds its cluster by number.
     """
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    numbered = clusters.withColumns({"place": F.row_number().over(whole.orderBy(cluster)) - 1, "n": F.count("*").over(whole)})
+    numbered = ranked(clusters, by, cluster).withColumn("place", F.col("place") - 1)
     key = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(x).cast("string") for x in by], F.col("replicate").cast("string"), F.col("place").cast("string")), 256)
     slots = numbered.select(*by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = slots.select(*by, "replicate", F.pmod(draw(key), F.col("n")).cast("int").alias("place"))
@@ -32,22 +31,10 @@ def interval(replicates: DataFrame, by: list[str], value: str, confidence: float
 
 
 def by_sample(rows: DataFrame, sample: str, value: Column, replicates: int, seed: int) -> DataFrame:
-    """Interval of the mean over samples with a value, each drawn as often as chance has it.
-
-    How often a sample is drawn in a replicate is a function of both: a Poisson draw, which needs no place in an order and so
-    no task that sees all samples.
-    """
-    some = rows.select(F.col(sample).alias("sample"), value.cast("double").alias("v")).where("v is not null")
-    some = some.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    unit = draw(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("sample").cast("string"), F.col("replicate").cast("string")), 256)) / float(1 << 48)
-    levels, total, part = [], 0.0, math.exp(-1)
-    for k in range(12):
-        total += part
-        levels.append(total)
-        part /= k + 1
-    times = sum((F.when(unit >= x, 1).otherwise(0) for x in levels), F.lit(0))
-    means = some.withColumn("times", times).groupBy("replicate").agg((F.sum(F.col("v") * F.col("times")) / F.when(F.sum("times") > 0, F.sum("times"))).alias("value"))
-    return interval(means.withColumn("statistic", F.lit("mean")), ["statistic"], "value")
+    """``estimate``, the mean of the samples with a value, and its interval over replicates of as many draws from them."""
+    some = keep(rows.select(F.col(sample).alias("sample"), value.cast("double").alias("v")).where("v is not null"), "samples")
+    found = bootstrap(some, [], "sample", F.avg("v"), replicates, seed)
+    return found.crossJoin(some.agg(F.round(F.avg("v"), 6).alias("estimate")))  # one row each
 
 
 def paired(clusters: DataFrame, by: list[str], cluster: str, method: str, value: str, replicates: int, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import quantiles
+from .ranking import quantiles, running
 
 
 def order_key(*parts: Column | str | int) -> Column:
@@ -19,6 +19,14 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
 
 
+def ranked(rows: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    """``rows`` with their ``place`` from 1 in the order within their group, and the group's size ``n``; by spans, so that no
+    group is in one task. The order must tell rows apart."""
+    key = F.struct(*order)
+    found = running(rows.withColumn("one", F.lit(1).cast("long")), by, key, ["one"])
+    return found.select(*rows.columns, F.col("up_one").cast("int").alias("place"), F.col("all_one").alias("n"))
+
+
 def reservoir(rows: DataFrame, capacity: int, *key: Column | str | int) -> DataFrame:
     """The ``capacity`` rows with the smallest keys; tasks keep no more each."""
     return rows.withColumn("order_key", order_key(*key)).orderBy("order_key").limit(capacity)
@@ -33,26 +41,22 @@ def limit_per_group(rows: DataFrame, by: list[str], limit: int, *key: Column | s
 
 def even_places(rows: DataFrame, by: list[str], order: list[str], count: int) -> DataFrame:
     """``count`` rows of each group at even places from first to last, as linspace truncates them; all of fewer rows."""
-    w = Window.partitionBy(*by)
-    rows = rows.withColumns({"place": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)})
+    rows = ranked(rows, by, *order).withColumn("place", F.col("place") - 1)
     places = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (F.col("n") - 1) / float(max(1, count - 1))).cast("int"))
     return rows.where((F.col("n") <= count) | F.array_contains(places, F.col("place"))).drop("n")
 
 
 def every(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
     """Every k-th row of a group, k its size over ``most``, rounded down, at least 1."""
-    w = Window.partitionBy(*by)
-    stride = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / F.lit(most)))
-    rows = rows.withColumns({"place": F.row_number().over(w.orderBy(*order)) - 1, "stride": stride})
+    stride = F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(most)))
+    rows = ranked(rows, by, *order).withColumns({"place": F.col("place") - 1, "stride": stride}).drop("n")
     return rows.where(F.col("place") % F.col("stride") == 0)
 
 
 def group_split(groups: DataFrame, by: list[str], share: float, *key: Column | str | int) -> DataFrame:
     """Distinct groups, ordered by hash: a rounded share for calibration, one for test, and the rest to fit."""
-    w = Window.partitionBy(*by)
-    size = F.bround(F.count("*").over(w) * F.lit(share)).cast("int")
-    rows = groups.withColumn("order_key", order_key(*key))
-    rows = rows.withColumns({"place": F.row_number().over(w.orderBy("order_key")), "size": size})
+    rows = ranked(groups.withColumn("order_key", order_key(*key)), by, "order_key")
+    rows = rows.withColumn("size", F.bround(F.col("n") * F.lit(share)).cast("int")).drop("n")
     role = F.when(F.col("place") <= F.col("size"), "calibration").when(F.col("place") <= 2 * F.col("size"), "test").otherwise("fit")
     return rows.withColumn("role", role).drop("size", "place")
 

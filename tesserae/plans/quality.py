@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -257,16 +256,6 @@ _DRAWS = f"""WITH {FIELDS}, clusters AS (
 _INTERVAL = "count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper"
 
 
-def _poisson() -> list[float]:
-    """Chances of at most k draws of a mean of one, k = 0, 1, ..."""
-    levels, total, part = [], 0.0, math.exp(-1)
-    for k in range(12):
-        total += part
-        levels.append(total)
-        part /= k + 1
-    return levels
-
-
 def bootstrap_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled overlap of slides resampled within strata."""
     dice = rates.ratio(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"), 1.0)
@@ -296,7 +285,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean overlap of samples with a valid area, samples drawn anew."""
     rows = fields(spark, sf_dir).where("n_valid > 0")
     dice = rates.pixel_metrics(*[F.col(x) for x in confusion.COUNTS])["dice"]
-    return bootstrap.by_sample(rows, "sample", dice, 40, 7).drop("statistic")
+    return bootstrap.by_sample(rows, "sample", dice, 40, 7)
 
 
 def bootstrap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,9 +460,9 @@ SQL = {
     "calibration_quantile": f"""WITH {OBS}, t AS (SELECT stratum, quantile_cont(score, 0.99) AS threshold FROM obs WHERE slide % 4 = 0 GROUP BY stratum)
         SELECT stratum, round(any_value(threshold), 6) AS threshold, round(avg((score > threshold)::INT::DOUBLE), 6) AS alert_rate FROM obs JOIN t USING (stratum) WHERE slide % 4 <> 0 GROUP BY stratum""",
     "bootstrap_ci": f"""WITH {FIELDS}, d AS (SELECT sample, {_DICE} AS v FROM fields WHERE n_valid > 0),
-        u AS (SELECT v, replicate, ('0x' || substr(sha256('7|' || sample || '|' || replicate), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS unit FROM d, range(40) AS r(replicate)),
-        t AS (SELECT v, replicate, {" + ".join(f"(unit >= {x!r}::DOUBLE)::INT" for x in _poisson())} AS times FROM u),
-        m AS (SELECT replicate, sum(v * times) / nullif(sum(times), 0) AS value FROM t GROUP BY replicate) SELECT {_INTERVAL} FROM m""",
+        numbered AS (SELECT v, row_number() OVER (ORDER BY sample) - 1 AS place, count(*) OVER () AS n FROM d),
+        drawn AS (SELECT replicate, (('0x' || substr(sha256('7|' || replicate || '|' || place), 1, 12))::BIGINT % n) AS place FROM numbered, range(40) AS r(replicate)),
+        m AS (SELECT replicate, avg(v) AS value FROM drawn JOIN numbered USING (place) GROUP BY replicate) SELECT {_INTERVAL}, (SELECT round(avg(v), 6) FROM d) AS estimate FROM m""",
     "bootstrap_cluster": f"""WITH {FIELDS}, clusters AS (SELECT slide, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(image_score) AS v FROM fields WHERE n_valid > 0 GROUP BY slide),
         numbered AS (SELECT *, row_number() OVER (ORDER BY slide) - 1 AS place, count(*) OVER () AS n FROM clusters),
         drawn AS (SELECT replicate, (('0x' || substr(sha256('7|' || replicate || '|' || place), 1, 12))::BIGINT % n) AS place FROM numbered, range(100) AS r(replicate)),

@@ -239,7 +239,7 @@ def correlation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumn("key", splits.order_key(7, F.col("c_mktsegment"), F.col("c_custkey")))
-    return rows.select("c_mktsegment", "c_custkey", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("key")).alias("place"))
+    return splits.ranked(rows, ["c_mktsegment"], "key").select("c_mktsegment", "c_custkey", "place")
 
 
 def hash_select(spark: SparkSession, sf_dir: str) -> DataFrame:
