@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,47 +129,3 @@ def sizes_by_remainder(groups: DataFrame, by: list[str], shares: dict[str, float
         rows = rows.withColumn("best", best).withColumn("sizes", F.transform("sizes", lambda x, i: F.when(i == F.col("best"), x + F.col("step")).otherwise(x)))
     out = F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in names]).alias("role"), F.col("sizes").alias("size")))
     return rows.select(*by, out.alias("o")).select(*by, F.col("o.role").alias("role"), F.col("o.size").alias("size"))
-
-
-def balanced(groups: DataFrame, by: list[str], group: str, weight: str, sizes: DataFrame, seed: int) -> DataFrame:
-    """``by, group, role``: groups dealt to roles so that a role's weight is near its share of the groups' weight.
-
-    ``sizes``: ``by, role, size`` with as many groups in all as there are. Groups are taken by weight, the heaviest first
-    (ties by hash), each by the role with places that lacks most; then pairs of groups in different roles are exchanged as
-    long as the sum of all deviations shrinks. A stratum's groups are few: one is the work of one task.
-    """
-    key = order_key(seed, *[F.col(x) for x in by], F.col(group))
-    rows = groups.select(*by, F.col(group).cast("string").alias("group"), F.col(weight).cast("double").alias("weight"), key.alias("key"))
-    roles = sizes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("role", "size"))).alias("roles"))
-
-    def deal(table: pa.Table) -> pa.Table:
-        some = sorted(zip(table.column("group").to_pylist(), table.column("weight").to_pylist(), table.column("key").to_pylist(), strict=True), key=lambda x: (-x[1], x[2]))
-        places = {x["role"]: x["size"] for x in table.column("roles")[0].as_py()}
-        whole, count = sum(w for _, w, _ in some), sum(places.values())
-        target = {r: whole * n / count for r, n in places.items()}
-        left, have, role = dict(places), dict.fromkeys(places, 0.0), {}
-        for name, w, _ in some:
-            r = max((r for r in left if left[r]), key=lambda r: (target[r] - have[r], r))
-            left[r], have[r], role[name] = left[r] - 1, have[r] + w, r
-        weights = {name: w for name, w, _ in some}
-        while True:
-            swaps = []
-            for i, (a, wa, _) in enumerate(some):
-                for b, wb, _ in some[i + 1 :]:
-                    x, y = role[a], role[b]
-                    if x != y:
-                        old = abs(have[x] - target[x]) + abs(have[y] - target[y])
-                        new = abs(have[x] - wa + wb - target[x]) + abs(have[y] - wb + wa - target[y])
-                        swaps.append((new - old, a, b))
-            if not swaps or min(swaps)[0] >= -1e-9:
-                break
-            _, a, b = min(swaps)
-            x, y = role[a], role[b]
-            have[x] += weights[b] - weights[a]
-            have[y] += weights[a] - weights[b]
-            role[a], role[b] = y, x
-        keys = [pa.array([table.column(x)[0].as_py()] * len(role), table.column(x).type) for x in by]
-        return pa.table([*keys, pa.array(list(role)), pa.array(list(role.values()))], names=[*by, "group", "role"])
-
-    schema = ", ".join(f"{x} {dict(groups.dtypes)[x]}" for x in by) + ", group string, role string"
-    return rows.join(roles, by).groupBy(*by).applyInArrow(deal, schema)

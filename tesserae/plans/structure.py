@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import checks
-from ..operators import audits, linking, splits
+from ..operators import audits, balance, linking, splits
 from .views import FIELDS, MANIFEST, OBS, RECORDS, VECTORS, fields, manifest, obs, records, table, vectors
 
 _TERMS = ["H&E", " Comet", "CosMx SMI", "bright field", "DAPI", "AF", "marker", "Tear", "folding", "hard-negative", "x"]
@@ -259,10 +259,10 @@ def logo_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHARES = {"fit": 0.6, "calibration": 0.25, "test": 0.15}
 
 
-def _slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as slides of the strata of their nation's region, with as many images as lines."""
+def _slides(spark: SparkSession, sf_dir: str, stratum: F.Column | None = None) -> DataFrame:
+    """Suppliers as slides of the strata of their nation's number, with as many images as lines."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("images"))
-    return table(spark, sf_dir, "supplier").join(lines, "s_suppkey").select((F.col("s_nationkey") % 3).alias("stratum"), "s_suppkey", "images")
+    return table(spark, sf_dir, "supplier").join(lines, "s_suppkey").select((F.col("s_nationkey") % 3 if stratum is None else stratum).alias("stratum"), "s_suppkey", "images")
 
 
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,11 +274,24 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balanced_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slides dealt to roles of fixed sizes so that their images are near the roles' shares."""
     slides = _slides(spark, sf_dir)
-    found = splits.balanced(slides, ["stratum"], "s_suppkey", "images", split_sizes(spark, sf_dir), 5)
+    found = balance.balanced(slides, ["stratum"], "s_suppkey", "images", _with_shares(split_sizes(spark, sf_dir)), 5)
     images = slides.select("stratum", F.col("s_suppkey").cast("string").alias("group"), "images")
     return found.join(images, ["stratum", "group"]).groupBy("stratum", "role").agg(F.count("*").alias("slides"), F.sum("images").alias("images"))
 
 
+def _with_shares(sizes: DataFrame) -> DataFrame:
+    return sizes.withColumn("share", F.coalesce(*[F.when(F.col("role") == r, F.lit(x)) for r, x in _SHARES.items()]))
+
+
+def balanced_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least deviation of the roles' images from their shares, of the nations with three to nine slides."""
+    slides = _slides(spark, sf_dir, F.col("s_nationkey"))
+    groups = slides.groupBy("stratum").agg(F.count("*").alias("n")).where("n BETWEEN 3 AND 9")
+    sizes = _with_shares(splits.sizes_by_remainder(groups, ["stratum"], _SHARES))
+    found = balance.balanced(slides.join(groups, "stratum", "left_semi"), ["stratum"], "s_suppkey", "images", sizes, 5)
+    return found.groupBy("stratum").agg(F.count("*").alias("slides"), F.round(F.first("objective"), 6).alias("objective"))
+
+
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).groupBy("split", "status").agg(F.count("*").alias("n"), F.count_distinct("patient").alias("patients"), F.min("digest").alias("first_digest"))
 
@@ -431,7 +444,7 @@ QUERIES = {
         coerce_alias, normalize_term, spacing_check, mask_domain, hex_predicate, presence_pred, safe_path, bounded_check, json_safe, json_props_scan,
         json_flag_scan, role_case, structural_view, channel_axis, bright_adapter, adapter_dispatch, role_indices, role_order, channel_select, metric_format, registry_format, flatten_struct, embedding_scan,
         url_source_identity, synthetic_ids, join_exact_pairing, asset_anti_join, lock_verify, split_overlap, split_leakage, role_cover,
-        correlation_components, hash_order, hash_select, group_split, logo_roles, split_sizes, balanced_assignment, split_report, split_coverage, priority_reservoir, limit_per_group,
+        correlation_components, hash_order, hash_select, group_split, logo_roles, split_sizes, balanced_assignment, balanced_objective, split_report, split_coverage, priority_reservoir, limit_per_group,
         linspace_cap, stride_sample, candidate_grid, set_ops, union_rows, required_cells, group_coverage, dup_identity, content_sha, anonymous_labels,
         manifest_issues, contract_status, eligibility_reasons, method_eligibility, abstention_rows, content_duplicates,
     )
@@ -458,6 +471,19 @@ _ISSUES = f"""{MANIFEST}, sound AS (SELECT * FROM manifest WHERE price > 0 AND p
     UNION ALL SELECT record, 'digest_repeated', 'error', 'digest' FROM m WHERE copies > 1
     UNION ALL SELECT record, 'patient_crosses_splits', 'error', 'patient' FROM m WHERE splits > 1
     UNION ALL SELECT record, 'block_crosses_splits', 'warning', 'block' FROM m WHERE block_splits > 1)"""
+def _sizes(stratum: str, enough: str) -> str:
+    """CTEs up to ``sizes`` (stratum, role, size), by largest remainder."""
+    return f"""n AS (SELECT {stratum} AS stratum, count(*) AS n FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem) GROUP BY ALL HAVING {enough}),
+        w AS (SELECT stratum, n, role, i, n * share AS wanted, greatest(1, floor(n * share + 1e-9))::INT AS size FROM n, (VALUES ('fit', 0, 0.6::DOUBLE), ('calibration', 1, 0.25::DOUBLE), ('test', 2, 0.15::DOUBLE)) AS t(role, i, share)),
+        a AS (SELECT *, sign(n - sum(size) OVER s) AS step FROM w WINDOW s AS (PARTITION BY stratum)),
+        b AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM a),
+        c AS (SELECT * REPLACE (CASE WHEN k = 1 THEN size + step ELSE size END AS size) FROM b), d AS (SELECT * EXCLUDE (step, k), sign(n - sum(size) OVER (PARTITION BY stratum)) AS step FROM c),
+        e AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM d),
+        f AS (SELECT * REPLACE (CASE WHEN k = 1 THEN size + step ELSE size END AS size) FROM e), g AS (SELECT * EXCLUDE (step, k), sign(n - sum(size) OVER (PARTITION BY stratum)) AS step FROM f),
+        h AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM g),
+        sizes AS (SELECT stratum, role, (CASE WHEN k = 1 THEN size + step ELSE size END)::INT AS size FROM h)"""
+
+
 SQL = {
     "coerce_alias": f"""WITH t AS (SELECT n_nationkey, {_T} AS term FROM nation)
         SELECT n_nationkey, {_case("replace(lower(trim(term)), ' ', '')", schema.MODALITIES)} AS modality,
@@ -519,15 +545,18 @@ SQL = {
         SELECT record, patient, split, owner FROM m WHERE split <> owner""",
     "role_cover": """WITH g AS (SELECT DISTINCT l_suppkey AS patient FROM lineitem), r AS (SELECT DISTINCT user_id AS patient FROM events)
         SELECT patient, 'no role' AS kind FROM (SELECT * FROM g EXCEPT SELECT * FROM r) UNION ALL SELECT patient, 'no group' FROM (SELECT * FROM r EXCEPT SELECT * FROM g)""",
-    "split_sizes": """WITH n AS (SELECT s_nationkey % 3 AS stratum, count(*) AS n FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem) GROUP BY ALL HAVING count(*) >= 3),
-        w AS (SELECT stratum, n, role, i, n * share AS wanted, greatest(1, floor(n * share + 1e-9))::INT AS size FROM n, (VALUES ('fit', 0, 0.6::DOUBLE), ('calibration', 1, 0.25::DOUBLE), ('test', 2, 0.15::DOUBLE)) AS t(role, i, share)),
-        a AS (SELECT *, sign(n - sum(size) OVER s) AS step FROM w WINDOW s AS (PARTITION BY stratum)),
-        b AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM a),
-        c AS (SELECT * REPLACE (CASE WHEN k = 1 THEN size + step ELSE size END AS size) FROM b), d AS (SELECT * EXCLUDE (step, k), sign(n - sum(size) OVER (PARTITION BY stratum)) AS step FROM c),
-        e AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM d),
-        f AS (SELECT * REPLACE (CASE WHEN k = 1 THEN size + step ELSE size END AS size) FROM e), g AS (SELECT * EXCLUDE (step, k), sign(n - sum(size) OVER (PARTITION BY stratum)) AS step FROM f),
-        h AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size + step < 1, round((wanted - size) * step, 9) DESC, i) AS k FROM g)
-        SELECT stratum, role, (CASE WHEN k = 1 THEN size + step ELSE size END)::INT AS size FROM h""",
+    "split_sizes": f"""WITH {_sizes("s_nationkey % 3", "count(*) >= 3")} SELECT stratum, role, size FROM sizes""",
+    "balanced_objective": f"""WITH RECURSIVE {_sizes("s_nationkey", "count(*) BETWEEN 3 AND 9")},
+        lines AS (SELECT l_suppkey, count(*) AS images FROM lineitem GROUP BY ALL),
+        own AS (SELECT s_nationkey AS stratum, images, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier JOIN lines ON l_suppkey = s_suppkey),
+        z AS (SELECT stratum, {", ".join(f"max(size) FILTER (role = '{r}') AS z{i}" for i, r in enumerate(_SHARES))}, sum(size) AS n, (SELECT sum(images) FROM own WHERE own.stratum = sizes.stratum) AS whole FROM sizes GROUP BY stratum),
+        deals AS (
+            SELECT stratum, 0::BIGINT AS k, z0, z1, z2, 0::BIGINT AS w0, 0::BIGINT AS w1, 0::BIGINT AS w2 FROM z
+            UNION
+            SELECT stratum, own.k, z0 - (r = 0)::INT, z1 - (r = 1)::INT, z2 - (r = 2)::INT, w0 + images * (r = 0)::INT, w1 + images * (r = 1)::INT, w2 + images * (r = 2)::INT
+            FROM deals JOIN own USING (stratum), range(3) AS t(r) WHERE own.k = deals.k + 1 AND CASE r WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END > 0)
+        SELECT stratum, any_value(n)::BIGINT AS slides, round(min({" + ".join(f"abs(w{i} - {x}::DOUBLE * whole)" for i, x in enumerate(_SHARES.values()))}), 6) AS objective
+        FROM deals JOIN (SELECT stratum, n, whole FROM z) USING (stratum) WHERE k = n GROUP BY stratum""",
     "correlation_components": """WITH RECURSIVE s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS n, floor(s_acctbal / 10) AS b FROM supplier),
         e AS (SELECT DISTINCT x.k AS a, y.k AS b FROM s x JOIN s y ON x.n = y.n OR x.b = y.b), reach AS (SELECT k AS a, k AS b FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
         SELECT a AS s_suppkey, min(b) AS component FROM reach GROUP BY a""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae import schema
 from tesserae.functions import checks, rates
-from tesserae.operators import anomaly, audits, bootstrap, confusion, grid, linking, neighbors, probe, ranking, splits
+from tesserae.operators import anomaly, audits, balance, bootstrap, confusion, grid, linking, neighbors, probe, ranking, splits
 
 
 def one(df):
@@ -163,15 +163,52 @@ def test_split_sizes_of_tables(spark):
     assert got == {n: dict(zip(shares, splits.split_sizes(n, tuple(shares.values())), strict=True)) for n in range(3, 60)}
 
 
+def all_deals(weights, sizes, targets):
+    """Least deviation, and the deals that have it with the least preference, by trying all."""
+    roles = [r for r, n in enumerate(sizes) for _ in range(n)]
+    cost = lambda deal: sum(abs(sum(w for w, q in zip(weights, deal, strict=True) if q == r) - targets[r]) for r in range(len(sizes)))
+    prefer = lambda deal: sum((g + 1) * (r + 1) for g, r in enumerate(deal))
+    every = set(permutations(roles))
+    least = min(map(cost, every))
+    best = min(prefer(x) for x in every if cost(x) <= least + 1e-9)
+    return least, {x for x in every if cost(x) <= least + 1e-9 and prefer(x) == best}
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_deals_are_the_best_of_all(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(3, 9))
+    sizes = splits.split_sizes(n, (0.6, 0.25, 0.15)) if seed % 2 else splits.split_sizes(n, (0.5, 0.5))
+    weights = rng.integers(1, int(rng.choice([4, 30, 1000])), n).astype(float).tolist()
+    targets = [sum(weights) * x for x in ((0.6, 0.25, 0.15) if seed % 2 else (0.5, 0.5))]
+    least, best = all_deals(weights, sizes, targets)
+    deal = balance.best_deal(weights, sizes, targets)
+    assert tuple(deal) in best
+    assert balance.deviation([sum(w for w, r in zip(weights, deal, strict=True) if r == q) for q in range(len(sizes))], targets) == pytest.approx(least)
+
+
+def test_ten_groups_and_sixty():
+    weights, sizes = [31.0, 27, 26, 25, 15, 13, 12, 11, 9, 2], [5, 3, 2]
+    targets = [sum(weights) * x for x in (0.6, 0.25, 0.15)]
+    deal = balance.best_deal(weights, sizes, targets)
+    cost = lambda deal: sum(abs(sum(w for w, q in zip(weights, deal, strict=True) if q == r) - targets[r]) for r in range(3))
+    every = {(a, b) for a in combinations(range(10), 5) for b in combinations([x for x in range(10) if x not in a], 3)}
+    assert cost(deal) == pytest.approx(min(cost([0 if g in a else 1 if g in b else 2 for g in range(10)]) for a, b in every))
+    weights = np.random.default_rng(1).integers(1, 40, 60).astype(float).tolist()
+    sizes = splits.split_sizes(60, (0.6, 0.25, 0.15))
+    deal = balance.best_deal(weights, sizes, [round(sum(weights) * 0.6), round(sum(weights) * 0.25), sum(weights) - round(sum(weights) * 0.6) - round(sum(weights) * 0.25)])
+    assert [deal.count(r) for r in range(3)] == sizes
+
+
 def test_balanced_groups_are_as_good_as_the_best(spark):
     weights, sizes = [9, 7, 6, 5, 5, 3, 2, 1], {"a": 3, "b": 3, "c": 2}
-    groups = spark.createDataFrame([("s", k, w) for k, w in enumerate(weights)], "s string, k int, w int")
-    places = spark.createDataFrame([("s", r, n) for r, n in sizes.items()], "s string, role string, size int")
-    got = splits.balanced(groups, ["s"], "k", "w", places, 1).collect()
-    cost = lambda role: sum(abs(sum(weights[k] for k in range(8) if role[k] == r) - sum(weights) * n / 8) for r, n in sizes.items())
-    deals = {p for p in permutations("aaabbbcc")}
-    assert sorted(x.role for x in got) == list("aaabbbcc")
-    assert cost({int(x.group): x.role for x in got}) <= min(map(cost, deals)) + 1.0
+    groups = spark.createDataFrame([(s, k, w) for s in "st" for k, w in enumerate(weights)], "s string, k int, w int")
+    places = spark.createDataFrame([(s, r, n) for s in "st" for r, n in sizes.items()], "s string, role string, size int")
+    got = balance.balanced(groups, ["s"], "k", "w", places, 1).where("s = 's'").collect()
+    least, _ = all_deals(weights, list(sizes.values()), [sum(weights) * n / 8 for n in sizes.values()])
+    assert sorted(x.role for x in got) == list("aaabbbcc") and [x.objective for x in got] == pytest.approx([least] * 8)
+    with pytest.raises(Exception, match="more or fewer places"):
+        balance.balanced(groups.where("k > 0"), ["s"], "k", "w", places, 1).collect()
 
 
 def test_anomaly_scores_match_numpy(spark):
