@@ -83,11 +83,38 @@ class Ranges:
         return out
 
 
+def _crc_shifts(most: int) -> np.ndarray:
+    """CRC-32 after so many zero bytes, by their number, a byte of the register and its value: the register is linear."""
+    value = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        value = (value >> np.uint32(1)) ^ np.where(value & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    out = np.empty((most + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32)[None] << (np.uint32(8) * np.arange(4, dtype=np.uint32)[:, None])
+    for k in range(most):
+        out[k + 1] = value[out[k] & np.uint32(255)] ^ (out[k] >> np.uint32(8))
+    return out.reshape(-1)
+
+
+_LONG = 64
+_SHIFTS = _crc_shifts(_LONG)
+_CRC_SPACE = np.uint32(zlib.crc32(b" "))
+
+
+def _joined(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRC-32 of two strings in a row from those of both; the second has ``size`` bytes, ``_LONG`` at most."""
+    at = size.astype(np.int64) * 1024
+    out = b.copy()
+    for k in range(4):
+        out ^= _SHIFTS[at + (256 * k) + ((a >> np.uint32(8 * k)) & np.uint32(255))]
+    return out
+
+
 class SlotTable:
     """Open addressing with linear probing: ``owner`` is the occurrence that a slot was taken by, -1 where it is free.
     Slots store ``bucket`` and ``count``; ``slot`` is each occurrence's."""
 
-    def __init__(self, ranges: Ranges, begin: np.ndarray, size: np.ndarray, buckets: int, keys: np.ndarray | None = None):
+    def __init__(self, found: Features, buckets: int, keys: np.ndarray | None = None):
+        ranges, begin, size = found.ranges, found.begin, found.size
         keys = ranges.hashes(begin, size) if keys is None else keys
         mask = (1 << max(4, (2 * len(begin)).bit_length())) - 1
         self.owner = np.full(mask + 1, -1, np.int64)
@@ -98,17 +125,37 @@ class SlotTable:
             free = self.owner[at] < 0
             self.owner[at[free]] = left[free]  # of several that want it, one has it
             own = self.owner[at]
-            found = (keys[own] == keys[left]) & (size[own] == size[left])
-            look = np.flatnonzero(found & (own != left))
-            found[look] = ranges.same(begin[own[look]], begin[left[look]], size[left[look]])
-            left = left[~found]
+            equal = (keys[own] == keys[left]) & (size[own] == size[left])
+            look = np.flatnonzero(equal & (own != left))
+            equal[look] = ranges.same(begin[own[look]], begin[left[look]], size[left[look]])
+            left = left[~equal]
             self.slot[left] = (self.slot[left] + 1) & mask
         self.count = np.bincount(self.slot, minlength=mask + 1)
         self.bucket = np.zeros(mask + 1, np.int64)
         taken = np.flatnonzero(self.count)
-        first, crc, raw = self.owner[taken], zlib.crc32, ranges.raw
-        spans = zip(begin[first].tolist(), (begin[first] + size[first]).tolist(), strict=True)
-        self.bucket[taken] = np.fromiter((crc(raw[a:b]) for a, b in spans), np.int64, len(taken)) % buckets
+        self.bucket[taken] = self._crcs(found, self.owner[taken]) % buckets
+
+    def _crcs(self, found: Features, owner: np.ndarray) -> np.ndarray:
+        """CRC-32 of some features. Words are read once each; runs of them are joined from their words' values."""
+        sizes, first, run = found.word_size, found.word[owner], found.run[owner]
+        crc = np.zeros(len(found.begin), np.uint32)
+        last = first + run - 1
+        plain = (run > 1) & (sizes[np.minimum(first + 1, len(sizes) - 1)] <= _LONG) & (sizes[last] <= _LONG) if len(found.begin) >= len(sizes) and found.whole else np.zeros(len(owner), bool)
+        alone, raw = owner[~plain], found.ranges.raw
+        spans = zip(found.begin[alone].tolist(), (found.begin[alone] + found.size[alone]).tolist(), strict=True)
+        crc[alone] = np.fromiter((zlib.crc32(raw[a:b]) for a, b in spans), np.uint32, len(alone))
+        if plain.any():
+            words = crc[self.owner[self.slot[: len(sizes)]]]  # single words come first
+            spaced = _joined(words, np.full(len(words), _CRC_SPACE), np.ones(len(words), np.int64))
+            pairs = _joined(spaced[:-1], words[1:], np.minimum(sizes[1:], _LONG))
+            at = first[plain]
+            value = pairs[at]
+            three = run[plain] == 3
+            end = at[three] + 2
+            spaced = _joined(value[three], np.full(len(end), _CRC_SPACE), np.ones(len(end), np.int64))
+            value[three] = _joined(spaced, words[end], sizes[end])
+            crc[owner[plain]] = value
+        return crc[owner].astype(np.int64)
 
     def bucket_counts(self, buckets: int) -> np.ndarray:
         taken = np.flatnonzero(self.count)
@@ -119,12 +166,17 @@ class SlotTable:
 
 @dataclass(frozen=True)
 class Features:
-    """Occurrences of runs of words in some texts: ranges of ``ranges``, and the text of each."""
+    """Occurrences of runs of words in some texts: ranges of ``ranges``, and the text, first word and words of each.
+    ``whole``: single words are all there, in order."""
 
     ranges: Ranges
     begin: np.ndarray
     size: np.ndarray
     text: np.ndarray
+    word: np.ndarray
+    run: np.ndarray
+    word_size: np.ndarray
+    whole: bool
     words: np.ndarray
 
 
@@ -142,7 +194,7 @@ def features(texts: list[bytes], longest: int, skip: int = 0) -> Features:
     data = data[kept]
     stop = np.flatnonzero(after[kept])
     start = np.concatenate((np.zeros(min(1, len(stop)), np.int64), stop[:-1] + 1))
-    begin, size, owner = [], [], []
+    begin, size, owner, first = [], [], [], []
     for k in range(min(longest, len(stop))):
         n = len(stop) - k
         inside = text[:n] == text[k:]
@@ -150,8 +202,10 @@ def features(texts: list[bytes], longest: int, skip: int = 0) -> Features:
         begin.append(start[:n][inside])
         size.append((stop[k:] - start[:n])[inside])
         owner.append(text[:n][inside])
-    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, size, owner)]
-    return Features(Ranges(data), *joined, words=np.bincount(text, minlength=len(texts)))
+        first.append(np.flatnonzero(inside))
+    run = [np.full(len(x), k + 1) for k, x in enumerate(begin)]
+    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, size, owner, first, run)]
+    return Features(Ranges(data), *joined, word_size=stop - start, whole=not skip and longest <= 3, words=np.bincount(text, minlength=len(texts)))
 
 
 def pieces(text: bytes, longest: int, limit: int) -> Iterator[tuple[bytes, int]]:
@@ -200,7 +254,7 @@ class TargetResampling:
     least: int = 20
     scale: int = 1000
     seed: int = 42
-    slice: int = 1 << 21
+    slice: int = 1 << 20
 
     def _groups(self, texts: list[bytes | None]) -> Iterator[tuple[int, Features]]:
         """First text of each group of texts, and the group's features; a long text is a group, or several."""
@@ -216,7 +270,7 @@ class TargetResampling:
             yield a, features(some, self.longest)
 
     def _table(self, found: Features) -> SlotTable:
-        return SlotTable(found.ranges, found.begin, found.size, self.buckets)
+        return SlotTable(found, self.buckets)
 
     def counts(self, texts: DataFrame) -> np.ndarray:
         """Features in each bucket over all ``text`` rows. A task sends a number for each bucket."""

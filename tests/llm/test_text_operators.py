@@ -150,7 +150,7 @@ def test_slots_hold_the_runs_of_words(texts, limit):
     assert found.ranges.hashes(found.begin, found.size).tolist() == [xxhash.xxh64_intdigest(raw[b : b + s]) for b, s in zip(found.begin, found.size, strict=True)]
     every = Counter(x for t in texts for x in runs(t)[0])
     for keys in (None, np.zeros(len(found.begin), np.uint64)):  # all keys alike: only bytes tell features apart
-        table = tr.SlotTable(found.ranges, found.begin, found.size, 97, keys)
+        table = tr.SlotTable(found, 97, keys)
         assert table.count[table.count > 0].sum() == len(found.begin) and (table.count > 0).sum() == len(every)
         assert [table.bucket[s] for s in table.slot] == [zlib.crc32(raw[b : b + s]) % 97 for b, s in zip(found.begin, found.size, strict=True)]
     parts, words = [], 0
@@ -161,6 +161,14 @@ def test_slots_hold_the_runs_of_words(texts, limit):
     assert sorted(parts) == sorted(runs(texts[0])[0]) and words == runs(texts[0])[1]
 
 
+def test_checksums_of_runs_are_joined_from_their_words():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdé9") for _ in range(rng.choice([1, 2, 7, 31, 63, 64, 65, 90]))) for _ in range(300)]
+    found = tr.features([" ".join(words[:200]).encode(), " ".join(words[200:]).encode()], 3)
+    table, raw = tr.SlotTable(found, 1 << 32), found.ranges.raw
+    assert [table.bucket[s] for s in table.slot] == [zlib.crc32(raw[b : b + s]) for b, s in zip(found.begin, found.size, strict=True)]
+
+
 def sampled(rows, targets, percent=5, least=20):
     count = lambda texts: Counter(zlib.crc32(x.encode()) % 10000 for t in texts for x in runs(t)[0])
     s, t = count(x for _, x in rows), count(targets)
