@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import keep
+from .ranking import percentile_rank, quantile_columns
 
 #: Vectors of a block, of the bank and of the rows.
 BLOCK = 8192
@@ -63,6 +64,36 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
+def fingerprint(rows: DataFrame) -> tuple:
+    """Number and sums of the vectors' hashes: the same for the same vectors in any order."""
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("embedding").cast("array<double>")).cast("decimal(38,0)"))
+    return tuple(rows.agg(F.count("*"), hashed(0), hashed(1)).first())
+
+
+def calibrated_knn(rows: DataFrame, bank: DataFrame, calibration: DataFrame, k: int, quantile: float = 0.995, splits: tuple[str, str] | None = None) -> DataFrame:
+    """``id, score, percentile, flagged`` of rows (all sides are ``id, embedding``).
+
+    ``percentile``: the share of the clean calibration's scores that are not above the row's; ``flagged``: above their
+    ``quantile``. Scores are rounded to nine digits, so that equal vectors have equal ones. Errors: the calibration's vectors
+    are the bank's, an id is in both, their ``splits`` have one name, fewer than k vectors in the bank or two to calibrate.
+    """
+    if splits and splits[0] == splits[1]:
+        raise ValueError("fit and calibration are of one split")
+    bank, calibration = keep(bank.select("id", "embedding"), "bank"), keep(calibration.select("id", "embedding"), "calibration")
+    own, other = fingerprint(bank), fingerprint(calibration)
+    if own[0] < k:
+        raise ValueError("the bank has fewer vectors than neighbours are asked for")
+    if other[0] < 2:
+        raise ValueError("two vectors, at least, calibrate")
+    if own == other or not bank.join(calibration, "id", "left_semi").isEmpty():
+        raise ValueError("the calibration repeats vectors of the bank")
+    nine = lambda some: keep(knn_scores(some, bank, k).withColumn("score", F.round("score", 9)), "knn-scores")
+    found, clean = nine(rows), nine(calibration)
+    limit = quantile_columns(clean.withColumn("one", F.lit(1)), ["one"], "score", threshold=quantile)
+    found = found.join(percentile_rank(found, clean), "score").withColumn("one", F.lit(1)).join(limit, "one")
+    return found.select("id", "score", "percentile", (F.col("score") > F.col("threshold")).alias("flagged"))
+
+
 def diagonal_mahalanobis(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """``id, score``: root mean square of the dimensions' deviations from the reference's, in its sample deviations.
 

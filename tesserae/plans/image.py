@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intensity
-from ..operators import anomaly, artifacts, contours, grid, neighbors, probe, ranking, tiles
+from ..operators import anomaly, artifacts, contours, grid, neighbors, probe, ranking, reservoirs, tiles
 from .views import PLANE, SIZED, VECTORS, plane, table, vectors
 
 
@@ -251,6 +251,35 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.scores(rows.where("role = 'test'"), model).withColumn("score", F.round("score", 4))
 
 
+def _fit_pass(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Of the vectors to fit: a bank of clean ones, and as many negative as positive ones, from one pass."""
+    clean, positive = F.col("label") <= 6, F.col("label") >= 5
+    kinds = [reservoirs.Reservoir("bank", clean, 200, 18), reservoirs.Reservoir("negative", ~positive, 60, 24), reservoirs.Reservoir("positive", positive, 60, 30)]
+    return reservoirs.gather(vectors(spark, sf_dir).where("role = 'fit'"), kinds)
+
+
+def fit_reservoirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each reservoir of the fit pass has seen and holds."""
+    kept, seen = _fit_pass(spark, sf_dir)
+    held = kept.groupBy("name").agg(F.sum("id").alias("ids"), F.max("order_key").alias("last_key"))
+    return seen.join(held, "name", "left").select("name", "seen", "stored", "ids", "last_key")
+
+
+def knn_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test vectors held against the bank of the fit pass, and against the clean calibration's scores."""
+    rows = vectors(spark, sf_dir)
+    bank = _fit_pass(spark, sf_dir)[0].where("name = 'bank'")
+    found = neighbors.calibrated_knn(rows.where("role = 'test'"), bank, rows.where("role = 'calibration' AND label <= 6"), 5, splits=("fit", "calibration"))
+    return found.select("id", F.round("score", 5).alias("score"), F.round("percentile", 6).alias("percentile"), "flagged")
+
+
+def probe_from_fit_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances by a probe that the reservoirs of the fit pass taught."""
+    kept = _fit_pass(spark, sf_dir)[0].where("name <> 'bank'").withColumn("positive", F.col("name") == "positive")
+    found = probe.scores(vectors(spark, sf_dir).where("role = 'test'"), probe.fit(kept, "positive"))
+    return found.withColumn("score", F.round("score", 4))
+
+
 def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a class-balanced logistic probe, fitted on vectors of two kinds."""
     rows = vectors(spark, sf_dir).withColumn("positive", F.col("label") >= 5)
@@ -302,7 +331,7 @@ QUERIES = {
         window_starts, patch_grid, halo_windows, core_stitch, level_choice, level_box, physical_units, tile_region_scan, patch_features, patch_filter,
         tile_stitch, token_labels, heatmap, rolling_std, gradient, dilate, erode, closing, boundary_pixels, boundary_match, area_resample, otsu, entropy,
         normalize_unit, optical_density, stain_linear, tissue_predicate, tail_score, normalized_score, fuse_scores, hybrid_or, inject_perturb,
-        incremental_score, flip_consistency, robust_scale, frozen_eval, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, vector_agreement,
+        incremental_score, flip_consistency, robust_scale, frozen_eval, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, fit_reservoirs, knn_calibrated, probe_from_fit_pass, vector_agreement,
     )
 }
 
@@ -339,6 +368,10 @@ def _edge(name: str, mask: str) -> str:
         WHERE a.{mask} AND a.valid GROUP BY a.image, a.y, a.x HAVING count(*) FILTER (c.{mask} AND c.valid) < 9 AND bool_and(c.valid))"""
 
 
+_RESERVOIRS = """k AS (SELECT * FROM (VALUES ('bank', 200, 18), ('negative', 60, 24), ('positive', 60, 30)) AS t(name, capacity, seed)),
+        r AS (SELECT name, capacity, id, sha256(seed || '|' || id) AS order_key FROM vectors, k WHERE role = 'fit' AND CASE name WHEN 'bank' THEN label <= 6 WHEN 'negative' THEN label < 5 ELSE label >= 5 END),
+        held AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY name ORDER BY order_key, id) <= capacity)"""
+
 SQL = {
     "window_starts": f"SELECT p_partkey, unnest({_STARTS.format('(p_size * 7)')})::INT AS start FROM part",
     "patch_grid": f"""WITH {_IMAGES}, ys AS (SELECT *, unnest({_STARTS.format("height")}) AS y0 FROM images), xs AS (SELECT *, unnest({_STARTS.format("width")}) AS x0 FROM ys)
@@ -419,6 +452,16 @@ SQL = {
         m AS (SELECT d, avg(x) AS mean, stddev_samp(x) AS sd FROM d WHERE role = 'fit' AND label <= 6 AND NOT broken GROUP BY d),
         s AS (SELECT id, label, role, sqrt(avg(pow((x - mean) / sd, 2))) AS score FROM d JOIN m USING (d) WHERE NOT broken AND sd > 0 GROUP BY ALL), t AS (SELECT quantile_cont(score, 0.95) AS threshold FROM s WHERE role = 'calibration' AND label <= 6)
         SELECT u.label <= 6 AS reference, CASE WHEN score IS NULL THEN 'abstained' WHEN score > threshold THEN 'alert' ELSE 'clean' END AS outcome, count(*) AS n FROM u LEFT JOIN s USING (id), t WHERE u.role = 'test' GROUP BY ALL""",
+    "fit_reservoirs": f"""WITH {VECTORS}, {_RESERVOIRS}
+        SELECT k.name, (SELECT count(*) FROM r WHERE r.name = k.name) AS seen, (SELECT count(*) FROM held WHERE held.name = k.name) AS stored,
+               (SELECT sum(id)::BIGINT FROM held WHERE held.name = k.name) AS ids, (SELECT max(order_key) FROM held WHERE held.name = k.name) AS last_key FROM k""",
+    "knn_calibrated": f"""WITH {VECTORS}, {_RESERVOIRS}, u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM vectors),
+        asked AS (SELECT * FROM u WHERE role = 'test' OR (role = 'calibration' AND label <= 6)), bank AS (SELECT u.e FROM held JOIN u USING (id) WHERE name = 'bank'),
+        d AS (SELECT asked.id, asked.role, list_distance(asked.e, bank.e) AS d FROM asked, bank),
+        n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM d), s AS (SELECT id, role, round(avg(d), 9) AS score FROM n WHERE k <= 5 GROUP BY ALL),
+        c AS (SELECT score FROM s WHERE role = 'calibration')
+        SELECT id, round(score, 5) AS score, round((SELECT count(*) FROM c WHERE c.score <= s.score)::DOUBLE / (SELECT count(*) FROM c), 6) AS percentile, score > (SELECT quantile_cont(score, 0.995) FROM c) AS flagged
+        FROM s WHERE role = 'test'""",
     "patch_knn": f"""WITH {VECTORS}, u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM vectors),
         d AS (SELECT a.id, list_distance(a.e, b.e) AS dist FROM u a, u b WHERE a.role = 'test' AND b.role = 'fit' AND b.label <= 6),
         k AS (SELECT id, dist FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist) <= 5) SELECT id, round(avg(dist), 5) AS score FROM k GROUP BY id""",

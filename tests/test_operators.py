@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from itertools import combinations, permutations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae import schema
 from tesserae.functions import checks, rates
-from tesserae.operators import anomaly, audits, balance, bootstrap, confusion, grid, linking, neighbors, probe, ranking, splits
+from tesserae.operators import anomaly, audits, balance, bootstrap, confusion, grid, linking, neighbors, probe, ranking, reservoirs, splits
 
 
 def one(df):
@@ -233,9 +234,11 @@ def test_anomaly_scores_match_numpy(spark):
 def test_probe_separates_and_balances(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate((rng.normal(size=(300, 3)), rng.normal(size=(20, 3)) + [2, 0, 0]))
+    x[:, 2] = 4 + 1e-8 * x[:, 2]  # it does not vary: not scaled
     rows = spark.createDataFrame([(i, [float(v) for v in r], i >= 300) for i, r in enumerate(x)], "id long, embedding array<double>, positive boolean")
     got = {r.id: r.score for r in probe.scores(rows, probe.fit(rows, "positive")).collect()}
-    z, y = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1), np.arange(320) >= 300
+    scale = np.where(x.std(axis=0) < 1e-6, 1.0, x.std(axis=0))
+    z, y = (x - x.mean(axis=0)) / scale, np.arange(320) >= 300
     weight, w, b = np.where(y, 0.5 / 20, 0.5 / 300), np.zeros(3), 0.0
     for _ in range(50):  # Newton's steps
         p = 1 / (1 + np.exp(-(z @ w + b)))
@@ -246,3 +249,39 @@ def test_probe_separates_and_balances(spark):
     assert [got[i] for i in range(320)] == pytest.approx((1 / (1 + np.exp(-(z @ w + b)))).tolist(), abs=1e-4)
     with pytest.raises(ValueError):
         probe.fit(rows.where("positive"), "positive")
+
+
+def test_reservoirs_hold_the_smallest_keys_of_one_pass(spark):
+    kinds = [reservoirs.Reservoir("a", F.col("k") < 7, 11, 3), reservoirs.Reservoir("b", F.col("k") >= 2, 40, 5), reservoirs.Reservoir("c", F.col("k") > 100, 4, 5), reservoirs.Reservoir("d", F.lit(True), 10_000, 9)]
+    rows = spark.range(500).select(F.col("id"), F.array((F.col("id") * 0.5).cast("double")).alias("embedding"), (F.col("id") % 10).alias("k"))
+    rows = rows.unionByName(rows.where("id < 3")).unionByName(spark.createDataFrame([(None, [1.0], 3)], "id long, embedding array<double>, k long")).repartition(19)
+    kept, seen = reservoirs.gather(rows, kinds, fan_in=3)
+    ids = [*range(500), 0, 1, 2]
+    key = lambda seed, i: (hashlib.sha256(f"{seed}|{i}".encode()).hexdigest(), i)
+    found = {"a": lambda k: k < 7, "b": lambda k: k >= 2, "c": lambda k: k > 100, "d": lambda k: True}
+    counts = {r.name: (r.seen, r.stored) for r in seen.collect()}
+    for x in kinds:
+        own = [i for i in ids if found[x.name](i % 10)]
+        some = kept.where(F.col("name") == x.name).collect()
+        assert sorted((r.order_key, r.id) for r in some) == sorted(key(x.seed, i) for i in own)[: x.capacity]
+        assert all(r.embedding == [r.id * 0.5] for r in some) and counts[x.name] == (len(own), min(len(own), x.capacity))
+    assert {r.name: (r.seen, r.stored) for r in reservoirs.gather(rows.limit(0), kinds)[1].collect()} == dict.fromkeys("abcd", (0, 0))
+
+
+def test_calibrated_neighbours(spark):
+    rng = np.random.default_rng(6)
+    bank, calm, test = rng.normal(size=(40, 5)), rng.normal(size=(30, 5)), rng.normal(size=(20, 5)) * [1, 1, 1, 1, 9]
+    test[3] = calm[4]
+    make = lambda a, first: spark.createDataFrame([(first + i, [float(v) for v in r]) for i, r in enumerate(a)], "id long, embedding array<double>")
+    rows = [make(test, 0), make(bank, 100), make(calm, 200)]
+    got = {r.id: r for r in neighbors.calibrated_knn(*rows, 3, 0.8, ("fit", "calibration")).collect()}
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    score = lambda a: np.sort(np.linalg.norm(unit(a)[:, None] - unit(bank)[None], axis=2), axis=1)[:, :3].mean(axis=1).round(9)
+    clean, limit = score(calm), np.quantile(score(calm), 0.8)
+    for i, x in enumerate(score(test)):
+        assert (got[i].score, got[i].percentile, got[i].flagged) == (pytest.approx(x), pytest.approx((clean <= x).mean()), bool(x > limit))
+    for wrong in ((rows[1], rows[1]), (rows[1], rows[1].limit(9)), (rows[1], rows[2].limit(1)), (rows[1].limit(2), rows[2]), (rows[1], rows[1].withColumn("id", F.col("id") + 900))):
+        with pytest.raises(ValueError):
+            neighbors.calibrated_knn(rows[0], *wrong, 3)
+    with pytest.raises(ValueError):
+        neighbors.calibrated_knn(*rows, 3, splits=("fit", "fit"))
