@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import intensity
-from ..operators import anomaly, artifacts, contours, grid, neighbors, probe, ranking, reservoirs, tiles
+from ..functions import attempts, intensity
+from ..operators import anomaly, artifacts, boxes, contours, grid, neighbors, probe, ranking, reservoirs, tiles
+from ..sources import arrays
+from ..storage import keep, shared_dir
 from .views import PLANE, SIZED, VECTORS, plane, table, vectors
 
 
@@ -85,6 +90,24 @@ def tile_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.in_patches(rows, 32, 16).join(scores, _PATCH).groupBy("image", "y", "x").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("high"), F.count("*").alias("windows"))
 
 
+def box_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells and values in boxes of one to a hundred cells a side, one for each part."""
+    key, images = F.col("p_partkey"), plane(spark, sf_dir).agg((F.max("image") + 1).alias("images"))
+    size = F.when(key % 97 == 0, 100).otherwise(1 + F.col("p_size") % 20)
+    rows = table(spark, sf_dir, "part").crossJoin(images).select(key.alias("box"), (key % F.col("images")).alias("image"), (key * 7 % 90).cast("int").alias("y0"), (key * 13 % 90).cast("int").alias("x0"), size.alias("n"))
+    rows = rows.select("box", "image", "y0", "x0", (F.col("y0") + F.col("n")).alias("y1"), (F.col("x0") + F.col("n") * 2).alias("x1"))
+    found = boxes.in_boxes(plane(spark, sf_dir).select("image", "y", "x", "v"), rows)
+    return found.groupBy("box").agg(F.count("*").alias("cells"), F.round(F.sum("v"), 3).alias("total"))
+
+
+def array_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes written as array files, and a window of each read back, with the bytes that were read for it."""
+    folder = f"{shared_dir(spark)}/tesserae/planes-{uuid.uuid4().hex}"
+    keep(arrays.write_planes(plane(spark, sf_dir), folder), "planes")
+    rows = arrays.scan_arrays(spark, folder).where("y >= 16 AND y < 40 AND x >= 10 AND x < 30")
+    return rows.select(F.regexp_extract("path", r"/(\d+)-\d+\.npy$", 1).cast("long").alias("image"), "y", "x", "v", "bytes")
+
+
 def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of 8 by 8 whose share of marked pixels is 0.2, at least."""
     rows = plane(spark, sf_dir).groupBy("image", F.floor(F.col("y") / 8).cast("int").alias("ty"), F.floor(F.col("x") / 8).cast("int").alias("tx"))
@@ -287,6 +310,18 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.scores(rows.where("role = 'test'"), model).withColumn("score", F.round("score", 4))
 
 
+def failed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest reading of each vector, by a scorer that refuses a batch with a broken one: only the broken ones fail."""
+    found = vectors(spark, sf_dir).select("id", attempts.attempt(_largest, "embedding").alias("a"))
+    return found.select("id", F.round("a.score", 5).alias("score"), "a.status", "a.reason")
+
+
+def _largest(matrix: np.ndarray) -> np.ndarray:
+    if np.abs(matrix).max() > 2.5:
+        raise ValueError("a broken reading")
+    return matrix.max(axis=1)
+
+
 def mahalanobis_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     found = neighbors.diagonal_mahalanobis(rows.where("role = 'test'"), rows.where("role = 'fit' AND label <= 6"))
@@ -331,7 +366,7 @@ QUERIES = {
         window_starts, patch_grid, halo_windows, core_stitch, level_choice, level_box, physical_units, tile_region_scan, patch_features, patch_filter,
         tile_stitch, token_labels, heatmap, rolling_std, gradient, dilate, erode, closing, boundary_pixels, boundary_match, area_resample, otsu, entropy,
         normalize_unit, optical_density, stain_linear, tissue_predicate, tail_score, normalized_score, fuse_scores, hybrid_or, inject_perturb,
-        incremental_score, flip_consistency, robust_scale, frozen_eval, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, fit_reservoirs, knn_calibrated, probe_from_fit_pass, vector_agreement,
+        incremental_score, flip_consistency, robust_scale, frozen_eval, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, fit_reservoirs, knn_calibrated, probe_from_fit_pass, failed_scores, box_cells, array_window, vector_agreement,
     )
 }
 
@@ -462,6 +497,11 @@ SQL = {
         c AS (SELECT score FROM s WHERE role = 'calibration')
         SELECT id, round(score, 5) AS score, round((SELECT count(*) FROM c WHERE c.score <= s.score)::DOUBLE / (SELECT count(*) FROM c), 6) AS percentile, score > (SELECT quantile_cont(score, 0.995) FROM c) AS flagged
         FROM s WHERE role = 'test'""",
+    "failed_scores": f"""WITH {VECTORS}, a AS (SELECT id, list_max(embedding) AS score, list_max(list_transform(embedding, lambda x: abs(x))) > 2.5 AS broken FROM vectors)
+        SELECT id, CASE WHEN NOT broken THEN round(score, 5) END AS score, CASE WHEN broken THEN 'failed' ELSE 'scored' END AS status, CASE WHEN broken THEN 'ValueError: a broken reading' END AS reason FROM a""",
+    "box_cells": f"""WITH {PLANE}, n AS (SELECT max(image) + 1 AS images FROM plane), s AS (SELECT p_partkey AS box, p_partkey % images AS image, p_partkey * 7 % 90 AS y0, p_partkey * 13 % 90 AS x0, CASE WHEN p_partkey % 97 = 0 THEN 100 ELSE 1 + p_size % 20 END AS n FROM part, n)
+        SELECT box, count(*) AS cells, round(sum(v), 3) AS total FROM s JOIN plane p ON p.image = s.image AND y >= y0 AND y < y0 + n AND x >= x0 AND x < x0 + n * 2 GROUP BY box""",
+    "array_window": f"WITH {PLANE} SELECT image, y, x, v, count(*) OVER (PARTITION BY image) * 8 AS bytes FROM plane WHERE y >= 16 AND y < 40 AND x >= 10 AND x < 30",
     "patch_knn": f"""WITH {VECTORS}, u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM vectors),
         d AS (SELECT a.id, list_distance(a.e, b.e) AS dist FROM u a, u b WHERE a.role = 'test' AND b.role = 'fit' AND b.label <= 6),
         k AS (SELECT id, dist FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist) <= 5) SELECT id, round(avg(dist), 5) AS score FROM k GROUP BY id""",

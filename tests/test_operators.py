@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from itertools import combinations, permutations
 
 import numpy as np
@@ -11,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae import schema
-from tesserae.functions import checks, rates
-from tesserae.operators import anomaly, audits, balance, bootstrap, confusion, grid, linking, neighbors, probe, ranking, reservoirs, splits
+from tesserae.functions import attempts, checks, rates
+from tesserae.operators import anomaly, audits, balance, bootstrap, boxes, confusion, grid, linking, neighbors, probe, ranking, reservoirs, splits
 
 
 def one(df):
@@ -285,3 +286,35 @@ def test_calibrated_neighbours(spark):
             neighbors.calibrated_knn(rows[0], *wrong, 3)
     with pytest.raises(ValueError):
         neighbors.calibrated_knn(*rows, 3, splits=("fit", "fit"))
+
+
+def test_boxes_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    cells = [(int(k), int(y), int(x)) for k, y, x in zip(rng.integers(0, 3, 400), rng.integers(0, 60, 400), rng.integers(0, 200, 400), strict=True)]
+    some = [(b, int(rng.integers(0, 3)), *(int(v) for v in (y, x, y + h, x + w))) for b, (y, x, h, w) in enumerate(zip(rng.integers(-5, 60, 60), rng.integers(-5, 200, 60), rng.choice([0, 1, 3, 64, 500], 60), rng.choice([1, 2, 17, 300], 60), strict=True))]
+    some.append((99, 1, None, 0, 5, 5))
+    rows = spark.createDataFrame(cells, "image long, y int, x int").withColumn("size", F.lit("x"))
+    found = boxes.in_boxes(rows, spark.createDataFrame(some, "box int, image long, y0 int, x0 int, y1 int, x1 int"))
+    expected = Counter((*c, "x", b) for c in cells for b, k, y0, x0, y1, x1 in some if y0 is not None and c[0] == k and y0 <= c[1] < y1 and x0 <= c[2] < x1)
+    assert Counter(tuple(r) for r in found.collect()) == expected and len(expected) > 300
+    assert boxes.in_boxes(rows, spark.createDataFrame([], "box int, image long, y0 int, x0 int, y1 int, x1 int")).count() == 0
+
+
+def test_a_failure_is_a_row():
+    calls = []
+
+    def score(matrix):
+        calls.append(len(matrix))
+        if (matrix[:, 0] < 0).any():
+            raise RuntimeError("below zero")
+        return np.log(matrix[:, 0])
+
+    vectors = [[float(i), 1.0] for i in range(1, 513)]
+    vectors[7] = vectors[300] = [-1.0, 1.0]
+    vectors[9], vectors[10], vectors[11] = None, [1.0], [0.0, 1.0]
+    with np.errstate(divide="ignore"):
+        got = attempts.attempted(score, vectors)
+    bad = {7: "RuntimeError: below zero", 300: "RuntimeError: below zero", 9: "no vector", 10: "1 dimensions in place of 2", 11: "not a finite score"}
+    assert {i: r for i, (_, s, r) in enumerate(got) if s == "failed"} == bad and len(calls) < 45
+    assert all(got[i] == (math.log(i + 1), "scored", None) for i in range(512) if i not in bad)
+    assert attempts.attempted(score, []) == []
