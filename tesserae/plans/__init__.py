@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contract, fields, image, quality, structure
+from . import contract, fields, image, manifest, quality, structure
 
-_PARTS = (quality, structure, image, fields, contract)
+_PARTS = (quality, structure, image, fields, contract, manifest)
 
 
 def queries() -> dict:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.splits import ranked
+
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -40,6 +42,25 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.inline(F.when(F.ltrim("value").startswith("["), listed).otherwise(held)))
 
 
+def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line, text`` of JSON lines; blank lines count in the numbers. Files are read by blocks, and numbered by spans."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    return ranked(rows, ["path"], "begin", "at").select("path", F.col("place").cast("long").alias("line"), "text")
+
+
+def manifest_records(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line, text, issue`` of JSON documents, a list of records or an object whose ``samples`` is one: a row for each
+    record, by its number, or one with an ``issue`` for a document that has none to read. A document is one task."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+    samples = F.try_variant_get("doc", "$.samples", "variant")
+    root = F.when(F.schema_of_variant("doc").startswith("ARRAY"), F.col("doc")).otherwise(samples)
+    docs = docs.select("path", "doc", F.when(F.schema_of_variant(root).startswith("ARRAY"), root).alias("root"))
+    issue = F.when(F.col("doc").isNull(), "json_decode_error").otherwise("invalid_manifest_root")
+    broken = docs.where("root is null").select("path", F.lit(1).cast("long").alias("line"), F.lit(None).cast("string").alias("text"), issue.alias("issue"))
+    found = spark.sql("SELECT path, CAST(pos + 1 AS BIGINT) AS line, to_json(value) AS text, CAST(NULL AS STRING) AS issue FROM {docs}, LATERAL variant_explode(root)", docs=docs.where("root is not null"))
+    return found.unionByName(broken)
+
+
 def _cell(cell: ElementTree.Element, shared: list[str]) -> str:
     if cell.get("t") == "inlineStr":
         return "".join(x.text or "" for x in cell.iter(f"{_SHEET}t"))
