@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attempts, intensity
-from ..operators import anomaly, artifacts, boxes, contours, grid, neighbors, probe, ranking, reservoirs, tiles
+from ..operators import anomaly, artifacts, boxes, chain, contours, grid, neighbors, probe, ranking, reservoirs, tiles
 from ..sources import arrays
 from ..storage import keep, shared_dir
 from .views import PLANE, SIZED, VECTORS, plane, table, vectors
@@ -310,6 +310,28 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.scores(rows.where("role = 'test'"), model).withColumn("score", F.round("score", 4))
 
 
+def _chain(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Lock on the calibration, evaluate on the test vectors; marked are those that are not clean."""
+    scored = keep(rows.where("role <> 'fit'").select("id", "role", (F.col("label") > 6).alias("target")).join(scores, "id", "left"), "chain")
+    found = chain.evaluate(scored.where("role = 'calibration'"), scored.where("role = 'test'"), 33)
+    rounded = ("calibration_dice", "dice", "precision", "recall", "average_precision", "auroc")
+    return found.withColumns({"threshold": F.round("threshold", 5)} | {x: F.round(F.col(x) + 1e-9, 6) for x in rounded})
+
+
+def chain_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit pass, bank, neighbours, candidates, locked threshold and evaluation, from one table to one row."""
+    rows = vectors(spark, sf_dir)
+    scores = neighbors.knn_scores(rows.where("role <> 'fit'"), _fit_pass(spark, sf_dir)[0].where("name = 'bank'"), 5)
+    return _chain(rows, scores.withColumn("score", F.round("score", 9)))
+
+
+def chain_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a probe that the fit pass's reservoirs taught."""
+    rows = vectors(spark, sf_dir)
+    kept = _fit_pass(spark, sf_dir)[0].where("name <> 'bank'").withColumn("positive", F.col("name") == "positive")
+    return _chain(rows, probe.scores(rows.where("role <> 'fit'"), probe.fit(kept, "positive")))
+
+
 def failed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest reading of each vector, by a scorer that refuses a batch with a broken one: only the broken ones fail."""
     found = vectors(spark, sf_dir).select("id", attempts.attempt(_largest, "embedding").alias("a"))
@@ -366,7 +388,7 @@ QUERIES = {
         window_starts, patch_grid, halo_windows, core_stitch, level_choice, level_box, physical_units, tile_region_scan, patch_features, patch_filter,
         tile_stitch, token_labels, heatmap, rolling_std, gradient, dilate, erode, closing, boundary_pixels, boundary_match, area_resample, otsu, entropy,
         normalize_unit, optical_density, stain_linear, tissue_predicate, tail_score, normalized_score, fuse_scores, hybrid_or, inject_perturb,
-        incremental_score, flip_consistency, robust_scale, frozen_eval, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, fit_reservoirs, knn_calibrated, probe_from_fit_pass, failed_scores, box_cells, array_window, vector_agreement,
+        incremental_score, flip_consistency, robust_scale, frozen_eval, anomaly_scores, linear_probe, mahalanobis_diag, patch_knn, fit_reservoirs, knn_calibrated, probe_from_fit_pass, chain_knn, chain_probe, failed_scores, box_cells, array_window, vector_agreement,
     )
 }
 
@@ -502,6 +524,19 @@ SQL = {
     "box_cells": f"""WITH {PLANE}, n AS (SELECT max(image) + 1 AS images FROM plane), s AS (SELECT p_partkey AS box, p_partkey % images AS image, p_partkey * 7 % 90 AS y0, p_partkey * 13 % 90 AS x0, CASE WHEN p_partkey % 97 = 0 THEN 100 ELSE 1 + p_size % 20 END AS n FROM part, n)
         SELECT box, count(*) AS cells, round(sum(v), 3) AS total FROM s JOIN plane p ON p.image = s.image AND y >= y0 AND y < y0 + n AND x >= x0 AND x < x0 + n * 2 GROUP BY box""",
     "array_window": f"WITH {PLANE} SELECT image, y, x, v, count(*) OVER (PARTITION BY image) * 8 AS bytes FROM plane WHERE y >= 16 AND y < 40 AND x >= 10 AND x < 30",
+    "chain_knn": f"""WITH {VECTORS}, {_RESERVOIRS}, u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM vectors),
+        bank AS (SELECT u.e FROM held JOIN u USING (id) WHERE name = 'bank'), d AS (SELECT a.id, a.role, a.label > 6 AS target, list_distance(a.e, bank.e) AS d FROM u a, bank WHERE a.role <> 'fit'),
+        n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM d), s AS (SELECT id, role, target, round(avg(d), 9) AS score FROM n WHERE k <= 5 GROUP BY ALL),
+        c AS (SELECT * FROM s WHERE role = 'calibration'), g AS (SELECT DISTINCT unnest(quantile_cont(score, [{", ".join(f"{k / 32}" for k in range(33))}])) AS threshold FROM c),
+        m AS (SELECT threshold, count(*) FILTER (target AND score >= threshold) AS tp, count(*) FILTER (NOT target AND score >= threshold) AS fp, count(*) FILTER (target AND score < threshold) AS fn FROM c, g GROUP BY threshold),
+        best AS (SELECT threshold, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 12) AS dice, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END, 12) AS precision
+                 FROM m ORDER BY dice DESC, precision DESC, threshold DESC LIMIT 1),
+        t AS (SELECT * FROM s WHERE role = 'test'), steps AS (SELECT score, count(*) AS n, count(*) FILTER (target) AS p FROM t GROUP BY score),
+        up AS (SELECT *, sum(n) OVER o AS cn, sum(p) OVER o AS cp, sum(p) OVER () AS all_p, sum(n) OVER () AS all_n FROM steps WINDOW o AS (ORDER BY score DESC)),
+        e AS (SELECT count(*) FILTER (target AND score >= threshold) AS tp, count(*) FILTER (NOT target AND score >= threshold) AS fp, count(*) FILTER (target AND score < threshold) AS fn, count(*) FILTER (NOT target AND score < threshold) AS tn FROM t, best)
+        SELECT round(threshold, 5) AS threshold, round(dice + 1e-9, 6) AS calibration_dice, tp, fp, fn, tn, 0::BIGINT AS abstained, round(2.0::DOUBLE * tp / (2 * tp + fp + fn) + 1e-9, 6) AS dice, round(tp::DOUBLE / (tp + fp) + 1e-9, 6) AS precision,
+               round(tp::DOUBLE / (tp + fn) + 1e-9, 6) AS recall, round((SELECT sum(p * cp::DOUBLE / cn) / any_value(all_p) FROM up) + 1e-9, 6) AS average_precision,
+               round((SELECT sum((n - p) * (cp - p / 2.0::DOUBLE)) / (any_value(all_p)::DOUBLE * (any_value(all_n) - any_value(all_p))) FROM up) + 1e-9, 6) AS auroc FROM e, (SELECT threshold, dice FROM best)""",
     "patch_knn": f"""WITH {VECTORS}, u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM vectors),
         d AS (SELECT a.id, list_distance(a.e, b.e) AS dist FROM u a, u b WHERE a.role = 'test' AND b.role = 'fit' AND b.label <= 6),
         k AS (SELECT id, dist FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist) <= 5) SELECT id, round(avg(dist), 5) AS score FROM k GROUP BY id""",
