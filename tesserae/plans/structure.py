@@ -200,9 +200,10 @@ def join_exact_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, as unused assets, and the customers of orders and events that no table lists."""
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    used = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).unionByName(table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))).distinct()
+    """Customers with a balance, as listed assets, that no urgent order or purchase uses, and the users that are not listed."""
+    customers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    orders, events = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    used = orders.select(F.col("o_custkey").alias("k")).unionByName(events.select(F.col("user_id").alias("k"))).distinct()
     unused = customers.join(used, "k", "left_anti").withColumn("side", F.lit("unused"))
     return unused.unionByName(used.join(customers, "k", "left_anti").withColumn("side", F.lit("orphan")))
 
@@ -535,9 +536,10 @@ SQL = {
     "join_exact_pairing": """WITH a AS (SELECT o_orderkey AS k, count(*) AS a FROM orders GROUP BY k), b AS (SELECT l_orderkey AS k, count(*) AS b FROM lineitem GROUP BY k),
         j AS (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a IS NULL THEN 'no record' WHEN b IS NULL THEN 'no mapping' WHEN b > 1 THEN 'repeated' ELSE 'paired' END AS kind FROM a FULL JOIN b ON a.k = b.k)
         SELECT kind, count(*) AS n, min(k) AS first FROM j GROUP BY kind""",
-    "asset_anti_join": """WITH u AS (SELECT o_custkey AS k FROM orders UNION SELECT user_id FROM events)
-        SELECT c_custkey AS k, 'unused' AS side FROM customer WHERE c_custkey NOT IN (SELECT k FROM u)
-        UNION ALL SELECT k, 'orphan' FROM u WHERE k NOT IN (SELECT c_custkey FROM customer)""",
+    "asset_anti_join": """WITH u AS (SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT user_id FROM events WHERE event_type = 'purchase'),
+        c AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
+        SELECT k, 'unused' AS side FROM c WHERE k NOT IN (SELECT k FROM u)
+        UNION ALL SELECT k, 'orphan' FROM u WHERE k NOT IN (SELECT k FROM c)""",
     "lock_verify": "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 11 = 0 THEN 'sha' END, CASE WHEN p_partkey % 13 = 0 THEN 'size' END) AS wrong FROM part WHERE p_partkey % 11 = 0 OR p_partkey % 13 = 0",
     "split_overlap": f"""WITH {MANIFEST}, x AS (SELECT 'patient' AS family, patient::VARCHAR AS value, split FROM manifest UNION ALL SELECT 'block', block, split FROM manifest UNION ALL SELECT 'digest', digest, split FROM manifest),
         v AS (SELECT family, value, count(DISTINCT split) AS roles FROM x GROUP BY ALL) SELECT family, count(*) AS n_values, count(*) FILTER (roles > 1) AS n_shared FROM v GROUP BY family""",
