@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import keep
-from .linking import components
+from .linking import FEW, components
 
 #: A weight from 0 to 1 as a whole number, so that sums are exact.
 _UNIT = 1 << 40
@@ -78,7 +78,7 @@ def best_pairs(t: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def parts(pairs: DataFrame) -> DataFrame:
     """``pairs`` (``t, p``, numbers that no two images share) with ``part``: the smallest ``t`` that shared sides lead to."""
     least = keep(pairs.groupBy("p").agg(F.min("t").alias("v"), F.max("t").alias("w")).where("v < w").select("p", "v"), "shared-sides")
-    label = components(pairs.join(least, "p").select(F.col("t").alias("u"), "v"))
+    label = components(pairs.join(least, "p").select(F.col("t").alias("u"), "v"), FEW)
     return pairs.join(label, pairs["t"] == label["node"], "left").withColumn("part", F.coalesce("label", "t")).drop("node", "label")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import keep
-from .linking import components
+from .linking import FEW, components
 
 _SIDE = 20  # bits of a row or column number
 
@@ -64,7 +64,7 @@ def label(cells: DataFrame, connectivity: int = 8, core: int = 64) -> DataFrame:
     step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps]))
     sent = rim.select("image", "y", "x", "part", step.alias("s")).select("image", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("part").alias("u"))
     links = sent.join(rim.withColumnRenamed("part", "v"), ["image", "y", "x"]).where("u <> v").select("u", "v")
-    joined = components(links)
+    joined = components(links, FEW)
     out = tiles.join(joined, tiles["part"] == joined["node"], "left")
     return out.select("image", "y", "x", F.coalesce("label", "part").alias("part"))
 

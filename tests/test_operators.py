@@ -318,3 +318,11 @@ def test_a_failure_is_a_row():
     assert {i: r for i, (_, s, r) in enumerate(got) if s == "failed"} == bad and len(calls) < 45
     assert all(got[i] == (math.log(i + 1), "scored", None) for i in range(512) if i not in bad)
     assert attempts.attempted(score, []) == []
+
+
+def test_few_links_are_joined_in_one_task(spark):
+    rng = np.random.default_rng(4)
+    for links in ([(i, i + 1) for i in range(300)], [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))], [(9, 9), (None, 3)], [(5, 2), (2, 5), (7, 2)]):
+        rows = spark.createDataFrame(links, "u long, v long")
+        one, rounds = linking.components(rows, 1 << 17), linking.components(rows)
+        assert {(r.node, r.label) for r in one.collect()} == {(r.node, r.label) for r in rounds.collect()}
