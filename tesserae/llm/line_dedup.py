@@ -68,7 +68,8 @@ class LineDedup:
         Lines end at each \\n; null counts as empty, which is one empty line. Rows with equal ids are one document when
         documents are counted, and so are all rows without an id, whose document is the smallest; a row that comes twice
         loses the same lines twice. Equal keys within a document go or stay together. Texts of any length, an empty table
-        and other columns, whatever their names (but those two), are fine and come out as they are.
+        and other columns, whatever their names, are fine and come out as they are; only columns of the two new names are
+        replaced.
         """
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text"))
@@ -81,5 +82,5 @@ class LineDedup:
         runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("dropped")), run))
         kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(runs, "\n"))
         found = F.struct(kept.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
-        own = [F.col("doc")[x].alias(x) for x in docs.columns if x != "text"]
+        own = [F.col("doc")[x].alias(x) for x in docs.columns if x not in ("text", "n_lines", "n_dropped")]
         return rows.select("doc", found.alias("found")).select(*own, "found.*")

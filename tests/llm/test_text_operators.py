@@ -60,6 +60,8 @@ def dropped_lines(rows, least=20, documents=3):
 def test_lines(docs, none, heavy):
     out = LineDedup(heavy=heavy).drop(docs)
     assert set(out.columns) == {*docs.columns, "n_lines", "n_dropped"}
+    again = LineDedup(heavy=heavy).drop(out.withColumn("text", F.lit("")))  # with columns of the names that it makes
+    assert sorted(again.columns) == sorted(out.columns) and again.where("n_lines = 1 AND n_dropped = 0").count() == len(ROWS)
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()) == dropped_lines(ROWS)
     assert LineDedup().drop(none).count() == 0
 
