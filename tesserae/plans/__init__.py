@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contract, fields, image, manifest, quality, structure
+from . import contract, contract_text, fields, image, manifest, quality, structure
 
-_PARTS = (quality, structure, image, fields, contract, manifest)
+_PARTS = (quality, structure, image, fields, contract, contract_text, manifest)
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from tesserae.operators import manifests
+from tesserae.operators import contract_documents, manifests
 from tesserae.sources.files import manifest_lines, manifest_records
 
 GOOD = {
@@ -65,3 +65,23 @@ def test_documents_and_empty_manifests(spark, tmp_path):
     assert got == {("list.json", 1): GOOD, ("list.json", 2): 5, ("held.json", 1): GOOD, ("none.json", 1): "invalid_manifest_root", ("text.json", 1): "invalid_manifest_root", ("broken.json", 1): "json_decode_error"}
     assert found(manifests.audit(manifest_records(spark, f"file://{tmp_path}/none.json"))) == {(1, "invalid_manifest_root", "error", None)}
     assert found(manifests.audit(spark.createDataFrame([(1, " ")], "line long, text string"))) == {(0, "empty_manifest", "error", None)}
+
+
+def test_a_whole_contract_has_no_issues(spark):
+    variant = {"id": "v", "channel_selection": "semantic_role", "semantic_channels": ["nuclear"]}
+    approval = {"status": "approved", "reference": "r", "evidence_sha256": " " + "0A" * 32}
+    good = {
+        "ontology": {"version": 1, "crack_definition": "c", "approval_reference": "r", "stakeholder_approved": True},
+        "governance_approvals": {x: approval for x in contract_documents.APPROVALS},
+        "modalities": {m: {"input_variants": [variant | {"id": m}]} for m in contract_documents.MODALITIES},
+        "regimes": [{"id": k, "required_cohorts": [*v, v[0]]} for k, v in contract_documents.REGIMES.items()],
+        "reporting": {"stratify_by": [*contract_documents.STRATA, "more"], "confidence_intervals": contract_documents.INTERVALS} | {x: True for x in contract_documents.REPORTING},
+    }
+    bad = good | {"ontology": good["ontology"] | {"version": False}, "modalities": good["modalities"] | {"he": {"input_variants": [variant, variant | {"channel_indices": None}, "x"]}}, "regimes": good["regimes"][1:]}
+    rows = spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(bad)), (3, "[]"), (4, None)], "contract long, document string")
+    place = "$.modalities.he.input_variants"
+    assert {(r.contract, r.code, r.severity, r.field) for r in contract_documents.audit(rows).collect()} == {
+        (2, "ontology_approval_incomplete", "blocker", "$.ontology.version"), (2, "duplicate_id", "error", f"{place}[1]"), (2, "positional_channel_selection_forbidden", "error", f"{place}[1].channel_indices"),
+        (2, "expected_object", "error", f"{place}[2]"), (2, "missing_required_regime", "error", "$.regimes.native_zero_shot"), (3, "contract_not_an_object", "error", "$"), (4, "contract_not_an_object", "error", "$"),
+    }
+    assert contract_documents.audit(rows.limit(0)).count() == 0
