@@ -75,9 +75,9 @@ def instance_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def froc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks found by steps of the value, at each of its thresholds and an overlap of a tenth."""
+    """Clicks found among clicks and high values by steps of the value, at each of its thresholds and an overlap of a tenth."""
     rows = _rows(spark, sf_dir)
-    scored = rows.where("valid").select(*_KEYS, F.floor(F.col("v") / 25).cast("double").alias("score"))
+    scored = rows.where("valid AND (t OR v > 100)").select(*_KEYS, F.floor(F.col("v") / 25).cast("double").alias("score"))
     found = matching.froc_curve(rows, rows.where("t").select(*_KEYS), scored)
     return found.withColumns({x: F.round(F.col(x) + 1e-9, 6) for x in ("sensitivity", "fp_per_image")})
 
@@ -306,7 +306,7 @@ SQL = {
         r AS (SELECT *, CASE WHEN np = 0 THEN 1.0 ELSE tp::DOUBLE / np END AS pr, CASE WHEN nt = 0 THEN 1.0 ELSE tp::DOUBLE / nt END AS re FROM m)
         SELECT image, tp, np - tp AS fp, nt - tp AS fn, round(pr + 1e-9, 6) AS precision, round(re + 1e-9, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END + 1e-9, 6) AS f1,
                round(CASE WHEN nt = 0 AND np = 0 THEN 1.0 ELSE overlap END + 1e-9, 6) AS mean_iou FROM r""",
-    "froc_curve": f"""WITH RECURSIVE {_ROWS}, s AS (SELECT image, y, x, floor(v / 25)::DOUBLE AS score FROM rows WHERE valid), l AS (SELECT DISTINCT score AS threshold FROM s), {_parts("t", "SELECT image, y, x FROM rows WHERE t", 8)},
+    "froc_curve": f"""WITH RECURSIVE {_ROWS}, s AS (SELECT image, y, x, floor(v / 25)::DOUBLE AS score FROM rows WHERE valid AND (t OR v > 100)), l AS (SELECT DISTINCT score AS threshold FROM s), {_parts("t", "SELECT image, y, x FROM rows WHERE t", 8)},
         {_parts("p", "SELECT image || '/' || threshold AS key, y, x FROM s, l WHERE score >= threshold", 8, "key")},
         o AS (SELECT p.key, t.fy * 1000000 + t.fx AS t, p.fy * 1000000 + p.fx AS p, count(*)::DOUBLE / (any_value(t.area) + any_value(p.area) - count(*)) AS iou FROM p JOIN t ON split_part(p.key, '/', 1)::BIGINT = t.image AND p.y = t.y AND p.x = t.x GROUP BY ALL),
         pairs AS (SELECT * FROM o WHERE iou >= 0.1), {_assigned("a", "pairs", "key")},
