@@ -13,13 +13,15 @@ def resample(clusters: DataFrame, by: list[str], cluster: str, replicates: int,
     """``replicate`` and the columns of a drawn cluster, as many draws for a replicate as a stratum has clusters.
 
     Clusters are rows of counts, so that a replicate costs their number and not that of their members. They are numbered by
-    spans, and each draw finds its cluster by number.
+    spans, and each draw finds its cluster by number. Spark estimates the draws by the rows that they are exploded from: so
+    that it neither broadcasts them nor makes them in one task, clusters are dealt out first and the join is a shuffled one.
     """
-    numbered = ranked(clusters, by, cluster).withColumn("place", F.col("place") - 1)
+    numbered = keep(ranked(clusters, by, cluster).withColumn("place", F.col("place") - 1), "clusters")
     key = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(x).cast("string") for x in by], F.col("replicate").cast("string"), F.col("place").cast("string")), 256)
-    slots = numbered.select(*by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = numbered.select(*by, "place", "n").repartition(tasks, *by, "place").select(*by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = slots.select(*by, "replicate", F.pmod(draw(key), F.col("n")).cast("int").alias("place"))
-    return drawn.join(numbered.drop("n"), [*by, "place"])
+    return drawn.join(numbered.drop("n").hint("shuffle_hash"), [*by, "place"])
 
 
 def interval(replicates: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
