@@ -25,14 +25,14 @@ def channels(plane: DataFrame) -> DataFrame:
 def _marked(rows: DataFrame, cells: DataFrame, name: str) -> DataFrame:
     """``rows`` with a boolean column: whether the cell is among ``cells``."""
     found = cells.select(*_KEYS).withColumn("found", F.lit(True))
-    return rows.drop(name).join(found, _KEYS, "left").withColumn(name, F.col("found").isNotNull()).drop("found")
+    return tiles.on_cells(rows.drop(name), found, "left").withColumn(name, F.col("found").isNotNull()).drop("found")
 
 
 def cleaned(rows: DataFrame, mask: str, least: int, closing: float = 0, spacing: tuple[float, float] | None = None) -> DataFrame:
     """``rows`` whose mask is closed by a disk and keeps the 4-connected parts of ``least`` cells or more."""
     if closing > 0:
         closed = tiles.morphology(rows, mask, tiles.disk(closing, spacing), "de")
-        rows = rows.drop(mask).join(closed, _KEYS)
+        rows = tiles.on_cells(rows.drop(mask), closed)
     return _marked(rows, masks.by_area(rows.where(mask), least), mask)
 
 
@@ -62,7 +62,7 @@ def _upper(column: str) -> Column:
 def fold_scores(rows: DataFrame) -> DataFrame:
     """``rows`` with ``score``: how far density, saturation and texture stand in their upper tails within the support."""
     texture = tiles.local_moments(rows, "od").select(*_KEYS, F.col("sd").alias("texture"))
-    rows = keep(rows.join(texture, _KEYS), "texture")
+    rows = keep(tiles.on_cells(rows, texture), "texture")
     limits = _tail(rows, {"od": (65, 98.5), "saturation": (65, 98.5), "texture": (70, 99)})
     rows = rows.join(rows.groupBy("image").agg(*[x.alias(k) for k, x in limits.items()]), "image")
     score = intensity.clip(0.57 * _upper("od") + 0.28 * _upper("saturation") + 0.15 * _upper("texture"))
@@ -92,12 +92,12 @@ def cracks(rows: DataFrame, least: int = 8, threshold: float = 0.54) -> DataFram
 
 def _crack_scores(rows: DataFrame, radius: int) -> DataFrame:
     near = tiles.disk(radius)
-    edges = rows.select(*_KEYS, "height", "width").join(tiles.gradient(rows, "od"), _KEYS)
-    parts = rows.join(tiles.weighted(rows, "support", near), _KEYS).join(tiles.highest(edges, "magnitude", near).withColumnRenamed("high", "edge"), _KEYS)
+    edges = tiles.on_cells(rows.select(*_KEYS, "height", "width"), tiles.gradient(rows, "od"))
+    parts = tiles.on_cells(tiles.on_cells(rows, tiles.weighted(rows, "support", near)), tiles.highest(edges, "magnitude", near).withColumnRenamed("high", "edge"))
     closed = tiles.morphology(rows, "support", near, "de").withColumnRenamed("support", "envelope")
-    envelope = masks.fill_holes(keep(rows.select(*_KEYS, "height", "width").join(closed, _KEYS), "closed"), "envelope")
+    envelope = masks.fill_holes(keep(tiles.on_cells(rows.select(*_KEYS, "height", "width"), closed), "closed"), "envelope")
     envelope = keep(envelope, "envelope")
-    parts = parts.join(envelope.select(*_KEYS, "envelope"), _KEYS).join(contours.edge_distance(envelope, "envelope"), _KEYS)
+    parts = tiles.on_cells(tiles.on_cells(parts, envelope.select(*_KEYS, "envelope")), contours.edge_distance(envelope, "envelope"))
     limits = _tail(parts, {"od": (25, 75), "edge": (60, 98)})
     parts = parts.join(parts.groupBy("image").agg(*[x.alias(k) for k, x in limits.items()]), "image")
     low = intensity.lower_signal(F.col("od"), F.col("od_low"), F.col("od_high"))

@@ -52,7 +52,7 @@ def skeleton(plane: DataFrame, mask: str, passes: int = 8, core: int = 128) -> D
         left = found.where("line").select(*keys)
         if found.where("NOT line").isEmpty():
             break
-    return plane.select(*keys).join(left.withColumn("line", F.lit(True)), keys, "left").withColumn("line", F.coalesce("line", F.lit(False)))
+    return tiles.on_cells(plane.select(*keys), left.withColumn("line", F.lit(True)), "left").withColumn("line", F.coalesce("line", F.lit(False)))
 
 
 def distances(plane: DataFrame, target: str, prediction: str, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -91,7 +91,7 @@ def boundary_metrics(plane: DataFrame, target: str, prediction: str, valid: str,
     keys = ["image", "y", "x"]
     rows = plane.select(*keys, "height", "width", target, prediction, valid)
     for name in (target, prediction):
-        rows = rows.join(tiles.boundary(rows, name, valid).withColumnRenamed("edge", f"edge_{name}"), keys)
+        rows = tiles.on_cells(rows, tiles.boundary(rows, name, valid).withColumnRenamed("edge", f"edge_{name}"))
     return match_metrics(rows, f"edge_{target}", f"edge_{prediction}", tolerance, spacing)
 
 
@@ -101,7 +101,7 @@ def centerline_metrics(plane: DataFrame, target: str, prediction: str, valid: st
     keys = ["image", "y", "x"]
     rows = plane.select(*keys, "height", "width", *[(F.col(c) & F.col(valid)).alias(c) for c in (target, prediction)])
     for name in (target, prediction):
-        rows = rows.join(skeleton(rows, name).withColumnRenamed("line", f"line_{name}"), keys)
+        rows = tiles.on_cells(rows, skeleton(rows, name).withColumnRenamed("line", f"line_{name}"))
     held = lambda line, mask: ratio(F.count_if(F.col(f"line_{line}") & F.col(mask)), F.count_if(f"line_{line}"), 1.0)
     dice = rows.groupBy("image").agg(harmonic(held(prediction, target), held(target, prediction)).alias("cl_dice"))
     return match_metrics(rows, f"line_{target}", f"line_{prediction}", tolerance, spacing).join(dice, "image")

@@ -29,8 +29,8 @@ def _textured(rows: DataFrame, value: str) -> DataFrame:
     """Cells with the local deviation ``contrast`` and the ``gradient`` of a value within their patch."""
     one = rows.select(F.col("patch").alias("image"), "y", "x", "height", "width", value)
     named = lambda found, old, new: found.select(F.col("image").alias("patch"), "y", "x", F.col(old).alias(new))
-    rows = rows.join(named(tiles.local_moments(one, value), "sd", "contrast"), _CELL)
-    return keep(rows.join(named(tiles.gradient(one, value), "magnitude", "gradient"), _CELL), "patch-cells")
+    rows = tiles.on_cells(rows, named(tiles.local_moments(one, value), "sd", "contrast"), by=tuple(_CELL))
+    return keep(tiles.on_cells(rows, named(tiles.gradient(one, value), "magnitude", "gradient"), by=tuple(_CELL)), "patch-cells")
 
 
 def _q(column: str | Column, level: float) -> Column:

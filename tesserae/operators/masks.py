@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import keep
 from .linking import FEW, components
+from .tiles import on_cells
 
 _SIDE = 20  # bits of a row or column number
 
@@ -63,9 +64,9 @@ def label(cells: DataFrame, connectivity: int = 8, core: int = 64) -> DataFrame:
     rim = tiles.where((edge("y") == 0) | (edge("x") == 0) | (edge("y") == core - 1) | (edge("x") == core - 1))
     step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps]))
     sent = rim.select("image", "y", "x", "part", step.alias("s")).select("image", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("part").alias("u"))
-    links = sent.join(rim.withColumnRenamed("part", "v"), ["image", "y", "x"]).where("u <> v").select("u", "v")
+    links = on_cells(sent, rim.withColumnRenamed("part", "v")).where("u <> v").select("u", "v")
     joined = components(links, FEW)
-    out = tiles.join(joined, tiles["part"] == joined["node"], "left")
+    out = tiles.join(joined.hint("merge"), tiles["part"] == joined["node"], "left")
     return out.select("image", "y", "x", F.coalesce("label", "part").alias("part"))
 
 
@@ -78,7 +79,7 @@ def by_area(cells: DataFrame, least: int = 1, most: int | None = None, connectiv
     """Labelled cells of the parts of ``least`` to ``most`` cells."""
     parts = keep(label(cells, connectivity), "parts")
     sizes = areas(parts).where(F.col("area") >= least)
-    return parts.join(sizes if most is None else sizes.where(F.col("area") <= most), ["image", "part"]).select("image", "y", "x", "part", "area")
+    return on_cells(parts, sizes if most is None else sizes.where(F.col("area") <= most), by=("image", "part")).select("image", "y", "x", "part", "area")
 
 
 def holes(plane: DataFrame, mask: str, most: int | None = None) -> DataFrame:
@@ -89,15 +90,15 @@ def holes(plane: DataFrame, mask: str, most: int | None = None) -> DataFrame:
     empty = plane.where(~F.col(mask))
     parts = keep(label(empty.select("image", "y", "x"), 4), "background")
     border = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x") == F.col("width") - 1)
-    kinds = parts.join(empty.select("image", "y", "x", border.alias("border")), ["image", "y", "x"]).groupBy("image", "part").agg(F.count("*").alias("area"), F.bool_or("border").alias("border"))
+    kinds = on_cells(parts, empty.select("image", "y", "x", border.alias("border"))).groupBy("image", "part").agg(F.count("*").alias("area"), F.bool_or("border").alias("border"))
     inner = kinds.where("NOT border") if most is None else kinds.where(~F.col("border") & (F.col("area") <= most))
-    return parts.join(inner, ["image", "part"], "left_semi").select("image", "y", "x")
+    return on_cells(parts, inner, "left_semi", ("image", "part")).select("image", "y", "x")
 
 
 def fill_holes(plane: DataFrame, mask: str, most: int | None = None) -> DataFrame:
     """``plane`` with holes of its mask filled."""
     found = holes(plane, mask, most).withColumn("hole", F.lit(True))
-    return plane.join(found, ["image", "y", "x"], "left").withColumn(mask, F.col(mask) | F.col("hole").isNotNull()).drop("hole")
+    return on_cells(plane, found, "left").withColumn(mask, F.col(mask) | F.col("hole").isNotNull()).drop("hole")
 
 
 def shapes(parts: DataFrame, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -120,4 +121,4 @@ def elongated(cells: DataFrame, least: int, spacing: tuple[float, float] = (1.0,
     """Cells of the 4-connected parts that are long (1.7 times their width) or fill little (0.38) of a box of 5 or more."""
     parts = keep(label(cells, 4), "parts")
     fits = (F.col("area") >= least) & (F.greatest("height", "width") >= 5) & ((F.col("elongation") >= 1.7) | (F.col("occupancy") <= 0.38))
-    return parts.join(shapes(parts, spacing).where(fits), ["image", "part"], "left_semi").select("image", "y", "x")
+    return on_cells(parts, shapes(parts, spacing).where(fits), "left_semi", ("image", "part")).select("image", "y", "x")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import ratio
 from ..storage import keep
-from . import masks
+from . import masks, tiles
 from .assignment import assigned, match_changes
 from .component_tree import trees
 from .ranking import running
@@ -21,7 +21,7 @@ def instances(cells: DataFrame, least: int = 1, connectivity: int = 8) -> DataFr
 def overlaps(target: DataFrame, prediction: DataFrame) -> DataFrame:
     """``image, t, p, iou`` of the instances that share cells; both sides are labelled cells with areas."""
     one = lambda rows, k: rows.select("image", "y", "x", F.col("part").alias(k), F.col("area").alias(f"area_{k}"))
-    both = one(target, "t").join(one(prediction, "p"), ["image", "y", "x"])
+    both = tiles.on_cells(one(target, "t"), one(prediction, "p"))
     both = both.groupBy("image", "t", "p").agg(F.count("*").alias("n"), F.first("area_t").alias("a"), F.first("area_p").alias("b"))
     return both.select("image", "t", "p", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("iou"))
 

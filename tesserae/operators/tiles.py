@@ -25,6 +25,12 @@ def sized(plane: DataFrame) -> DataFrame:
     return plane.join(sizes, "image")
 
 
+def on_cells(left: DataFrame, right: DataFrame, how: str = "inner", by: tuple[str, ...] = ("image", "y", "x")) -> DataFrame:
+    """Join of rows of the same images, by cell or by part. A file of cells is a small part of what its rows take in memory, so
+    that Spark would broadcast sides that it thinks small: the join is told to sort and merge them."""
+    return left.join(right.hint("merge"), list(by), how)
+
+
 def on_tiles(plane: DataFrame, kernel: Kernel, halo: int, pads: dict[str, str | float], out: dict[str, str], core: int = 64) -> DataFrame:
     """``image, y, x`` and what ``kernel`` gives, by column name and type, for each cell of sized images.
 

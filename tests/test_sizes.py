@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import bootstrap
+from tesserae.operators import bootstrap, masks, tiles
+from tesserae.storage import keep
 
 
 def final_plan(df) -> str:
@@ -19,3 +20,12 @@ def test_draws_are_not_broadcast(spark):
     plan = final_plan(drawn)
     assert {(r["s"], r["n"]) for r in drawn.collect()} == {(0, 1500), (1, 1500)} and drawn.count() == 100
     assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_cells_are_not_broadcast(spark):
+    """Their files are far smaller than their rows."""
+    cells = keep(spark.range(10_000).selectExpr("0L AS image", "cast(id div 100 AS int) AS y", "cast(id % 100 AS int) AS x", "id % 7 > 0 AS mask"), "cells")
+    found = masks.fill_holes(tiles.sized(cells), "mask")
+    plan = final_plan(found)
+    assert "BroadcastHashJoin LeftOuter" not in plan
+    assert "SortMergeJoin" in plan and found.count() == 10_000
