@@ -55,25 +55,42 @@ def _strings(value: Column) -> Column:
     return F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(_text(x), F.to_json(x)))
 
 
+_SECTIONS = ("ontology", "governance_approvals", "reporting")
+_PATHS = (
+    *_SECTIONS, *(f"ontology.{x}" for x in (*ONTOLOGY, "stakeholder_approved")), *(f"governance_approvals.{x}{y}" for x in APPROVALS for y in ("", ".status", ".reference", ".evidence_sha256")),
+    *(f"reporting.{x}" for x in ("stratify_by", *REPORTING, "confidence_intervals")),
+)
+
+
+def _name(path: str) -> str:
+    return path.replace(".", "_")
+
+
+def _looked_up(docs: DataFrame) -> DataFrame:
+    """Each member that the rules ask for as a column, looked up once and not once for each mention."""
+    return docs.withColumns({_name(x): at("doc", f"$.{x}") for x in _PATHS})
+
+
 def _document_rules() -> list[Rule]:
-    doc, rules = "doc", []
-    ontology, governance, reporting = (at(doc, f"$.{x}") for x in ("ontology", "governance_approvals", "reporting"))
+    rules, own_at = [], lambda path: F.col(_name(path))
+    ontology, governance, reporting = map(own_at, _SECTIONS)
     rules.append(Rule("missing_ontology_contract", "error", "$.ontology", ~_object(ontology)))
-    rules += [Rule("ontology_approval_incomplete", "blocker", f"$.ontology.{x}", _object(ontology) & ~_present(at(ontology, f"$.{x}"))) for x in ONTOLOGY]
-    rules.append(Rule("ontology_not_approved", "blocker", "$.ontology.stakeholder_approved", _object(ontology) & ~_true(at(ontology, "$.stakeholder_approved"))))
+    rules += [Rule("ontology_approval_incomplete", "blocker", f"$.ontology.{x}", _object(ontology) & ~_present(own_at(f"ontology.{x}"))) for x in ONTOLOGY]
+    rules.append(Rule("ontology_not_approved", "blocker", "$.ontology.stakeholder_approved", _object(ontology) & ~_true(own_at("ontology.stakeholder_approved"))))
     rules.append(Rule("missing_governance_approvals", "blocker", "$.governance_approvals", ~_object(governance)))
     for area in APPROVALS:
-        own, path = at(governance, f"$.{area}"), f"$.governance_approvals.{area}"
-        evidence = F.lower(F.trim(_text(at(own, "$.evidence_sha256"))))
+        section = f"governance_approvals.{area}"
+        own, path = own_at(section), f"$.{section}"
+        evidence = F.lower(F.trim(_text(own_at(f"{section}.evidence_sha256"))))
         digest = F.coalesce(evidence.rlike("^[0-9a-f]{64}$") & (evidence != "0" * 64), F.lit(False))
         rules.append(Rule("governance_approval_missing", "blocker", path, _object(governance) & ~_object(own)))
-        rules.append(Rule("governance_approval_pending", "blocker", f"{path}.status", _object(own) & (F.coalesce(_text(at(own, "$.status")), F.lit("")) != "approved")))
-        rules.append(Rule("governance_evidence_unverified", "blocker", path, _object(own) & (~_present(at(own, "$.reference")) | ~digest)))
+        rules.append(Rule("governance_approval_pending", "blocker", f"{path}.status", _object(own) & (F.coalesce(_text(own_at(f"{section}.status")), F.lit("")) != "approved")))
+        rules.append(Rule("governance_evidence_unverified", "blocker", path, _object(own) & (~_present(own_at(f"{section}.reference")) | ~digest)))
     rules.append(Rule("missing_reporting_contract", "error", "$.reporting", ~_object(reporting)))
-    strata = F.coalesce(_strings(at(reporting, "$.stratify_by")), F.array().cast("array<string>"))
+    strata = F.coalesce(_strings(own_at("reporting.stratify_by")), F.array().cast("array<string>"))
     rules.append(Rule("incomplete_reporting_strata", "error", "$.reporting.stratify_by", _object(reporting) & (F.size(F.array_except(F.array(*map(F.lit, STRATA)), strata)) > 0)))
-    rules += [Rule("unsafe_reporting_policy", "error", f"$.reporting.{x}", _object(reporting) & ~_true(at(reporting, f"$.{x}"))) for x in REPORTING]
-    rules.append(Rule("invalid_confidence_interval_contract", "error", "$.reporting.confidence_intervals", _object(reporting) & (F.coalesce(_text(at(reporting, "$.confidence_intervals")), F.lit("")) != INTERVALS)))
+    rules += [Rule("unsafe_reporting_policy", "error", f"$.reporting.{x}", _object(reporting) & ~_true(own_at(f"reporting.{x}"))) for x in REPORTING]
+    rules.append(Rule("invalid_confidence_interval_contract", "error", "$.reporting.confidence_intervals", _object(reporting) & (F.coalesce(_text(own_at("reporting.confidence_intervals")), F.lit("")) != INTERVALS)))
     return rules
 
 
@@ -87,9 +104,10 @@ def members(docs: DataFrame, section: str) -> DataFrame:
 
 def _modalities(docs: DataFrame, own: DataFrame) -> DataFrame:
     """Required ones that are missing; input variants without names, twice named, or chosen by place."""
+    own = keep(own, "modalities")
     names = own.groupBy("contract").agg(F.collect_set("id").alias("ids"))
     lacks = F.explode(F.array_except(F.array(*map(F.lit, MODALITIES)), F.coalesce("ids", F.array().cast("array<string>"))))
-    missing = docs.select("contract").join(names, "contract", "left").select("contract", lacks.alias("id"))
+    missing = docs.select("contract").join(names.hint("merge"), "contract", "left").select("contract", lacks.alias("id"))
     missing = missing.select("contract", F.lit("missing_required_modality").alias("code"), F.lit("error").alias("severity"), F.concat(F.lit("$.modalities."), "id").alias("field"))
     variants = F.try_variant_get(at("value", "$.input_variants"), "$", "array<variant>")
     rows = own.select("contract", F.concat(F.lit("$.modalities."), "id").alias("path"), "id", F.when(kind(at("value", "$.input_variants")) == "ARRAY", variants).alias("variants"))
@@ -98,7 +116,7 @@ def _modalities(docs: DataFrame, own: DataFrame) -> DataFrame:
     each = each.select("contract", "id", "place", "v", F.concat("path", F.lit(".input_variants["), F.col("place").cast("string"), F.lit("]")).alias("path"), _text(at("v", "$.id")).alias("name"))
     named = _object(F.col("v")) & F.coalesce(F.trim("name") != "", F.lit(False))
     first = each.where(named).groupBy("contract", "name").agg(F.min(F.struct("id", "place")).alias("first"))
-    each = keep(each.join(first, ["contract", "name"], "left"), "variants")
+    each = keep(each.join(first.hint("merge"), ["contract", "name"], "left"), "variants")
     roles = at("v", "$.semantic_channels")
     bad_roles = F.coalesce(kind(roles) != "ARRAY", F.lit(True)) | (F.size(F.try_variant_get(roles, "$", "array<variant>")) == 0)
     bad_roles = bad_roles | F.exists(F.try_variant_get(roles, "$", "array<variant>"), lambda x: F.coalesce((kind(x) != "STRING") | (F.trim(F.try_variant_get(x, "$", "string")) == ""), F.lit(True)))
@@ -118,7 +136,7 @@ def _modalities(docs: DataFrame, own: DataFrame) -> DataFrame:
 def _regimes(docs: DataFrame, own: DataFrame) -> DataFrame:
     """Required ones that are missing, or that use other cohorts than theirs."""
     asked = docs.select("contract", F.explode(F.map_from_arrays(F.array(*map(F.lit, REGIMES)), F.array(*[F.array(*map(F.lit, x)) for x in REGIMES.values()]))).alias("id", "cohorts"))
-    rows = asked.join(own, ["contract", "id"], "left")
+    rows = asked.join(own.hint("merge"), ["contract", "id"], "left")
     listed = F.coalesce(F.array_sort(F.array_distinct(_strings(at("value", "$.required_cohorts")))), F.array().cast("array<string>"))
     rules = [
         Rule("missing_required_regime", "error", "", F.col("value").isNull()),
@@ -130,10 +148,14 @@ def _regimes(docs: DataFrame, own: DataFrame) -> DataFrame:
 
 def audit(contracts: DataFrame) -> DataFrame:
     """``contract, code, severity, field`` of documents ``contract, document`` (JSON text). A document that is no JSON object
-    is one issue, and no other rule looks at it."""
+    is one issue, and no other rule looks at it.
+
+    The files of documents are far smaller than their rows: so documents are dealt out to all tasks, and what is joined to them
+    is sorted and merged, not broadcast by the size of its files."""
     parsed = F.try_parse_json("document")
-    docs = keep(contracts.select("contract", parsed.alias("doc")), "contracts")
+    tasks = int(contracts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = keep(contracts.repartition(tasks, "contract").select("contract", parsed.alias("doc")), "contracts")
     broken = docs.where(~_object(F.col("doc"))).select("contract", F.lit("contract_not_an_object").alias("code"), F.lit("error").alias("severity"), F.lit("$").alias("field"))
     docs = docs.where(_object(F.col("doc")))
-    found = broken.unionByName(issues(docs, "contract", _document_rules()))
+    found = broken.unionByName(issues(_looked_up(docs), "contract", _document_rules()))
     return found.unionByName(_modalities(docs, members(docs, "modalities"))).unionByName(_regimes(docs, members(docs, "regimes")))

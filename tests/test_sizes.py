@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import bootstrap, masks, tiles
+from tesserae.operators import bootstrap, contract_documents, masks, tiles
 from tesserae.storage import keep
 
 
@@ -29,3 +29,13 @@ def test_cells_are_not_broadcast(spark):
     plan = final_plan(found)
     assert "BroadcastHashJoin LeftOuter" not in plan
     assert "SortMergeJoin" in plan and found.count() == 10_000
+
+
+def test_members_of_contracts_are_not_broadcast(spark):
+    """The files of documents are far smaller than their rows; documents are dealt out to all tasks."""
+    text = F.lit('{"modalities": [{"id": "he", "input_variants": [{"id": "a"}, {"id": "a"}]}], "regimes": {"lora": {}}}')
+    docs = spark.range(200).coalesce(1).select(F.col("id").alias("contract"), text.alias("document"))
+    found = contract_documents.audit(docs)
+    assert "BroadcastHashJoin" not in final_plan(found)
+    counts = {r["code"]: r["count"] for r in found.groupBy("code").count().collect()}
+    assert (counts["duplicate_id"], counts["missing_required_modality"], counts["missing_required_regime"]) == (200, 400, 1000)
