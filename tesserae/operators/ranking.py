@@ -53,6 +53,14 @@ def auroc(rows: DataFrame, by: list[str], score: str = "score", target: str = "t
     return steps.groupBy(*by).agg(ratio(won, p * (n - p), None).alias("auroc"), n.alias("n"), p.alias("positives"))
 
 
+def _below(x: Column, levels: list[float], first: int = 0) -> Column:
+    """How many of the sorted levels are below x; by halving, so that a row is not held against every level."""
+    if not levels:
+        return F.lit(first)
+    half = len(levels) // 2
+    return F.when(x <= levels[half], _below(x, levels[:half], first)).otherwise(_below(x, levels[half + 1 :], first + half + 1))
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str | Column, levels: list[float]) -> DataFrame:
     """``level, value``: exact linear quantiles of the values that are not null, of each group."""
     value = F.col(value) if isinstance(value, str) else value
@@ -61,7 +69,10 @@ def quantiles(rows: DataFrame, by: list[str], value: str | Column, levels: list[
     place = lambda q: F.lit(q) * (F.col("all_n") - 1)
     asked = F.array(*[F.struct(F.lit(q).alias("level"), F.floor(place(q)).alias("low"), F.ceil(place(q)).alias("high"), (place(q) - F.floor(place(q))).alias("share")) for q in levels])
     here = lambda at: (at >= F.col("up_n") - F.col("n")) & (at < F.col("up_n"))
-    found = steps.select(*by, "value", "n", "up_n", F.explode(asked).alias("q")).where(here(F.col("q.low")) | here(F.col("q.high")))
+    # few rows hold a level: only those are taken times all levels
+    last, known = F.greatest(F.col("all_n") - 1, F.lit(1)), sorted(set(levels))
+    some = steps.where(_below(F.col("up_n") / last + 1e-9, known) > _below((F.col("up_n") - F.col("n") - 1) / last - 1e-9, known))
+    found = some.select(*by, "value", "n", "up_n", F.explode(asked).alias("q")).where(here(F.col("q.low")) | here(F.col("q.high")))
     ends = found.groupBy(*by, "q.level", "q.share").agg(F.min("value").alias("a"), F.max("value").alias("b"))
     return ends.select(*by, "level", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("value"))
 

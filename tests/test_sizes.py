@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import bootstrap, contract_documents, masks, tiles
+from tesserae.operators import bootstrap, contract_documents, masks, ranking, tiles
 from tesserae.storage import keep
 
 
@@ -39,3 +39,16 @@ def test_members_of_contracts_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in final_plan(found)
     counts = {r["code"]: r["count"] for r in found.groupBy("code").count().collect()}
     assert (counts["duplicate_id"], counts["missing_required_modality"], counts["missing_required_regime"]) == (200, 400, 1000)
+
+
+def test_quantiles_take_few_rows_times_levels(spark):
+    """Rows that hold no level are dropped before the levels are exploded."""
+    rows = spark.range(5000).selectExpr("id % 2 AS g", "CAST(id % 977 AS double) AS v")
+    levels = [k / 32 for k in range(33)]
+    found = ranking.quantiles(rows, ["g"], "v", levels)
+    plan = analyzed(found)
+    assert "CASE WHEN" in plan[plan.index("Generate explode") :]
+    asked = rows.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, levels))).alias("p"))
+    right = {(r["g"], k): r["p"][k] for r in asked.collect() for k in range(33)}
+    got = {(r["g"], round(r["level"] * 32)): r["value"] for r in found.collect()}
+    assert got.keys() == right.keys() and all(abs(got[k] - right[k]) < 1e-9 for k in got)
