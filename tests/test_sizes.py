@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import bootstrap, contract_documents, masks, ranking, tiles
+from tesserae.operators import bootstrap, contract_documents, manifests, masks, ranking, tiles
 from tesserae.storage import keep
 
 
@@ -41,6 +41,16 @@ def test_members_of_contracts_are_not_broadcast(spark):
     assert (counts["duplicate_id"], counts["missing_required_modality"], counts["missing_required_regime"]) == (200, 400, 1000)
 
 
+def test_members_of_manifests_are_looked_up_once(spark):
+    """Not once for each mention in a rule."""
+    rows = spark.createDataFrame([(1, "{}")], "line long, text string")
+    found = manifests.read(rows).transform(manifests.spread("record", {"a": "$.a", "b": "$.b"}))
+    assert found.columns == ["line", "record", "state", "kind_a", "kind_b", "text_a", "text_b"]
+    assert analyzed(found).count("$.a") == 1
+    plan = analyzed(manifests.audit(rows))
+    assert "$.split" not in plan and "kind_split" in plan
+
+
 def test_quantiles_take_few_rows_times_levels(spark):
     """Rows that hold no level are dropped before the levels are exploded."""
     rows = spark.range(5000).selectExpr("id % 2 AS g", "CAST(id % 977 AS double) AS v")
