@@ -387,28 +387,38 @@ def _rules() -> list[audits.Rule]:
         audits.Rule("split_unknown", "error", "split", ~c("split").isin("train", "validation", "test")),
         audits.Rule("digest_short", "error", "digest", ~checks.is_digest(c("digest"))),
         audits.Rule("priority_unset", "blocker", "priority", c("priority").rlike("NOT")),
-        audits.Rule("digest_repeated", "error", "digest", c("copies") > 1),
-        audits.Rule("patient_crosses_splits", "error", "patient", c("splits") > 1),
-        audits.Rule("block_crosses_splits", "warning", "block", c("block_splits") > 1),
     ]
 
 
-def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest records with what they share with others; records that are not valid by themselves count for none."""
+def _shared_rules() -> list[audits.Rule]:
+    """Of records with others: what breaks the rule among the records that share the field."""
+    crosses = F.min("split") < F.max("split")
+    return [
+        audits.Rule("digest_repeated", "error", "digest", F.count("*") > 1),
+        audits.Rule("patient_crosses_splits", "error", "patient", crosses),
+        audits.Rule("block_crosses_splits", "warning", "block", crosses),
+    ]
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of manifest records by themselves, and of what they share with others; records that are not valid by themselves
+    count for none. A key's values that break a rule are found first, and only keys are held against them."""
     rows = manifest(spark, sf_dir)
-    sound = rows.where("price > 0 AND patient IS NOT NULL")
-    shared = [("digest", F.count("*").alias("copies")), ("patient", F.count_distinct("split").alias("splits")), ("block", F.count_distinct("split").alias("block_splits"))]
-    for key, count in shared:
-        rows = rows.join(sound.groupBy(key).agg(count), key, "left")
-    return rows
+    found = audits.issues(rows, "record", _rules())
+    for rule in _shared_rules():
+        key = rule.field
+        broken = rows.where("price > 0 AND patient IS NOT NULL").groupBy(key).agg(rule.breached.alias("broken")).where("broken").select(key)
+        named = [F.lit(x).alias(n) for n, x in (("code", rule.code), ("severity", rule.severity), ("field", rule.field))]
+        found = found.unionByName(rows.select("record", key).join(broken, key, "left_semi").select("record", *named))
+    return found
 
 
 def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.issues(_audited(spark, sf_dir), "record", _rules())
+    return _issues(spark, sf_dir)
 
 
 def contract_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.status(audits.issues(_audited(spark, sf_dir), "record", _rules()))
+    return audits.status(_issues(spark, sf_dir))
 
 
 def eligibility_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.operators import bootstrap, contract_documents, manifests, masks, ranking, tiles
+from tesserae.plans import structure
 from tesserae.storage import keep
 
 
@@ -41,6 +42,10 @@ def test_members_of_contracts_are_not_broadcast(spark):
     assert (counts["duplicate_id"], counts["missing_required_modality"], counts["missing_required_regime"]) == (200, 400, 1000)
 
 
+def analyzed(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_members_of_manifests_are_looked_up_once(spark):
     """Not once for each mention in a rule."""
     rows = spark.createDataFrame([(1, "{}")], "line long, text string")
@@ -62,3 +67,9 @@ def test_quantiles_take_few_rows_times_levels(spark):
     right = {(r["g"], k): r["p"][k] for r in asked.collect() for k in range(33)}
     got = {(r["g"], round(r["level"] * 32)): r["value"] for r in found.collect()}
     assert got.keys() == right.keys() and all(abs(got[k] - right[k]) < 1e-9 for k in got)
+
+
+def test_issues_shuffle_keys_only(spark, sf_dir):
+    """Records do not go through a join for each key that they share with others."""
+    plan = analyzed(structure.manifest_issues(spark, sf_dir))
+    assert "Join LeftOuter" not in plan and plan.count("Join LeftSemi") == 3
