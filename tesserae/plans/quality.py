@@ -277,7 +277,7 @@ def calibration_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold at the 99th percentile of calibration rows, and the share of the others above it."""
     rows = obs(spark, sf_dir).withColumn("calibration", F.col("slide") % 4 == 0)
     limit = ranking.quantile_columns(rows.where("calibration"), ["stratum"], "score", threshold=0.99)
-    found = rows.where("NOT calibration").join(limit, "stratum")
+    found = rows.where("NOT calibration").join(F.broadcast(limit), "stratum")  # a row for each stratum
     return found.groupBy("stratum").agg(F.round(F.first("threshold"), 6).alias("threshold"), F.round(F.avg((F.col("score") > F.col("threshold")).cast("double")), 6).alias("alert_rate"))
 
 
@@ -316,7 +316,8 @@ def locked_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics, clean alert rate and the samples of each presence category."""
     rows = obs(spark, sf_dir).withColumn("role", _slide_role())
     locked = ranking.best_threshold(rows.where("role = 'calibration' AND valid"), ["stratum"]).select("stratum", "threshold")
-    test = rows.where("role = 'test'").join(locked, "stratum")
+    # a row for each stratum is broadcast: rows joined by stratum would be as many tasks as strata
+    test = rows.where("role = 'test'").join(F.broadcast(locked), "stratum")
     counts = confusion.confusion(test, ["stratum", "threshold"], F.col("target"), F.col("score") >= F.col("threshold"), F.col("valid"))
     samples = test.groupBy("stratum", "sample").agg((F.count_if("target") > 2).alias("label"), (F.max("score") >= F.first("threshold")).alias("called"))
     kinds = samples.groupBy("stratum").agg(*[F.count_if(rates.category(F.col("label"), F.col("called")) == k).alias(f"samples_{k.lower()}") for k in ("TP", "FP", "FN", "TN")])
@@ -331,7 +332,7 @@ def logo_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a fold's calibration is all counts of the other folds
     folds = counts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(6)))).where("fold <> own")
     locked = ranking.best_of_counts(folds.groupBy("fold", "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), ["fold"]).select("fold", "threshold")
-    held = confusion.confusion(rows.join(locked, "fold"), ["fold", "threshold"], F.col("target"), F.col("score") >= F.col("threshold"), F.lit(True))
+    held = confusion.confusion(rows.join(F.broadcast(locked), "fold"), ["fold", "threshold"], F.col("target"), F.col("score") >= F.col("threshold"), F.lit(True))
     return confusion.metrics(held, ["dice", "recall"]).withColumn("threshold", F.round("threshold", 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.operators import bootstrap, contract_documents, manifests, masks, ranking, tiles
-from tesserae.plans import structure
+from tesserae.plans import quality, structure
 from tesserae.storage import keep
 
 
@@ -73,3 +73,10 @@ def test_issues_shuffle_keys_only(spark, sf_dir):
     """Records do not go through a join for each key that they share with others."""
     plan = analyzed(structure.manifest_issues(spark, sf_dir))
     assert "Join LeftOuter" not in plan and plan.count("Join LeftSemi") == 3
+
+
+def test_rows_are_not_joined_by_few_strata(spark, sf_dir):
+    """Thresholds of strata or folds are few rows: a shuffled join puts all rows of a stratum in one task."""
+    for query in (quality.locked_eval, quality.logo_eval, quality.calibration_quantile):
+        plan = analyzed(query(spark, sf_dir))
+        assert "rightHint=(strategy=broadcast)" in plan, query.__name__
