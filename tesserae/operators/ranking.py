@@ -13,20 +13,31 @@ from pyspark.sql import functions as F
 from ..functions.rates import pixel_metrics, ratio
 from ..storage import keep
 
+#: Rows of a span, or so.
+SPAN = 1 << 18
+
 
 def running(rows: DataFrame, by: list[str], order: Column, sums: list[str]) -> DataFrame:
     """``rows`` with ``up_<x>``, the sum of x up to and with each row in ``order`` within its group, and ``all_<x>``.
 
-    ``order`` must tell the rows of a group apart. No group is in one task: spans are, of which there are as many as tasks.
+    ``order`` must tell the rows of a group apart. No group is in one task: spans are, of which there are as many as tasks, or
+    more where they would exceed ``SPAN`` rows; these are not put together again in few tasks.
     """
-    rows = keep(rows.repartitionByRange(*[F.col(x) for x in by], order).withColumn("span", F.spark_partition_id()), "spans")
+    deal = lambda some, *n: keep(some.repartitionByRange(*n, *[F.col(x) for x in by], order).withColumn("span", F.spark_partition_id()), "spans")
+    rows, tasks = deal(rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = -(-rows.count() // SPAN)
+    if spans > tasks:
+        rows = deal(rows.drop("span"), spans)
     total = rows.groupBy(*by, "span").agg(*[F.sum(x).alias(f"sum_{x}") for x in sums])
     whole = Window.partitionBy(*by)
     before = whole.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select(*by, "span", *[F.coalesce(F.sum(f"sum_{x}").over(before), F.lit(0)).alias(f"before_{x}") for x in sums], *[F.sum(f"sum_{x}").over(whole).alias(f"all_{x}") for x in sums])
+    if spans > 1:
+        rows = rows.repartition(max(tasks, spans), *by, "span")
     within = Window.partitionBy(*by, "span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"in_{x}": F.sum(x).over(within) for x in sums})
-    rows = rows.join(total, [*by, "span"])
+    # sorted by group and span already; a file of spans is far smaller than its rows, which Spark would broadcast
+    rows = rows.join(total.hint("merge"), [*by, "span"])
     up = {f"up_{x}": F.col(f"before_{x}") + F.col(f"in_{x}") for x in sums}
     return rows.withColumns(up).drop("span", *[f"{k}_{x}" for k in ("in", "before") for x in sums])
 
@@ -125,8 +136,7 @@ def best_threshold(rows: DataFrame, by: list[str], first: str = "dice", second:
 
 def percentile_rank(rows: DataFrame, reference: DataFrame, score: str = "score") -> DataFrame:
     """Share of reference scores that are not above each distinct score of ``rows``."""
-    both = rows.groupBy(score).agg(F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
-    both = both.unionByName(reference.groupBy(score).agg(F.count("*").alias("n"), F.lit(False).alias("asked")))
-    both = both.groupBy(score).agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked")).withColumn("one", F.lit(1))
+    one = lambda some, n, asked: some.select(score, F.lit(n).cast("long").alias("n"), F.lit(asked).alias("asked"))
+    both = one(rows, 0, True).unionByName(one(reference, 1, False)).groupBy(score).agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked")).withColumn("one", F.lit(1))
     out = running(both, ["one"], F.col(score).asc(), ["n"]).where("asked")
     return out.select(score, (F.col("up_n") / F.col("all_n")).alias("percentile"))

@@ -80,3 +80,23 @@ def test_rows_are_not_joined_by_few_strata(spark, sf_dir):
     for query in (quality.locked_eval, quality.logo_eval, quality.calibration_quantile):
         plan = analyzed(query(spark, sf_dir))
         assert "rightHint=(strategy=broadcast)" in plan, query.__name__
+
+
+def test_spans_are_small_and_not_broadcast(spark, monkeypatch):
+    """Rows over the size of a span are dealt out to more of them, each of its own task, whatever the number of tasks."""
+    monkeypatch.setattr(ranking, "SPAN", 500)
+    rows = spark.range(10_000).selectExpr("id % 3 AS g", "id AS v", "id % 7 AS x")
+    found = ranking.running(rows, ["g"], F.col("v"), ["x"])
+    plan = final_plan(found)
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("up_x").alias("count"), F.max("up_x")).collect()]
+    assert len(sizes) > 4 and max(sizes) <= 5 * 500
+    ups = {(r["g"], r["v"]): r["up_x"] for r in found.collect()}
+    assert len(ups) == 10_000 and ups[0, 9999] == sum(v % 7 for v in range(0, 10_000, 3)) and ups[2, 5] == 7
+
+
+def test_ranks_count_both_sides_at_once(spark):
+    """One aggregate of the rows of both sides, not one for each and another of these."""
+    rows = spark.range(1000).selectExpr("CAST(id % 50 AS double) AS score", "id % 2 AS side")
+    found = ranking.percentile_rank(rows.where("side = 0"), rows.where("side = 1"))
+    assert {r["score"]: r["percentile"] for r in found.collect()} == {float(v): sum(u % 2 for u in range(v + 1)) / 25 for v in range(0, 50, 2)}
