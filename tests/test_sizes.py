@@ -100,3 +100,10 @@ def test_ranks_count_both_sides_at_once(spark):
     rows = spark.range(1000).selectExpr("CAST(id % 50 AS double) AS score", "id % 2 AS side")
     found = ranking.percentile_rank(rows.where("side = 0"), rows.where("side = 1"))
     assert {r["score"]: r["percentile"] for r in found.collect()} == {float(v): sum(u % 2 for u in range(v + 1)) / 25 for v in range(0, 50, 2)}
+
+
+def test_draws_of_each_bootstrap_are_not_broadcast(spark, sf_dir):
+    """Neither those of strata nor those of samples; the estimate of samples is one row."""
+    for query in (quality.bootstrap_stratified, quality.bootstrap_ci):
+        plan = final_plan(query(spark, sf_dir))
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan, query.__name__
