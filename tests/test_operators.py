@@ -326,3 +326,31 @@ def test_few_links_are_joined_in_one_task(spark):
         rows = spark.createDataFrame(links, "u long, v long")
         one, rounds = linking.components(rows, 1 << 17), linking.components(rows)
         assert {(r.node, r.label) for r in one.collect()} == {(r.node, r.label) for r in rounds.collect()}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_deals_near_the_relaxed_one_are_the_best(seed):
+    """Those that are proven are as good as those of the table, in sums too."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(8, 16))
+    shares = (0.6, 0.25, 0.15) if seed % 2 else (0.5, 0.5)
+    sizes, weights = splits.split_sizes(n, shares), (3 * rng.integers(1, int(rng.choice([6, 12, 30])), n) + 1).astype(float).tolist()
+    targets = [sum(weights) * x for x in shares]
+
+    def worth(deal):
+        sums = [sum(w for w, q in zip(weights, deal, strict=True) if q == r) for r in range(len(sizes))]
+        return round(balance.deviation(sums, targets), 6), sum((g + 1) * (r + 1) for g, r in enumerate(deal)), sums, [deal.count(r) for r in range(len(sizes))]
+
+    deal = balance.near_relaxed(weights, sizes, targets)
+    assert deal is None or worth(deal) == worth(balance.best_deal(weights, sizes, targets))
+
+
+def test_a_stratum_of_thousands_of_groups_is_dealt():
+    """Each role's sum is next to its target, which no deal betters."""
+    weights = np.random.default_rng(2).poisson(600, 6000).astype(float).tolist()
+    targets = [sum(weights) * x for x in (0.6, 0.25, 0.15)]
+    sizes = splits.split_sizes(6000, (0.6, 0.25, 0.15))
+    deal = balance.best_deal(weights, sizes, targets)
+    sums = [sum(w for w, q in zip(weights, deal, strict=True) if q == r) for r in range(3)]
+    assert [deal.count(r) for r in range(3)] == sizes and all(abs(a - b) < 1 for a, b in zip(sums, targets, strict=True))
+    assert balance.near_relaxed([w + 0.5 * (g % 2) for g, w in enumerate(weights)], sizes, targets) is None
