@@ -75,6 +75,7 @@ def nearest(cells: DataFrame, marks: DataFrame, spacing: tuple[float, float] = (
     cells, marks = cells.select(*keys, *others), marks.select(*keys).distinct()
     ends = cells.select("image", "y", "x").unionByName(marks).groupBy("image").agg(F.max("y").alias("last"), F.max("x").alias("wide"))
     ends = ends.select("image", "last", F.greatest(F.lit(1), F.floor(F.lit(strip) / (F.col("wide") + 1)).cast("int")).alias("rows"))
+    ends = ends.hint("broadcast")  # a row for each image: else Spark takes the cells, whose file is far smaller than they are
     column = Window.partitionBy("image", "x").orderBy("y")
     marks = marks.withColumns({"next": F.lead("y").over(column), "before": F.lag("y").over(column)}).join(ends, "image")
     first, last = F.when(F.col("before").isNull(), 0).otherwise(F.col("y")), F.coalesce(F.col("next") - 1, "last")

@@ -153,13 +153,21 @@ def boundary(plane: DataFrame, mask: str = "mask", valid: str = "valid") -> Data
 
     Cells next to an invalid one are left out, as the mask ends there for another reason.
     """
+    return boundaries(plane, [mask], valid).withColumnRenamed(f"edge_{mask}", "edge")
 
-    def kernel(arrays: dict[str, Array], halo: int) -> dict[str, Array]:
-        own = (arrays[mask] > 0) & (arrays[valid] > 0)
-        core = own[1:-1, 1:-1] & ~_spread(own, square(1), False)
-        return {"edge": core & _spread(arrays[valid] > 0, square(1), False)}
 
-    return on_tiles(plane, kernel, 1, {mask: 0, valid: 1}, {"edge": "boolean"})
+def boundaries(plane: DataFrame, masks: list[str], valid: str = "valid") -> DataFrame:
+    """``image, y, x`` and ``edge_<mask>`` of some masks, in one pass."""
+
+    def kernel(arrays: dict[str, Array], halo: int) -> dict[str, Array]:
+        known = _spread(arrays[valid] > 0, square(1), False)
+        out = {}
+        for mask in masks:
+            own = (arrays[mask] > 0) & (arrays[valid] > 0)
+            out[f"edge_{mask}"] = own[1:-1, 1:-1] & ~_spread(own, square(1), False) & known
+        return out
+
+    return on_tiles(plane, kernel, 1, {**dict.fromkeys(masks, 0), valid: 1}, {f"edge_{m}": "boolean" for m in masks})
 
 
 def weighted(plane: DataFrame, value: str, offsets: list[tuple[int, int]]) -> DataFrame:

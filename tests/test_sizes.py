@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tesserae.operators import bootstrap, contract_documents, manifests, masks, ranking, tiles
+from tesserae.operators import bootstrap, contours, contract_documents, distance, manifests, masks, ranking, tiles
 from tesserae.plans import quality, structure
 from tesserae.storage import keep
 
@@ -107,3 +108,22 @@ def test_draws_of_each_bootstrap_are_not_broadcast(spark, sf_dir):
     for query in (quality.bootstrap_stratified, quality.bootstrap_ci):
         plan = final_plan(query(spark, sf_dir))
         assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan, query.__name__
+
+
+def test_cells_of_images_are_not_broadcast_for_distances(spark):
+    """What is broadcast is a row for each image, whatever the sizes of the files."""
+    cells = keep(spark.range(10_000).selectExpr("0L AS image", "cast(id div 100 AS int) AS y", "cast(id % 100 AS int) AS x"), "cells")
+    found = distance.nearest(cells.where("x % 2 = 0"), cells.where("x % 10 = 1"))
+    assert "rightHint=(strategy=broadcast)" in analyzed(found)
+    assert found.count() == 5000 and found.agg(F.max("distance")).first()[0] == 7.0
+
+
+def test_images_of_one_tile_are_thinned_in_one_round(spark, monkeypatch):
+    """Both masks at once, to the end, however many passes that takes."""
+    rounds = []
+    monkeypatch.setattr(contours, "keep", lambda df, name: rounds.append(name) or keep(df, name))
+    rows = spark.range(6400).selectExpr("0L AS image", "cast(id div 80 AS int) AS y", "cast(id % 80 AS int) AS x", "80 AS height", "80 AS width").withColumns({"a": F.lit(True), "b": F.col("x") < 60})
+    got = contours.skeletons(rows, ["a", "b"], 2).collect()
+    assert len(rounds) == 1
+    for name, mask in (("a", np.ones((80, 80))), ("b", np.arange(6400).reshape(80, 80) % 80 < 60)):
+        assert {(r.y, r.x) for r in got if r[f"line_{name}"]} == {tuple(map(int, c)) for c in np.argwhere(contours.thinned(mask))}
