@@ -14,6 +14,8 @@ from .ranking import percentile_rank, quantile_columns
 
 #: Vectors of a block, of the bank and of the rows.
 BLOCK = 8192
+#: Distances that a task holds at a time.
+CELLS = 1 << 20
 
 
 def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
@@ -29,11 +31,23 @@ def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
     return numbered.groupBy("block").applyInArrow(run, "block int, ids array<long>, vectors binary")
 
 
+def _nearest(rows: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest distances, in any order, of each row to the bank; all of a smaller bank. Vectors are normalised."""
+    few, step = min(k, len(bank)), max(1, CELLS // len(bank))
+    out = np.empty((len(rows), few))
+    for a in range(0, len(rows), step):
+        cells = -rows[a : a + step] @ bank.T  # in the order of their distances
+        cells.partition(few - 1, axis=1)
+        out[a : a + step] = np.sqrt(np.maximum(2 + 2 * cells[:, :few], 0))
+    return out
+
+
 def knn_scores(rows: DataFrame, bank: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """``id, score``: mean distance of L2-normalised vectors to the k nearest of ``bank``; rows are ``id, embedding``.
 
     Blocks of rows meet blocks of the bank by an equi-join and are multiplied in tasks; the k smallest distances to each
-    block of the bank are merged. Exact; repeated ids come out repeated; no bank, no rows; nothing passes the driver.
+    block of the bank are merged. Exact; repeated ids come out repeated; no bank, no rows; nothing passes the driver. A task's
+    Python holds a batch of pairs of blocks, which Spark bounds in bytes, and ``CELLS`` distances, whatever the number of rows.
     """
     spark, count = rows.sparkSession, bank.count()
     if not count:
@@ -46,12 +60,12 @@ def knn_scores(rows: DataFrame, bank: DataFrame, k: int, block: int = BLOCK) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, ids, vectors, bank in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                mine = np.frombuffer(vectors).reshape(len(ids), -1)
-                square = np.maximum(2 - 2 * mine @ np.frombuffer(bank).reshape(-1, mine.shape[1]).T, 0)
-                few = min(k, square.shape[1])
-                near = np.sqrt(np.partition(square, few - 1, axis=1)[:, :few])
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids)), pa.array(np.arange(len(ids))), pa.array(ids), pa.array(list(near), pa.list_(pa.float64()))], ["block", "row", "id", "near"])
+            for i in range(batch.num_rows):
+                number, ids = batch.column(0)[i].as_py(), batch.column(1)[i].values
+                mine, bank = (np.frombuffer(batch.column(c)[i].as_buffer()) for c in (2, 3))
+                mine = mine.reshape(len(ids), -1)
+                near = _nearest(mine, bank.reshape(-1, mine.shape[1]), k)
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids)), pa.array(np.arange(len(ids))), ids, pa.array(list(near), pa.list_(pa.float64()))], ["block", "row", "id", "near"])
 
     met = asked.join(banked, ["part", "copy"]).select("block", "ids", "vectors", "bank")
     found = met.mapInArrow(run, "block long, row long, id long, near array<double>").groupBy("block", "row", "id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tesserae.operators import bootstrap, contours, contract_documents, distance, manifests, masks, ranking, tiles
+from tesserae.operators import bootstrap, contours, contract_documents, distance, manifests, masks, neighbors, ranking, tiles
 from tesserae.plans import quality, structure
 from tesserae.storage import keep
 
@@ -127,3 +129,18 @@ def test_images_of_one_tile_are_thinned_in_one_round(spark, monkeypatch):
     assert len(rounds) == 1
     for name, mask in (("a", np.ones((80, 80))), ("b", np.arange(6400).reshape(80, 80) % 80 < 60)):
         assert {(r.y, r.x) for r in got if r[f"line_{name}"]} == {tuple(map(int, c)) for c in np.argwhere(contours.thinned(mask))}
+
+
+def test_neighbours_hold_few_distances():
+    """Not those of a whole block of rows to a whole block of the bank."""
+    draws = np.random.default_rng(3)
+    rows, bank = (neighbors._unit(draws.normal(size=(n, 4))) for n in (1024, neighbors.BLOCK))
+    tracemalloc.start()
+    near = neighbors._nearest(rows, bank, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 8 * neighbors.CELLS < 8 * 1024 * neighbors.BLOCK
+    for i in (0, 127, 128, 1023):  # on both sides of a step's end
+        right = np.sort(np.linalg.norm(bank - rows[i], axis=1))[:5]
+        assert np.allclose(np.sort(near[i]), right, atol=1e-7)
+    assert neighbors._nearest(rows[:3], bank[:2], 5).shape == (3, 2)
