@@ -144,3 +144,10 @@ def test_neighbours_hold_few_distances():
         right = np.sort(np.linalg.norm(bank - rows[i], axis=1))[:5]
         assert np.allclose(np.sort(near[i]), right, atol=1e-7)
     assert neighbors._nearest(rows[:3], bank[:2], 5).shape == (3, 2)
+
+
+def test_draws_of_all_strata_together_are_not_broadcast(spark, sf_dir):
+    """Without strata too, whether a draw's cluster is a row of counts or of methods."""
+    for query in (quality.bootstrap_cluster, quality.bootstrap_paired):
+        plan = final_plan(query(spark, sf_dir))
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan, query.__name__
